@@ -17,7 +17,7 @@ def gunning_fog(words: Column, sents: Column, complex_words: Column) -> Column:
 
 
 def coleman_liau_index(words: Column, sents: Column, letters: Column) -> Column:
-    return 0.0588 * 100 * safe_div(letters, words) - 0.296 * 100 * safe_div(sents, words) - 15.8
+    return 0.0588 * (100 * safe_div(letters, words)) - 0.296 * (100 * safe_div(sents, words)) - 15.8
 
 
 def smog_index(sents: Column, polysyllables: Column) -> Column:

@@ -200,7 +200,7 @@ def text_counts(c: Column | str) -> dict[str, Column]:
 
     consonant = rf"[\p{{L}}\p{{N}}_&&[^{VOWELS}]]"
     silent = rf"(?<!{WORD}){consonant}+(?!{WORD})"
-    poly = rf"(?<!{WORD})(?:{consonant}*[{VOWELS}]+){{3}}{WORD}*"
+    poly = rf"(?<!{WORD}){consonant}*[{VOWELS}]+(?:{consonant}+[{VOWELS}]+){{2}}{WORD}*"
     return {
         "n_words": hits(text, f"{WORD}+"),
         "n_sentences": F.size(sentences(text)).cast("bigint"),

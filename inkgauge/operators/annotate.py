@@ -157,8 +157,8 @@ def tree_stats(sents: DataFrame, key: str = "doc_id") -> DataFrame:
         F.avg("shape.depth").alias("mean_tree_height"),
     )
     docs = sents.select(key).distinct()
-    spread = ["depth_variability", "tree_height_variability"]
-    return docs.join(trees, key, "left").na.fill(float("nan"), spread).na.fill(0)
+    empty = {c: F.lit(float("nan")) if c.endswith("variability") else F.lit(0) for c in trees.columns if c != key}
+    return docs.join(trees, key, "left").withColumns({c: F.coalesce(c, e) for c, e in empty.items()})
 
 
 def rule_stats(sents: DataFrame, key: str = "doc_id") -> DataFrame:
