@@ -60,10 +60,13 @@ def bin_of(value: Column, bounds: Sequence[float]) -> Column:
 
 
 def quantile_bounds(df: DataFrame, features: Sequence[str], bins: int, accuracy: int = 10_000) -> dict[str, list[float]]:
-    """Inner quantiles per feature from one pass, repeated values merged."""
+    """Inner quantiles per feature from one pass; repeats and the maximum are left out."""
     probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    row = df.agg(*[F.percentile_approx(F.col(f).cast("double"), probs, accuracy).alias(f) for f in features]).first()
-    return {f: sorted(set(row[f] or [])) for f in features}
+    row = df.agg(
+        *[F.percentile_approx(F.col(f).cast("double"), probs, accuracy).alias(f"q{i}") for i, f in enumerate(features)],
+        *[F.max(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)],
+    ).first()
+    return {f: sorted({b for b in row[f"q{i}"] or [] if b < row[f"m{i}"]}) for i, f in enumerate(features)}
 
 
 def _binned(df: DataFrame, model: AdditiveModel) -> DataFrame:

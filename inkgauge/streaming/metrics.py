@@ -65,7 +65,8 @@ def windowed_rates(
     events: DataFrame, bucket: Column, ts: str = "ts", key: str = "url", width: str = "1 minute", late: str = "10 minutes"
 ) -> DataFrame:
     """Observations per window, url and bucket; rows later than ``late`` are dropped."""
-    rows = events.withColumn("bucket", bucket)
+    # a watermark needs a zoned event time
+    rows = events.withColumn("bucket", bucket).withColumn(ts, F.col(ts).cast("timestamp"))
     if events.isStreaming:
         rows = rows.withWatermark(ts, late)
     return rows.groupBy(F.window(ts, width).alias("w"), key, "bucket").agg(F.count("*").alias("n")).select(

@@ -140,7 +140,7 @@ def m2(spark, sf):
 
 @query(
     "m1_request_stats",
-    """SELECT event_id, round(value / 700, 4)::VARCHAR AS latency, '2' AS n, event_type AS url, CASE WHEN event_type = 'error' THEN '-1' ELSE json_extract_string(props, '$.k') END AS k,
+    """SELECT event_id, round(value / 700, 4) AS latency, '2' AS n, event_type AS url, CASE WHEN event_type = 'error' THEN '-1' ELSE json_extract_string(props, '$.k') END AS k,
   event_type AS verdict, 'c' AS extra FROM events""",
 )
 def m1(spark, sf):
@@ -156,7 +156,7 @@ def m1(spark, sf):
     )
     s = F.col("stats")
     return out.select(
-        "event_id", s["_latency"].alias("latency"), s["_count"].alias("n"), s["_url"].alias("url"),
+        "event_id", s["_latency"].cast("double").alias("latency"), s["_count"].alias("n"), s["_url"].alias("url"),
         s["k"].alias("k"), s["verdict"].alias("verdict"), s["extra"].alias("extra"),
     )
 
