@@ -158,24 +158,31 @@ def is_word_or_punct(t: Column) -> Column:
     return t.rlike(r"^(?:\p{L}+|[!-/:-@\[-`{-~])$")
 
 
-def lemma(t: Column) -> Column:
+def lemma(t: Column, lowered: bool = False) -> Column:
     """Noun-suffix fallback: lower case, final ``s`` off when longer than 3."""
-    low = F.lower(t)
-    return F.when((F.length(low) > 3) & low.endswith("s"), F.left(low, F.length(low) - 1)).otherwise(low)
+    low = t if lowered else F.lower(t)
+    return F.when(low.endswith("s") & (F.length(low) > 3), F.left(low, F.length(low) - 1)).otherwise(low)
 
 
-def suffix_tag(t: Column) -> Column:
-    """Fallback tag for tokens without an entry in a tag table."""
-    low = F.lower(t)
+def suffix_tag(t: Column, lowered: bool = False) -> Column:
+    """Fallback tag for tokens without an entry in a tag table; a mark is its own tag."""
+    low = t if lowered else F.lower(t)
+
+    def ends(*suffixes: str) -> Column:
+        out = low.endswith(suffixes[0])
+        for s in suffixes[1:]:
+            out = out | low.endswith(s)
+        return out
+
     return (
-        F.when(~t.rlike(WORD), t)
-        .when(low.endswith("ly"), "RB")
-        .when(low.endswith("ing"), "VBG")
-        .when(low.endswith("ed"), "VBD")
-        .when(low.rlike("(?:tion|ment|ness)$"), "NN")
-        .when(low.rlike("(?:able|ous|ful)$"), "JJ")
-        .when(F.length(low) <= 3, "DT")
-        .otherwise("NN")
+        F.when(ends("ly"), "RB")
+        .when(ends("ing"), "VBG")
+        .when(ends("ed"), "VBD")
+        .when(ends("tion", "ment", "ness"), "NN")
+        .when(ends("able", "ous", "ful"), "JJ")
+        .when(F.length(low) > 3, "NN")
+        .when(low.rlike(WORD), "DT")
+        .otherwise(t)
     )
 
 
@@ -186,29 +193,28 @@ def tagged_text(tokens: Column, tags: Column) -> Column:
 
 # -- in-row measures --------------------------------------------------------
 
-def text_counts(c: Column | str) -> dict[str, Column]:
-    """Words, sentences, letters, characters, syllables, polysyllables.
+COUNTS = ("n_words", "n_sentences", "n_letters", "n_characters", "n_syllables", "n_polysyllables")
 
-    A vowel group never crosses a word, so the syllables of a text are its
-    vowel groups plus one for every word without a vowel.
-    """
-    text = as_col(c)
-    low = F.lower(text)
 
-    def hits(col: Column, pattern: str) -> Column:
-        return F.regexp_count(col, F.lit(pattern)).cast("bigint")
+def text_counts(c: Column | str) -> Column:
+    """A struct of ``COUNTS``; a word has as many syllables as vowel groups, at least one."""
+    text = as_col(c)
 
-    consonant = rf"[\p{{L}}\p{{N}}_&&[^{VOWELS}]]"
-    silent = rf"(?<!{WORD}){consonant}+(?!{WORD})"
-    poly = rf"(?<!{WORD}){consonant}*[{VOWELS}]+(?:{consonant}+[{VOWELS}]+){{2}}{WORD}*"
-    return {
-        "n_words": hits(text, f"{WORD}+"),
-        "n_sentences": F.size(sentences(text)).cast("bigint"),
-        "n_letters": F.length(_sub(text, r"[^\p{L}]+", "")).cast("bigint"),
-        "n_characters": F.length(_sub(text, rf"[{SPACE}]+", "")).cast("bigint"),
-        "n_syllables": hits(low, f"[{VOWELS}]+") + hits(low, silent),
-        "n_polysyllables": hits(low, poly),
-    }
+    def counted(per_word: Column) -> Column:
+        total = F.aggregate(per_word, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+        return F.struct(
+            F.size(per_word).cast("bigint").alias("n_words"),
+            F.size(sentences(text)).cast("bigint").alias("n_sentences"),
+            F.length(_sub(text, r"[^\p{L}]+", "")).cast("bigint").alias("n_letters"),
+            F.length(_sub(text, rf"[{SPACE}]+", "")).cast("bigint").alias("n_characters"),
+            total.alias("n_syllables"),
+            F.size(F.filter(per_word, lambda n: n >= 3)).cast("bigint").alias("n_polysyllables"),
+        )
+
+    groups = F.transform(
+        words(F.lower(text)), lambda w: F.greatest(F.lit(1), F.regexp_count(w, F.lit(f"[{VOWELS}]+")))
+    )
+    return let(groups, counted)
 
 
 def textual_entropy(c: Column | str) -> Column:
@@ -218,7 +224,7 @@ def textual_entropy(c: Column | str) -> Column:
     pass yields all counts inside the row.
     """
     text = as_col(c)
-    ordered = F.array_join(F.array_sort(F.split(text, "")), "")
+    ordered = F.array_join(F.sort_array(F.split(text, "")), "")
     n = F.length(text).cast("double")
 
     def entropy(runs: Column) -> Column:
@@ -230,16 +236,16 @@ def textual_entropy(c: Column | str) -> Column:
 
 
 def density_of(tokens: Column) -> Column:
-    """Share of meaning-bearing tags among word-or-punctuation tokens (array form)."""
+    """Share of meaning-bearing tags among lower-cased word-or-punctuation tokens."""
 
     def share(kept: Column) -> Column:
-        bearing = F.filter(kept, lambda t: suffix_tag(t).isin(*MEANING_TAGS))
+        bearing = F.filter(kept, lambda t: suffix_tag(t, lowered=True).isin(*MEANING_TAGS))
         return safe_div(F.size(bearing), F.size(kept))
 
     return let(F.filter(tokens, is_word_or_punct), share)
 
 
 def tagged_of(tokens: Column) -> Column:
-    """``word/TAG`` text of the word-or-punctuation tokens (array form)."""
+    """``word/TAG`` text of the lower-cased word-or-punctuation tokens."""
     kept = F.filter(tokens, is_word_or_punct)
-    return let(kept, lambda k: F.array_join(F.transform(k, lambda t: F.concat(t, F.lit("/"), suffix_tag(t))), " "))
+    return let(kept, lambda k: F.array_join(F.transform(k, lambda t: F.concat(t, F.lit("/"), suffix_tag(t, lowered=True))), " "))

@@ -50,12 +50,12 @@ def rule_entities(tokens: Column) -> Column:
 def annotate_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per sentence with parallel arrays of the annotation fields."""
     toks = sentence_rows(df, key, text).select(key, "sent_id", X.tokenize("sentence").alias("token"))
-    tagged = toks.withColumn("tag", F.transform("token", X.suffix_tag))
+    tagged = toks.withColumn("tag", F.transform("token", lambda t: X.suffix_tag(t)))
     return tagged.select(
         key,
         "sent_id",
         "token",
-        F.transform("token", X.lemma).alias("lemma"),
+        F.transform("token", lambda t: X.lemma(t)).alias("lemma"),
         "tag",
         rule_heads(F.col("token")).alias("head"),
         rule_entities(F.col("token")).alias("ent_id"),
@@ -73,7 +73,7 @@ def explode_annotations(sents: DataFrame, key: str = "doc_id") -> DataFrame:
 def collect_annotations(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """Token rows -> sentence rows; a group is one sentence of one document."""
     rows = tokens.groupBy(key, "sent_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", *TOKEN_FIELDS))).alias("t")
+        F.sort_array(F.collect_list(F.struct("pos", *TOKEN_FIELDS))).alias("t")
     )
     return rows.select(key, "sent_id", *[F.col(f"t.{f}").alias(f) for f in TOKEN_FIELDS])
 
@@ -105,7 +105,7 @@ def _spans(tokens: DataFrame, span: str, key: str) -> DataFrame:
     return (
         tokens.where(F.col(span).isNotNull())
         .groupBy(key, "sent_id", span)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
         .select(key, F.array_join(F.col("t.token"), " ").alias("span"))
     )
 
@@ -210,7 +210,7 @@ def pos_distribution(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def pos_map(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return pos_distribution(tokens, key).groupBy(key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("pos_counts")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("tag", "n")))).alias("pos_counts")
     )
 
 
@@ -224,28 +224,22 @@ def syntax_struct(clean: Column) -> Column:
         return F.when((n >= 2) & (n < X.TREE_TOKEN_LIMIT), tree_shape(rule_heads(toks)))
 
     def rules_of(toks: Column, shape: Column) -> Column:
-        """Surface forms of the tokens with children, in pre-order."""
-        heads = rule_heads(toks)
-        keyed = let(
-            heads,
-            lambda h: F.transform(
-                shape["internal"],
-                lambda n: F.struct(
-                    preorder_key(h, n["pos"], n["depth"]).alias("path"), F.get(toks, n["pos"] - 1).alias("rule")
-                ),
-            ),
-        )
-        return F.when(shape.isNull(), F.array().cast("array<string>")).otherwise(
-            F.transform(F.array_sort(keyed), lambda r: r["rule"])
-        )
+        """Surface forms of the tokens with children."""
+        forms = F.transform(shape["internal"], lambda n: F.get(toks, n["pos"] - 1))
+        return F.when(shape.isNull(), F.array().cast("array<string>")).otherwise(forms)
 
     def spans(toks: Column) -> Column:
         return F.filter(toks, lambda t, i: (i > 0) & t.rlike(r"^\p{Lu}"))
 
     def body(st: Column) -> Column:
+        low = F.transform(st, lambda s: F.transform(s, F.lower))
+        return let(low, lambda lo: staged(st, lo))
+
+    def staged(st: Column, lo: Column) -> Column:
         stage = F.struct(
             F.flatten(st).alias("tok"),
-            F.transform(st, lambda s: F.transform(s, X.suffix_tag)).alias("stag"),
+            F.flatten(lo).alias("low"),
+            F.transform(lo, lambda s: F.transform(s, lambda t: X.suffix_tag(t, lowered=True))).alias("stag"),
             F.transform(st, per_sentence).alias("shape"),
             F.flatten(F.transform(st, spans)).alias("ents"),
         )
@@ -254,16 +248,16 @@ def syntax_struct(clean: Column) -> Column:
     def finish(st: Column, v: Column) -> Column:
         more = F.struct(
             F.filter(v["shape"], lambda s: s.isNotNull()).alias("trees"),
-            F.flatten(F.zip_with(st, v["shape"], rules_of)).alias("rules"),
+            F.zip_with(st, v["shape"], rules_of).alias("srules"),
             F.flatten(F.transform(v["stag"], lambda t: F.regexp_extract_all(chunk_flags(t), F.lit("N+"), F.lit(0)))).alias("chunks"),
             F.flatten(v["stag"]).alias("tag"),
         )
-        return let(more, lambda m: features(st, v, m))
+        return let(more, lambda m: let(F.flatten(m["srules"]), lambda rules: features(st, v, m, rules)))
 
     def total(arr: Column) -> Column:
         return F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, b: a + b.cast("bigint"))
 
-    def features(st: Column, v: Column, m: Column) -> Column:
+    def features(st: Column, v: Column, m: Column, rules: Column) -> Column:
         tok, trees = v["tok"], m["trees"]
         n_tok = F.size(tok).cast("bigint")
         n_sent = F.size(st).cast("bigint")
@@ -276,7 +270,7 @@ def syntax_struct(clean: Column) -> Column:
         return F.struct(
             n_sent.alias("num_sentences"),
             n_tok.alias("num_tokens"),
-            F.size(F.array_distinct(F.transform(tok, X.lemma))).cast("bigint").alias("num_unique_lemmas"),
+            F.size(F.array_distinct(F.transform(v["low"], lambda t: X.lemma(t, lowered=True)))).cast("bigint").alias("num_unique_lemmas"),
             safe_div(total(F.transform(tok, F.length)), n_tok).alias("average_token_length"),
             safe_div(n_tok, n_sent).alias("average_sentence_length"),
             n_ent.alias("num_entities"),
@@ -289,19 +283,18 @@ def syntax_struct(clean: Column) -> Column:
             F.when(has_tree, total(trees["branching"]) / F.size(trees)).otherwise(0.0).alias("avg_branching_factor"),
             nodes.alias("total_nodes"),
             leaves.alias("total_leaves"),
-            F.size(F.array_distinct(m["rules"])).cast("bigint").alias("unique_rules"),
-            most_common(m["rules"]).alias("most_common_rule"),
+            F.size(F.array_distinct(rules)).cast("bigint").alias("unique_rules"),
+            most_common_rule(rules, m["srules"], st, v["shape"]).alias("most_common_rule"),
             safe_div(nodes, leaves).alias("tree_complexity"),
             trees["depth"].alias("_depths"),
             trees["spine"].alias("_spines"),
-            (F.size(F.filter(F.transform(tok, F.lower), X.is_word_or_punct))).alias("_kept"),
         )
 
     return let(F.transform(X.sentences(clean), X.tokenize), body)
 
 
-def most_common(items: Column) -> Column:
-    """Most common element of an array, ties to the earliest; null when empty.
+def top_elements(items: Column) -> Column:
+    """The most common elements of an array (several when counts tie), sorted.
 
     Equal elements are neighbours in the sorted copy, so counts are distances
     between the starts of neighbouring runs: linear after the sort.
@@ -309,9 +302,7 @@ def most_common(items: Column) -> Column:
 
     def runs(s: Column) -> Column:
         n = F.size(s)
-        starts = F.filter(
-            F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
-        )
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         return let(
             starts,
             lambda at: F.transform(
@@ -320,14 +311,39 @@ def most_common(items: Column) -> Column:
             ),
         )
 
-    def earliest(r: Column, top: Column) -> Column:
-        tied = F.filter(r, lambda e: e["n"] == top)
-        first = F.transform(
-            tied, lambda e: F.struct(F.array_position(items, e["x"]).alias("at"), e["x"].alias("x"))
+    def tied(r: Column) -> Column:
+        return let(F.array_max(r["n"]), lambda top: F.transform(F.filter(r, lambda e: e["n"] == top), lambda e: e["x"]))
+
+    found = let(F.sort_array(items), lambda s: let(runs(s), tied))
+    return F.when(F.size(items) > 0, found).otherwise(F.array().cast("array<string>"))
+
+
+def most_common_rule(rules: Column, srules: Column, st: Column, shapes: Column) -> Column:
+    """Most common rule; a tie goes to the form met first in the pre-order walk.
+
+    Only a tie needs the walk, and only in the first sentence that holds one of
+    the tied forms.
+    """
+
+    def walk(top: Column, at: Column) -> Column:
+        toks, shape = F.get(st, at), F.get(shapes, at)
+        named = F.transform(
+            shape["internal"], lambda n: F.struct(n["pos"].alias("pos"), n["depth"].alias("depth"), F.get(toks, n["pos"] - 1).alias("x"))
+        )
+        here = F.filter(named, lambda n: F.array_contains(top, n["x"]))
+        keyed = let(
+            rule_heads(toks),
+            lambda h: F.transform(here, lambda n: F.struct(preorder_key(h, n["pos"], n["depth"]).alias("path"), n["x"].alias("x"))),
         )
-        return F.when(top == 1, F.get(items, F.lit(0))).otherwise(F.array_min(first)["x"])
+        return F.array_min(keyed)["x"]
+
+    def first_sentence(top: Column) -> Column:
+        holds = F.transform(srules, lambda r: F.arrays_overlap(r, top))
+        return (F.array_position(holds, True) - 1).cast("int")
 
-    found = let(
-        F.array_sort(items), lambda s: let(runs(s), lambda r: let(F.array_max(r["n"]), lambda top: earliest(r, top)))
+    return let(
+        top_elements(rules),
+        lambda top: F.when(F.size(top) <= 1, F.get(top, F.lit(0))).otherwise(
+            let(first_sentence(top), lambda at: walk(top, at))
+        ),
     )
-    return F.when(F.size(items) > 0, found)

@@ -60,7 +60,7 @@ def route_canary(requests: DataFrame, targets: DataFrame, seed: int, key: str, u
     folded = (
         cumulative_weights(targets)
         .groupBy("endpoint")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "lo", "hi", "target"))).alias("_t"))
+        .agg(F.sort_array(F.collect_list(F.struct("ord", "lo", "hi", "target"))).alias("_t"))
         .withColumnRenamed("endpoint", url)
     )
     u = draw(key, seed)

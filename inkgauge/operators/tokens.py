@@ -120,7 +120,7 @@ def encode_tokens(
     cut = df.select(key, F.slice(X.tokenize(F.lower(F.col(text))), 1, room).alias("toks"))
     rows = cut.select(key, F.posexplode_outer("toks").alias("pos", "token"))
     ids = rows.join(lookup_table(vocab), "token", "left").groupBy(key).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(1)).alias("id"))))
         ).alias("pairs")
     )

@@ -19,7 +19,7 @@ from ..functions import text as X
 from ..functions.base import safe_div
 from ..functions.vectors import std_pop_of
 from ..operators.annotate import syntax_struct
-from ..session import lookup_table
+from ..session import lookup_table, spread
 
 # Marks familiar words inside the joined lexicon; not a category of its own.
 FAMILIAR = "__familiar__"
@@ -31,17 +31,16 @@ def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", order: str =
 
 def row_features(clean: DataFrame, key: str = "doc_id") -> DataFrame:
     """Everything that needs only the document itself."""
-    counts = X.text_counts("clean")
     staged = clean.select(
         key,
-        *[c.alias(n) for n, c in counts.items()],
+        X.text_counts("clean").alias("counts"),
         X.textual_entropy("clean").alias("textual_entropy"),
         X.density_of(X.tokenize(F.lower("clean"))).alias("semantic_density"),
         syntax_struct(F.col("clean")).alias("syn"),
     )
     return staged.select(
         key,
-        *counts,
+        "counts.*",
         "textual_entropy",
         "semantic_density",
         "syn.*",
@@ -49,7 +48,7 @@ def row_features(clean: DataFrame, key: str = "doc_id") -> DataFrame:
         "*",
         std_pop_of(F.col("_depths")).alias("depth_variability"),
         std_pop_of(F.col("_spines")).alias("tree_height_variability"),
-    ).drop("_depths", "_spines", "_kept")
+    ).drop("_depths", "_spines")
 
 
 def lookup_counts(clean: DataFrame, lexicon: DataFrame, familiar: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -77,7 +76,7 @@ def feature_table(
     ``lexicon(category, token)`` and ``familiar(token)`` are inputs; ``categories``
     is declared, so no job runs to discover the columns.
     """
-    clean = cleaned(df, key, text, order)
+    clean = cleaned(spread(df.select(key, text), key), key, text, order)
     rows = row_features(clean, key)
     hits = (
         lookup_counts(clean, lexicon, familiar, key)

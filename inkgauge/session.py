@@ -74,3 +74,15 @@ def lookup_table(
     if probe.num_rows <= max_rows and probe.nbytes <= max_bytes:
         return F.broadcast(spark.createDataFrame(probe, schema=df.schema))
     return written(df, "lookup")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows when the input has fewer partitions than there are cores.
+
+    Meant before work that is heavy per row.  A large input has more splits than
+    cores and is left alone, so its rows are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, key)

@@ -67,7 +67,7 @@ def pack_batches(
     packed = cut.groupBy("block", "chunk").agg(
         F.count("*").alias("n"),
         (F.sum("_len") + 1).alias("bytes"),
-        F.array_sort(F.collect_list(F.struct(key, "_json"))).alias("_rows"),
+        F.sort_array(F.collect_list(F.struct(key, "_json"))).alias("_rows"),
     )
     message = F.concat(F.lit("["), F.array_join("_rows._json", ","), F.lit("]"))
     return packed.select("block", "chunk", "n", "bytes", message.alias("message"))

@@ -9,18 +9,20 @@ from inkgauge.functions import readability as R
 from inkgauge.functions import text as X
 from inkgauge.operators import annotate as A
 from inkgauge.operators import flow, tokens as K
-from inkgauge.plans.feature_table import feature_projection, feature_table
+from inkgauge.plans.feature_table import cleaned, feature_projection, feature_table
+from inkgauge.session import spread
 
 from . import textsql as S
 from .base import big, query, r6, table
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents", "doc_id", "text")
+    """The texts, spread over the cores when the file is a single split."""
+    return spread(table(spark, sf, "documents", "doc_id", "text"), "doc_id")
 
 
 def clean_docs(spark, sf):
-    return docs(spark, sf).select("doc_id", X.clean_text("text").alias("text"))
+    return cleaned(docs(spark, sf)).withColumnRenamed("clean", "text")
 
 
 # Category of a token: its draw over the declared list.
@@ -75,19 +77,19 @@ _text_function("x13_clean_text", X.clean_text, S.clean)
 _text_function("x14_clean_text_serving", lambda c: X.clean_text(c, order="serving"), lambda e: S.clean(e, "serving"))
 _text_function(
     "x21_tagged_text",
-    lambda c: X.tagged_text(X.tokenize(c), F.transform(X.tokenize(c), X.suffix_tag)),
+    lambda c: X.tagged_text(X.tokenize(c), F.transform(X.tokenize(c), lambda t: X.suffix_tag(t))),
     lambda e: f"coalesce(array_to_string(list_transform({S.tokens(e)}, lambda t: t || '/' || {S.tag('t')}), ' '), '')",
 )
 
 
 # -- text features ----------------------------------------------------------
 
-COUNT_COLS = ("n_words", "n_sentences", "n_letters", "n_characters", "n_syllables", "n_polysyllables")
+COUNT_COLS = X.COUNTS
 
 
 def counted(spark, sf):
     c = clean_docs(spark, sf)
-    return c.select("doc_id", "text", *[v.alias(k) for k, v in X.text_counts("text").items()])
+    return c.select("doc_id", "text", X.text_counts("text").alias("c")).select("doc_id", "text", "c.*")
 
 
 @query("t1_text_counts", f"WITH {S.CLEAN}, {S.COUNTS} SELECT doc_id, " + ", ".join(f"{c}::BIGINT AS {c}" for c in COUNT_COLS) + " FROM counts")
