@@ -100,65 +100,60 @@ def token_stats(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def _spans(tokens: DataFrame, span: str, key: str) -> DataFrame:
-    """One row per span with its blank-joined text."""
+def _span_rows(tokens: DataFrame, span: str, key: str) -> DataFrame:
+    """One row per span with its blank-joined text; tokens outside spans give one null row per sentence."""
+    inside = F.when(F.col(span).isNotNull(), F.struct("pos", "token"))
     return (
-        tokens.where(F.col(span).isNotNull())
-        .groupBy(key, "sent_id", span)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
-        .select(key, F.array_join(F.col("t.token"), " ").alias("span"))
+        tokens.groupBy(key, "sent_id", span)
+        .agg(F.sort_array(F.collect_list(inside)).alias("t"))
+        .select(key, F.when(F.col(span).isNotNull(), F.array_join(F.col("t.token"), " ")).alias("span"))
     )
 
 
 def entity_stats(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    ents = _spans(tokens, "ent_id", key).groupBy(key).agg(
-        F.count("*").alias("num_entities"),
+    return _span_rows(tokens, "ent_id", key).groupBy(key).agg(
+        F.count("span").alias("num_entities"),
         F.size(F.collect_set("span")).cast("bigint").alias("num_distinct_entities"),
-        safe_div(F.sum(F.length("span")), F.count("*")).alias("average_entity_length"),
+        safe_div(F.coalesce(F.sum(F.length("span")), F.lit(0)), F.count("span")).alias("average_entity_length"),
     )
-    docs = tokens.select(key).distinct()
-    return docs.join(ents, key, "left").na.fill(0)
 
 
 def noun_chunk_stats(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunk count and mean length in characters (blanks inside included)."""
-    parts = (
-        tokens.where(F.col("chunk_id").isNotNull())
-        .groupBy(key, "sent_id", "chunk_id")
-        .agg((F.sum(F.length("token")) + F.count("*") - 1).alias("chars"))
-        .groupBy(key)
-        .agg(F.count("*").alias("num_noun_chunks"), safe_div(F.sum("chars"), F.count("*")).alias("average_noun_chunk_length"))
+    chars = F.when(F.col("chunk_id").isNotNull(), F.sum(F.length("token")) + F.count("*") - 1)
+    parts = tokens.groupBy(key, "sent_id", "chunk_id").agg(chars.alias("chars"))
+    return parts.groupBy(key).agg(
+        F.count("chars").alias("num_noun_chunks"),
+        safe_div(F.coalesce(F.sum("chars"), F.lit(0)), F.count("chars")).alias("average_noun_chunk_length"),
     )
-    docs = tokens.select(key).distinct()
-    return docs.join(parts, key, "left").na.fill(0)
 
 
 def _sentence_trees(sents: DataFrame, key: str) -> DataFrame:
-    """Shapes of the sentences that have a tree: at least two tokens, below the limit."""
+    """Shapes of the sentences; null for one token or beyond the limit."""
     n = F.size("head")
-    return sents.where((n >= 2) & (n < X.TREE_TOKEN_LIMIT)).select(
-        key, "sent_id", "token", "head", tree_shape(F.col("head")).alias("shape")
+    return sents.select(
+        key, "sent_id", "token", "head",
+        F.when((n >= 2) & (n < X.TREE_TOKEN_LIMIT), tree_shape(F.col("head"))).alias("shape"),
     )
 
 
 def tree_stats(sents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Depth, branching, size and spread of a document's sentence trees.
+    """Depth, branching, size and spread of a document's sentence trees, in one aggregate.
 
-    A document without trees keeps zeros and a NaN spread.
+    A document without trees has zeros and a NaN spread.
     """
-    trees = _sentence_trees(sents, key).groupBy(key).agg(
-        F.max("shape.depth").cast("bigint").alias("max_depth"),
-        F.avg("shape.branching").alias("avg_branching_factor"),
-        F.sum("shape.nodes").alias("total_nodes"),
-        F.sum("shape.leaves").alias("total_leaves"),
-        safe_div(F.sum("shape.nodes"), F.sum("shape.leaves")).alias("tree_complexity"),
-        F.stddev_pop("shape.depth").alias("depth_variability"),
-        F.stddev_pop("shape.spine").alias("tree_height_variability"),
-        F.avg("shape.depth").alias("mean_tree_height"),
+    nan, zero = F.lit(float("nan")), F.lit(0)
+    nodes, leaves = (F.coalesce(F.sum(f"shape.{c}"), zero) for c in ("nodes", "leaves"))
+    return _sentence_trees(sents, key).groupBy(key).agg(
+        F.coalesce(F.max("shape.depth"), zero).cast("bigint").alias("max_depth"),
+        F.coalesce(F.avg("shape.branching"), zero).alias("avg_branching_factor"),
+        nodes.alias("total_nodes"),
+        leaves.alias("total_leaves"),
+        safe_div(nodes, leaves).alias("tree_complexity"),
+        F.coalesce(F.stddev_pop("shape.depth"), nan).alias("depth_variability"),
+        F.coalesce(F.stddev_pop("shape.spine"), nan).alias("tree_height_variability"),
+        F.coalesce(F.avg("shape.depth"), zero).alias("mean_tree_height"),
     )
-    docs = sents.select(key).distinct()
-    empty = {c: F.lit(float("nan")) if c.endswith("variability") else F.lit(0) for c in trees.columns if c != key}
-    return docs.join(trees, key, "left").withColumns({c: F.coalesce(c, e) for c, e in empty.items()})
 
 
 def rule_stats(sents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -166,16 +161,15 @@ def rule_stats(sents: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Ties go to the form met first in the pre-order walk of the trees.
     """
-    trees = _sentence_trees(sents, key)
-    forms = trees.select(
+    heads = F.col("head").cast("array<int>")
+    forms = _sentence_trees(sents, key).select(
         key,
         "sent_id",
-        F.explode(
+        F.explode_outer(
             F.transform(
                 "shape.internal",
                 lambda n: F.struct(
-                    F.get("token", n["pos"] - 1).alias("rule"),
-                    preorder_key(F.col("head").cast("array<int>"), n["pos"], n["depth"]).alias("path"),
+                    F.get("token", n["pos"] - 1).alias("rule"), preorder_key(heads, n["pos"], n["depth"]).alias("path")
                 ),
             )
         ).alias("r"),
@@ -183,24 +177,22 @@ def rule_stats(sents: DataFrame, key: str = "doc_id") -> DataFrame:
     counted = forms.groupBy(key, F.col("r.rule").alias("rule")).agg(
         F.count("*").alias("n"), F.min(F.struct("sent_id", "r.path")).alias("first")
     )
-    best = counted.groupBy(key).agg(
-        F.count("*").alias("unique_rules"),
-        F.min(F.struct((-F.col("n")).alias("neg"), "first", "rule"))["rule"].alias("most_common_rule"),
+    ranked = F.when(F.col("rule").isNotNull(), F.struct((-F.col("n")).alias("neg"), "first", "rule"))
+    return counted.groupBy(key).agg(
+        F.count("rule").alias("unique_rules"), F.min(ranked)["rule"].alias("most_common_rule")
     )
-    docs = sents.select(key).distinct()
-    return docs.join(best, key, "left").na.fill(0, ["unique_rules"])
 
 
 def label_counts(sents: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
     """How many tokens with children carry the surface form ``label``."""
-    trees = _sentence_trees(sents, key)
+    trees = _sentence_trees(sents, key).where("shape IS NOT NULL")
     n = F.size(F.filter("shape.internal", lambda p: F.get("token", p["pos"] - 1) == label))
     return trees.groupBy(key).agg(F.sum(n).alias("label_count"))
 
 
 def phrase_lengths(sents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Mean number of childless tokens per tree."""
-    return _sentence_trees(sents, key).groupBy(key).agg(F.avg("shape.leaves").alias("average_phrase_length"))
+    return _sentence_trees(sents, key).where("shape IS NOT NULL").groupBy(key).agg(F.avg("shape.leaves").alias("average_phrase_length"))
 
 
 def pos_distribution(tokens: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
-from .tokens import token_rows
+from ..functions.base import let
+from ..functions.text import sentences, tokenize
+from ..functions.vectors import cosine, std_pop_of
+from .tokens import sentence_rows
 
 
 def consecutive_similarity(
@@ -35,24 +37,48 @@ def semantic_flow_variability(
     )
 
 
-def sentence_vectors(df: DataFrame, dims: int = 32, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Hashed term-frequency vector per sentence, for texts without embeddings.
+# One character per slot; a sentence becomes a string of its tokens' slots.
+SLOTS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
 
-    Counts are combined per (sentence, slot) before they move; a sentence's
-    vector then has at most ``dims`` entries to fold.
+def hashed_vector(tokens: Column, dims: int = 32) -> Column:
+    """Hashed term-frequency vector of a token array, inside the row.
+
+    A slot's count is the length the slot string loses without its character.
     """
-    slot = (F.conv(F.substring(F.md5(F.lower("token")), 1, 8), 16, 10).cast("bigint") % dims).cast("int")
-    counts = (
-        token_rows(df, key, text)
-        .select(key, "sent_id", slot.alias("slot"))
-        .groupBy(key, "sent_id", "slot")
-        .agg(F.count("*").cast("double").alias("n"))
-    )
-    folded = counts.groupBy(key, "sent_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
-    return folded.select(
-        key,
-        "sent_id",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))
-        ).alias("embedding"),
+    if dims > len(SLOTS):
+        raise ValueError(f"at most {len(SLOTS)} dimensions")
+
+    def code(t: Column) -> Column:
+        slot = F.conv(F.substring(F.md5(F.lower(t)), 1, 8), 16, 10).cast("bigint") % dims
+        return F.substr(F.lit(SLOTS), (slot + 1).cast("int"), F.lit(1))
+
+    def counts(codes: Column) -> Column:
+        return F.array(
+            *[(F.length(codes) - F.length(F.replace(codes, F.lit(ch), F.lit("")))).cast("double") for ch in SLOTS[:dims]]
+        )
+
+    return let(F.array_join(F.transform(tokens, code), ""), counts)
+
+
+def flow_of(vectors: Column) -> Column:
+    """Population std of the similarities of neighbouring vectors of one array."""
+
+    def spread(v: Column) -> Column:
+        n = F.size(v)
+        pairs = F.zip_with(F.slice(v, 1, n - 1), F.slice(v, F.lit(2), n - 1), cosine)
+        return F.when(n < 2, F.lit(0.0)).otherwise(std_pop_of(pairs))
+
+    return let(vectors, spread)
+
+
+def text_flow(text: Column | str, dims: int = 32) -> Column:
+    """Semantic flow variability of a text from hashed sentence vectors."""
+    return flow_of(F.transform(sentences(text), lambda s: hashed_vector(tokenize(s), dims)))
+
+
+def sentence_vectors(df: DataFrame, dims: int = 32, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, sent_id, embedding``: hashed vectors for texts without embeddings."""
+    return sentence_rows(df, key, text).select(
+        key, "sent_id", hashed_vector(tokenize("sentence"), dims).alias("embedding")
     )

@@ -72,16 +72,19 @@ def rmse(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataF
 
 def nearest_neighbours(
     queries: DataFrame, train: DataFrame, k: int = 5, key: str = "vec_id", vec: str = "embedding", label: str = "label",
-    train_blocks: int = 8, query_blocks: int = 8,
+    block_rows: int = 20_000, train_blocks: int | None = None, query_blocks: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest training rows of every query: ``key, neighbour, label, distance``.
 
     Both sides are cut into blocks by a hash of their key.  A task meets one
     query block and one training block, multiplies them as matrices and keeps
-    ``k`` rows per query, so pairs of rows are never materialised.  Choose the
-    block counts so that a block fits a task: rows grow, blocks stay the same
-    size.  Ties go to the lower key.
+    ``k`` rows per query, so pairs of rows are never materialised.  The number of
+    blocks follows from ``block_rows``: with more rows there are more blocks, not
+    larger ones.  Ties go to the lower key.
     """
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    train_blocks = train_blocks or max(1, -(-train.count() // block_rows))
+    query_blocks = query_blocks or max(cores, -(-queries.count() // block_rows))
 
     def block(n: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")

@@ -13,17 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.base import draw_hex
+from ..functions.base import draw_hex, let
 from ..session import lookup_table
 
 # Ranges of a distributed order; each is sorted by its own task.
-RANGES = 64
+MIN_RANGES, MAX_RANGES = 64, 1024
 SAMPLE_PER_RANGE = 40
+# Bounds are searched in two steps: blocks of bounds, then one block.
+BOUND_BLOCK = 32
 # Leading hex digits of a draw that name its bucket: 16**3 = 4096 buckets.
 DRAW_DIGITS = 3
 
 
-def range_bounds(df: DataFrame, order: Sequence[str], ranges: int = RANGES) -> Column:
+def default_ranges(df: DataFrame) -> int:
+    """As many ranges as shuffle partitions, within limits."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_RANGES, min(MAX_RANGES, wanted))
+
+
+def range_bounds(df: DataFrame, order: Sequence[str], ranges: int) -> list[Column]:
     """Ordered literal bounds taken from a hashed sample of the order keys.
 
     The sample has a fixed size, so the driver sees a bounded number of keys.
@@ -40,20 +48,20 @@ def range_bounds(df: DataFrame, order: Sequence[str], ranges: int = RANGES) -> C
     step = max(1, len(picked) // ranges)
     kept = picked[step::step]
     fields = df.select(*order).schema.fields
-    structs = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in kept
-    ]
-    if not structs:
-        empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-        return F.slice(F.array(empty), 1, 0)
-    return F.array(*structs)
+    return [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in kept]
 
 
-def with_range(df: DataFrame, order: Sequence[str], ranges: int = RANGES, out: str = "_rng") -> DataFrame:
+def with_range(df: DataFrame, order: Sequence[str], ranges: int | None = None, out: str = "_rng") -> DataFrame:
     """Adds the number of the range a row falls in, ascending with the order."""
-    bounds = range_bounds(df, order, ranges)
+    bounds = range_bounds(df, order, ranges or default_ranges(df))
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
     key = F.struct(*order)
-    return df.withColumn(out, F.size(F.filter(bounds, lambda b: b <= key)))
+    every = F.array(*bounds)
+    heads = bounds[BOUND_BLOCK - 1 :: BOUND_BLOCK]
+    passed = F.size(F.filter(F.array(*heads), lambda b: b <= key)) * BOUND_BLOCK if heads else F.lit(0)
+    rest = let(passed, lambda p: p + F.size(F.filter(F.slice(every, p + 1, BOUND_BLOCK), lambda b: b <= key)))
+    return df.withColumn(out, rest)
 
 
 def _offsets(sizes: DataFrame, group: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -65,7 +73,7 @@ def _offsets(sizes: DataFrame, group: Sequence[str], values: Sequence[str]) -> D
 
 
 def ranked(
-    df: DataFrame, order: Sequence[str], group: Sequence[str] = (), out: str = "rank", ranges: int = RANGES
+    df: DataFrame, order: Sequence[str], group: Sequence[str] = (), out: str = "rank", ranges: int | None = None
 ) -> DataFrame:
     """Exact ``row_number`` by ``order`` within ``group``, spread over ranges."""
     group = list(group)
@@ -81,14 +89,14 @@ def ranked(
 
 
 def running_sums(
-    df: DataFrame, order: Sequence[str], sums: dict[str, str], ranges: int = RANGES
+    df: DataFrame, order: Sequence[str], sums: dict[str, str], ranges: int | None = None
 ) -> DataFrame:
     """Inclusive running sums in ``order``: ``{output: input}``, spread over ranges."""
     rows = with_range(df, order, ranges)
     totals = rows.groupBy("_rng").agg(*[F.sum(v).alias(v) for v in dict.fromkeys(sums.values())])
     offsets = _offsets(totals, [], list(dict.fromkeys(sums.values())))
     w = Window.partitionBy("_rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # at most ``ranges`` rows
+    # at most MAX_RANGES rows
     joined = rows.join(F.broadcast(offsets), "_rng")
     for out, v in sums.items():
         joined = joined.withColumn(out, F.col(f"_off_{v}") + F.sum(v).over(w))

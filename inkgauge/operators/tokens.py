@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -148,10 +148,16 @@ def token_bigrams(tagged: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def bigram_arrays(c: Column) -> Column:
-    """Pairs of neighbours of one sentence's token array, without a window."""
-    return F.arrays_zip(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))).alias("token"),
-                        F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))).alias("next_token"))
+def sentence_bigrams(sents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same from sentence rows with ``token`` and ``tag`` arrays: no window, no shuffle."""
+    n = F.greatest(F.size("token") - 1, F.lit(0))
+    pairs = F.arrays_zip(
+        F.slice("token", 1, n).alias("token"), F.slice("tag", 1, n).alias("tag"),
+        F.slice("token", F.lit(2), n).alias("next_token"), F.slice("tag", F.lit(2), n).alias("next_tag"),
+    )
+    return sents.select(key, "sent_id", F.posexplode(pairs).alias("p", "b")).select(
+        key, "sent_id", (F.col("p") + 1).alias("pos"), "b.*"
+    )
 
 
 def semantic_density(df: DataFrame, tags: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import lookup_table
 from .ordering import ranked
 
 
@@ -45,7 +46,8 @@ def assign_versions(models: DataFrame, current: DataFrame, max_versions: int | N
         numbered = fresh.withColumn("_n", F.row_number().over(w))
     else:
         numbered = ranked(fresh, ["updated", "model_id"], ["base_url"], out="_n")
-    new = numbered.join(top, "base_url", "left").select(
+    # one row per url
+    new = numbered.join(lookup_table(top), "base_url", "left").select(
         "base_url", "model_id", (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("bigint").alias("version")
     )
     return seen.unionByName(new)

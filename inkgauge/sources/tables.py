@@ -14,16 +14,17 @@ LABELLED_SCHEMA = "text string, label int, source string"
 METRIC_LINE = r'^(\w+)\{(gpu_uuid="[^"]*",)?model="(\w+)",\s*version="([0-9]+)"\}\s*([0-9.]*)'
 
 
-def scan_csv_union(spark: SparkSession, glob: str, columns: Sequence[str]) -> DataFrame:
+def scan_csv_union(spark: SparkSession, glob: str, columns: Sequence[str], multi_line: bool = True) -> DataFrame:
     """Every CSV file of a glob, united by column name with null fill.
 
     Only the first line of a file is read to learn its header; files with the
     same header then form one scan.  All columns are text: casts follow where
-    needed.
+    needed.  Texts with line breaks need ``multi_line``, which keeps a file in
+    one task; without it large files are split.
     """
 
     def read(paths: list[str]) -> DataFrame:
-        return spark.read.csv(paths, header=True, multiLine=True, escape='"', inferSchema=False)
+        return spark.read.csv(paths, header=True, multiLine=multi_line, escape='"', inferSchema=False)
 
     files = [r["path"] for r in spark.read.format("binaryFile").load(glob).select("path").toLocalIterator()]
     groups: dict[tuple[str, ...], list[str]] = {}

@@ -86,14 +86,26 @@ def window_shares(rates: DataFrame, key: str = "url") -> DataFrame:
 
 # -- running the streams ----------------------------------------------------
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def latest_batch(spark: SparkSession, path: str) -> str | None:
+    """The newest ``batch=N`` folder under ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    ids = [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
+    return f"{path}/batch={max(ids)}" if ids else None
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "complete", root: str | None = None) -> DataFrame:
     """Drain a stream into a table of the shared folder and return the table.
 
     Each batch of a complete stream replaces the table under a new batch folder,
-    so a batch that runs again after a failure writes the same folder.
+    so a batch that runs again after a failure writes the same folder.  A given
+    ``root`` resumes from its checkpoint.
     """
     spark = stream.sparkSession
-    root = fresh_path(spark, name)
+    root = root or fresh_path(spark, name)
     schema = stream.schema
 
     if mode == "append":
@@ -104,24 +116,21 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFr
         query.awaitTermination()
         return spark.read.schema(schema).parquet(f"{root}/out")
 
-    done: list[int] = []
-
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-        done.append(batch_id)
 
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(replace)
         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    if not done:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/out/batch={max(done)}")
+    newest = latest_batch(spark, f"{root}/out")
+    return spark.read.schema(schema).parquet(newest) if newest else spark.createDataFrame([], schema)
 
 
 def metrics_stream(
-    events: DataFrame, to_stats: Callable[[DataFrame], DataFrame], read_config: Callable[[], DataFrame], name: str = "metrics"
+    events: DataFrame, to_stats: Callable[[DataFrame], DataFrame], read_config: Callable[[], DataFrame],
+    name: str = "metrics", root: str | None = None,
 ) -> DataFrame:
     """Per-batch metrics with the configuration read anew for every batch.
 
@@ -130,7 +139,7 @@ def metrics_stream(
     result adds the parts up.
     """
     spark = events.sparkSession
-    root = fresh_path(spark, name)
+    root = root or fresh_path(spark, name)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         part = running_metrics(to_stats(batch), read_config())

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ..operators.versions import assign_versions, sync_versions
 from ..session import fresh_path
+from .metrics import latest_batch
 
 VERSIONS = "base_url string, version bigint, model_id bigint"
 
@@ -17,15 +16,16 @@ def next_versions(current: DataFrame, models: DataFrame, max_versions: int | Non
     return sync_versions(current, wanted).where("action <> 'removed'").select("base_url", "version", "model_id")
 
 
-def version_sync(models: DataFrame, max_versions: int | None, name: str = "versions") -> DataFrame:
+def version_sync(
+    models: DataFrame, max_versions: int | None, name: str = "versions", root: str | None = None
+) -> DataFrame:
     """Apply a stream of ``base_url, model_id, updated`` batches, each a new snapshot.
 
     Every batch writes a whole new table next to the one it read, so a batch
-    that runs again starts from the same state.
+    that runs again starts from the same state.  A given ``root`` resumes.
     """
     spark = models.sparkSession
-    root = fresh_path(spark, name)
-    latest = {"path": None}
+    root = root or fresh_path(spark, name)
 
     def state(batch_id: int) -> DataFrame:
         if batch_id == 0:
@@ -35,15 +35,11 @@ def version_sync(models: DataFrame, max_versions: int | None, name: str = "versi
     def apply(batch: DataFrame, batch_id: int) -> None:
         path = f"{root}/table/batch={batch_id}"
         next_versions(state(batch_id), batch, max_versions).write.mode("overwrite").parquet(path)
-        latest["path"] = path
 
     query = (
         models.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    if latest["path"] is None:
-        return spark.createDataFrame([], VERSIONS)
-    return spark.read.schema(VERSIONS).parquet(latest["path"]).select(
-        "base_url", "version", F.col("model_id")
-    )
+    newest = latest_batch(spark, f"{root}/table")
+    return spark.read.schema(VERSIONS).parquet(newest) if newest else spark.createDataFrame([], VERSIONS)

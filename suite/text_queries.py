@@ -175,19 +175,24 @@ def t10(spark, sf):
 SLOTS = "list_transform(range(32), lambda d: len(list_filter({toks}, lambda t: ('0x' || substr(md5(lower(t)), 1, 8))::BIGINT % 32 = d))::DOUBLE)"
 
 
-@query(
-    "t10b_hashed_sentence_flow",
-    f"""WITH {S.CLEAN}, {S.SENTS},
+ORACLE_FLOW = f"""WITH {S.CLEAN}, {S.SENTS},
 vec AS (SELECT doc_id, sent_id, {SLOTS.format(toks=S.tokens('s'))} AS a FROM sents),
 pairs AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY sent_id) AS b FROM vec)
 SELECT doc_id, round(coalesce(stddev_pop(CASE WHEN b IS NOT NULL THEN list_dot_product(a, b) /
-  (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) END), 0.0), 6) AS semantic_flow_variability FROM pairs GROUP BY doc_id""",
-)
+  (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) END), 0.0), 6) AS semantic_flow_variability FROM pairs GROUP BY doc_id"""
+
+
+@query("t10b_hashed_sentence_flow", ORACLE_FLOW)
 def t10b(spark, sf):
     vecs = flow.sentence_vectors(clean_docs(spark, sf))
     return flow.semantic_flow_variability(vecs).select("doc_id", r6("semantic_flow_variability"))
 
 
+@query("t10c_text_flow", ORACLE_FLOW)
+def t10c(spark, sf):
+    return clean_docs(spark, sf).select("doc_id", r6(flow.text_flow("text"), "semantic_flow_variability"))
+
+
 @query(
     "w1_consecutive_similarity",
     """WITH v AS (SELECT vec_id // 5 AS doc_id, vec_id AS sent_id, embedding::DOUBLE[] AS a,
@@ -208,8 +213,18 @@ def w1(spark, sf):
 SELECT token, tag, next_token, next_tag, count(*) AS n FROM pairs WHERE next_token IS NOT NULL GROUP BY ALL""",
 )
 def w2(spark, sf):
+    pairs = K.sentence_bigrams(A.annotate_sentences(clean_docs(spark, sf)))
+    return pairs.groupBy("token", "tag", "next_token", "next_tag").agg(F.count("*").alias("n"))
+
+
+@query(
+    "w2b_token_bigram_rows",
+    f"""WITH {S.CLEAN}, {S.SENTS}, {S.TOKS} SELECT doc_id, sent_id, pos, token, lead(token) OVER w AS next_token FROM toks
+  WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos) QUALIFY lead(token) OVER w IS NOT NULL""",
+)
+def w2b(spark, sf):
     tagged = A.annotate(clean_docs(spark, sf)).select("doc_id", "sent_id", "pos", "token", "tag")
-    return K.token_bigrams(tagged).groupBy("token", "tag", "next_token", "next_tag").agg(F.count("*").alias("n"))
+    return K.token_bigrams(tagged).select("doc_id", "sent_id", "pos", "token", "next_token")
 
 
 @query(
