@@ -19,6 +19,7 @@ from ..functions import text as X
 from ..functions.base import safe_div
 from ..functions.vectors import std_pop_of
 from ..operators.annotate import syntax_struct
+from ..operators.flow import text_flow
 from ..session import lookup_table, spread
 
 # Marks familiar words inside the joined lexicon; not a category of its own.
@@ -29,13 +30,15 @@ def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", order: str =
     return df.select(key, X.clean_text(text, order).alias("clean"))
 
 
-def row_features(clean: DataFrame, key: str = "doc_id") -> DataFrame:
+def row_features(clean: DataFrame, key: str = "doc_id", with_flow: bool = False) -> DataFrame:
     """Everything that needs only the document itself."""
+    flow = [text_flow("clean").alias("semantic_flow_variability")] if with_flow else []
     staged = clean.select(
         key,
         X.text_counts("clean").alias("counts"),
         X.textual_entropy("clean").alias("textual_entropy"),
         X.density_of(X.tokenize(F.lower("clean"))).alias("semantic_density"),
+        *flow,
         syntax_struct(F.col("clean")).alias("syn"),
     )
     return staged.select(
@@ -43,6 +46,7 @@ def row_features(clean: DataFrame, key: str = "doc_id") -> DataFrame:
         "counts.*",
         "textual_entropy",
         "semantic_density",
+        *(["semantic_flow_variability"] if with_flow else []),
         "syn.*",
     ).select(
         "*",
@@ -70,14 +74,16 @@ def feature_table(
     key: str = "doc_id",
     text: str = "text",
     order: str = "batch",
+    with_flow: bool = False,
 ) -> DataFrame:
     """``key``, the ordered features and ``most_common_rule``, one row per document.
 
     ``lexicon(category, token)`` and ``familiar(token)`` are inputs; ``categories``
-    is declared, so no job runs to discover the columns.
+    is declared, so no job runs to discover the columns.  ``with_flow`` adds
+    ``semantic_flow_variability`` from hashed sentence vectors.
     """
     clean = cleaned(spread(df.select(key, text), key), key, text, order)
-    rows = row_features(clean, key)
+    rows = row_features(clean, key, with_flow)
     hits = (
         lookup_counts(clean, lexicon, familiar, key)
         .groupBy(key)
@@ -100,6 +106,7 @@ def feature_table(
         *[scores[f].alias(f) for f in READABILITY_FEATURES],
         "textual_entropy",
         "semantic_density",
+        *(["semantic_flow_variability"] if with_flow else []),
         *TREE_FEATURES,
         *EXTRA_TREE_FEATURES,
         "most_common_rule",

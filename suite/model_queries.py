@@ -15,11 +15,13 @@ from inkgauge.operators import frame as P
 from inkgauge.operators import models as MD
 from inkgauge.operators import sampling, scorer
 from inkgauge.plans import scoring, training
+from inkgauge.plans.pipeline import features_pipeline
 from inkgauge.session import fresh_path, written
 from inkgauge.sources import sinks
 
 from . import textsql as S
-from .base import big, draw_sql, query, r6, table
+from .base import ESSAYS_SQL, big, draw_hex_sql, draw_sql, essays, query, r6, table
+from .text_queries import INTS, familiar, feature_sql, lexicon
 
 # Weights of the linear model by rule.
 WEIGHTS = [((i * 7) % 11 - 5) / 10 for i in range(64)]
@@ -259,6 +261,41 @@ def f6(spark, sf):
 
 # -- whole plans ------------------------------------------------------------
 
+PICKED = ("textual_entropy", "semantic_density", "num_tokens", "max_depth", "unique_rules", "gunning_fog", "dale_chall")
+DRAWS = f"""e AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {draw_hex_sql('doc_id', 42)}, doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM {ESSAYS_SQL}),
+d AS (SELECT DISTINCT label, n, unnest(range(1, 101)) AS draw_no FROM e),
+a AS (SELECT label, draw_no, floor({draw_sql("(label || '/' || draw_no)", 42)} * n)::BIGINT + 1 AS rn FROM d),
+picks AS (SELECT e.doc_id, a.label, a.draw_no FROM a JOIN e USING (label, rn))"""
+
+
+def _pipeline(spark, sf, scale):
+    root = fresh_path(spark, "pipeline")
+    version = features_pipeline(
+        essays(spark, sf), lexicon(spark, sf), familiar(spark, sf), root, "features", scale=scale, per_label=100
+    )
+    return sinks.read_dataset_version(spark, root, "features", version)
+
+
+@query(
+    "plan_features_pipeline",
+    f"""WITH {DRAWS}, f AS ({feature_sql()})
+SELECT p.doc_id, p.label, p.draw_no, {', '.join('f.' + c for c in PICKED)} FROM picks p JOIN f USING (doc_id)""",
+)
+def plan_features(spark, sf):
+    out = _pipeline(spark, sf, False)
+    return out.select("doc_id", "label", big("draw_no"), *[F.col(c) if c in INTS else r6(c) for c in PICKED])
+
+
+@query(
+    "plan_scaled_features",
+    f"""WITH {DRAWS}, f AS ({feature_sql(raw=True)}), j AS (SELECT p.doc_id, p.draw_no, {', '.join('f.' + c for c in PICKED)} FROM picks p JOIN f USING (doc_id))
+SELECT doc_id, draw_no, {', '.join(f'round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 4) AS {c}_scaled' for c in PICKED)} FROM j""",
+)
+def plan_scaled(spark, sf):
+    out = _pipeline(spark, sf, True)
+    return out.select("doc_id", big("draw_no"), *[F.round(f"{c}_scaled", 4).alias(f"{c}_scaled") for c in PICKED])
+
+
 @query(
     "plan_score_requests",
     f"""WITH r AS (SELECT conv_id, turn, role, {S.clean('text', 'serving')} AS t, {draw_sql("(conv_id || '-' || turn)", 3)} AS u FROM conversations),

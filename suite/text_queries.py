@@ -408,19 +408,24 @@ def feature_output(df):
     )
 
 
-def _feature_sql() -> str:
+def feature_sql(raw: bool = False) -> str:
+    """The whole feature table; ``raw`` leaves the core features unrounded."""
     cols = []
+
+    def out(expr: str, name: str) -> str:
+        return f"CAST({expr} AS DOUBLE) AS {name}" if raw else S.r6(expr, name)
+
     for c in (*READABILITY_FEATURES, "textual_entropy", "semantic_density", *TREE_FEATURES, *EXTRA_TREE_FEATURES):
         if c in INTS:
             cols.append(f"coalesce({c}, 0)::BIGINT AS {c}")
         elif c in S.FORMULAS:
-            cols.append(S.r6(S.FORMULAS[c].replace("n_sentences", "j.n_sentences"), c))
+            cols.append(out(S.FORMULAS[c].replace("n_sentences", "j.n_sentences"), c))
         elif c == "dale_chall":
-            cols.append(S.r6(S.DALE, c))
+            cols.append(out(S.DALE, c))
         elif c in ("depth_variability", "tree_height_variability"):
             cols.append(f"round(coalesce({c}, 'NaN'::DOUBLE), 6) AS {c}")
         else:
-            cols.append(S.r6(f"coalesce({c}, 0.0)", c))
+            cols.append(out(f"coalesce({c}, 0.0)", c))
     return f"""{RECURSIVE}, {S.COUNTS}, {S.FAMILIAR}, {DIFFICULT}, {S.ENTROPY}, {S.DENSITY}, {LEXICON}, {HITS},
 {TOKEN_STATS}, {ENTITY_STATS}, {CHUNK_STATS}
 SELECT j.doc_id, most_common_rule, {', '.join(cols)}, lex.* EXCLUDE (doc_id)
@@ -429,7 +434,7 @@ LEFT JOIN estats USING (doc_id) LEFT JOIN cstats USING (doc_id) LEFT JOIN trees
 LEFT JOIN lex USING (doc_id)"""
 
 
-@query("t22_feature_table", _feature_sql())
+@query("t22_feature_table", feature_sql())
 def t22(spark, sf):
     return feature_output(feature_table(docs(spark, sf), lexicon(spark, sf), familiar(spark, sf)))
 
