@@ -33,7 +33,8 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
 def r6(c: Column | str, name: str | None = None) -> Column:
     """A double rounded to six places, as the SQL side does."""
     col = F.col(c) if isinstance(c, str) else c
-    out = F.round(col.cast("double"), 6)
+    # adding 0.0 turns a rounded -0.0 into 0.0
+    out = F.round(col.cast("double"), 6) + F.lit(0.0)
     return out.alias(name or c) if (name or isinstance(c, str)) else out
 
 

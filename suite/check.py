@@ -40,7 +40,7 @@ def plain(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, float) and v == 0:
-        return 0.0
+        return "-0.0" if math.copysign(1, v) < 0 else 0.0
     return v
 
 

@@ -767,11 +767,11 @@ def soft(e: str) -> str:
     return f"list_transform({e}, lambda v: exp(v - list_max({e})) / list_sum(list_transform({e}, lambda u: exp(u - list_max({e})))))"
 
 
-@query("x22_softmax", f"SELECT vec_id, round(s[1], 6) AS s0, round(s[8], 6) AS s7, round(list_sum(s), 6) AS total FROM (SELECT vec_id, {soft('e')} AS s FROM (SELECT vec_id, embedding[1:8]::DOUBLE[] AS e FROM embeddings))")
+@query("x22_softmax", f"SELECT vec_id, round(s[1], 6) AS s0, round(s[64], 6) AS s63, round(list_sum(s), 6) AS total FROM (SELECT vec_id, {soft('e')} AS s FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))")
 def x22(spark, sf):
-    s = vectors.softmax(F.slice("embedding", 1, 8))
+    s = vectors.softmax("embedding")
     return table(spark, sf, "embeddings").select("vec_id", s.alias("s")).select(
-        "vec_id", r6(F.get("s", F.lit(0)), "s0"), r6(F.get("s", F.lit(7)), "s7"), r6(F.aggregate("s", F.lit(0.0), lambda a, b: a + b), "total")
+        "vec_id", r6(F.get("s", F.lit(0)), "s0"), r6(F.get("s", F.lit(63)), "s63"), r6(F.aggregate("s", F.lit(0.0), lambda a, b: a + b), "total")
     )
 
 

@@ -54,7 +54,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ_"
 def _text_function(name, spark_fn, sql_fn, tbl="documents", key="doc_id", text="text"):
     @query(name, f"SELECT {key}, {sql_fn(text)} AS out FROM {tbl}")
     def run(spark, sf):
-        return table(spark, sf, tbl, key, text).select(key, spark_fn(F.col(text)).alias("out"))
+        return spread(table(spark, sf, tbl, key, text), key).select(key, spark_fn(F.col(text)).alias("out"))
 
 
 _text_function("x1_newlines_to_space", X.newlines_to_space, S.newlines)

@@ -193,4 +193,4 @@ FAMILIAR = f"""familiar AS (
 
 
 def r6(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) AS {name}"
+    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0::DOUBLE AS {name}"
