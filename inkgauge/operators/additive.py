@@ -11,13 +11,18 @@ plan does not grow and nothing has to be checkpointed.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.base import draw
 from ..session import written
+from .evaluation import roc_auc
+from .frame import best_trial
+from .models import sample_grid
 
 MODEL_SCHEMA = "term string, bin int, score double"
 
@@ -135,6 +140,40 @@ def _update(binned: DataFrame, model: AdditiveModel, group: list[str], lr: float
             model.scores[group[r["t"]]][r["b"]] += lr * r["g"] / r["h"]
 
 
+def _grid_point(point: Mapping[str, Any]) -> dict[str, Any]:
+    """Keyword arguments of ``fit_additive_boosting``, checked by name."""
+    known = {"bins", "rounds", "lr", "pairs", "cyclic", "min_hessian"}
+    if set(point) - known:
+        raise ValueError(f"unknown parameters {sorted(set(point) - known)}")
+    return dict(point)
+
+
+def search_additive(
+    df: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence[Any]], n_iter: int = 10, folds: int = 3,
+    seed: int = 314, label: str = "label", key: str = "doc_id",
+) -> tuple[AdditiveModel, DataFrame]:
+    """Random search by cross-validated AUC; the best point is refitted on all rows.
+
+    Folds follow a seeded draw of the key, so a row keeps its fold in every task
+    and run.  Returns the refitted model and ``trial, params, auc``.
+    """
+    spark = df.sparkSession
+    fold = F.floor(draw(key, seed) * folds).cast("int")
+    rows = written(df.select(key, F.col(label).cast("int").alias("label"), *features).withColumn("_fold", fold), "folds")
+    points = [_grid_point(p) for p in sample_grid(grid, n_iter, seed)]
+    results = []
+    for trial, point in enumerate(points):
+        aucs = []
+        for k in range(folds):
+            model = fit_additive_boosting(rows.where(F.col("_fold") != k), features, "label", **point)
+            held = predict_additive(rows.where(F.col("_fold") == k), model)
+            aucs.append(roc_auc(held.select("label", "score")).first()["auc"])
+        results.append((trial, str(sorted(point.items())), float(sum(aucs) / len(aucs))))
+    trials = spark.createDataFrame(results, "trial int, params string, auc double")
+    best = points[best_trial(trials).first()["trial"]]
+    return fit_additive_boosting(rows, features, "label", **best), trials
+
+
 def predict_additive(df: DataFrame, model: AdditiveModel) -> DataFrame:
     """Adds ``raw`` and ``score`` (probability of class 1)."""
     binned = _binned(df, model)

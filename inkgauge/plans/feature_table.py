@@ -19,9 +19,20 @@ from ..functions import text as X
 from ..functions.base import safe_div
 from ..functions.vectors import std_pop_of
 from ..operators.annotate import syntax_struct
+from ..operators.frame import features_long
 from ..operators.flow import text_flow
 from ..session import lookup_table, spread
 
+# Feature -> group shown next to it in a breakdown.
+FEATURE_GROUPS = {
+    **dict.fromkeys(READABILITY_FEATURES, "Readability Scores"),
+    "semantic_density": "Semantic Density",
+    "semantic_flow_variability": "Semantic Flow Variability",
+    **dict.fromkeys(LEXICON_CATEGORIES, "Psycholinguistic Features"),
+    "textual_entropy": "Textual Entropy",
+    **dict.fromkeys((*TREE_FEATURES, *EXTRA_TREE_FEATURES), "Syntactic Tree Patterns"),
+}
+
 # Marks familiar words inside the joined lexicon; not a category of its own.
 FAMILIAR = "__familiar__"
 
@@ -114,6 +125,13 @@ def feature_table(
     )
 
 
+def feature_breakdown(features: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, group, feature, value`` for the features present in the table."""
+    present = [f for f in FEATURE_GROUPS if f in features.columns]
+    groups = features.sparkSession.createDataFrame([(f, FEATURE_GROUPS[f]) for f in present], "feature string, group string")
+    return features_long(features, groups, present, key)
+
+
 def feature_projection(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """The ordered feature list, every column once."""
     return df.select(*dict.fromkeys(features))

@@ -55,7 +55,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """``doc_id, label, prediction, score`` from rules over the documents."""
     docs = table(spark, sf, "documents", "doc_id", "n_chars")
     labels = table(spark, sf, "labels", "doc_id", F.col("quality").alias("label"), "toxic")
-    score = F.round(F.least(F.lit(1.0), F.col("n_chars") / F.lit(4000.0)), 2)
+    score = F.least(F.lit(1.0), F.floor(F.col("n_chars") / F.lit(40.0)) / F.lit(100.0))
     return docs.join(labels, "doc_id").select(
         "doc_id", "label", (1 - F.col("toxic")).alias("prediction"), score.alias("score")
     )
@@ -74,7 +74,7 @@ ESSAYS_SQL = "(SELECT d.doc_id, d.text, d.source, l.quality AS label FROM docume
 
 PREDICTIONS_SQL = (
     "(SELECT d.doc_id, l.quality AS label, 1 - l.toxic AS prediction, "
-    "round(least(1.0::DOUBLE, d.n_chars / 4000.0::DOUBLE), 2) AS score "
+    "least(1.0::DOUBLE, floor(d.n_chars / 40.0::DOUBLE) / 100.0::DOUBLE) AS score "
     "FROM documents d JOIN labels l USING (doc_id))"
 )
 

@@ -173,6 +173,14 @@ def v12(spark, sf):
     return P.best_trial(MD.search_results(found, spark)).select("trial", "params", r6("auc"))
 
 
+@query("v12b_search_additive")
+def v12b(spark, sf):
+    """Random search over the additive model, best point first."""
+    grid = {"lr": [0.1, 0.3, 0.5], "rounds": [3, 6], "bins": [4, 8]}
+    _model, trials = AD.search_additive(small_features(spark, sf), FEATURES, grid, n_iter=2, folds=2)
+    return P.best_trial(trials).select("trial", "params", r6("auc"))
+
+
 @query("v13_assemble_features", "SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS f0, round(l_discount, 6) AS f1 FROM lineitem")
 def v13(spark, sf):
     df = MD.assemble_features(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"])

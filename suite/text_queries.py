@@ -9,7 +9,9 @@ from inkgauge.functions import readability as R
 from inkgauge.functions import text as X
 from inkgauge.operators import annotate as A
 from inkgauge.operators import flow, tokens as K
-from inkgauge.plans.feature_table import cleaned, feature_projection, feature_table
+from inkgauge.plans.feature_table import (
+    FEATURE_GROUPS, cleaned, feature_breakdown, feature_projection, feature_table,
+)
 from inkgauge.session import spread
 
 from . import textsql as S
@@ -439,6 +441,19 @@ def t22(spark, sf):
     return feature_output(feature_table(docs(spark, sf), lexicon(spark, sf), familiar(spark, sf)))
 
 
+GROUP_NAMES = " ".join(f"WHEN '{f}' THEN '{g}'" for f, g in FEATURE_GROUPS.items() if f not in LEXICON_CATEGORIES)
+
+
+@query(
+    "p12b_feature_breakdown",
+    f"""WITH f AS ({feature_sql()}), d AS (SELECT doc_id, CAST(COLUMNS(* EXCLUDE (doc_id, most_common_rule)) AS DOUBLE) FROM f),
+u AS (UNPIVOT d ON COLUMNS(* EXCLUDE (doc_id)) INTO NAME feature VALUE value)
+SELECT doc_id, CASE feature {GROUP_NAMES} ELSE 'Psycholinguistic Features' END AS "group", feature, value FROM u""",
+)
+def p12b(spark, sf):
+    return feature_breakdown(t22(spark, sf))
+
+
 # -- vocabulary and ids -----------------------------------------------------
 
 VOCAB = f"""freq AS (SELECT token, count(*) AS n FROM (SELECT unnest({S.tokens('lower(text)')}) AS token FROM documents) GROUP BY token),
