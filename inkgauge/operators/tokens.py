@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.base import safe_div
 from ..session import lookup_table
 
 
@@ -62,6 +63,46 @@ def lexicon_hits(tokens: DataFrame, lexicon: DataFrame, key: str = "doc_id") ->
     )
 
 
+def lexicon_counts(
+    tokens: DataFrame, lexicon: DataFrame, categories: Sequence[str], key: str = "doc_id"
+) -> DataFrame:
+    """One count column per declared category; documents without hits drop out.
+
+    Categories travel as numbers.  Hits are counted per document and category in
+    each partition first, so what moves is a few small numbers per document; they
+    are then folded into one map per document, from which the columns are read.
+    """
+    index = {c: i for i, c in enumerate(categories)}
+    names = F.create_map(*[x for c, i in index.items() for x in (F.lit(c), F.lit(i))])
+    table = lookup_table(
+        lexicon.where(F.col("category").isin(*categories))
+        .select("token", F.element_at(names, F.col("category")).alias("_c"))
+        .distinct()
+    )
+    hits = tokens.select(key, "token").join(table, "token").groupBy(key, "_c").agg(F.count("*").alias("_n"))
+    folded = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_n"))).alias("_m"))
+    return folded.select(
+        key, *[F.coalesce(F.try_element_at("_m", F.lit(i)), F.lit(0)).alias(c) for c, i in index.items()]
+    )
+
+
+def lexicon_scores(
+    df: DataFrame, lexicon: DataFrame, categories: Sequence[str], key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Category hits over the token count, one column per category."""
+    low = X.tokenize(F.lower(F.col(text)))
+    hits = lexicon_counts(df.select(key, F.explode(low).alias("token")), lexicon, categories, key)
+    sized = df.select(key, F.size(X.tokenize(text)).alias("_n"))
+    return sized.join(hits, key, "left").select(
+        key, *[safe_div(F.coalesce(F.col(c), F.lit(0)), F.col("_n")).alias(c) for c in categories]
+    )
+
+
+def lexicon_map(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``lexicon_hits`` folded into one map per document."""
+    return hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("category", "hits"))).alias("lexicon"))
+
+
 def unfamiliar_words(tokens: DataFrame, familiar: DataFrame, key: str = "doc_id") -> DataFrame:
     """Word counts of the tokens missing from the familiar list."""
     known = lookup_table(familiar.select("token").distinct())

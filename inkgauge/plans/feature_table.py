@@ -2,8 +2,8 @@
 
 Cleaning, readability, entropy, density and syntax are computed inside the
 document row, so they add no shuffle.  Lexicon and familiar-word look-ups need
-exploded tokens; both share one broadcast join and one count per (document,
-category), combined before it moves.  The two sides meet on ``doc_id``.
+exploded tokens; both share one broadcast join and one aggregate per document,
+combined before it moves.  The two sides meet on ``doc_id``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from ..functions.vectors import std_pop_of
 from ..operators.annotate import syntax_struct
 from ..operators.frame import features_long
 from ..operators.flow import text_flow
-from ..session import lookup_table, spread
+from ..operators.tokens import lexicon_counts
+from ..session import spread
 
 # Feature -> group shown next to it in a breakdown.
 FEATURE_GROUPS = {
@@ -66,15 +67,14 @@ def row_features(clean: DataFrame, key: str = "doc_id", with_flow: bool = False)
     ).drop("_depths", "_spines")
 
 
-def lookup_counts(clean: DataFrame, lexicon: DataFrame, familiar: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Hits per document and category, familiar words included as ``FAMILIAR``."""
-    table = lookup_table(
-        lexicon.select("category", "token")
-        .unionByName(familiar.select(F.lit(FAMILIAR).alias("category"), "token"))
-        .distinct()
-    )
+def lookup_counts(
+    clean: DataFrame, lexicon: DataFrame, familiar: DataFrame, categories: Sequence[str] = LEXICON_CATEGORIES,
+    key: str = "doc_id",
+) -> DataFrame:
+    """Hits per document, one column per category and one for familiar words."""
+    table = lexicon.select("category", "token").unionByName(familiar.select(F.lit(FAMILIAR).alias("category"), "token"))
     tokens = clean.select(key, F.explode(X.tokenize(F.lower("clean"))).alias("token"))
-    return tokens.join(table, "token").groupBy(key, "category").agg(F.count("*").alias("hits"))
+    return lexicon_counts(tokens, table, [*categories, FAMILIAR], key)
 
 
 def feature_table(
@@ -95,13 +95,7 @@ def feature_table(
     """
     clean = cleaned(spread(df.select(key, text), key), key, text, order)
     rows = row_features(clean, key, with_flow)
-    hits = (
-        lookup_counts(clean, lexicon, familiar, key)
-        .groupBy(key)
-        .pivot("category", [*categories, FAMILIAR])
-        .agg(F.sum("hits"))
-    )
-    joined = rows.join(hits, key, "left")
+    joined = rows.join(lookup_counts(clean, lexicon, familiar, categories, key), key, "left")
     w, s = F.col("n_words"), F.col("n_sentences")
     difficult = w - F.coalesce(F.col(FAMILIAR), F.lit(0))
     scores = {

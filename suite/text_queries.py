@@ -259,14 +259,20 @@ lex AS (SELECT doc_id, {PIVOT} FROM per_doc GROUP BY doc_id)"""
 
 @query("t11_lexicon_scores", f"WITH {S.CLEAN}, {LEXICON}, {HITS} SELECT * FROM lex")
 def t11(spark, sf):
-    from inkgauge.functions.base import safe_div
+    out = K.lexicon_scores(clean_docs(spark, sf), lexicon(spark, sf), LEXICON_CATEGORIES)
+    return out.select("doc_id", *[r6(c) for c in LEXICON_CATEGORIES])
 
-    clean = clean_docs(spark, sf)
-    hits = K.lexicon_hits(K.token_rows(clean), lexicon(spark, sf)).groupBy("doc_id").pivot("category", list(LEXICON_CATEGORIES)).agg(F.sum("hits"))
-    sized = clean.select("doc_id", F.size(X.tokenize("text")).alias("_n"))
-    return sized.join(hits, "doc_id", "left").select(
-        "doc_id", *[r6(safe_div(F.coalesce(F.col(c), F.lit(0)), F.col("_n")), c) for c in LEXICON_CATEGORIES]
-    )
+
+@query(
+    "t11b_lexicon_map",
+    f"""WITH {S.CLEAN}, {LEXICON}, all_t AS (SELECT doc_id, unnest({S.words('lower(t)')}) AS token FROM clean),
+h AS (SELECT doc_id, category, count(*) AS hits FROM all_t JOIN lexicon USING (token) GROUP BY ALL)
+SELECT doc_id, count(*) AS categories, sum(hits)::BIGINT AS hits, max(hits) FILTER (WHERE category = 'help') AS help FROM h GROUP BY doc_id""",
+)
+def t11b(spark, sf):
+    m = K.lexicon_map(K.lexicon_hits(K.token_rows(clean_docs(spark, sf)), lexicon(spark, sf)))
+    total = F.aggregate(F.map_values("lexicon"), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return m.select("doc_id", big(F.size("lexicon"), "categories"), total.alias("hits"), F.try_element_at("lexicon", F.lit("help")).alias("help"))
 
 
 @query(
