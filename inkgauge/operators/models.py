@@ -17,7 +17,9 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ARRAY, VECTOR = "features_array", "features"
+from ..session import work_dir
+
+VECTOR = "features"
 
 
 def assemble_features(df: DataFrame, columns: Sequence[str], out: str = VECTOR) -> DataFrame:
@@ -42,7 +44,11 @@ def fit_forest(df: DataFrame, label: str = "label", features: str = VECTOR, tree
 def fit_boosted_trees(
     df: DataFrame, label: str = "label", features: str = VECTOR, rounds: int = 100, seed: int = 42, **params
 ) -> PipelineModel:
-    """Squared-error boosted regression trees."""
+    """Squared-error boosted regression trees.
+
+    Boosting cuts its lineage every ten rounds under the shared checkpoint folder.
+    """
+    work_dir(df.sparkSession)
     stage = GBTRegressor(labelCol=label, featuresCol=features, maxIter=rounds, seed=seed, lossType="squared", **params)
     return Pipeline(stages=[stage]).fit(df)
 
@@ -51,6 +57,7 @@ def fit_boosted_classes(
     df: DataFrame, label: str = "label", features: str = VECTOR, rounds: int = 100, seed: int = 42
 ) -> PipelineModel:
     """Several classes by one boosted classifier each."""
+    work_dir(df.sparkSession)
     base = GBTClassifier(maxIter=rounds, seed=seed)
     return Pipeline(stages=[OneVsRest(classifier=base, labelCol=label, featuresCol=features)]).fit(df)
 

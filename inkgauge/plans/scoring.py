@@ -9,6 +9,9 @@ from ..functions import text as X
 from ..operators.config import resolve_endpoint
 from ..operators.frame import interpret_score
 from ..operators.routing import route_canary
+from ..session import fresh_path
+from ..sources.stats import pack_batches
+from ..streaming.requests import request_stats, sample_stream
 
 
 def score_requests(
@@ -27,3 +30,40 @@ def score_requests(
     cleaned = found.withColumn("clean", X.clean_text("text", order="serving"))
     scored = cleaned.withColumn("score", score).withColumnsRenamed({"url": "routed", "asked": "url"})
     return scored.withColumn("verdict", interpret_score("score"))
+
+
+def score_stream(
+    requests: DataFrame, targets: DataFrame, static: DataFrame, monitored: DataFrame, score: Column, seed: int,
+    freq: float = 1.0, key: str = "request_id", max_bytes: int = 1_000_000, root: str | None = None,
+) -> str:
+    """Score a stream of ``key, url, text, latency`` and report its statistics.
+
+    Every batch writes its scored rows, then derives statistics messages from
+    the rows just written, so a text is scored once for both sinks.  Folders are
+    named by batch, so a repeated batch overwrites itself.  Returns the root
+    with ``scored`` and ``messages``.
+    """
+    spark = requests.sparkSession
+    root = root or fresh_path(spark, "scoring")
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        path = f"{root}/scored/batch={batch_id}"
+        score_requests(batch, targets, static, monitored, score, seed, key).write.mode("overwrite").parquet(path)
+        done = spark.read.parquet(path)
+        logged = sample_stream(done, F.lit(freq), key, f"{seed}:log")
+        verdict = F.create_map(F.lit("verdict"), F.coalesce(F.col("verdict"), F.lit("")))
+        stats = request_stats(
+            logged.withColumn("_reply", verdict), url="routed", freq=F.lit(freq), response="_reply",
+            metric_keys=F.array(F.lit("verdict")),
+        )
+        fields = ["_url", "_latency", "_count", "verdict"]
+        events = stats.select(key, *[F.col("stats")[f].alias(f) for f in fields])
+        messages = pack_batches(events, key, max_bytes, fields)
+        messages.select("message").write.mode("overwrite").text(f"{root}/messages/batch={batch_id}")
+
+    query = (
+        requests.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return root

@@ -75,6 +75,17 @@ def pack_batches(
     return packed.select("block", "chunk", "n", "bytes", message.alias("message"))
 
 
+def write_messages(packed: DataFrame, sink: str, options: Mapping[str, str]) -> None:
+    """Send packed messages to Kafka, or to any file format under ``options['path']``."""
+    opts = dict(options)
+    rows = packed.select(F.col("message").alias("value"))
+    if sink == "kafka":
+        rows.write.format("kafka").options(**opts).save()
+    else:
+        path = opts.pop("path")
+        rows.write.format(sink).mode("append").options(**opts).save(path)
+
+
 def blocks_for(df: DataFrame, columns: Sequence[str] | None = None, block_bytes: int = 64 * 1024 * 1024) -> int:
     """How many blocks keep each one near ``block_bytes``."""
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*(columns or df.columns)))))).first()[0] or 0

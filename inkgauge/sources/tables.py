@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,12 @@ def scan_csv_union(spark: SparkSession, glob: str, columns: Sequence[str], multi
         return spark.read.csv(paths, header=True, multiLine=multi_line, escape='"', inferSchema=False)
 
     files = [r["path"] for r in spark.read.format("binaryFile").load(glob).select("path").toLocalIterator()]
+    files.sort()
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda path: tuple(read([path]).columns), files))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path in sorted(files):
-        groups.setdefault(tuple(read([path]).columns), []).append(path)
+    for path, header in zip(files, headers):
+        groups.setdefault(header, []).append(path)
     out = None
     for paths in groups.values():
         df = read(paths)

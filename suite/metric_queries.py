@@ -306,7 +306,8 @@ def s5(spark, sf):
     )
     packed = stats.pack_batches(ev, "event_id", 8000, ["_url", "k", "list"], blocks=4)
     path = fresh_path(spark, "messages")
-    packed.select("message").unionByName(spark.range(1).select(F.lit('[{"_url": "cut').alias("message"))).write.text(path)
+    broken = spark.range(1).select(F.lit('[{"_url": "cut').alias("message"))
+    stats.write_messages(packed.select("message").unionByName(broken), "text", {"path": path})
     rows = stats.event_variables(stats.unpack_events(stats.read_stats_stream(spark, "text", {"path": path})))
     totals = rows.groupBy("url", "variable").agg(F.count("*").alias("n"), F.sum(F.col("value").try_cast("double")).alias("total"))
     return M.run_to_table(totals, "s5")

@@ -17,7 +17,7 @@ from inkgauge.operators import sampling, scorer
 from inkgauge.plans import scoring, training
 from inkgauge.plans.pipeline import features_pipeline
 from inkgauge.session import fresh_path, written
-from inkgauge.sources import sinks
+from inkgauge.sources import sinks, stats
 
 from . import textsql as S
 from .base import ESSAYS_SQL, big, draw_hex_sql, draw_sql, essays, query, r6, table
@@ -324,6 +324,34 @@ def plan_score(spark, sf):
     return out.select("conv_id", "turn", F.col("routed").alias("url"), "model_id", r6("score"), "verdict")
 
 
+SCORED = f"""r AS (SELECT conv_id, turn, role, {S.clean('text', 'serving')} AS t, {draw_sql("(conv_id || '-' || turn)", 3)} AS u FROM conversations),
+x AS (SELECT CASE WHEN role = 'user' THEN CASE WHEN u < 0.25 THEN 'user/2' ELSE 'user/1' END ELSE role END AS url, len({S.words('t')}) AS w FROM r)"""
+
+
+@query(
+    "plan_score_stream",
+    f"""WITH {SCORED} SELECT url, CASE WHEN w < 40 THEN 'human' WHEN w > 40 THEN 'LLM' ELSE '' END AS verdict, count(*) AS scored, count(*) AS logged,
+  sum(0.25::DOUBLE) AS latency FROM x WHERE url <> 'system' GROUP BY ALL""",
+)
+def plan_stream(spark, sf):
+    """Scored rows and the statistics messages of the same stream, counted side by side."""
+    schema = table(spark, sf, "conversations").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    reqs = raw.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("role").alias("url"), "text", F.lit(0.25).alias("latency"))
+    targets = spark.createDataFrame([("user", 1, "user/2", 0.25), ("user", 2, "user/1", 0.75)], "endpoint string, ord int, target string, weight double")
+    static = spark.createDataFrame([("user/1", "m1"), ("user/2", "m2")], "url string, model_id string")
+    monitored = spark.createDataFrame([("assistant", "m3")], "url string, model_id string")
+    words = F.size(X.words("clean")).cast("double")
+    root = scoring.score_stream(reqs, targets, static, monitored, words / (words + 40.0), 3, max_bytes=8000)
+    scored = spark.read.parquet(f"{root}/scored").groupBy(F.col("routed").alias("url"), F.coalesce("verdict", F.lit("")).alias("verdict")).agg(F.count("*").alias("scored"))
+    events = stats.unpack_events(spark.read.text(f"{root}/messages"))
+    e = F.col("event")
+    logged = events.groupBy(e["_url"].alias("url"), e["verdict"].alias("verdict")).agg(
+        F.count("*").alias("logged"), F.sum(e["_latency"].cast("double")).alias("latency")
+    )
+    return scored.join(logged, ["url", "verdict"])
+
+
 @query("plan_train_evaluate")
 def plan_train(spark, sf):
     """Balanced sample, split, random search, refit and evaluation on the held-out part."""
