@@ -19,8 +19,8 @@ from ..session import lookup_table
 # Ranges of a distributed order; each is sorted by its own task.
 MIN_RANGES, MAX_RANGES = 64, 1024
 SAMPLE_PER_RANGE = 40
-# Bounds are searched in two steps: blocks of bounds, then one block.
-BOUND_BLOCK = 32
+# Bounds in one compiled tree; with more, each tree leaf searches a block of bounds.
+TREE_BOUNDS, BLOCK = 128, 8
 # Leading hex digits of a draw that name its bucket: 16**3 = 4096 buckets.
 DRAW_DIGITS = 3
 
@@ -31,37 +31,63 @@ def default_ranges(df: DataFrame) -> int:
     return max(MIN_RANGES, min(MAX_RANGES, wanted))
 
 
-def range_bounds(df: DataFrame, order: Sequence[str], ranges: int) -> list[Column]:
-    """Ordered literal bounds taken from a hashed sample of the order keys.
+def range_bounds(df: DataFrame, order: Sequence[str], ranges: int) -> list[tuple]:
+    """Ordered bounds taken from a hashed sample of the order keys.
 
     The sample has a fixed size, so the driver sees a bounded number of keys.
     The keys must be (nearly) unique; aggregate ties away or add an id first.
     """
     n = ranges * SAMPLE_PER_RANGE
-    keys = df.select(*order).orderBy(F.xxhash64(*order)).limit(n).toArrow()
-    spark = df.sparkSession
-    picked = (
-        spark.createDataFrame(keys, schema=df.select(*order).schema)
-        .orderBy(*order)
-        .collect()
-    )
+    keys = df.select(*order).na.drop()
+    sample = keys.orderBy(F.xxhash64(*order)).limit(n).toArrow()
+    picked = df.sparkSession.createDataFrame(sample, schema=keys.schema).orderBy(*order).collect()
     step = max(1, len(picked) // ranges)
-    kept = picked[step::step]
-    fields = df.select(*order).schema.fields
-    return [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in kept]
+    return [tuple(r) for r in picked[step::step]]
+
+
+def _before(order: Sequence[str], bound: Sequence[Column]) -> Column:
+    """Whether a row sorts before a bound by all its keys, nulls first."""
+    c, b = F.col(order[0]), bound[0]
+    if len(order) == 1:
+        return c.isNull() | (c < b)
+    return c.isNull() | (c < b) | ((c == b) & _before(order[1:], bound[1:]))
 
 
 def with_range(df: DataFrame, order: Sequence[str], ranges: int | None = None, out: str = "_rng") -> DataFrame:
-    """Adds the number of the range a row falls in, ascending with the order."""
-    bounds = range_bounds(df, order, ranges or default_ranges(df))
-    if not bounds:
-        return df.withColumn(out, F.lit(0))
-    key = F.struct(*order)
-    every = F.array(*bounds)
-    heads = bounds[BOUND_BLOCK - 1 :: BOUND_BLOCK]
-    passed = F.size(F.filter(F.array(*heads), lambda b: b <= key)) * BOUND_BLOCK if heads else F.lit(0)
-    rest = let(passed, lambda p: p + F.size(F.filter(F.slice(every, p + 1, BOUND_BLOCK), lambda b: b <= key)))
-    return df.withColumn(out, rest)
+    """Adds the number of the range a row falls in, ascending with the order.
+
+    The bounds form a balanced decision tree of compiled comparisons.  The first
+    key decides alone, except between bounds that share it (a hot value), which
+    the further keys split.  The JVM does not compile very long methods, so the
+    tree stays small and many bounds are searched in two steps.
+    """
+    fields = df.select(*order).schema.fields
+    types = [f.dataType for f in fields]
+    every = range_bounds(df, order, ranges or default_ranges(df))
+    values = every if len(every) <= TREE_BOUNDS else every[BLOCK - 1 :: BLOCK]
+    first = F.col(order[0])
+
+    def before(i: int) -> Column:
+        lits = [F.lit(v).cast(t) for v, t in zip(values[i], types)]
+        near = [values[j][0] for j in (i - 1, i + 1) if 0 <= j < len(values)]
+        return _before(order, lits) if values[i][0] in near else first < lits[0]
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(before(mid), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    found = tree(0, len(values))
+    if len(every) > TREE_BOUNDS:
+        table = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in every])
+
+        def within(block: Column) -> Column:
+            near = F.slice(table, block * BLOCK + 1, BLOCK)
+            return block * BLOCK + let(F.struct(*order), lambda key: F.size(F.filter(near, lambda b: b <= key)))
+
+        found = let(found, within)
+    return df.withColumn(out, F.when(first.isNull(), F.lit(0)).otherwise(found))
 
 
 def _offsets(sizes: DataFrame, group: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -79,7 +105,8 @@ def ranked(
     group = list(group)
     rows = with_range(df, order, ranges)
     sizes = rows.groupBy(*group, "_rng").agg(F.count("*").alias("_n"))
-    offsets = _offsets(sizes, group, ["_n"])
+    # one row per group and range: a broadcast unless there are very many groups
+    offsets = lookup_table(_offsets(sizes, group, ["_n"]))
     w = Window.partitionBy(*group, "_rng").orderBy(*order)
     return (
         rows.join(offsets, [*group, "_rng"])
@@ -120,7 +147,7 @@ def draw_histogram(df: DataFrame, group: Sequence[str]) -> DataFrame:
 def draw_ranked(df: DataFrame, key: str, seed: int | str, group: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Position of every row in the seeded random order of its group."""
     rows = with_draw(df, key, seed)
-    hist = draw_histogram(rows, group).drop("_n")
+    hist = lookup_table(draw_histogram(rows, group).drop("_n"))
     w = Window.partitionBy(*group, "_b").orderBy("_h", key)
     return (
         rows.join(hist, [*group, "_b"])

@@ -6,22 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import lookup_table
-from .ordering import ranked
+from .ordering import ranked, with_range
 
 
-def latest_models(models: DataFrame, max_versions: int, salts: int = 32) -> DataFrame:
+def latest_models(models: DataFrame, max_versions: int) -> DataFrame:
     """The ``max_versions`` most recently updated models per url.
 
-    Two rounds of top-k: first within a salted part of each url, then over the
-    survivors, so a url with most of the models is not sorted by one task.
+    Range counts tell which ranges of the update order can hold them; only rows
+    of those ranges are moved and ranked, so a url with most of the models is
+    neither sorted nor shuffled as a whole.
     """
-    order = [F.desc("updated"), F.desc("model_id")]
-    salt = F.pmod(F.xxhash64("model_id"), F.lit(salts))
-    part = models.withColumn("_s", salt)
-    first = F.row_number().over(Window.partitionBy("base_url", "_s").orderBy(*order))
-    few = part.withColumn("_r", first).where(F.col("_r") <= max_versions)
-    second = F.row_number().over(Window.partitionBy("base_url").orderBy(*order))
-    return few.withColumn("_r", second).where(F.col("_r") <= max_versions).drop("_r", "_s")
+    rows = with_range(models, ["updated", "model_id"])
+    sizes = rows.groupBy("base_url", "_rng").agg(F.count("*").alias("_n"))
+    later = Window.partitionBy("base_url").orderBy(F.desc("_rng")).rowsBetween(Window.unboundedPreceding, -1)
+    newer = F.coalesce(F.sum("_n").over(later), F.lit(0))
+    kept = sizes.withColumn("_newer", newer).where(F.col("_newer") < max_versions).select("base_url", "_rng")
+    few = rows.join(lookup_table(kept), ["base_url", "_rng"]).drop("_rng")
+    rank = F.row_number().over(Window.partitionBy("base_url").orderBy(F.desc("updated"), F.desc("model_id")))
+    return few.withColumn("_r", rank).where(F.col("_r") <= max_versions).drop("_r")
 
 
 def known_versions(models: DataFrame, current: DataFrame) -> DataFrame:

@@ -164,8 +164,9 @@ def m1(spark, sf):
 # -- streams ----------------------------------------------------------------
 
 def event_stream(spark, sf):
+    """The events table as a file stream; the glob serves a file and a folder alike."""
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
 
 
 BUCKET_SQL = f"""CASE WHEN s.variable = '_latency' THEN {first_bound_sql('s.value::DOUBLE', LATENCY_BOUNDS)}::VARCHAR

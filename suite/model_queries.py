@@ -336,7 +336,7 @@ x AS (SELECT CASE WHEN role = 'user' THEN CASE WHEN u < 0.25 THEN 'user/2' ELSE
 def plan_stream(spark, sf):
     """Scored rows and the statistics messages of the same stream, counted side by side."""
     schema = table(spark, sf, "conversations").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parque[t]")
     reqs = raw.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("role").alias("url"), "text", F.lit(0.25).alias("latency"))
     targets = spark.createDataFrame([("user", 1, "user/2", 0.25), ("user", 2, "user/1", 0.75)], "endpoint string, ord int, target string, weight double")
     static = spark.createDataFrame([("user/1", "m1"), ("user/2", "m2")], "url string, model_id string")

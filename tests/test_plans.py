@@ -78,9 +78,9 @@ def test_prefix_match_is_a_hash_join(spark):
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
-    models = spark.range(1000).select(F.lit("u").alias("base_url"), F.col("id").alias("model_id"), F.col("id").alias("updated"))
+    models = spark.range(1000).select(F.concat(F.lit("u"), F.col("id") % 2).alias("base_url"), F.col("id").alias("model_id"), F.col("id").alias("updated"))
     text = plan(versions.latest_models(models, 3))
-    assert text.count("WindowGroupLimit") >= 2
+    assert "WindowGroupLimit" in text and "BroadcastHashJoin" in text
 
 
 def test_hot_keys_keep_every_row(spark):

@@ -78,3 +78,16 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "doc_id bigint, label int")
     assert ordering.ranked(df, ["doc_id"]).count() == 0
     assert sampling.sample_per_label(df, 5, 1).count() == 0
+
+
+def test_ranks_split_a_hot_value_by_the_further_keys(spark):
+    df = spark.range(6000).select(
+        F.col("id"), F.when(F.col("id") % 3 != 0, 7).when(F.col("id") % 30 == 0, F.lit(None)).otherwise(F.col("id") % 100).cast("int").alias("v")
+    )
+    rows = [(i, 7 if i % 3 else (None if i % 30 == 0 else i % 100)) for i in range(6000)]
+    want = {i: n for n, (i, _v) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])), 1)}
+    for ranges in (64, 400):
+        out = ordering.ranked(df, ["v", "id"], out="r", ranges=ranges)
+        assert {r["id"]: r["r"] for r in out.collect()} == want
+    spread = ordering.with_range(df, ["v", "id"]).where("v = 7").groupBy("_rng").count().collect()
+    assert len(spread) > 20 and max(r["count"] for r in spread) < 1000
