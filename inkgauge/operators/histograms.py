@@ -23,6 +23,17 @@ def first_bound(value: Column | str, bounds: Sequence[float]) -> Column:
     return rest if out is None else out.otherwise(rest)
 
 
+def bound_label(value: Column | str, bounds: Sequence[float]) -> Column:
+    """``first_bound`` as text: the labels are constants, no number is formatted per row."""
+    v = as_col(value)
+    out = None
+    for b in map(float, bounds):
+        label = F.lit(b).cast("string")
+        out = F.when(v <= b, label) if out is None else out.when(v <= b, label)
+    rest = F.when(v.isNotNull(), F.lit(INF).cast("string"))
+    return rest if out is None else out.otherwise(rest)
+
+
 def first_bound_of(value: Column, bounds: Column) -> Column:
     """The same for bounds that arrive as an array column."""
     hit = F.get(F.filter(bounds, lambda b: value <= b), F.lit(0))

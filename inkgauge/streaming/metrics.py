@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import LATENCY_BOUNDS
 from ..operators.config import auto_registered, lookup_metric_config
-from ..operators.histograms import first_bound, first_bound_of
+from ..operators.histograms import bound_label, first_bound_of
 from ..session import fresh_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,21 +27,24 @@ def use_rocksdb(spark: SparkSession) -> None:
 def classify(rows: DataFrame) -> DataFrame:
     """One row per observation: ``url, variable, type, bucket, amount``.
 
-    Input rows carry ``type`` and ``buckets`` from the configuration.  Scalars
-    go to their first bound, enum values to themselves or to no bucket when
-    undeclared; counters and gauges have no bucket.
+    Input rows carry ``type``, ``buckets`` and ``bounds`` from the configuration.
+    Scalars go to their first bound, enum values to themselves or to no bucket
+    when undeclared; counters and gauges have no bucket.
     """
-    number = F.col("value").try_cast("double")
-    bounds = F.transform("buckets", lambda b: b.try_cast("double"))
-    scalar = F.when(F.col("variable") == "_latency", first_bound(number, LATENCY_BOUNDS)).otherwise(
-        first_bound_of(number, bounds)
-    )
+    rows = rows.withColumn("amount", F.col("value").try_cast("double"))
+    number = F.col("amount")
     bucket = (
-        F.when(F.col("type") == "scalar", scalar.cast("string"))
+        F.when(F.col("variable") == "_latency", bound_label(number, LATENCY_BOUNDS))
+        .when(F.col("type") == "scalar", first_bound_of(number, F.col("bounds")).cast("string"))
         .when((F.col("type") == "enum") & F.array_contains("buckets", F.col("value")), F.col("value"))
         .when(F.col("type") == "enum", F.lit("__unknown__"))
     )
-    return rows.withColumn("bucket", bucket).withColumn("amount", number)
+    return rows.withColumn("bucket", bucket)
+
+
+def with_bounds(cfg: DataFrame) -> DataFrame:
+    """Numeric bounds, parsed once on the small side."""
+    return cfg.withColumn("bounds", F.transform("buckets", lambda b: b.try_cast("double")))
 
 
 def running_metrics(stats: DataFrame, cfg: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def running_metrics(stats: DataFrame, cfg: DataFrame) -> DataFrame:
     ``stats(url, variable, value)``.  The configuration join is a broadcast, so
     the only shuffle is the aggregate, combined per partition first.
     """
-    rows = classify(lookup_metric_config(stats, cfg))
+    rows = classify(lookup_metric_config(stats, with_bounds(cfg)))
     return rows.groupBy("url", "variable", "type", "bucket").agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("type") == "counter", F.col("amount"))).alias("total")
     )
