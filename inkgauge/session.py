@@ -79,14 +79,14 @@ def lookup_table(
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread the rows of a small input over the cores.
 
-    Meant before work that is heavy per row.  An input with less than one split
-    per core (by its estimated size) is repartitioned; a larger one has enough
-    splits and is left alone, so its rows are not shuffled.
+    Meant before work that is heavy per row.  An input whose estimated size fills
+    less than a quarter of the cores with one split each is repartitioned; a
+    larger one has enough splits and is left alone, so its rows are not shuffled.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= cores * split:
+    if 4 * size >= cores * split:
         return df
     return df.repartition(2 * cores, key)
