@@ -91,7 +91,10 @@ def nearest_neighbours(
     """
     cores = queries.sparkSession.sparkContext.defaultParallelism
     train_blocks = train_blocks or max(1, -(-train.count() // block_rows))
-    query_blocks = query_blocks or max(cores, -(-queries.count() // block_rows))
+    if query_blocks is None:
+        # every query block meets all training rows, so few queries make few blocks
+        n = queries.count()
+        query_blocks = max(1, -(-n // block_rows), min(cores, -(-n // 256)))
 
     def block(n: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # A lookup table is shipped to every executor only below both bounds.
 LOOKUP_MAX_ROWS = 200_000
 LOOKUP_MAX_BYTES = 16 * 1024 * 1024
+# The least input a partition of a spread table holds.
+SPREAD_BYTES = 256 * 1024
 
 
 def local_session(cpus: int | str = 8, app: str = "inkgauge", memory: str = "8g") -> SparkSession:
@@ -89,4 +91,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if 4 * size >= cores * split:
         return df
-    return df.repartition(2 * cores, key)
+    return df.repartition(min(2 * cores, size // SPREAD_BYTES + 1), key)
