@@ -69,6 +69,11 @@ def config_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, change.alias("change")).where("change IS NOT NULL")
 
 
+def unchanged(old: DataFrame, new: DataFrame, key: str) -> bool:
+    """Whether two configuration tables agree, so that a sync has nothing to do."""
+    return config_changes(old, new, key).isEmpty()
+
+
 def merge_metric_config(old: DataFrame, new: DataFrame, update: bool, key: str = "endpoint", metrics: str = "metrics") -> DataFrame:
     """Metric maps per endpoint: merged when ``update``, else the new map replaces the old."""
     a = old.select(key, F.col(metrics).alias("_old"))

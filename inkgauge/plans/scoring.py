@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import FEATURES
 from ..functions import text as X
 from ..operators.config import resolve_endpoint
 from ..operators.frame import interpret_score
@@ -12,6 +15,7 @@ from ..operators.routing import route_canary
 from ..session import fresh_path
 from ..sources.stats import pack_batches
 from ..streaming.requests import request_stats, sample_stream
+from .feature_table import feature_table
 
 
 def score_requests(
@@ -32,6 +36,22 @@ def score_requests(
     return scored.withColumn("verdict", interpret_score("score"))
 
 
+def score_features(
+    requests: DataFrame, lexicon: DataFrame, familiar: DataFrame, predict: Callable[[DataFrame], DataFrame],
+    key: str = "request_id",
+) -> DataFrame:
+    """Score texts by their features: adds ``score``, ``verdict`` and a ``features`` map.
+
+    ``predict`` takes the feature table and adds ``score``: an expression, a
+    fitted pipeline's transform or an additive model.
+    """
+    scored = predict(feature_table(requests.select(key, "text"), lexicon, familiar, key=key))
+    names = [f for f in FEATURES if f in scored.columns]
+    values = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names]))
+    reply = scored.select(key, "score", values.alias("features"))
+    return requests.drop("text").join(reply, key).withColumn("verdict", interpret_score("score"))
+
+
 def score_stream(
     requests: DataFrame, targets: DataFrame, static: DataFrame, monitored: DataFrame, score: Column, seed: int,
     freq: float = 1.0, key: str = "request_id", max_bytes: int = 1_000_000, root: str | None = None,

@@ -9,6 +9,7 @@ from ..functions.base import as_col, draw
 from ..functions.urls import round4
 from ..operators.frame import select_logged_keys
 from ..operators.histograms import scaled_count
+from ..session import lookup_table
 
 
 def sample_stream(df: DataFrame, freq: Column | str, key: str, seed: int) -> DataFrame:
@@ -20,6 +21,16 @@ def sample_stream(df: DataFrame, freq: Column | str, key: str, seed: int) -> Dat
     return df.where((f > 0) & ((f >= 1) | (draw(key, seed) <= f)))
 
 
+def with_frequency(requests: DataFrame, cfg: DataFrame, default: float, url: str = "url") -> DataFrame:
+    """Adds ``log_frequency``: the endpoint's own, else the global one."""
+    own = lookup_table(cfg.select(F.col(url), F.col("log_frequency").cast("double").alias("_own")))
+    return (
+        requests.join(own, url, "left")
+        .withColumn("log_frequency", F.coalesce("_own", F.lit(float(default))))
+        .drop("_own")
+    )
+
+
 def request_stats(
     requests: DataFrame, url: str = "url", latency: str = "latency", freq: Column | str | None = None,
     request: str | None = None, response: str | None = None, metric_keys: Column | None = None,

@@ -138,6 +138,18 @@ def m2(spark, sf):
     return Q.sample_stream(requests(spark, sf), freq(), "event_id", 7).select("event_id", "url")
 
 
+@query(
+    "m2b_sampled_counts",
+    f"""WITH e AS (SELECT event_id, event_type AS url, CASE event_type WHEN 'click' THEN 0.4::DOUBLE WHEN 'view' THEN 0.0 WHEN 'error' THEN 2.0 ELSE 0.25 END AS f FROM events)
+SELECT url, count(*) AS logged, sum(floor(1.0 / f))::BIGINT AS estimated FROM e WHERE f > 0 AND (f >= 1 OR {draw_sql('event_id', 8)} <= f) GROUP BY url""",
+)
+def m2b(spark, sf):
+    """Logged requests per endpoint and the requests they stand for."""
+    cfg = spark.createDataFrame([("click", 0.4), ("view", 0.0), ("error", 2.0), ("signup", None)], "url string, log_frequency double")
+    rows = Q.sample_stream(Q.with_frequency(requests(spark, sf), cfg, 0.25), "log_frequency", "event_id", 8)
+    return rows.groupBy("url").agg(F.count("*").alias("logged"), F.sum(H.scaled_count("log_frequency")).alias("estimated"))
+
+
 @query(
     "m1_request_stats",
     """SELECT event_id, round(value / 700, 4) AS latency, '2' AS n, event_type AS url, CASE WHEN event_type = 'error' THEN '-1' ELSE json_extract_string(props, '$.k') END AS k,

@@ -7,6 +7,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
+from inkgauge.fixed import FEATURES as FEATURE_NAMES
 from inkgauge.functions import text as X
 from inkgauge.functions import vectors
 from inkgauge.operators import additive as AD
@@ -352,6 +353,24 @@ def plan_stream(spark, sf):
     return scored.join(logged, ["url", "verdict"])
 
 
+@query(
+    "plan_score_features",
+    f"""WITH f AS ({feature_sql(raw=True)}) SELECT doc_id, d.lang AS url, round(semantic_density, 6) AS score,
+  CASE WHEN semantic_density < 0.5 THEN 'human' WHEN semantic_density > 0.5 THEN 'LLM' END AS verdict,
+  num_tokens::DOUBLE AS num_tokens, round(textual_entropy, 6) AS textual_entropy, {len(dict.fromkeys(FEATURE_NAMES))} AS n
+FROM f JOIN documents d USING (doc_id)""",
+)
+def plan_score_feats(spark, sf):
+    reqs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("url"), "text")
+    out = scoring.score_features(
+        reqs, lexicon(spark, sf), familiar(spark, sf), lambda f: f.withColumn("score", F.col("semantic_density")), key="doc_id"
+    )
+    m = F.col("features")
+    return out.select(
+        "doc_id", "url", r6("score"), "verdict", m["num_tokens"].alias("num_tokens"), r6(m["textual_entropy"], "textual_entropy"), F.size(m).alias("n")
+    )
+
+
 @query("plan_train_evaluate")
 def plan_train(spark, sf):
     """Balanced sample, split, random search, refit and evaluation on the held-out part."""

@@ -149,3 +149,34 @@ def test_versions_over_two_snapshots(spark):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
     got = {(r["base_url"], r["version"]): r["model_id"] for r in V.version_sync(stream, 2, "snap").collect()}
     assert got == {("m", 2): 2, ("m", 3): 3, ("n", 1): 4}
+
+
+def test_configuration_differences(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("c", 3, None)], "url string, v int, t string")
+    new = spark.createDataFrame([("a", 1, "x"), ("b", 5, "x"), ("d", 1, "x")], "url string, v int, t string")
+    assert {r["url"]: r["change"] for r in C.config_changes(old, new, "url").collect()} == {"b": "changed", "c": "removed", "d": "added"}
+    assert C.unchanged(old, old.select("url", "t", "v"), "url") and not C.unchanged(old, new, "url")
+
+
+def test_metric_removal(spark):
+    df = spark.createDataFrame([("m/1", {"x": "scalar", "y": "enum"}), ("n", {"x": "value"})], "endpoint string, metrics map<string,string>")
+    one = {r["endpoint"]: r["metrics"] for r in C.remove_metric(df, "/m/1/", "x").collect()}
+    assert one == {"m/1": {"y": "enum"}, "n": {"x": "value"}}
+    assert [r["endpoint"] for r in C.remove_metric(df, "m/1").collect()] == ["n"]
+
+
+def test_streams_resume_from_a_given_root(spark):
+    path, root = fresh_path(spark, "in"), fresh_path(spark, "resume")
+    schema = "url string, variable string, value string"
+    cfg = spark.createDataFrame([], "url string, variable string, type string, buckets array<string>")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{path}/*")
+        out = M.run_to_table(M.running_metrics(stream, cfg), "resume", root=root)
+        return {(r["url"], r["variable"]): r["total"] for r in out.collect()}
+
+    spark.createDataFrame([("u", "_count", "2")], schema).write.parquet(f"{path}/0")
+    assert run() == {("u", "_count"): 2.0}
+    assert run() == {("u", "_count"): 2.0}
+    spark.createDataFrame([("u", "_count", "3"), ("u", "other", "1")], schema).write.parquet(f"{path}/1")
+    assert run() == {("u", "_count"): 5.0}
