@@ -1,15 +1,93 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again."""
+"""A corpus pipeline of five stages, each written as Parquet and read again.
+
+    from corpus_pipeline import run
+    sequences = run(spark, "folder of the tables")
+
+Stages take and give the columns of ``documents``; the last gives the packed
+pieces.  Documents without a language go, one document of each near-duplicate
+class stays, passages that an earlier document has are cut, small sources are
+repeated, and what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkgauge.llm import op3_mixing, op5_suffix, op7_language, op8_order_minhash, op9_packing
+from inkgauge.session import fresh_path
+
+#: A document stays if its language has at least this chance; with no letter it has none.
+LEAST_LANGUAGE_SCORE = 0.3
 
-STAGES: list = []
 #: Language models, alignment and tokenisation have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; the model learns from the rows that name theirs.
+
+    With no row that names one there is no language to find, and no document stays.
+    """
+    model = op7_language.fit_languages(docs.where(~op7_language.base.held_out("doc_id", op7_language.FOLDS, op7_language.FOLD)))
+    found = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = op7_language.identify(found, model).where(
+        (F.col("language.lang_pred") != op7_language.UNKNOWN) & (F.col("language.score") >= LEAST_LANGUAGE_SCORE)
+    )
+    return found.select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each class; rows of a null id stay."""
+    classes = op8_order_minhash.near_duplicates(docs)
+    dropped = classes.where("id <> class_id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words and more that an earlier document has.
+
+    What is left of a text stays as it stands; one of which nothing is left goes.
+    """
+    out = op5_suffix.suffix_dedup(docs, join_words=False)
+    keep = out.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars"))
+    new = {"doc_id": F.col("id"), "text": F.col("kept_text"), "n_chars": n_chars}
+    return keep.select(*[(new[c] if c in new else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each use of a document: all at least once, those of small sources up to twice."""
+    uses = op3_mixing.mix_sources(docs).groupBy("id").agg(F.count("*").alias("uses"))
+    more = docs.join(uses.where("uses > 1"), docs.doc_id == uses.id, "left")
+    return more.withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("uses", F.lit(1))))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
+    import public_tokenizers
+
+    pieces = op9_packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return op9_packing.pack_pieces(pieces)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``."""
+    """All stages in order over ``documents``, each result but the last written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = fresh_path(spark, f"corpus-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -28,7 +28,9 @@ def block_anchors(words: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.
     return hashes, same, same & (place % block == 0)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, join_words: bool = True
+) -> DataFrame:
     """Words covered by a window of ``window`` words that a document of a smaller id has too go.
 
     Returns what :func:`repeats.remove_repeats` does.  A text of fewer words than
@@ -36,7 +38,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no rows; of several equal texts only the one of the smallest id stays whole.
     """
     block = window // 2
-    return remove_repeats(docs, id_col, text_col, partial(block_anchors, block=block), window, window - block, 1)
+    return remove_repeats(docs, id_col, text_col, partial(block_anchors, block=block), window, window - block, 1, join_words)
 
 
 @base.query("op2_substring_dedup")

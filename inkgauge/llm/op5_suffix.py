@@ -1,7 +1,7 @@
 """Suffix-array dedup by sparse suffixes at content-selected positions.
 
 A suffix is kept where the hash of its first ``prefix`` words is the smallest of
-``window - prefix + 1`` consecutive ones (leftmost of ties).  Two equal windows
+``window - prefix + 1`` consecutive ones (all of ties).  Two equal windows
 select the same place, so it is enough to sort suffixes of the kept places: those
 whose neighbour in the order begins with the same words are extended to the left
 and right over all windows that selected them, and the extended contexts are
@@ -41,7 +41,6 @@ def minimiser_anchors(words: Words, prefix: int, window: int) -> tuple[np.ndarra
     width = window - prefix + 1
     kept = np.zeros(len(hashes), dtype=bool)
     if len(words) >= window:
-        # the place breaks ties, leftmost first, in the low bits of the order
         order = mix(hashes ^ U(0x632BE59BD9B4E019))
         least = sliding_least(order, width)
         whole = words.doc[: len(least)] == words.doc[window - 1 :][: len(least)]
@@ -60,15 +59,16 @@ def sliding_greatest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffix_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX,
+    join_words: bool = True,
+) -> DataFrame:
     """Words of passages of ``window`` or more words that a document of a smaller id has too go.
 
     Returns what :func:`repeats.remove_repeats` does, with its rules for nulls,
     ties, repeated rows and empty tables.
     """
     anchors = partial(minimiser_anchors, prefix=prefix, window=window)
-    return remove_repeats(docs, id_col, text_col, anchors, window, window - prefix, 1 / 8)
+    return remove_repeats(docs, id_col, text_col, anchors, window, window - prefix, 1 / 8, join_words)
 
 
 @base.query("op5_suffix_dedup")

@@ -98,9 +98,9 @@ def rows_by_bucket(bucket: np.ndarray, chunk: int, columns: list[tuple[np.ndarra
 class Repeats:
     """The five steps for one choice of anchors."""
 
-    def __init__(self, anchors: Anchors, window: int, before: int, buckets: int):
+    def __init__(self, anchors: Anchors, window: int, before: int, buckets: int, join_words: bool):
         # a window holds an anchor at one of its first ``before`` + 1 places
-        self.anchors, self.window, self.before, self.buckets = anchors, window, before, buckets
+        self.anchors, self.window, self.before, self.buckets, self.join_words = anchors, window, before, buckets, join_words
 
     # -- step 1 and 2
     def name_anchors(self, key, table: pa.Table) -> pa.Table:
@@ -196,13 +196,15 @@ class Repeats:
         for d in range(words.docs):
             a, b = int(words.begin[d]), int(words.begin[d + 1])
             if not removed[d]:
-                kept.append(b" ".join(data[words.offsets[d] : words.offsets[d + 1]].split(None)) if a < b else b"")
+                whole = data[words.offsets[d] : words.offsets[d + 1]]
+                kept.append(b" ".join(whole.split()) if self.join_words else whole)
                 spans.append([])
                 continue
             lo, hi = runs(gone[a:b])
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(lo, hi)])
             lo, hi = runs(~gone[a:b])
-            kept.append(b" ".join(w for x, y in zip(lo + a, hi + a) for w in data[words.start[x] : words.end[y - 1]].split()))
+            left = [data[words.start[x] : words.end[y - 1]] for x, y in zip(lo + a, hi + a)]
+            kept.append(b" ".join(w for part in left for w in part.split()) if self.join_words else b" ".join(left))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table(
             {
@@ -224,17 +226,18 @@ def found_rows(chunk: np.ndarray, columns: list[tuple[np.ndarray | None, int]])
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str, text_col: str, anchors: Anchors, window: int, before: int, probes_per_word: float
+    docs: DataFrame, id_col: str, text_col: str, anchors: Anchors, window: int, before: int, probes_per_word: float, join_words: bool
 ) -> DataFrame:
     """``id, n_words, n_removed, spans, kept_text, rest`` of every row.
 
     ``spans`` are the removed word ranges [start, end); ``kept_text`` joins the
-    other words by one space.
+    other words by one space, or without ``join_words`` the text between the
+    spans as it stands.
     """
     chars = base.total_chars(docs, text_col)
     chunks = base.parts_for(chars, base.CHUNK_CHARS)
     buckets = base.parts_for(chars / CHARS_PER_WORD * probes_per_word, BUCKET_KEYS)
-    steps = Repeats(anchors, window, before, buckets)
+    steps = Repeats(anchors, window, before, buckets, join_words)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
     rows = docs.select(
