@@ -15,7 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base
@@ -28,6 +28,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 ENTRIES, PICKS = 16, 3
 #: In a bucket of at most so many texts all are compared; beyond, with its leaders.
 SMALL = 8
+#: Buckets of three entries a text of an unresolved large bucket is put to.
+FINER = 24
 TOP = U(2**64 - 1)
 
 
@@ -174,26 +176,18 @@ def bucket_pairs(members: DataFrame) -> DataFrame:
     return star.unionAll(every).distinct()
 
 
-def large_buckets(members: DataFrame) -> DataFrame:
-    """Members of buckets in which not all were compared with all, with the bucket's first leader."""
-    buckets = members.groupBy("entry").agg(F.count("*").alias("size"), F.min("id").alias("leader"))
-    return members.join(buckets.where(F.col("size") > SMALL), "entry").select("entry", "id", "leader")
+def unresolved(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id`` of the texts in large buckets that hold more than one class so far."""
+    known = members.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    mixed = known.groupBy("entry").agg(F.count("*").alias("size"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+    mixed = mixed.where((F.col("size") > SMALL) & (F.col("low") < F.col("high"))).select("entry")
+    return known.join(mixed, "entry").groupBy("id").agg(F.count("*").alias("buckets")).select("id")
 
 
-def next_pairs(large: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each large bucket's next leader with the members of other classes, and the members left for later.
-
-    The next leader is the smallest id whose class is not the last leader's;
-    members of the last leader's class have been compared with it or joined it.
-    """
-    known = large.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    last = classes.select(F.col("node").alias("leader"), F.col("class_id").alias("leader_class"))
-    known = known.join(last, "leader", "left").withColumn("leader_class", F.coalesce("leader_class", "leader"))
-    rest = written(known.where("class_id <> leader_class").select("entry", "id", "class_id"), "rest")
-    ahead = rest.groupBy("entry").agg(F.min("id").alias("leader"))
-    rows = rest.join(ahead, "entry")
-    pairs = rows.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    return pairs, rows.select("entry", "id", "leader")
+def finer(entries: int) -> Column:
+    """Hashes of ``FINER`` triples of entries."""
+    picked = [(i % entries, (i + 1 + i // entries) % entries, (i + 5 + 2 * (i // entries)) % entries) for i in range(FINER)]
+    return F.array(*[F.xxhash64(F.lit(i), *[F.col("entries")[j] for j in sorted(set(t))]) for i, t in enumerate(picked)])
 
 
 def linked(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -214,8 +208,9 @@ def near_duplicates(
     than a shingle are only in a class with equal ones.  Null, empty and blank
     texts are alone, and so are rows of a null id (their class is null).  Rows of
     one id count as one document.  An empty table gives no rows.  In a bucket of
-    many texts those that reach neither its smallest nor its largest id are
-    compared with the smallest of them, and so on, until a round finds no link.
+    more than ``SMALL`` texts each is compared with the smallest and the largest
+    id; if that leaves more than one class, its texts are put to buckets of three
+    shared entries and compared there in the same way.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     make = partial(sketch_batches, shingle=shingle, entries=entries, picks=picks)
@@ -233,13 +228,11 @@ def near_duplicates(
     several = copies.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("id", "a")
     links = links.unionAll(copies.join(several, "id").where("a <> rep").select("a", F.col("rep").alias("b")))
     classes = components(links)
-    large = written(large_buckets(members), "large")
-    while not large.isEmpty():
-        pairs, large = next_pairs(large, classes)
-        more = written(linked(pairs, texts, shingle, threshold), "links").select("a", "b")
-        if more.isEmpty():
-            break
-        links = links.unionAll(more)
+    # where not all were compared with all: again in buckets of three entries
+    again = reps.join(unresolved(members, classes), "id").select("id", F.explode(finer(entries)).alias("entry"))
+    pairs = written(bucket_pairs(again), "pairs")
+    if not pairs.isEmpty():
+        links = links.unionAll(written(linked(pairs, texts, shingle, threshold), "links").select("a", "b"))
         classes = components(links)
     found = (
         copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
