@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgauge.llm import op3_mixing, op5_suffix, op7_language, op8_order_minhash, op9_packing
-from inkgauge.session import fresh_path
+from inkgauge.session import fresh_path, written
 
 #: A document stays if its language has at least this chance; with no letter it has none.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -40,10 +40,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class; rows of a null id stay."""
+    """The document of the smallest id of each class, once; rows of a null id stay."""
     classes = op8_order_minhash.near_duplicates(docs)
-    dropped = classes.where("id <> class_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    by_id = classes.where("id is not null").groupBy(F.col("id").alias("of")).agg(F.count("*").alias("rows"), F.min("class_id").alias("class_id"))
+    odd = by_id.where("of <> class_id or rows > 1").select("of", (F.col("of") != F.col("class_id")).alias("goes"))
+    odd = written(odd, "corpus-odd")
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+    single = rows.join(odd, rows.id == odd.of, "left_anti").select("row.*")
+    repeated = odd.where("not goes")
+    if repeated.isEmpty():
+        return single
+    # rows of one id that stays: the first of them by all their columns
+    first = rows.join(repeated, rows.id == repeated.of).groupBy("of").agg(F.min("row").alias("row")).select("row.*")
+    return single.unionAll(first)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +69,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each use of a document: all at least once, those of small sources up to twice."""
-    uses = op3_mixing.mix_sources(docs).groupBy("id").agg(F.count("*").alias("uses"))
-    more = docs.join(uses.where("uses > 1"), docs.doc_id == uses.id, "left")
-    return more.withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("uses", F.lit(1))))).select(*docs.columns)
+    uses = op3_mixing.mix_sources(docs).groupBy("id").agg(F.count("*").alias("uses"), F.count(F.when(F.col("epoch") == 0, 1)).alias("rows"))
+    uses = uses.select(F.col("id").alias("of"), F.ceil(F.col("uses") / F.col("rows")).alias("times")).where("times > 1")
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+    more = rows.join(uses, rows.id == uses.of, "left")
+    times = F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1)))
+    return more.select("row", F.explode(times).alias("use")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

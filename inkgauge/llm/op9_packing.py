@@ -178,9 +178,10 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = C
     """All columns of ``pieces`` with ``sequence_id`` and ``offset``: gapless from 0 in each sequence.
 
     Lengths are 1 to ``capacity``; longer, smaller or null ones are refused.
-    Equal rows are different pieces.  An empty table gives no rows.
+    Equal rows are different pieces.  An empty table gives no rows.  Columns of
+    ``pieces`` named like the two are replaced.
     """
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     length = F.col(f"`{length_col}`").cast("long")
     sound = F.when(length.between(1, capacity), length).otherwise(F.raise_error(F.lit(f"a length is not 1 to {capacity}")).cast("long"))
     # a written random number spreads pieces however many of them are equal
