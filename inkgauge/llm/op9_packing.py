@@ -1,15 +1,17 @@
 """Best-fit packing with bounds: texts become token pieces, pieces become full sequences.
 
 Pieces are dealt to partitions.  Each runs best-fit decreasing and certifies its
-number of sequences by dual feasible functions of its lengths.  A partition with
-a gap gives up all its sequences with free room, a certified one its emptiest;
-what is given up is dealt anew to fewer partitions and packed again, until one
-partition is left or a round saves nothing.
+number of sequences by dual feasible functions of its lengths.  The certificate
+is a fraction: a partition that is within one sequence of its bound cannot gain
+alone, but with others it can.  So all partitions above the fraction give up
+their sequences with free room; the documents in them are dealt anew to fewer
+partitions and packed again, until a round saves nothing.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -24,7 +26,7 @@ from .words import slices
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces a partition packs, about.
-PART_PIECES = 2_000
+PART_PIECES = 10_000
 
 
 # -- tokens ------------------------------------------------------------------
@@ -107,30 +109,32 @@ def token_pieces(
 # -- packing -----------------------------------------------------------------
 
 
-def least_bins(lengths: np.ndarray, capacity: int) -> int:
-    """A lower bound by dual feasible functions.
+def bound(lengths: np.ndarray, capacity: int) -> float:
+    """A lower bound, as a fraction, by dual feasible functions.
 
     For each k up to half the capacity, lengths over capacity - k count as a whole
-    bin and those under k as nothing; for each divisor the rounded-up share of
-    lengths over a fraction counts.  Every such total of shares, rounded up, is a
-    number of bins that no packing can be below.
+    bin and those under k as nothing; for each divisor d, lengths count as their
+    share of 1 / d, rounded down to it from d + 1 times the length.  No packing
+    has fewer bins than such a total of shares.
     """
     n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     count, total = np.cumsum(n), np.cumsum(n * size)
-    best = -(-int(total[-1]) // capacity)
     k = np.arange(1, capacity // 2 + 1)
     whole = count[-1] - count[capacity - k]
     middle = total[capacity - k] - total[k - 1]
-    best = max(best, int((whole + -(-middle // capacity)).max(initial=0)))
+    best = max(total[-1] / capacity, float((whole + middle / capacity).max(initial=0)))
     for d in range(1, 20):
-        # x -> x / C where (d + 1) x / C is whole, else floor((d + 1) x / C) / d
         share = (d + 1) * size
         exact = share % capacity == 0
-        best = max(best, -(-int((n * np.where(exact, size * d, share // capacity * capacity)).sum()) // (capacity * d)))
+        best = max(best, float((n * np.where(exact, size * d, share // capacity * capacity)).sum() / (capacity * d)))
     return best
 
 
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    return math.ceil(bound(lengths, capacity) - 1e-9)
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Bin and offset of every length by best-fit decreasing (ties in the given order), and the bins."""
     order = np.argsort(-lengths, kind="stable")
@@ -161,15 +165,12 @@ def pack_part(key, table: pa.Table, capacity: int) -> pa.Table:
     lengths = table.column("length").to_numpy()
     where, offset, bins = best_fit(lengths, capacity)
     used = np.bincount(where, weights=lengths, minlength=bins).astype(np.int64)
-    certified = bins == least_bins(lengths, capacity)
-    given = used < capacity
-    if certified and bins:
-        given &= np.arange(bins) == np.argmin(used)
+    given = (used < capacity) & (bins > bound(lengths, capacity) + 1e-9)
     return pa.table(
         {
             "rest": table.column("rest").cast(base.loose(table.schema.field("rest").type)), "length": table.column("length"), "deal": table.column("deal"),
             "part": table.column("part"), "bin": pa.array(where), "offset": pa.array(offset),
-            "open": pa.array(given[where]), "gap": pa.array(np.full(len(where), not certified)),
+            "open": pa.array(given[where]),
         }
     )
 
@@ -192,7 +193,7 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = C
     todo, last, best = rows.where(F.col("length") < capacity), None, None
     done = [whole.select("rest", F.lit(0).alias("round"), F.lit(0).alias("part"), F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"))]
     kind = rows.schema["rest"].dataType.simpleString()
-    out = f"rest {kind}, length long, deal double, part int, bin long, offset long, open boolean, gap boolean"
+    out = f"rest {kind}, length long, deal double, part int, bin long, offset long, open boolean"
     round_, n = 1, todo.count()
     while n:
         parts = -(-n // PART_PIECES)
@@ -208,7 +209,7 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = C
         last, todo = kept.where("open").drop("open"), packed.where("open").select("rest", "length", "deal")
         given = packed.where("open").agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
         n, best = given[0], given[1]
-        if parts == 1 or not n:
+        if parts == 1:
             done.append(last)
             break
         round_ += 1
