@@ -20,8 +20,6 @@ SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 TOKEN = rf"{WORD}+|[^{SPACE}]"
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"
 KEEP = ".?!,"
-# Longer sentences carry no tree.
-TREE_TOKEN_LIMIT = 512
 
 # Markdown and HTML constructs taken out, in order of application: a trigger
 # character and the rules that can only match where it occurs.

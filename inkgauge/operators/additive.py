@@ -39,8 +39,9 @@ class AdditiveModel:
         return [*self.features, *[pair_name(a, b) for a, b in self.pairs]]
 
     def bin_count(self, term: str) -> int:
+        """Bins of a term; the last one of a feature holds its missing values."""
         if term in self.bounds:
-            return len(self.bounds[term]) + 1
+            return len(self.bounds[term]) + 2
         a, b = next(p for p in self.pairs if pair_name(*p) == term)
         return self.bin_count(a) * self.bin_count(b)
 
@@ -54,24 +55,25 @@ def pair_name(a: str, b: str) -> str:
 
 
 def bin_of(value: Column, bounds: Sequence[float]) -> Column:
-    """How many bounds lie below the value: bin 0 up to ``len(bounds)``."""
-    if not bounds:
-        return F.lit(0)
-    out = None
+    """How many bounds lie below the value: bin 0 up to ``len(bounds)``; one more for null and NaN."""
+    out = F.when(value.isNull() | F.isnan(value), F.lit(len(bounds) + 1))
     for i, b in enumerate(bounds):
-        cond = value <= F.lit(float(b))
-        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
+        out = out.when(value <= F.lit(float(b)), F.lit(i))
     return out.otherwise(F.lit(len(bounds)))
 
 
 def quantile_bounds(df: DataFrame, features: Sequence[str], bins: int, accuracy: int = 10_000) -> dict[str, list[float]]:
     """Inner quantiles per feature from one pass; repeats and the maximum are left out."""
     probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+
+    def known(f: str) -> Column:
+        return F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))
+
     row = df.agg(
-        *[F.percentile_approx(F.col(f).cast("double"), probs, accuracy).alias(f"q{i}") for i, f in enumerate(features)],
-        *[F.max(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)],
+        *[F.percentile_approx(known(f), probs, accuracy).alias(f"q{i}") for i, f in enumerate(features)],
+        *[F.max(known(f)).alias(f"m{i}") for i, f in enumerate(features)],
     ).first()
-    return {f: sorted({b for b in row[f"q{i}"] or [] if b < row[f"m{i}"]}) for i, f in enumerate(features)}
+    return {f: sorted({b for b in row[f"q{i}"] or [] if row[f"m{i}"] is not None and b < row[f"m{i}"]}) for i, f in enumerate(features)}
 
 
 def _binned(df: DataFrame, model: AdditiveModel) -> DataFrame:

@@ -129,11 +129,10 @@ def noun_chunk_stats(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _sentence_trees(sents: DataFrame, key: str) -> DataFrame:
-    """Shapes of the sentences; null for one token or beyond the limit."""
-    n = F.size("head")
+    """Shapes of the sentences, however long; null for one token."""
     return sents.select(
         key, "sent_id", "token", "head",
-        F.when((n >= 2) & (n < X.TREE_TOKEN_LIMIT), tree_shape(F.col("head"))).alias("shape"),
+        F.when(F.size("head") >= 2, tree_shape(F.col("head"))).alias("shape"),
     )
 
 
@@ -184,15 +183,16 @@ def rule_stats(sents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def label_counts(sents: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
-    """How many tokens with children carry the surface form ``label``."""
-    trees = _sentence_trees(sents, key).where("shape IS NOT NULL")
+    """How many tokens with children carry the surface form ``label``; 0 without a tree."""
     n = F.size(F.filter("shape.internal", lambda p: F.get("token", p["pos"] - 1) == label))
-    return trees.groupBy(key).agg(F.sum(n).alias("label_count"))
+    n = F.when(F.col("shape").isNotNull(), n).otherwise(0)
+    return _sentence_trees(sents, key).groupBy(key).agg(F.sum(n).alias("label_count"))
 
 
 def phrase_lengths(sents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Mean number of childless tokens per tree."""
-    return _sentence_trees(sents, key).where("shape IS NOT NULL").groupBy(key).agg(F.avg("shape.leaves").alias("average_phrase_length"))
+    """Mean number of childless tokens per tree; 0 without a tree."""
+    mean = F.coalesce(F.avg("shape.leaves"), F.lit(0.0))
+    return _sentence_trees(sents, key).groupBy(key).agg(mean.alias("average_phrase_length"))
 
 
 def pos_distribution(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -212,8 +212,7 @@ def syntax_struct(clean: Column) -> Column:
     """All token, entity, chunk and tree features of a cleaned text as one struct."""
 
     def per_sentence(toks: Column) -> Column:
-        n = F.size(toks)
-        return F.when((n >= 2) & (n < X.TREE_TOKEN_LIMIT), tree_shape(rule_heads(toks)))
+        return F.when(F.size(toks) >= 2, tree_shape(rule_heads(toks)))
 
     def rules_of(toks: Column, shape: Column) -> Column:
         """Surface forms of the tokens with children."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,13 +97,23 @@ def remove_metric(df: DataFrame, endpoint: str, variable: str | None = None, key
 
 # -- joins with configuration -----------------------------------------------
 
+def first_of(cfg: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for each key: the smallest by the other columns in their order, so a repeated key never multiplies rows."""
+    rest = [c for c in cfg.columns if c not in keys]
+    if not rest:
+        return cfg.distinct()
+    best = cfg.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first"))
+    return best.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*cfg.columns)
+
+
 def lookup_metric_config(stats: DataFrame, cfg: DataFrame) -> DataFrame:
     """Statistics rows ``(url, variable, ...)`` with their metric type and bounds.
 
     Reserved variables are logged for every url; other variables only where
-    ``cfg(url, variable, type, buckets)`` names them.
+    ``cfg(url, variable, type, buckets)`` names them.  Of several rows for one
+    url and variable the smallest by the other columns counts.
     """
-    joined = stats.join(lookup_table(cfg), ["url", "variable"], "left")
+    joined = stats.join(lookup_table(first_of(cfg, ["url", "variable"])), ["url", "variable"], "left")
     reserved = F.col("variable").isin(*RESERVED_METRICS)
     kind = (
         F.when(F.col("variable") == "_latency", "scalar").when(F.col("variable") == "_count", "counter").otherwise(F.col("type"))
@@ -140,10 +152,11 @@ def match_prefix_config(endpoints: DataFrame, cfg: DataFrame, url: str = "url")
 def resolve_endpoint(requests: DataFrame, static: DataFrame, monitored: DataFrame, url: str = "url") -> DataFrame:
     """Adds ``model_id`` and ``found_in``; static endpoints win over monitored ones.
 
-    A request without an endpoint keeps nulls: ``unresolved`` selects those.
+    A request without an endpoint keeps nulls: ``unresolved`` selects those.  Of
+    several models for one url the smallest id counts.
     """
-    s = lookup_table(static.select(F.col(url), F.col("model_id").alias("_s")))
-    m = lookup_table(monitored.select(F.col(url), F.col("model_id").alias("_m")))
+    s = lookup_table(first_of(static.select(F.col(url), F.col("model_id").alias("_s")), [url]))
+    m = lookup_table(first_of(monitored.select(F.col(url), F.col("model_id").alias("_m")), [url]))
     return (
         requests.join(s, url, "left")
         .join(m, url, "left")

@@ -89,10 +89,13 @@ def misclassified_rows(df: DataFrame, label: str = "label", pred: str = "predict
 def score_counts(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Positives and negatives per distinct score, written once.
 
+    Rows without a score (null or NaN) or label are no points of a curve.
+
     The curve needs this table three times (range bounds, range totals, rows);
     the scored data itself is read only here.
     """
-    per = df.groupBy(score).agg(_n(F.col(label) == 1).alias("_pos"), _n(F.col(label) != 1).alias("_neg"))
+    known = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
+    per = known.groupBy(score).agg(_n(F.col(label) == 1).alias("_pos"), _n(F.col(label) != 1).alias("_neg"))
     return written(per.withColumn("_desc", -F.col(score).cast("double")), "scores")
 
 

@@ -11,16 +11,23 @@ SCALER_SCHEMA = "col string, min double, max double, mean double, std double"
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Minimum, maximum, mean and population std of each column, in one pass."""
+    """Minimum, maximum, mean and population std of each column, in one pass.
+
+    Nulls and NaN do not count; a column without any other value has nulls.
+    """
     columns = list(columns)
+
+    def known(c: str) -> Column:
+        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
     one = df.agg(
         *[
             F.struct(
                 F.lit(c).alias("col"),
-                F.min(F.col(c).cast("double")).alias("min"),
-                F.max(F.col(c).cast("double")).alias("max"),
-                F.avg(F.col(c).cast("double")).alias("mean"),
-                F.stddev_pop(F.col(c).cast("double")).alias("std"),
+                F.min(known(c)).alias("min"),
+                F.max(known(c)).alias("max"),
+                F.avg(known(c)).alias("mean"),
+                F.stddev_pop(known(c)).alias("std"),
             ).alias(f"s{i}")
             for i, c in enumerate(columns)
         ]
@@ -40,7 +47,7 @@ def _apply(df: DataFrame, scaled: Mapping[str, Column]) -> DataFrame:
 
 
 def minmax_transform(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Min-max scaling; a constant column becomes 0."""
+    """Min-max scaling; a constant column becomes 0, NaN and null stay what they are."""
     stats = _stats(scaler)
 
     def scale(c: str) -> Column:
@@ -53,7 +60,7 @@ def minmax_transform(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -
 
 
 def standard_transform(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Zero mean, unit population std; a constant column becomes 0."""
+    """Zero mean, unit population std; a constant column becomes 0, NaN and null stay what they are."""
     stats = _stats(scaler)
 
     def scale(c: str) -> Column:

@@ -98,9 +98,11 @@ def lexicon_scores(
     )
 
 
-def lexicon_map(hits: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``lexicon_hits`` folded into one map per document."""
-    return hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("category", "hits"))).alias("lexicon"))
+def lexicon_map(hits: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``lexicon_hits`` folded into one map for each of ``documents``; empty without a hit."""
+    folded = hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("category", "hits"))).alias("lexicon"))
+    none = F.create_map().cast("map<string,bigint>")
+    return documents.select(key).join(folded, key, "left").select(key, F.coalesce("lexicon", none).alias("lexicon"))
 
 
 def unfamiliar_words(tokens: DataFrame, familiar: DataFrame, key: str = "doc_id") -> DataFrame:

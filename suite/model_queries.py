@@ -129,6 +129,7 @@ def _one_feature_sql() -> str:
     return """WITH x AS (SELECT l.quality AS y, least(3, d.n_chars // 1000) AS bin FROM documents d JOIN labels l USING (doc_id)),
 p AS (SELECT avg(y) AS p FROM x)
 SELECT 'big' AS term, bin::INT AS bin, round(sum(y - p) / (count(*) * any_value(p) * (1 - any_value(p))), 6) AS score FROM x, p GROUP BY bin
+UNION ALL SELECT 'big', max(bin)::INT + 1, 0.0 FROM x
 UNION ALL SELECT 'intercept', 0, round(ln(p / (1 - p)), 6) FROM p"""
 
 
@@ -143,7 +144,9 @@ def v10c(spark, sf):
 
 MODEL = AD.AdditiveModel(
     ["n_chars", "n_marks"], {"n_chars": [500.0, 2000.0], "n_marks": [10.0]}, -0.5, [("n_chars", "n_marks")],
-    {"n_chars": [-0.4, 0.1, 0.7], "n_marks": [0.2, -0.3], "n_chars & n_marks": [0.01, 0.02, 0.03, 0.04, 0.05, 0.06]},
+    # the last bin of each feature is for missing values
+    {"n_chars": [-0.4, 0.1, 0.7, 0.0], "n_marks": [0.2, -0.3, 0.0],
+     "n_chars & n_marks": [0.01, 0.02, 0.0, 0.03, 0.04, 0.0, 0.05, 0.06, 0.0, 0.0, 0.0, 0.0]},
 )
 CONTRIB = """f AS (SELECT doc_id, n_chars, len(regexp_extract_all(text, '[.?!,]')) AS n_marks FROM documents),
 b AS (SELECT doc_id, CASE WHEN n_chars <= 500 THEN 0 WHEN n_chars <= 2000 THEN 1 ELSE 2 END AS a, CASE WHEN n_marks <= 10 THEN 0 ELSE 1 END AS m FROM f),
@@ -255,11 +258,10 @@ def f4(spark, sf):
     return rows.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-@query("f6_chained_steps", "SELECT DISTINCT text, 1 AS label, 'src' AS source FROM documents WHERE lang = 'en'")
+@query("f6_chained_steps", "SELECT DISTINCT text, 1 AS label, 'src' AS source FROM documents")
 def f6(spark, sf):
     steps = (
         table(spark, sf, "documents")
-        .where("lang = 'en'")
         .transform(P.with_literal, "label", 1)
         .transform(P.with_literal, "source", "src")
         .transform(P.distinct_rows, ["text", "label", "source"])
@@ -270,7 +272,7 @@ def f6(spark, sf):
 
 # -- whole plans ------------------------------------------------------------
 
-PICKED = ("textual_entropy", "semantic_density", "num_tokens", "max_depth", "unique_rules", "gunning_fog", "dale_chall")
+PICKED = ("textual_entropy", "semantic_density", "num_tokens", "max_depth", "unique_rules", "gunning_fog", "dale_chall", "depth_variability")
 DRAWS = f"""e AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {draw_hex_sql('doc_id', 42)}, doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM {ESSAYS_SQL}),
 d AS (SELECT DISTINCT label, n, unnest(range(1, 101)) AS draw_no FROM e),
 a AS (SELECT label, draw_no, floor({draw_sql("(label || '/' || draw_no)", 42)} * n)::BIGINT + 1 AS rn FROM d),
@@ -298,7 +300,7 @@ def plan_features(spark, sf):
 @query(
     "plan_scaled_features",
     f"""WITH {DRAWS}, f AS ({feature_sql(raw=True)}), j AS (SELECT p.doc_id, p.draw_no, {', '.join('f.' + c for c in PICKED)} FROM picks p JOIN f USING (doc_id))
-SELECT doc_id, draw_no, {', '.join(f'round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 4) AS {c}_scaled' for c in PICKED)} FROM j""",
+SELECT doc_id, draw_no, {', '.join(f'round(({c} - min({c}) FILTER (WHERE NOT isnan({c}::DOUBLE)) OVER ()) / (max({c}) FILTER (WHERE NOT isnan({c}::DOUBLE)) OVER () - min({c}) FILTER (WHERE NOT isnan({c}::DOUBLE)) OVER ()), 4) AS {c}_scaled' for c in PICKED)} FROM j""",
 )
 def plan_scaled(spark, sf):
     out = _pipeline(spark, sf, True)

@@ -267,10 +267,12 @@ def t11(spark, sf):
     "t11b_lexicon_map",
     f"""WITH {S.CLEAN}, {LEXICON}, all_t AS (SELECT doc_id, unnest({S.words('lower(t)')}) AS token FROM clean),
 h AS (SELECT doc_id, category, count(*) AS hits FROM all_t JOIN lexicon USING (token) GROUP BY ALL)
-SELECT doc_id, count(*) AS categories, sum(hits)::BIGINT AS hits, max(hits) FILTER (WHERE category = 'help') AS help FROM h GROUP BY doc_id""",
+SELECT c.doc_id, count(category) AS categories, coalesce(sum(hits), 0)::BIGINT AS hits, max(hits) FILTER (WHERE category = 'help') AS help
+FROM clean c LEFT JOIN h USING (doc_id) GROUP BY c.doc_id""",
 )
 def t11b(spark, sf):
-    m = K.lexicon_map(K.lexicon_hits(K.token_rows(clean_docs(spark, sf)), lexicon(spark, sf)))
+    base = clean_docs(spark, sf)
+    m = K.lexicon_map(K.lexicon_hits(K.token_rows(base), lexicon(spark, sf)), base)
     total = F.aggregate(F.map_values("lexicon"), F.lit(0).cast("bigint"), lambda a, b: a + b)
     return m.select("doc_id", big(F.size("lexicon"), "categories"), total.alias("hits"), F.try_element_at("lexicon", F.lit("help")).alias("help"))
 
@@ -381,15 +383,21 @@ def t20(spark, sf):
     f"""{RECURSIVE}, lab AS (SELECT n.doc_id, count(k.pos) FILTER (WHERE n.token = 'the') AS label_count
   FROM nodes n LEFT JOIN kids k ON k.doc_id = n.doc_id AND k.sent_id = n.sent_id AND k.pos = n.pos GROUP BY n.doc_id),
 phr AS (SELECT doc_id, avg(leaves) AS average_phrase_length FROM shape GROUP BY doc_id)
-SELECT t.doc_id, label_count, round(average_phrase_length, 6) AS average_phrase_length, round(mean_tree_height, 6) AS mean_tree_height
-FROM trees t JOIN lab USING (doc_id) JOIN phr USING (doc_id)""",
+SELECT c.doc_id, coalesce(label_count, 0) AS label_count, round(coalesce(average_phrase_length, 0.0), 6) AS average_phrase_length,
+  round(coalesce(mean_tree_height, 0.0), 6) AS mean_tree_height
+FROM clean c LEFT JOIN trees t USING (doc_id) LEFT JOIN lab USING (doc_id) LEFT JOIN phr USING (doc_id)""",
 )
 def t20b(spark, sf):
-    sents = A.annotate_sentences(clean_docs(spark, sf))
-    stats = A.tree_stats(sents).select("doc_id", r6("mean_tree_height"))
-    return (
-        A.label_counts(sents, "the").join(A.phrase_lengths(sents), "doc_id").join(stats, "doc_id")
-        .select("doc_id", "label_count", r6("average_phrase_length"), "mean_tree_height")
+    base = clean_docs(spark, sf)
+    sents = A.annotate_sentences(base)
+    stats = A.tree_stats(sents).select("doc_id", "mean_tree_height")
+    out = base.select("doc_id")
+    for part in (A.label_counts(sents, "the"), A.phrase_lengths(sents), stats):
+        out = out.join(part, "doc_id", "left")
+    zero = F.lit(0)
+    return out.select(
+        "doc_id", F.coalesce("label_count", zero).alias("label_count"),
+        r6(F.coalesce("average_phrase_length", zero), "average_phrase_length"), r6(F.coalesce("mean_tree_height", zero), "mean_tree_height"),
     )
 
 

@@ -120,7 +120,7 @@ annot AS (
       OVER (PARTITION BY doc_id, sent_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM flagged))"""
 
 # Sentence trees by recursion over heads: depth, path and size limits.
-TREES = """sizes AS (SELECT doc_id, sent_id, count(*) AS n FROM annot GROUP BY ALL HAVING count(*) BETWEEN 2 AND 511),
+TREES = """sizes AS (SELECT doc_id, sent_id, count(*) AS n FROM annot GROUP BY ALL HAVING count(*) >= 2),
 nodes AS (SELECT a.doc_id, a.sent_id, a.pos, a.head, a.token FROM annot a JOIN sizes USING (doc_id, sent_id)),
 walk AS (
   SELECT doc_id, sent_id, pos, token, 0 AS depth, lpad(CAST(pos AS VARCHAR), 6, '0') AS path FROM nodes WHERE head = 0

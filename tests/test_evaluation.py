@@ -44,3 +44,10 @@ def test_one_class(spark):
     df = spark.createDataFrame([(1, 0.2), (1, 0.5)], "label int, score double")
     assert E.roc_auc(df).first()["auc"] == 0.0
     assert E.pr_curve(df).count() == 2
+
+
+def test_missing_scores_are_no_points_of_a_curve(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.4), (1, None), (0, float("nan")), (None, 0.95)], "label int, score double")
+    rows = E.roc_curve(df).orderBy("threshold").collect()
+    assert [(r["threshold"], r["tp"], r["fp"]) for r in rows] == [(0.4, 1, 1), (0.9, 1, 0)]
+    assert E.roc_auc(df).first()["auc"] == 1.0 and E.pr_curve(df).count() == 2

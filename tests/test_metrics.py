@@ -180,3 +180,14 @@ def test_streams_resume_from_a_given_root(spark):
     assert run() == {("u", "_count"): 2.0}
     spark.createDataFrame([("u", "_count", "3"), ("u", "other", "1")], schema).write.parquet(f"{path}/1")
     assert run() == {("u", "_count"): 5.0}
+
+
+def test_repeated_configuration_does_not_multiply_rows(spark):
+    stats = spark.createDataFrame([("u", "x", 1.0), ("u", "_latency", 2.0)], "url string, variable string, value double")
+    cfg = spark.createDataFrame([("u", "x", "scalar", [2.0]), ("u", "x", "enum", [1.0])], "url string, variable string, type string, buckets array<double>")
+    got = C.lookup_metric_config(stats, cfg).collect()
+    assert sorted((r["variable"], r["type"]) for r in got) == [("_latency", "scalar"), ("x", "enum")]
+    requests = spark.createDataFrame([("u",), ("v",)], "url string")
+    models = spark.createDataFrame([("u", "b"), ("u", "a")], "url string, model_id string")
+    got = C.resolve_endpoint(requests, models, models).collect()
+    assert sorted((r["url"], r["model_id"]) for r in got) == [("u", "a"), ("v", None)]

@@ -83,11 +83,32 @@ def test_one_newton_step_by_hand(spark):
     data = [(float(i >= 4), int(i in (3, 5, 6, 7))) for i in range(8)]
     df = spark.createDataFrame(data, "x double, label int")
     model = AD.fit_additive_boosting(df, ["x"], bins=4, rounds=1, lr=1.0)
-    assert model.intercept == 0.0 and model.scores["x"] == pytest.approx([-1.0, 1.0])
+    assert model.intercept == 0.0 and model.scores["x"] == pytest.approx([-1.0, 1.0, 0.0])
     with pytest.raises(ValueError):
         AD.fit_additive_boosting(df.where("label = 1"), ["x"])
 
 
+def test_missing_values_have_a_bin_of_their_own(spark):
+    data = [(0.0, 0), (1.0, 0), (2.0, 1), (3.0, 1), (None, 1), (None, 1), (float("nan"), 1), (None, 0)]
+    df = spark.createDataFrame(data, "x double, label int")
+    model = AD.fit_additive_boosting(df, ["x"], bins=2, rounds=1, lr=1.0)
+    assert len(model.bounds["x"]) == 1 and len(model.scores["x"]) == 3
+    score = {str(r["x"]): r["score"] for r in AD.predict_additive(df, model).collect()}
+    assert score["None"] == score["nan"] and score["0.0"] < score["nan"] < score["3.0"]
+
+
+def test_scaler_ignores_missing_values(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "x double")
+    scaler = scaling.fit_scaler(df, ["x"])
+    assert tuple(scaler.first())[1:] == (1.0, 3.0, 2.0, 1.0)
+    got = [r[0] for r in scaling.minmax_transform(df, scaler, ["x"]).collect()]
+    assert got[:2] == [0.0, 1.0] and got[2] != got[2] and got[3] is None
+    got = [r[0] for r in scaling.standard_transform(df, scaler, ["x"]).collect()]
+    assert got[:2] == [-1.0, 1.0]
+    none = df.where("x is null or isnan(x)")
+    assert scaling.minmax_transform(none, scaling.fit_scaler(none, ["x"]), ["x"]).count() == 2
+
+
 def test_scorer_contract_and_registry(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [-3.0, 0.0])], "id int, v array<double>")
     out = scorer.batch_score(df, scorer.engine("linear", "v", [1.0, 1.0]), "id int, v array<double>, score double, prediction int")

@@ -85,10 +85,33 @@ def test_single_token_sentences_have_no_tree(spark):
     assert got[2]["max_depth"] == 1 and got[2]["total_nodes"] == 2 and got[2]["depth_variability"] == 0.0
 
 
-def test_long_sentences_have_no_tree(spark):
-    df = sentences(spark, [(1, 1, ["w"] * 512, [0] + [1] * 511), (2, 1, ["w"] * 511, [0] + [1] * 510)])
-    got = {r["doc_id"]: r["total_nodes"] for r in A.tree_stats(df).collect()}
-    assert got == {1: 0, 2: 511}
+def brute_shape(heads):
+    kids = {}
+    for i, h in enumerate(heads, 1):
+        kids.setdefault(h, []).append(i)
+    depth, todo = {}, [(kids[0][0], 0)]
+    while todo:
+        p, d = todo.pop()
+        depth[p] = d
+        todo += [(c, d + 1) for c in kids.get(p, [])]
+    spine, p = 0, kids[0][0]
+    while p in kids:
+        spine, p = spine + 1, kids[p][0]
+    return max(depth.values()), len(kids.get(kids[0][0], [])), len(heads), sum(i not in kids for i in range(1, len(heads) + 1)), spine
+
+
+def test_long_sentences_have_trees_like_any_other(spark):
+    rng = random.Random(6)
+    n = 5000
+    shapes = {
+        1: [0] + [1] * (n - 1), 2: [i // 2 for i in range(1, n + 1)], 3: list(range(n)), 4: [0] + [rng.randint(1, i) for i in range(1, n)],
+        5: list(range(2, 2002)) + [0], 6: [0] + [max(1, i - rng.randint(0, 2)) for i in range(1, n)], 7: [0, 1], 8: [2, 0],
+    }
+    df = sentences(spark, [(k, 1, ["w"] * len(h), h) for k, h in shapes.items()])
+    trees = df.select("doc_id", tree_shape(F.col("head")).alias("s")).collect()
+    got = {r["doc_id"]: tuple(r["s"][c] for c in ("depth", "branching", "nodes", "leaves", "spine")) for r in trees}
+    assert got == {k: brute_shape(h) for k, h in shapes.items()}
+    assert {r["doc_id"]: r["total_nodes"] for r in A.tree_stats(df).collect()} == {k: len(h) for k, h in shapes.items()}
 
 
 def test_spread_of_depths(spark):
