@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import EMOJI_RANGES, MEANING_TAGS
 from .base import as_col, let, safe_div
+from .inrow import character_entropy
 
 # Java and RE2 know only ASCII behind \w and \s, so the classes are spelled out.
 WORD = r"[\p{L}\p{N}_]"
@@ -218,19 +219,9 @@ def text_counts(c: Column | str) -> Column:
 def textual_entropy(c: Column | str) -> Column:
     """Shannon entropy (bits) of the characters; empty text is 0.
 
-    Sorting the characters turns each distinct one into a run, so one regex
-    pass yields all counts inside the row.
+    Characters are counted in one array of bounded size, however long the text is.
     """
-    text = as_col(c)
-    ordered = F.array_join(F.sort_array(F.split(text, "")), "")
-    n = F.length(text).cast("double")
-
-    def entropy(runs: Column) -> Column:
-        part = F.transform(runs, lambda r: F.length(r).cast("double") / n)
-        return F.aggregate(part, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
-
-    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), F.lit(0))
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(let(runs, entropy))
+    return character_entropy(as_col(c))
 
 
 def density_of(tokens: Column) -> Column:

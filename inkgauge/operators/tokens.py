@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.base import safe_div
-from ..session import lookup_table
+from ..functions.inrow import token_hits, token_numbers
+from ..session import lookup_table, small_rows, written
 
 
 def sentence_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,12 +91,33 @@ def lexicon_scores(
     df: DataFrame, lexicon: DataFrame, categories: Sequence[str], key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Category hits over the token count, one column per category."""
-    low = X.tokenize(F.lower(F.col(text)))
-    hits = lexicon_counts(df.select(key, F.explode(low).alias("token")), lexicon, categories, key)
-    sized = df.select(key, F.size(X.tokenize(text)).alias("_n"))
-    return sized.join(hits, key, "left").select(
-        key, *[safe_div(F.coalesce(F.col(c), F.lit(0)), F.col("_n")).alias(c) for c in categories]
-    )
+    sized = df.select(key, F.size(X.tokenize(text)).alias("_n"), F.array_join(X.tokenize(F.lower(F.col(text))), " ").alias("_low"))
+    hits = in_row_hits(sized, F.col("_low"), lexicon, categories, key)
+    return hits.select(key, *[safe_div(F.get("_hits", F.lit(i)), F.col("_n")).alias(c) for i, c in enumerate(categories)])
+
+
+def in_row_hits(
+    df: DataFrame, tokens: Column, lexicon: DataFrame, categories: Sequence[str], key: str = "doc_id"
+) -> DataFrame:
+    """``df`` with an array ``_hits`` of counts in the order of ``categories``.
+
+    ``tokens`` is a text of tokens joined by single blanks.  A lexicon within the
+    bounds of ``small_rows`` is counted inside each row; a larger one by a join
+    of the exploded tokens, with the same result.
+    """
+    index = {c: i for i, c in enumerate(categories)}
+    table = written(lexicon.where(F.col("category").isin(*categories)).select("token", "category").distinct(), "lexicon")
+    rows = small_rows(table)
+    if rows is None:
+        exploded = df.select(key, F.explode(F.split(tokens, " ")).alias("token"))
+        counts = lexicon_counts(exploded, table, categories, key)
+        counts = counts.select(F.col(key).alias("_key"), F.array(*[F.col(c) for c in categories]).alias("_found"))
+        none = F.array_repeat(F.lit(0).cast("bigint"), len(categories))
+        return df.join(counts, F.col(key) == F.col("_key"), "left").withColumn("_hits", F.coalesce("_found", none)).drop("_key", "_found")
+    named: dict[str, list[int]] = {}
+    for r in rows:
+        named.setdefault(r["token"], []).append(index[r["category"]])
+    return df.withColumn("_hits", token_hits(tokens, named, len(categories)))
 
 
 def lexicon_map(hits: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -156,23 +178,31 @@ def encode_tokens(
     """Token ids and attention mask, truncated and padded to ``max_length``.
 
     Ids of the special tokens are those of ``build_vocab``: pad 0, unknown 1,
-    start 2, end 3.  A text is cut to ``max_length - 2`` tokens before the
-    explode, so neither the join nor the regrouping sees more than that.
+    start 2, end 3.  A text is cut to ``max_length - 2`` tokens; ``truncated``
+    says whether it had more.  A vocabulary within the bounds of ``small_rows`` is
+    looked up inside the row, a larger one by a join.
     """
     room = max_length - 2
-    cut = df.select(key, F.slice(X.tokenize(F.lower(F.col(text))), 1, room).alias("toks"))
-    rows = cut.select(key, F.posexplode_outer("toks").alias("pos", "token"))
-    ids = rows.join(lookup_table(vocab), "token", "left").groupBy(key).agg(
-        F.sort_array(
-            F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(1)).alias("id"))))
-        ).alias("pairs")
-    )
-    body = F.concat(F.array(F.lit(2)), F.transform("pairs", lambda p: p["id"].cast("int")), F.array(F.lit(3)))
-    pad = F.lit(max_length) - F.size("pairs") - 2
+    toks = df.select(key, X.tokenize(F.lower(F.col(text))).alias("_all")).select(
+        key, F.slice("_all", 1, room).alias("toks"), (F.size("_all") > room).alias("truncated")
+    )
+    table = written(vocab.select("token", "token_id"), "vocab")
+    rows = small_rows(table)
+    if rows is not None:
+        number = token_numbers(F.array_join("toks", " "), {r["token"]: r["token_id"] for r in rows}, 1)
+        ids = toks.select(key, "truncated", number.alias("body"))
+    else:
+        exploded = toks.select(key, "truncated", F.posexplode_outer("toks").alias("pos", "token"))
+        pair = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(1)).cast("int").alias("id")))
+        ids = exploded.join(table, "token", "left").groupBy(key, "truncated").agg(F.sort_array(F.collect_list(pair)).alias("p"))
+        ids = ids.select(key, "truncated", F.col("p.id").alias("body"))
+    body = F.concat(F.array(F.lit(2)), "body", F.array(F.lit(3)))
+    pad = F.lit(max_length) - F.size("body") - 2
     return ids.select(
         key,
         F.concat(body, F.array_repeat(F.lit(0), pad)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size("pairs") + 2), F.array_repeat(F.lit(0), pad)).alias("attention_mask"),
+        F.concat(F.array_repeat(F.lit(1), F.size("body") + 2), F.array_repeat(F.lit(0), pad)).alias("attention_mask"),
+        "truncated",
     )
 
 

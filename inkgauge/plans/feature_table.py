@@ -1,9 +1,8 @@
 """The feature table: one wide row per document.
 
-Cleaning, readability, entropy, density and syntax are computed inside the
-document row, so they add no shuffle.  Lexicon and familiar-word look-ups need
-exploded tokens; both share one broadcast join and one aggregate per document,
-combined before it moves.  The two sides meet on ``doc_id``.
+One scan and one cleaning chain: readability, entropy, density, syntax and the
+hits of a lexicon and of familiar words are computed inside the document row, so
+nothing is shuffled.  Only a lexicon too large to be shipped is joined.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from ..functions.vectors import std_pop_of
 from ..operators.annotate import syntax_struct
 from ..operators.frame import features_long
 from ..operators.flow import text_flow
-from ..operators.tokens import lexicon_counts
+from ..operators.tokens import in_row_hits
 from ..session import spread
 
 # Feature -> group shown next to it in a breakdown.
@@ -42,8 +41,8 @@ def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", order: str =
     return df.select(key, X.clean_text(text, order).alias("clean"))
 
 
-def row_features(clean: DataFrame, key: str = "doc_id", with_flow: bool = False) -> DataFrame:
-    """Everything that needs only the document itself."""
+def row_features(clean: DataFrame, key: str = "doc_id", with_flow: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Everything that needs only the document itself, besides the columns to ``keep``."""
     flow = [text_flow("clean").alias("semantic_flow_variability")] if with_flow else []
     staged = clean.select(
         key,
@@ -51,6 +50,7 @@ def row_features(clean: DataFrame, key: str = "doc_id", with_flow: bool = False)
         X.textual_entropy("clean").alias("textual_entropy"),
         X.density_of(X.tokenize(F.lower("clean"))).alias("semantic_density"),
         *flow,
+        *keep,
         syntax_struct(F.col("clean")).alias("syn"),
     )
     return staged.select(
@@ -59,6 +59,7 @@ def row_features(clean: DataFrame, key: str = "doc_id", with_flow: bool = False)
         "textual_entropy",
         "semantic_density",
         *(["semantic_flow_variability"] if with_flow else []),
+        *keep,
         "syn.*",
     ).select(
         "*",
@@ -71,10 +72,14 @@ def lookup_counts(
     clean: DataFrame, lexicon: DataFrame, familiar: DataFrame, categories: Sequence[str] = LEXICON_CATEGORIES,
     key: str = "doc_id",
 ) -> DataFrame:
-    """Hits per document, one column per category and one for familiar words."""
+    """``clean`` with the array ``_hits``: one count for each category and a last one for familiar words.
+
+    Words of both tables meet the text in its own form, so they get the same
+    final-s step as the text.
+    """
     table = lexicon.select("category", "token").unionByName(familiar.select(F.lit(FAMILIAR).alias("category"), "token"))
-    tokens = clean.select(key, F.explode(X.tokenize(F.lower("clean"))).alias("token"))
-    return lexicon_counts(tokens, table, [*categories, FAMILIAR], key)
+    table = table.select("category", F.lower(X.lemmatize_text("token")).alias("token"))
+    return in_row_hits(clean, F.lower("clean"), table, [*categories, FAMILIAR], key)
 
 
 def feature_table(
@@ -93,11 +98,10 @@ def feature_table(
     is declared, so no job runs to discover the columns.  ``with_flow`` adds
     ``semantic_flow_variability`` from hashed sentence vectors.
     """
-    clean = cleaned(spread(df.select(key, text), key), key, text, order)
-    rows = row_features(clean, key, with_flow)
-    joined = rows.join(lookup_counts(clean, lexicon, familiar, categories, key), key, "left")
+    clean = lookup_counts(cleaned(spread(df.select(key, text), key), key, text, order), lexicon, familiar, categories, key)
+    joined = row_features(clean, key, with_flow, ["_hits"])
     w, s = F.col("n_words"), F.col("n_sentences")
-    difficult = w - F.coalesce(F.col(FAMILIAR), F.lit(0))
+    difficult = w - F.get("_hits", F.lit(len(categories)))
     scores = {
         "flesch_kincaid_grade": R.flesch_kincaid_grade(w, s, F.col("n_syllables")),
         "gunning_fog": R.gunning_fog(w, s, F.col("n_polysyllables")),
@@ -115,7 +119,7 @@ def feature_table(
         *TREE_FEATURES,
         *EXTRA_TREE_FEATURES,
         "most_common_rule",
-        *[safe_div(F.coalesce(F.col(c), F.lit(0)), F.col("num_tokens")).alias(c) for c in categories],
+        *[safe_div(F.get("_hits", F.lit(i)), F.col("num_tokens")).alias(c) for i, c in enumerate(categories)],
     )
 
 

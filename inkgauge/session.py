@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup table is shipped to every executor only below both bounds.
+# A lookup table is captured by a function of the tasks only below both bounds.
 LOOKUP_MAX_ROWS = 200_000
 LOOKUP_MAX_BYTES = 16 * 1024 * 1024
 # The least input a partition of a spread table holds.
@@ -60,24 +60,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup_table(
-    df: DataFrame,
-    max_rows: int = LOOKUP_MAX_ROWS,
-    max_bytes: int = LOOKUP_MAX_BYTES,
-) -> DataFrame:
-    """Evaluate a lookup side once and hint a broadcast only when it is small.
+def lookup_table(df: DataFrame) -> DataFrame:
+    """A lookup side, evaluated once into the shared folder.
 
-    At most ``max_rows + 1`` rows come back.  Within both bounds the result is
-    an in-memory relation with a broadcast hint.  Beyond them the table is
-    written to the shared folder and joined by shuffle, whatever its size.
+    The size of the written table is known, so Spark ships it to all tasks if it
+    is below its own limit and shuffles it otherwise; no row passes the driver.
     """
-    spark = df.sparkSession
-    probe = df.limit(max_rows + 1).toArrow()
-    if probe.num_rows <= max_rows and probe.nbytes <= max_bytes:
-        return F.broadcast(spark.createDataFrame(probe, schema=df.schema))
     return written(df, "lookup")
 
 
+def small_rows(table: DataFrame, max_rows: int = LOOKUP_MAX_ROWS, max_bytes: int = LOOKUP_MAX_BYTES) -> list[Row] | None:
+    """All rows of a written table, or None beyond either bound.
+
+    Both are measured before a row moves, so what the driver holds and tasks get
+    is bounded in rows and in bytes.
+    """
+    rows, size = table.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))).first()
+    if rows > max_rows or (size or 0) > max_bytes:
+        return None
+    return table.collect()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread the rows of a small input over the cores.
 

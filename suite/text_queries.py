@@ -27,21 +27,33 @@ def clean_docs(spark, sf):
     return cleaned(docs(spark, sf)).withColumnRenamed("clean", "text")
 
 
-# Category of a token: its draw over the declared list.
+# Categories of a token: two draws over the declared list, equal or not.
 def lexicon(spark, sf):
-    """``(category, token)`` from the words of the benchmark texts."""
+    """``(category, token)`` from the words of the benchmark texts; most words are in two categories."""
     tok = table(spark, sf, "benchmark", "text").select(
         F.explode(X.words(F.lower("text"))).alias("token")
     ).distinct()
-    at = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % len(LEXICON_CATEGORIES)
     names = F.array(*[F.lit(c) for c in LEXICON_CATEGORIES])
-    return tok.select(F.get(names, at.cast("int")).alias("category"), "token")
+
+    def drawn(first: int):
+        at = F.conv(F.substring(F.md5("token"), first, 8), 16, 10).cast("bigint") % len(LEXICON_CATEGORIES)
+        return F.get(names, at.cast("int"))
+
+    return tok.select(F.explode(F.array_distinct(F.array(drawn(1), drawn(9)))).alias("category"), "token")
 
 
 NAMES = "[" + ", ".join(S.lit(c) for c in LEXICON_CATEGORIES) + "]"
-LEXICON = f"""lexicon AS (
-  SELECT DISTINCT token, {NAMES}[1 + ('0x' || substr(md5(token), 1, 8))::BIGINT % {len(LEXICON_CATEGORIES)}] AS category
-  FROM (SELECT unnest({S.words('lower(text)')}) AS token FROM benchmark))"""
+def lexicon_sql(form: str = "token") -> str:
+    """The lexicon, its words in the given form."""
+    return f"""lexicon AS (
+  SELECT DISTINCT {form} AS token, {NAMES}[1 + ('0x' || substr(md5(token), first, 8))::BIGINT % {len(LEXICON_CATEGORIES)}] AS category
+  FROM (SELECT unnest({S.words('lower(text)')}) AS token FROM benchmark), (VALUES (1), (9)) AS v(first))"""
+
+
+LEXICON = lexicon_sql()
+# In the feature table the words of both tables have the form the cleaned text has.
+LEXICON_FORMS = lexicon_sql(S.lemma("token"))
+FAMILIAR_FORMS = S.FAMILIAR.replace("familiar AS (", "raw_familiar AS (", 1) + f", familiar AS (SELECT DISTINCT {S.lemma('token')} AS token FROM raw_familiar)"
 
 
 def familiar(spark, sf):
@@ -442,7 +454,7 @@ def feature_sql(raw: bool = False) -> str:
             cols.append(f"round(coalesce({c}, 'NaN'::DOUBLE), 6) AS {c}")
         else:
             cols.append(out(f"coalesce({c}, 0.0)", c))
-    return f"""{RECURSIVE}, {S.COUNTS}, {S.FAMILIAR}, {DIFFICULT}, {S.ENTROPY}, {S.DENSITY}, {LEXICON}, {HITS},
+    return f"""{RECURSIVE}, {S.COUNTS}, {FAMILIAR_FORMS}, {DIFFICULT}, {S.ENTROPY}, {S.DENSITY}, {LEXICON_FORMS}, {HITS},
 {TOKEN_STATS}, {ENTITY_STATS}, {CHUNK_STATS}
 SELECT j.doc_id, most_common_rule, {', '.join(cols)}, lex.* EXCLUDE (doc_id)
 FROM judged j LEFT JOIN entropy USING (doc_id) LEFT JOIN density USING (doc_id) LEFT JOIN tstats USING (doc_id)

@@ -4,12 +4,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inkgauge.functions import text
 from inkgauge.functions import vectors as VX
 from inkgauge.operators import additive as AD
 from inkgauge.operators import flow
 from inkgauge.operators import models as MD
 from inkgauge.operators import scaling, scorer, tokens
 from inkgauge.operators.frame import interpret_score
+from inkgauge.plans.feature_table import feature_table
 
 
 def test_double_softmax_is_confined(one):
@@ -133,10 +135,44 @@ def test_encoding_pads_truncates_and_marks(spark):
     assert got[3] == ([2, 3] + [0] * 6, [1, 1] + [0] * 6)
 
 
-def test_lookup_beyond_the_bound_is_not_broadcast(spark):
-    from inkgauge.session import lookup_table
+def test_encoding_by_join_and_truncation_flag(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b a zz"), (2, " ".join(["a"] * 50)), (3, ""), (4, "a b a zz b a")], "doc_id int, text string")
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, token_id int")
+    one = tokens.encode_tokens(docs, vocab, 8).collect()
+    monkeypatch.setattr(tokens, "small_rows", lambda table: None)
+    assert sorted(one) == sorted(tokens.encode_tokens(docs, vocab, 8).collect())
+    assert {r["doc_id"]: r["truncated"] for r in one} == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_small_rows_are_bounded_in_rows_and_bytes(spark):
+    from inkgauge.session import lookup_table, small_rows, written
+
+    table = written(spark.range(100).selectExpr("id", "repeat('x', 100) AS t"), "t")
+    assert len(small_rows(table)) == 100
+    assert small_rows(table, max_rows=99) is None and small_rows(table, max_bytes=5000) is None
+    assert lookup_table(spark.range(7)).count() == 7 and small_rows(table.limit(0)) == []
+
+
+def test_lexicon_in_the_row_and_by_join_agree(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "This is a class . Assist this class , no ."), (2, ""), (3, None), (4, "zzz")], "doc_id int, text string")
+    lex = spark.createDataFrame([("a", "this"), ("b", "this"), ("a", "class"), ("b", "assist"), ("c", "none"), ("x", "is")], "category string, token string")
+    rows = [tokens.lexicon_scores(docs, lex, ["a", "b", "c"]).collect()]
+    monkeypatch.setattr(tokens, "small_rows", lambda table: None)
+    rows.append(tokens.lexicon_scores(docs, lex, ["a", "b", "c"]).collect())
+    assert sorted(rows[0]) == sorted(rows[1])
+    assert {r["doc_id"]: (r["a"], r["b"], r["c"]) for r in rows[0]}[1] == (4 / 11, 3 / 11, 0.0)
+
+
+def test_lexicon_and_familiar_words_meet_the_text_in_its_form(spark):
+    docs = spark.createDataFrame([(1, "This is a class. Assist this class.")], "doc_id int, text string")
+    lex = spark.createDataFrame([("a", "this"), ("b", "class"), ("c", "assist")], "category string, token string")
+    known = spark.createDataFrame([("this",), ("is",), ("a",), ("class",), ("assist",)], "token string")
+    row = feature_table(docs, lex, known, ["a", "b", "c"]).first()
+    assert (row["a"], row["b"], row["c"]) == (2 / 9, 2 / 9, 1 / 9) and row["dale_chall"] < 1
+
 
-    small, large = lookup_table(spark.range(10)), lookup_table(spark.range(100), max_rows=50)
-    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
-    assert large.count() == 100
+def test_entropy_of_characters(spark):
+    texts = ["", "aaaa", "ab", "a\U0001F600", "abcd", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: r["e"] for r in df.select("id", text.textual_entropy("t").alias("e")).collect()}
+    assert got == {0: 0.0, 1: 0.0, 2: 1.0, 3: 1.0, 4: 2.0, 5: None}

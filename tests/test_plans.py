@@ -11,7 +11,7 @@ from inkgauge.operators import config as C
 from inkgauge.operators import evaluation as E
 from inkgauge.operators import frame as P
 from inkgauge.operators import routing, sampling, tokens, versions
-from inkgauge.plans.feature_table import cleaned, lookup_counts, row_features
+from inkgauge.plans.feature_table import cleaned, feature_table, row_features
 
 
 def plan(df):
@@ -43,9 +43,19 @@ def test_scan_reads_only_what_is_used(docs):
     assert "EqualTo(label,1)" in filtered and "ReadSchema: struct<doc_id:bigint,label:int>" in filtered
 
 
-def test_lookups_are_broadcast_and_counted_before_the_shuffle(spark, docs):
+def test_feature_table_is_one_scan_without_a_shuffle(spark, docs):
     lex = spark.createDataFrame([("c", "cat"), ("d", "old")], "category string, token string")
-    df = lookup_counts(cleaned(docs), lex, lex.select("token"))
+    df = feature_table(docs, lex, lex.select("token"), ["c", "d"])
+    text = plan(df)
+    # a table of one split is dealt to the cores first, and nothing moves after that
+    assert shuffles(df) == text.count("REPARTITION_BY_NUM") <= 1
+    assert "Join" not in text and text.count("FileScan") == 1
+
+
+def test_large_lexicon_is_joined_and_counted_before_the_shuffle(spark, docs):
+    lex = spark.createDataFrame([("c", "cat"), ("d", "old")], "category string, token string")
+    words = cleaned(docs).select("doc_id", F.explode(F.split(F.lower("clean"), " ")).alias("token"))
+    df = tokens.lexicon_counts(words, lex, ["c", "d"])
     text = plan(df)
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and shuffles(df) == 2
     assert text.index("partial_count") > text.rindex("Exchange hash")  # printed top down
