@@ -68,13 +68,13 @@ def token_numbers(tokens: Column, table: Mapping[str, int], unknown: int) -> Col
 
 
 def mapped_tokens(tokens: Column, table: Mapping[str, str], otherwise: Column) -> Column:
-    """Tokens replaced by the table; tokens it does not name come from ``otherwise``, token by token."""
+    """Tokens replaced by the table of lower-case ones; others come from ``otherwise``, token by token."""
     table = dict(table)
 
     def call(texts: pa.Array, others: pa.Array) -> pa.Array:
         out = []
         for a, b in zip(texts.to_pylist(), others.to_pylist()):
-            out.append(None if a is None else " ".join(table.get(x, y) for x, y in zip(a.split(" "), b.split(" "))))
+            out.append(None if a is None else " ".join(table.get(x.lower(), y) for x, y in zip(a.split(" "), b.split(" "))))
         return pa.array(out, pa.string())
 
     return F.arrow_udf(call, "string")(tokens, otherwise)

@@ -467,6 +467,38 @@ def t22(spark, sf):
     return feature_output(feature_table(docs(spark, sf), lexicon(spark, sf), familiar(spark, sf)))
 
 
+# Annotations of another kind than the rules give: trees that are no heaps, entities of several tokens.
+OTHER_ANNOT = S.ANNOT.replace("\nannot AS (", "\nrule_annot AS (", 1) + """,
+annot AS (SELECT doc_id, sent_id, pos, token, lemma, tag, CASE WHEN pos = 1 THEN 0 WHEN pos % 3 = 0 THEN 1 ELSE pos - 1 END::INT AS head,
+  CASE WHEN ent_id IS NOT NULL THEN pos // 2 END AS ent_id, chunk_id FROM rule_annot)"""
+OTHER_ENTITIES = """spans AS (SELECT doc_id, sent_id, ent_id, string_agg(token, ' ' ORDER BY pos) AS span FROM annot WHERE ent_id IS NOT NULL GROUP BY ALL),
+estats AS (
+  SELECT d.doc_id, count(span) AS num_entities, count(DISTINCT span) AS num_distinct_entities, coalesce(avg(length(span)), 0.0) AS average_entity_length
+  FROM (SELECT DISTINCT doc_id FROM annot) d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id)"""
+OTHER_DENSITY = f"""density AS (SELECT doc_id, avg(CASE WHEN token IN (SELECT token FROM raw_familiar) THEN 0.0::DOUBLE
+  WHEN {S.tag('token')} IN {S.MEANING} THEN 1.0 ELSE 0.0 END) AS semantic_density
+  FROM (SELECT doc_id, unnest({S.tokens('lower(t)')}) AS token FROM clean) WHERE {S.kept('token')} GROUP BY doc_id)"""
+
+
+def other_annotations(spark, sf):
+    """Token rows with heads and spans of their own, as another annotator would give them."""
+    rows = A.annotate(clean_docs(spark, sf))
+    pos = F.col("pos")
+    return rows.withColumn("head", F.when(pos == 1, 0).when(pos % 3 == 0, 1).otherwise(pos - 1).cast("int")).withColumn(
+        "ent_id", F.when(F.col("ent_id").isNotNull(), F.floor(pos / 2)).cast("int")
+    )
+
+
+@query(
+    "t22b_feature_table_annotated",
+    feature_sql().replace(S.ANNOT, OTHER_ANNOT).replace(ENTITY_STATS, OTHER_ENTITIES).replace(S.DENSITY, OTHER_DENSITY),
+)
+def t22b(spark, sf):
+    sents = A.collect_annotations(other_annotations(spark, sf))
+    tags = familiar(spark, sf).withColumn("tag", F.lit("DT"))
+    return feature_output(feature_table(docs(spark, sf), lexicon(spark, sf), familiar(spark, sf), annotations=sents, tags=tags))
+
+
 GROUP_NAMES = " ".join(f"WHEN '{f}' THEN '{g}'" for f, g in FEATURE_GROUPS.items() if f not in LEXICON_CATEGORIES)
 
 

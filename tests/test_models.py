@@ -176,3 +176,31 @@ def test_entropy_of_characters(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     got = {r["id"]: r["e"] for r in df.select("id", text.textual_entropy("t").alias("e")).collect()}
     assert got == {0: 0.0, 1: 0.0, 2: 1.0, 3: 1.0, 4: 2.0, 5: None}
+
+
+def test_lemma_table_in_cleaning_and_lookups(spark, monkeypatch):
+    from inkgauge.plans import feature_table as FT
+
+    docs = spark.createDataFrame([(1, "Mice ran. The glass was thin, cats!"), (2, ""), (3, None)], "doc_id int, text string")
+    lemmas = spark.createDataFrame([("mice", "mouse"), ("ran", "run"), ("glass", "glass"), ("was", "be"), (None, "x")], "token string, lemma string")
+    one = {r["doc_id"]: r["clean"] for r in FT.cleaned(docs, lemmas=lemmas).collect()}
+    assert one[1] == "mouse run . The glass be thin , cat !" and not one[2] and not one[3]
+    lex = spark.createDataFrame([("a", "mice"), ("a", "cats"), ("b", "glass")], "category string, token string")
+    row = FT.feature_table(docs, lex, lex.select("token"), ["a", "b"], lemmas=lemmas).where("doc_id = 1").first()
+    assert (row["a"], row["b"]) == (2 / 10, 1 / 10)
+    monkeypatch.setattr(FT, "small_rows", lambda table: None)
+    assert FT.cleaned(docs, lemmas=lemmas).where("doc_id = 1").first()["clean"] == one[1]
+
+
+def test_sentence_vectors_and_missing_annotations(spark):
+    from inkgauge.operators import annotate as A
+    from inkgauge.plans.feature_table import feature_table as table
+
+    docs = spark.createDataFrame([(1, "One two three. Four five."), (2, "Six seven.")], "doc_id int, text string")
+    lex = spark.createDataFrame([("a", "one")], "category string, token string")
+    vectors = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0]), (1, 3, [0.0, 2.0])], "doc_id int, sent_id int, embedding array<double>")
+    sents = A.annotate_sentences(docs.where("doc_id = 1"))
+    rows = {r["doc_id"]: r for r in table(docs, lex, lex.select("token"), ["a"], annotations=sents, vectors=vectors).collect()}
+    assert rows[1]["semantic_flow_variability"] == pytest.approx(0.5) and rows[2]["semantic_flow_variability"] == 0.0
+    assert rows[1]["num_sentences"] == 2 and rows[2]["num_sentences"] == 0 and rows[2]["most_common_rule"] is None
+    assert math.isnan(rows[2]["depth_variability"])
