@@ -15,6 +15,9 @@ from ..functions.base import draw, draw_hex
 from ..session import lookup_table
 from .ordering import draw_cuts, draw_ranked
 
+# Draws with replacement that one row stands for.
+DRAW_BLOCK = 10_000
+
 
 def sample_per_label(df: DataFrame, n: int, seed: int, label: str = "label", key: str = "doc_id") -> DataFrame:
     """Exactly ``n`` rows per label (all rows of a smaller label), without replacement."""
@@ -39,7 +42,12 @@ def sample_per_label_replace(
     """Exactly ``n`` draws per label with replacement; ``draw_no`` numbers them."""
     known = df.where(F.col(label).isNotNull())
     sizes = known.groupBy(label).agg(F.count("*").alias("_size"))
-    draws = sizes.select(label, "_size", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("cut"))
+    # a label's draws come from blocks of their own, so no row or task makes them all
+    blocks = sizes.select(label, "_size", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // DRAW_BLOCK))).alias("_block"))
+    first, last = F.col("_block") * DRAW_BLOCK + 1, F.least(F.lit(n), (F.col("_block") + 1) * DRAW_BLOCK)
+    if n > DRAW_BLOCK:
+        blocks = blocks.repartition(label, "_block")
+    draws = blocks.select(label, "_size", F.explode(F.sequence(first, last)).alias("cut"))
     tag = F.concat_ws("/", F.col(label).cast("string"), F.col("cut").cast("string"))
     wanted = draws.select(
         label, "cut", (F.floor(draw(tag, seed) * F.col("_size")) + 1).cast("bigint").alias("_at")

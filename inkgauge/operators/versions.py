@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import lookup_table
+from ..session import lookup_table, written
 from .ordering import ranked, with_range
 
 
@@ -38,7 +38,8 @@ def assign_versions(models: DataFrame, current: DataFrame, max_versions: int | N
     so the most recently updated model gets the highest number.
     """
     wanted = latest_models(models, max_versions) if max_versions else models
-    joined = known_versions(wanted.select("base_url", "model_id", "updated"), current)
+    # read several times below
+    joined = written(known_versions(wanted.select("base_url", "model_id", "updated"), current), "models")
     top = current.groupBy("base_url").agg(F.max("version").alias("_top"))
     seen = joined.where("version IS NOT NULL").select("base_url", "model_id", F.col("version").cast("bigint").alias("version"))
     fresh = joined.where("version IS NULL").drop("version")

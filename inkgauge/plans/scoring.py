@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..fixed import FEATURES
 from ..functions import text as X
@@ -14,6 +15,7 @@ from ..operators.frame import interpret_score
 from ..operators.routing import route_canary
 from ..session import fresh_path
 from ..sources.stats import pack_batches
+from ..streaming.metrics import DRAIN, start_batches
 from ..streaming.requests import request_stats, sample_stream
 from .feature_table import feature_table
 
@@ -56,15 +58,23 @@ def score_stream(
     requests: DataFrame, targets: DataFrame, static: DataFrame, monitored: DataFrame, score: Column, seed: int,
     freq: float = 1.0, key: str = "request_id", max_bytes: int = 1_000_000, root: str | None = None,
 ) -> str:
-    """Score a stream of ``key, url, text, latency`` and report its statistics.
+    """Drain a stream of requests through ``start_score_stream``; returns the root with ``scored`` and ``messages``."""
+    root = root or fresh_path(requests.sparkSession, "scoring")
+    start_score_stream(requests, targets, static, monitored, score, seed, root, freq, key, max_bytes).awaitTermination()
+    return root
+
+
+def start_score_stream(
+    requests: DataFrame, targets: DataFrame, static: DataFrame, monitored: DataFrame, score: Column, seed: int, root: str,
+    freq: float = 1.0, key: str = "request_id", max_bytes: int = 1_000_000, trigger: Mapping[str, object] = DRAIN,
+) -> StreamingQuery:
+    """Start scoring a stream of ``key, url, text, latency`` and reporting its statistics.
 
     Every batch writes its scored rows, then derives statistics messages from
     the rows just written, so a text is scored once for both sinks.  Folders are
-    named by batch, so a repeated batch overwrites itself.  Returns the root
-    with ``scored`` and ``messages``.
+    named by batch, so a repeated batch overwrites itself.
     """
     spark = requests.sparkSession
-    root = root or fresh_path(spark, "scoring")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         path = f"{root}/scored/batch={batch_id}"
@@ -81,9 +91,4 @@ def score_stream(
         messages = pack_batches(events, key, max_bytes, fields)
         messages.select("message").write.mode("overwrite").text(f"{root}/messages/batch={batch_id}")
 
-    query = (
-        requests.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return root
+    return start_batches(requests, apply, root, trigger)

@@ -7,10 +7,12 @@ to disk, under a checkpoint in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..fixed import LATENCY_BOUNDS
 from ..operators.config import auto_registered, lookup_metric_config
@@ -100,61 +102,95 @@ def latest_batch(spark: SparkSession, path: str) -> str | None:
     return f"{path}/batch={max(ids)}" if ids else None
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete", root: str | None = None) -> DataFrame:
-    """Drain a stream into a table of the shared folder and return the table.
+#: Takes what has arrived and ends; any other trigger of Spark runs on.
+DRAIN = {"availableNow": True}
 
-    Each batch of a complete stream replaces the table under a new batch folder,
-    so a batch that runs again after a failure writes the same folder.  A given
-    ``root`` resumes from its checkpoint.
+
+def start_batches(
+    stream: DataFrame, fold: Callable[[DataFrame, int], None], root: str, trigger: Mapping[str, object] = DRAIN, mode: str = "append"
+) -> StreamingQuery:
+    """Start ``fold(batch, batch_id)`` on every batch and return the running query.
+
+    The checkpoint under ``root`` resumes a stream that was stopped.  With
+    ``{"processingTime": "10 seconds"}`` and the like it runs until it is stopped.
     """
-    spark = stream.sparkSession
-    root = root or fresh_path(spark, name)
-    schema = stream.schema
+    writer = stream.writeStream.outputMode(mode).foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint")
+    return writer.trigger(**trigger).start()
+
 
+def start_to_table(
+    stream: DataFrame, root: str, mode: str = "complete", trigger: Mapping[str, object] = DRAIN
+) -> StreamingQuery:
+    """Start a stream into a table under ``root``; ``read_table`` reads it at any time.
+
+    Each batch of a complete stream replaces the table under a new batch folder,
+    so a batch that runs again after a failure writes the same folder.
+    """
     if mode == "append":
-        query = (
+        return (
             stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
-            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(**trigger).start()
         )
-        query.awaitTermination()
-        return spark.read.schema(schema).parquet(f"{root}/out")
 
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(replace)
-        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    newest = latest_batch(spark, f"{root}/out")
-    return spark.read.schema(schema).parquet(newest) if newest else spark.createDataFrame([], schema)
+    return start_batches(stream, replace, root, trigger, mode)
 
 
-def metrics_stream(
-    events: DataFrame, to_stats: Callable[[DataFrame], DataFrame], read_config: Callable[[], DataFrame],
-    name: str = "metrics", root: str | None = None,
-) -> DataFrame:
-    """Per-batch metrics with the configuration read anew for every batch.
+def read_table(spark: SparkSession, root: str, schema: StructType | str, mode: str = "complete", folder: str = "out") -> DataFrame:
+    """What a stream has written under ``root`` so far."""
+    path = f"{root}/{folder}" if mode == "append" else latest_batch(spark, f"{root}/{folder}")
+    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "complete", root: str | None = None) -> DataFrame:
+    """Drain a stream into a table of the shared folder and return the table.
 
-    A changed configuration applies from the next batch on.  Each batch adds one
-    small table of partial totals (its url, variable and bucket counts); the
-    result adds the parts up.
+    A given ``root`` resumes from its checkpoint.
     """
-    spark = events.sparkSession
+    spark = stream.sparkSession
     root = root or fresh_path(spark, name)
+    start_to_table(stream, root, mode).awaitTermination()
+    return read_table(spark, root, stream.schema, mode)
+
+
+TOTALS = "url string, variable string, type string, bucket string, n bigint, total double"
+
+
+def start_metrics(
+    events: DataFrame, to_stats: Callable[[DataFrame], DataFrame], read_config: Callable[[], DataFrame], root: str,
+    trigger: Mapping[str, object] = DRAIN,
+) -> StreamingQuery:
+    """Start running metrics; ``read_table(spark, root, TOTALS, folder="totals")`` reads them at any time.
+
+    The configuration is read anew for every batch, so a changed one applies from
+    the next batch on.  Each batch adds its own counts to the totals of the batch
+    before it and writes them as a new small table; earlier ones are not read
+    again.  A batch that runs again starts from the same totals.
+    """
+    spark = events.sparkSession
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         part = running_metrics(to_stats(batch), read_config())
-        part.write.mode("overwrite").parquet(f"{root}/parts/batch={batch_id}")
+        if batch_id:
+            part = part.unionByName(spark.read.parquet(f"{root}/totals/batch={batch_id - 1}").select(*part.columns))
+        totals = part.groupBy("url", "variable", "type", "bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        totals.write.mode("overwrite").parquet(f"{root}/totals/batch={batch_id}")
 
-    query = (
-        events.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    parts = spark.read.parquet(f"{root}/parts")
-    return parts.groupBy("url", "variable", "type", "bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return start_batches(events, fold, root, trigger)
+
+
+def metrics_stream(
+    events: DataFrame, to_stats: Callable[[DataFrame], DataFrame], read_config: Callable[[], DataFrame],
+    name: str = "metrics", root: str | None = None,
+) -> DataFrame:
+    """Drain a stream of events into running metrics and return the totals so far."""
+    spark = events.sparkSession
+    root = root or fresh_path(spark, name)
+    start_metrics(events, to_stats, read_config, root).awaitTermination()
+    newest = latest_batch(spark, f"{root}/totals")
+    return spark.read.parquet(newest) if newest else spark.createDataFrame([], TOTALS)
 
 
 def auto_register_endpoints(stats: DataFrame, configured: DataFrame) -> DataFrame:

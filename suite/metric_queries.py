@@ -211,6 +211,28 @@ def m5(spark, sf):
     return M.metrics_stream(event_stream(spark, sf), stats_rows, lambda: spark.read.parquet(path), "m5")
 
 
+EVEN = METRICS_SQL.replace("FROM events", "FROM (SELECT * FROM events WHERE event_id % 2 = 0) events")
+ODD = METRICS_SQL.replace("FROM events", "FROM (SELECT * FROM events WHERE event_id % 2 = 1) events").replace(
+    "WHERE s.variable IN ('_latency', '_count') OR c.type IS NOT NULL", "WHERE s.variable IN ('_latency', '_count')"
+)
+
+
+@query(
+    "m5b_config_changed",
+    f"SELECT url, variable, type, bucket, sum(n)::BIGINT AS n, sum(total) AS total FROM (({EVEN}) UNION ALL ({ODD})) GROUP BY ALL",
+)
+def m5b(spark, sf):
+    """Half of the events, then a configuration without variables of its own, then the other half by the same stream."""
+    root, path = fresh_path(spark, "m5b"), fresh_path(spark, "arriving")
+    events = table(spark, sf, "events")
+    configs = [metric_cfg(spark), metric_cfg(spark).limit(0)]
+    for rest in (0, 1):
+        events.where(F.col("event_id") % 2 == rest).write.mode("append").parquet(path)
+        arriving = spark.readStream.schema(events.schema).parquet(path)
+        out = M.metrics_stream(arriving, stats_rows, lambda now=configs[rest]: now, root=root)
+    return out
+
+
 @query(
     "m4_gauge_stream",
     f"""WITH r AS (SELECT ts, event_id, event_type AS url, json_extract_string(props, '$.k') AS k, user_id::VARCHAR AS user FROM events)

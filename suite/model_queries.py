@@ -78,6 +78,43 @@ def v7(spark, sf):
     return scored.select("vec_id", big("label"), r6("score"), big("prediction"))
 
 
+# A model of one 0/1 feature that may fit freely gives each value its share of positives.
+ONE_FLAG = "(SELECT (d.n_chars > 2000)::INT AS flag, l.quality AS y FROM documents d JOIN labels l USING (doc_id))"
+
+
+def flagged(spark, sf):
+    df = essays(spark, sf).join(table(spark, sf, "documents", "doc_id", "n_chars"), "doc_id")
+    flag = (F.col("n_chars") > 2000).cast("int")
+    return MD.assemble_features(df.select(flag.alias("flag"), F.col("label").cast("double").alias("label")), ["flag"])
+
+
+@query("v7b_logistic_closed_form", f"SELECT flag, count(*) AS n, round(avg(y), 4) AS score FROM {ONE_FLAG} GROUP BY flag")
+def v7b(spark, sf):
+    df = flagged(spark, sf)
+    scored = MD.positive_probability(MD.fit_logistic(df, maxIter=200, tol=1e-12).transform(df))
+    return scored.groupBy("flag").agg(F.count("*").alias("n"), F.round(F.max("score"), 4).alias("score"))
+
+
+@query("v9c_boosted_one_split", f"SELECT flag, round(avg(y), 6) AS prediction FROM {ONE_FLAG} GROUP BY flag")
+def v9c(spark, sf):
+    df = flagged(spark, sf)
+    scored = MD.fit_boosted_trees(df, rounds=1, maxDepth=1).transform(df)
+    return scored.groupBy("flag").agg(r6(F.max("prediction"), "prediction"))
+
+
+@query(
+    "v8c_voting_of_tables",
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.vec_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rn FROM e a CROSS JOIN e b),
+k AS (SELECT vec_id, avg(label) FILTER (WHERE rn <= 3) AS a, avg(label) FILTER (WHERE rn <= 7) AS b FROM d GROUP BY vec_id)
+SELECT vec_id, round((a + b + label) / 3, 6) AS prediction FROM k JOIN e USING (vec_id)""",
+)
+def v8c(spark, sf):
+    df = table(spark, sf, "embeddings")
+    own = df.select("vec_id", F.col("label").cast("double").alias("prediction"))
+    return MD.voting_average([MD.knn_regress(df, df, 3), MD.knn_regress(df, df, 7), own], "vec_id").select("vec_id", r6("prediction"))
+
+
 @query("v9_fit_boosted_trees")
 def v9(spark, sf):
     """Boosted regression with the error on a held-out fifth."""
@@ -142,6 +179,24 @@ def v10c(spark, sf):
     return model.to_table(spark).select("term", "bin", r6("score"))
 
 
+@query(
+    "v10d_additive_two_steps",
+    """WITH x AS (SELECT l.quality AS y, least(3, d.n_chars // 1000) AS bin FROM documents d JOIN labels l USING (doc_id)),
+p AS (SELECT avg(y) AS p FROM x),
+one AS (SELECT bin, any_value(p) AS p, sum(y - p) / (count(*) * any_value(p) * (1 - any_value(p))) AS s, count(*) AS n, sum(y) AS y FROM x, p GROUP BY bin),
+two AS (SELECT bin, s, n, y, 1 / (1 + exp(-(ln(p / (1 - p)) + s))) AS q FROM one)
+SELECT 'big' AS term, bin::INT AS bin, round(s + (y - n * q) / (n * q * (1 - q)), 5) AS score FROM two
+UNION ALL SELECT 'big', max(bin)::INT + 1, 0.0 FROM x
+UNION ALL SELECT 'intercept', 0, round(ln(p / (1 - p)), 5) FROM p""",
+)
+def v10d(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "n_chars")
+    labels = table(spark, sf, "labels", "doc_id", F.col("quality").alias("label"))
+    df = docs.join(labels, "doc_id").select("label", F.least(F.lit(3), F.floor(F.col("n_chars") / 1000)).alias("big"))
+    model = AD.fit_additive_boosting(df, ["big"], bins=400, rounds=2, lr=1.0)
+    return model.to_table(spark).select("term", "bin", (F.round("score", 5) + 0.0).alias("score"))
+
+
 MODEL = AD.AdditiveModel(
     ["n_chars", "n_marks"], {"n_chars": [500.0, 2000.0], "n_marks": [10.0]}, -0.5, [("n_chars", "n_marks")],
     # the last bin of each feature is for missing values
@@ -203,14 +258,16 @@ def v14(spark, sf):
     )
 
 
-@query("s8_save_load_model")
+@query("s8_save_load_model", "SELECT vec_id, true AS same FROM embeddings")
 def s8(spark, sf):
+    """Scores of a saved and loaded model next to those of the model itself."""
     df = vecs(spark, sf)
     root = fresh_path(spark, "models")
-    model = Pipeline(stages=[LogisticRegression(maxIter=5)]).fit(df)
+    model = Pipeline(stages=[LogisticRegression(maxIter=20)]).fit(df)
     sinks.save_model(model, root, "m1", "logistic", ["test"])
-    scored = sinks.load_model(spark, root, "m1").transform(df)
-    return scored.select("vec_id", big("prediction"))
+    own = MD.positive_probability(model.transform(df)).select("vec_id", F.col("score").alias("own"))
+    loaded = MD.positive_probability(sinks.load_model(spark, root, "m1").transform(df)).select("vec_id", "score")
+    return own.join(loaded, "vec_id").select("vec_id", (F.col("own") == F.col("score")).alias("same"))
 
 
 # -- the scoring contract ---------------------------------------------------

@@ -191,3 +191,29 @@ def test_repeated_configuration_does_not_multiply_rows(spark):
     models = spark.createDataFrame([("u", "b"), ("u", "a")], "url string, model_id string")
     got = C.resolve_endpoint(requests, models, models).collect()
     assert sorted((r["url"], r["model_id"]) for r in got) == [("u", "a"), ("v", None)]
+
+
+def test_a_stream_runs_on_until_it_is_stopped(spark, tmp_path):
+    import time
+
+    path, root = str(tmp_path / "in"), fresh_path(spark, "running")
+    spark.range(3).write.parquet(path)
+    stream = spark.readStream.schema("id long").parquet(path).groupBy().count()
+    query = M.start_to_table(stream, root, trigger={"processingTime": "100 milliseconds"})
+
+    def wait_for(n):
+        end = time.time() + 60
+        while time.time() < end:
+            rows = M.read_table(spark, root, "count long").collect()
+            if rows and rows[0]["count"] == n:
+                return True
+            time.sleep(0.3)
+        return False
+
+    try:
+        assert wait_for(3) and query.isActive
+        spark.range(4).write.mode("append").parquet(path)
+        assert wait_for(7)
+    finally:
+        query.stop()
+    assert M.read_table(spark, fresh_path(spark, "none"), "count long").count() == 0
