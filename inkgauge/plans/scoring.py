@@ -10,14 +10,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..fixed import FEATURES
 from ..functions import text as X
+from ..functions.vectors import argmax, positive_score
 from ..operators.config import resolve_endpoint
 from ..operators.frame import interpret_score
 from ..operators.routing import route_canary
+from ..operators.scaling import minmax_transform
+from ..operators.tokens import encode_tokens
 from ..session import fresh_path
 from ..sources.stats import pack_batches
 from ..streaming.metrics import DRAIN, start_batches
 from ..streaming.requests import request_stats, sample_stream
-from .feature_table import feature_table
+from .feature_table import cleaned, feature_table
 
 
 def score_requests(
@@ -54,6 +57,42 @@ def score_features(
     return requests.drop("text").join(reply, key).withColumn("verdict", interpret_score("score"))
 
 
+def score_reply(
+    requests: DataFrame, vocab: DataFrame, logits: Callable[[DataFrame], DataFrame], lexicon: DataFrame, familiar: DataFrame,
+    scaler: DataFrame | None = None, key: str = "request_id", max_length: int = 128,
+) -> DataFrame:
+    """One reply per request: ``key, label, probability, features``.
+
+    The text is cleaned as in serving and encoded to ``input_ids``; ``logits``
+    (an expression, an engine or a fitted model over the ids) adds a column of
+    that name: its largest gives the label, ``positive_score`` the probability.  The
+    features of the same text come as a map; those a saved ``scaler`` names are
+    min-max scaled by it.  Serves a table as well as each batch of a stream.
+    """
+    ids = encode_tokens(cleaned(requests, key, "text", "serving"), vocab, max_length, key, "clean")
+    scored = logits(ids).select(key, argmax("logits").alias("label"), positive_score("logits").alias("probability"))
+    table = feature_table(requests.select(key, "text"), lexicon, familiar, key=key, order="serving")
+    names = [f for f in FEATURES if f in table.columns]
+    known = {r["col"] for r in scaler.select("col").collect()} if scaler is not None else set()
+    scaled = [f for f in names if f in known]
+    if scaled:
+        table = minmax_transform(table, scaler, scaled)
+    values = [F.col(f"{f}_scaled" if f in known else f).cast("double") for f in names]
+    features = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*values))
+    return scored.join(table.select(key, features.alias("features")), key)
+
+
+def start_reply_stream(
+    requests: DataFrame, reply: Callable[[DataFrame], DataFrame], root: str, trigger: Mapping[str, object] = DRAIN
+) -> StreamingQuery:
+    """Start replying to a stream: ``reply`` (``score_reply`` with its tables) on every batch, under ``root/replies``."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        reply(batch).write.mode("overwrite").parquet(f"{root}/replies/batch={batch_id}")
+
+    return start_batches(requests, apply, root, trigger)
+
+
 def score_stream(
     requests: DataFrame, targets: DataFrame, static: DataFrame, monitored: DataFrame, score: Column, seed: int,
     freq: float = 1.0, key: str = "request_id", max_bytes: int = 1_000_000, root: str | None = None,

@@ -15,6 +15,7 @@ from inkgauge.operators import evaluation as E
 from inkgauge.operators import frame as P
 from inkgauge.operators import models as MD
 from inkgauge.operators import sampling, scorer
+from inkgauge.operators.tokens import build_vocab
 from inkgauge.plans import scoring, training
 from inkgauge.plans.pipeline import features_pipeline
 from inkgauge.session import fresh_path, written
@@ -22,7 +23,7 @@ from inkgauge.sources import sinks, stats
 
 from . import textsql as S
 from .base import ESSAYS_SQL, big, draw_hex_sql, draw_sql, essays, query, r6, table
-from .text_queries import INTS, familiar, feature_sql, lexicon
+from .text_queries import INTS, VOCAB, familiar, feature_sql, lexicon
 
 # Weights of the linear model by rule.
 WEIGHTS = [((i * 7) % 11 - 5) / 10 for i in range(64)]
@@ -430,6 +431,50 @@ def plan_score_feats(spark, sf):
     )
 
 
+REPLY_SQL = f"""WITH {VOCAB}, serving AS (SELECT doc_id, {S.clean('text', 'serving')} AS t FROM documents),
+cut AS (SELECT doc_id, unnest(list_slice({S.tokens('lower(t)')}, 1, 126)) AS token FROM serving),
+ids AS (SELECT doc_id, count(*) FILTER (WHERE coalesce(v.token_id, 1) = 1) * 0.01::DOUBLE AS a, count(*) FILTER (WHERE v.token_id > 3) * 0.02::DOUBLE AS b
+  FROM cut LEFT JOIN vocab v USING (token) GROUP BY doc_id),
+y AS (SELECT d.doc_id, coalesce(a, 0.0) AS a, coalesce(b, 0.0) AS b FROM documents d LEFT JOIN ids USING (doc_id)),
+z AS (SELECT *, exp(b) / (exp(a) + exp(b)) AS p FROM y),
+f AS ({feature_sql(raw=True).replace(S.CLEAN, f"clean AS (SELECT doc_id, {S.clean('text', 'serving')} AS t FROM documents)")})
+SELECT z.doc_id, (b > a)::INT AS label, round(exp(p) / (exp(1 - p) + exp(p)), 6) AS probability, round((num_tokens - 10) / 490.0::DOUBLE, 6) AS num_tokens,
+  round(textual_entropy / 8.0::DOUBLE, 6) AS textual_entropy, round(semantic_density, 6) AS semantic_density FROM z JOIN f USING (doc_id)"""
+
+
+def _reply(spark, sf):
+    scaler = spark.createDataFrame(
+        [("num_tokens", 10.0, 500.0, 0.0, 1.0), ("textual_entropy", 0.0, 8.0, 0.0, 1.0)], "col string, min double, max double, mean double, std double"
+    )
+    vocab = build_vocab(table(spark, sf, "documents", "doc_id", "text"), 2000)
+    lex, known = lexicon(spark, sf), familiar(spark, sf)
+
+    def counted(ids):
+        unknown, named = (F.size(F.filter("input_ids", f)).cast("double") for f in (lambda x: x == 1, lambda x: x > 3))
+        return ids.withColumn("logits", F.array(unknown * 0.01, named * 0.02))
+
+    return lambda rows: scoring.score_reply(rows, vocab, counted, lex, known, scaler, key="doc_id")
+
+
+def _reply_columns(df):
+    f = F.col("features")
+    return df.select("doc_id", F.col("label").cast("int").alias("label"), r6("probability"), *[r6(f[c], c) for c in ("num_tokens", "textual_entropy", "semantic_density")])
+
+
+@query("plan_score_reply", REPLY_SQL)
+def plan_reply(spark, sf):
+    return _reply_columns(_reply(spark, sf)(table(spark, sf, "documents", "doc_id", "text")))
+
+
+@query("plan_score_reply_stream", REPLY_SQL)
+def plan_reply_stream(spark, sf):
+    schema = table(spark, sf, "documents").schema
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]").select("doc_id", "text")
+    root = fresh_path(spark, "reply")
+    scoring.start_reply_stream(raw, _reply(spark, sf), root).awaitTermination()
+    return _reply_columns(spark.read.parquet(f"{root}/replies"))
+
+
 @query("plan_train_evaluate")
 def plan_train(spark, sf):
     """Balanced sample, split, random search, refit and evaluation on the held-out part."""
