@@ -112,14 +112,11 @@ def nearest_neighbours(
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        cols = ["q", "neighbour", "label", "distance"]
         if left.empty or right.empty:
-            return pd.DataFrame({"q": [], "neighbour": [], "label": [], "distance": []}).astype(
-                {"q": "int64", "neighbour": "int64", "label": "float64", "distance": "float64"}
-            )
+            return pd.DataFrame({"q": left["q"][:0], "neighbour": right["t"][:0], "label": right["y"][:0], "distance": right["y"][:0]})
         right = right.sort_values("t", ignore_index=True)
         tv = np.stack(right["v"].to_numpy()).astype("float64")
-        parts = []
+        asked, found, far = [], [], []
         # a slice of queries at a time keeps the distance matrix small
         for at in range(0, len(left), 256):
             some = left.iloc[at : at + 256]
@@ -128,20 +125,23 @@ def nearest_neighbours(
             take = min(k, near.shape[1])
             # candidates within rounding of the k-th distance, then exact distances
             kth = np.partition(near, take - 1, axis=1)[:, take - 1]
-            for i, (qid, limit) in enumerate(zip(some["q"], kth)):
-                cand = np.flatnonzero(near[i] <= limit + 1e-9 * (1.0 + abs(limit)))
-                exact = np.sqrt(((tv[cand] - qv[i]) ** 2).sum(1))
-                keep = cand[np.lexsort((right["t"].to_numpy()[cand], exact))[:take]]
-                dist = np.sqrt(((tv[keep] - qv[i]) ** 2).sum(1))
-                parts.append(
-                    pd.DataFrame(
-                        {"q": qid, "neighbour": right["t"].to_numpy()[keep], "label": right["y"].to_numpy()[keep], "distance": dist}
-                    )
-                )
-        return pd.concat(parts, ignore_index=True)[cols]
+            i, cand = np.nonzero(near <= (kth + 1e-9 * (1.0 + np.abs(kth)))[:, None])
+            exact = np.sqrt(((tv[cand] - qv[i]) ** 2).sum(1))
+            # rows are sorted by their key, so equal distances keep the lower one
+            order = np.lexsort((cand, exact, i))
+            i, cand, exact = i[order], cand[order], exact[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            kept = place < take
+            asked.append(some["q"].to_numpy()[i[kept]])
+            found.append(cand[kept])
+            far.append(exact[kept])
+        found = np.concatenate(found)
+        return pd.DataFrame(
+            {"q": np.concatenate(asked), "neighbour": right["t"].to_numpy()[found], "label": right["y"].to_numpy()[found], "distance": np.concatenate(far)}
+        )
 
     partial = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(
-        best, "q bigint, neighbour bigint, label double, distance double"
+        best, f"q {dict(queries.dtypes)[key]}, neighbour {dict(train.dtypes)[key]}, label double, distance double"
     )
     w = Window.partitionBy("q").orderBy("distance", "neighbour")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("q", key)

@@ -45,16 +45,17 @@ def event_variables(events: DataFrame) -> DataFrame:
 
 
 def pack_batches(
-    df: DataFrame, key: str, max_bytes: int, columns: Sequence[str] | None = None, blocks: int | None = None
+    df: DataFrame, key: str, max_bytes: int, columns: Sequence[str] | None = None, blocks: int | None = None,
+    block_bytes: int = 64 * 1024 * 1024,
 ) -> DataFrame:
     """``block, chunk, n, bytes, message``: JSON arrays that stay within ``max_bytes``.
 
     Rows are dealt to blocks by a seeded draw, so no block depends on a hot key.
     Inside a block a running size cuts chunks; the stride leaves room for the
     longest row, hence a message exceeds the limit only if one event alone does.
-    Without ``blocks`` their number follows from the size of the data.
+    Without ``blocks`` their number follows from the size of the data, about ``block_bytes`` each.
     """
-    blocks = blocks or blocks_for(df, columns)
+    blocks = blocks or blocks_for(df, columns, block_bytes)
     body = F.to_json(F.struct(*(columns or df.columns)))
     # every row costs its text and a comma, the message two brackets
     rows = df.select(key, body.alias("_json"), F.floor(draw(key, "pack") * blocks).alias("block")).withColumn(

@@ -70,14 +70,15 @@ PACK_COLS = ["event_id", "event_type", "props", "user_id"]
 
 @query(
     "s6_pack_batches",
-    f"""WITH r AS (SELECT event_id, floor({draw_sql('event_id', 'pack')} * 8)::BIGINT AS block,
-  octet_length(encode(to_json({{'event_id': event_id, 'event_type': event_type, 'props': props, 'user_id': user_id}})::VARCHAR)) + 1 AS len FROM events),
+    f"""WITH j AS (SELECT event_id, octet_length(encode(to_json({{'event_id': event_id, 'event_type': event_type, 'props': props, 'user_id': user_id}})::VARCHAR)) AS len FROM events),
+b AS (SELECT greatest(1, ceil(sum(len) / 100000.0)) AS blocks FROM j),
+r AS (SELECT event_id, floor({draw_sql('event_id', 'pack')} * blocks)::BIGINT AS block, len + 1 AS len FROM j, b),
 c AS (SELECT block, len, floor(coalesce(sum(len) OVER (PARTITION BY block ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
   / greatest(3999 - max(len) OVER (PARTITION BY block), 1))::BIGINT AS chunk FROM r)
 SELECT block, chunk, count(*) AS n, (sum(len) + 1)::BIGINT AS bytes FROM c GROUP BY ALL""",
 )
 def s6(spark, sf):
-    packed = stats.pack_batches(table(spark, sf, "events"), "event_id", 4000, PACK_COLS, blocks=8)
+    packed = stats.pack_batches(table(spark, sf, "events"), "event_id", 4000, PACK_COLS, block_bytes=100_000)
     return packed.select("block", "chunk", "n", "bytes")
 
 

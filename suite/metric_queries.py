@@ -339,7 +339,7 @@ def s5(spark, sf):
         F.get_json_object("props", "$.k").alias("k"),
         F.array(F.lit(1), F.col("user_id")).alias("list"),
     )
-    packed = stats.pack_batches(ev, "event_id", 8000, ["_url", "k", "list"], blocks=4)
+    packed = stats.pack_batches(ev, "event_id", 8000, ["_url", "k", "list"])
     path = fresh_path(spark, "messages")
     broken = spark.range(1).select(F.lit('[{"_url": "cut').alias("message"))
     stats.write_messages(packed.select("message").unionByName(broken), "text", {"path": path})

@@ -204,3 +204,15 @@ def test_sentence_vectors_and_missing_annotations(spark):
     assert rows[1]["semantic_flow_variability"] == pytest.approx(0.5) and rows[2]["semantic_flow_variability"] == 0.0
     assert rows[1]["num_sentences"] == 2 and rows[2]["num_sentences"] == 0 and rows[2]["most_common_rule"] is None
     assert math.isnan(rows[2]["depth_variability"])
+
+
+def test_neighbours_by_text_keys(spark):
+    rng = random.Random(8)
+    rows = [(f"k{i:02d}", [float(rng.randint(0, 3)) for _ in range(3)], i) for i in range(40)]
+    df = spark.createDataFrame(rows, "name string, embedding array<double>, label int")
+    got = MD.nearest_neighbours(df, df, 4, "name", train_blocks=3, query_blocks=2).collect()
+    want = []
+    for q, v, _ in rows:
+        near = sorted((math.dist(v, w), t) for t, w, _ in rows)[:4]
+        want += [(q, t, r) for r, (_, t) in enumerate(near, 1)]
+    assert sorted((r["name"], r["neighbour"], r["rank"]) for r in got) == sorted(want)
