@@ -32,11 +32,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     With no row that names one there is no language to find, and no document stays.
     """
     model = op7_language.fit_languages(docs.where(~op7_language.base.held_out("doc_id", op7_language.FOLDS, op7_language.FOLD)))
-    found = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = op7_language.identify(found, model).where(
-        (F.col("language.lang_pred") != op7_language.UNKNOWN) & (F.col("language.score") >= LEAST_LANGUAGE_SCORE)
-    )
-    return found.select("row.*")
+    out = max(docs.columns, key=len) + "_found"  # longer than any name there is
+    known = (F.col(f"`{out}`.lang_pred") != op7_language.UNKNOWN) & (F.col(f"`{out}`.score") >= LEAST_LANGUAGE_SCORE)
+    return op7_language.identify(docs, model, out=out).where(known).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

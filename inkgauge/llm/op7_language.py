@@ -237,13 +237,13 @@ def fit_languages(
     return LanguageModel(languages, idf, weights, fit_temperature(logits, np.array([y for *_, y in kept], dtype=int)), longest)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``language`` of ``lang_pred`` and ``score``, replacing a column of that name.
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
+    """``docs`` with a struct ``out`` of ``lang_pred`` and ``score``, replacing a column of that name.
 
     A null text and one without a letter are ``und`` with score 0.  Whole texts
     are read.  An empty table gives no rows.
     """
-    return docs.withColumn("language", model.column(F.col(f"`{text_col}`")))
+    return docs.withColumn(out, model.column(F.col(f"`{text_col}`")))
 
 
 @base.query("op7_language_id")
