@@ -55,12 +55,16 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whole inner products; floating point where it is exact."""
+def exact_type(a: np.ndarray, b: np.ndarray) -> type:
+    """Floating point where all its inner products are exact, else whole numbers."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[-1]
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    return np.float64 if most < 2**53 else np.int64
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whole inner products."""
+    kind = exact_type(a, b)
+    return (a.astype(kind) @ b.T.astype(kind)).astype(np.int64)
 
 
 def distances(a: np.ndarray, b: np.ndarray, norm: float) -> np.ndarray:
@@ -128,10 +132,14 @@ def search_group(key, queries: pa.Table, pages: pa.Table, dim: int, norm: float,
     parent = pages.column("parent_distance").to_numpy()
     top = np.frombuffer(pages.column("group_router")[0].as_py(), "<i8")[None]
     ids = [np.asarray(x) for x in pages.column("ids").to_pylist()]
-    vectors = [np.frombuffer(x, "<i8").reshape(-1, dim) for x in pages.column("vectors").to_pylist()]
+    stored = np.frombuffer(b"".join(pages.column("vectors").to_pylist()), "<i8").reshape(-1, dim)
+    kind = exact_type(q, stored)
+    vectors = np.split(stored.astype(kind), np.cumsum([len(x) for x in ids])[:-1])
+    asked = q.astype(kind)
     far = [np.frombuffer(x, "<f8") for x in pages.column("distances").to_pylist()]
     slack = ROUNDING * np.sqrt(4 * max(norm, norms.max(initial=0), 1.0))
     to_top = np.sqrt(np.maximum(norms[:, None] + norm - 2 * product(q, top), 0))[:, 0]
+    to_router = np.sqrt(np.maximum(norms[:, None] + norm - 2 * product(q, routers), 0))
     out_q, out_v, out_s = [], [], []
     for i, (name, floor) in enumerate(zip(names, least)):
         best: list[tuple[int, int]] = []  # (-score, id), ascending
@@ -144,23 +152,29 @@ def search_group(key, queries: pa.Table, pages: pa.Table, dim: int, norm: float,
             return np.inf if score is None else float(np.sqrt(max(norms[i] + norm - 2.0 * score, 0)))
 
         reach = limit()
-        # the parent's distances alone rule pages out before their own is computed
+        # the distances to the node above alone rule pages out, then those to the pages
         maybe = np.flatnonzero(np.abs(to_top[i] - parent) - radius <= reach + slack)
-        to_page = np.sqrt(np.maximum(norms[i] + norm - 2 * product(q[i : i + 1], routers[maybe])[0], 0))
-        bound = np.maximum(to_page - radius[maybe], 0)
+        bound = np.maximum(to_router[i, maybe] - radius[maybe], 0)
         for p in np.argsort(bound, kind="stable").tolist():
             if bound[p] > reach + slack:
                 break
             page = maybe[p]
-            entries = np.flatnonzero(np.abs(to_page[p] - far[page]) <= reach + slack)
-            entries = entries[ids[page][entries] != name]
-            if not len(entries):
+            # entries lie by their distance to the router: a run of them can be near enough
+            lo = far[page].searchsorted(to_router[i, page] - reach - slack)
+            hi = far[page].searchsorted(to_router[i, page] + reach + slack, "right")
+            if lo >= hi:
+                continue
+            scores = vectors[page][lo:hi] @ asked[i]
+            # a score below the worst of k already known, or of those found so far, is no candidate
+            worst = -best[-1][0] if len(best) == k else floor
+            if floor is not None and (worst is None or floor > worst):
+                worst = floor
+            at = np.flatnonzero(scores >= worst) if worst is not None else np.arange(hi - lo)
+            if not len(at):
                 continue
-            scores = product(q[i : i + 1], vectors[page][entries])[0]
-            if len(entries) > k:
-                cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-                entries, scores = entries[scores >= cut], scores[scores >= cut]
-            best = sorted(best + list(zip((-scores).tolist(), ids[page][entries].tolist())))[:k]
+            names_at, scores = ids[page][lo:hi][at], scores[at]
+            other = names_at != name
+            best = sorted(best + list(zip((-scores[other]).astype(np.int64).tolist(), names_at[other].tolist())))[:k]
             reach = limit()
         out_q += [name] * len(best)
         out_v += [v for _, v in best]
