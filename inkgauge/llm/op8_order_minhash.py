@@ -15,7 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
@@ -26,10 +26,11 @@ from .words import U, Words, mix, slices
 SHINGLE, THRESHOLD = 5, 0.8
 #: With 16 entries of 3 shingles a pair of similarity 0.8 shares none with a chance of about 1e-5.
 ENTRIES, PICKS = 16, 3
-#: In a bucket of at most so many texts all are compared; beyond, with its leaders.
+#: In a bucket of at most so many texts all are compared; beyond, with its leaders, and all that this leaves apart by ``exact_pairs``.
 SMALL = 8
-#: Buckets of three entries a text of an unresolved large bucket is put to.
-FINER = 24
+#: Slots in which the texts of a shingle are counted, and texts of one shingle that are compared by one part.
+SLOTS, PART = 1 << 20, 512
+MARKS = [f"m{k}" for k in range(8)]
 TOP = U(2**64 - 1)
 
 
@@ -176,18 +177,119 @@ def bucket_pairs(members: DataFrame) -> DataFrame:
     return star.unionAll(every).distinct()
 
 
-def unresolved(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``id`` of the texts in large buckets that hold more than one class so far."""
-    known = members.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+def with_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    return members.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+
+
+def unresolved(known: DataFrame) -> DataFrame:
+    """The rows ``id, entry, class_id`` of large buckets that hold more than one class so far, with the ``size`` of the bucket."""
     mixed = known.groupBy("entry").agg(F.count("*").alias("size"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-    mixed = mixed.where((F.col("size") > SMALL) & (F.col("low") < F.col("high"))).select("entry")
-    return known.join(mixed, "entry").groupBy("id").agg(F.count("*").alias("buckets")).select("id")
+    mixed = mixed.where((F.col("size") > SMALL) & (F.col("low") < F.col("high"))).select("entry", "size")
+    return known.join(mixed, "entry")
+
+
+def typical_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of each text with the text of its bucket that shares most with others, where their classes differ.
+
+    The sizes of a text's buckets tell how usual its entries are: the base of a
+    group of edited copies is in the large bucket of every entry.
+    """
+    weight = rows.groupBy("id").agg(F.sum("size").alias("weight"))
+    best = rows.join(weight, "id").groupBy("entry").agg(F.max(F.struct("weight", F.col("id").alias("with"), F.col("class_id").alias("other"))).alias("best"))
+    star = rows.join(best, "entry").where("class_id <> best.other").select("id", F.col("best.with").alias("with"))
+    return star.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
+
+
+# -- the exact way -----------------------------------------------------------
+
+
+def labelled(part: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
+    """The shingles of every text, each with its number of occurrence in one hash; all of a text differ."""
+    words = Words(part.column("text"))
+    hashes, same = words.windows(shingle)
+    hashes, doc = hashes[same], words.doc[: len(same)][same]
+    named = mix(hashes + occurrences(hashes ^ mix(doc.astype(U) + U(1))).astype(U) * U(0x9E3779B97F4A7C15))
+    ends = np.searchsorted(doc, np.arange(words.docs + 1))
+    return [named[s:e] for s, e in zip(ends, ends[1:])]
 
 
-def finer(entries: int) -> Column:
-    """Hashes of ``FINER`` triples of entries."""
-    picked = [(i % entries, (i + 1 + i // entries) % entries, (i + 5 + 2 * (i // entries)) % entries) for i in range(FINER)]
-    return F.array(*[F.xxhash64(F.lit(i), *[F.col("entries")[j] for j in sorted(set(t))]) for i, t in enumerate(picked)])
+def slot_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """How many texts of the task have a shingle of each slot."""
+    total = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            for found in labelled(part, shingle):
+                np.add.at(total, (found % U(SLOTS)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "texts"])
+
+
+def prefix_batches(batches: Iterator[pa.RecordBatch], shingle: int, threshold: float, usual: bytes) -> Iterator[pa.RecordBatch]:
+    """Each text's rarest shingles, so many that two texts at the threshold share one, and the parity of all of them in 512 bits."""
+    rank = np.frombuffer(usual, dtype=np.uint8)
+    for batch in batches:
+        for part in slices(batch, "text", 1_000_000):
+            row, keys, sizes, bits = [], [], [], []
+            for i, found in enumerate(labelled(part, shingle)):
+                n = len(found)
+                if not n:
+                    continue
+                order = np.lexsort((found, rank[(found % U(SLOTS)).astype(np.int64)]))
+                take = n - math.ceil(threshold * n - 1e-9) + 1
+                row.append(np.full(take, i)), keys.append(found[order[:take]]), sizes.append(n)
+                parity = np.bincount((mix(found) >> U(55)).astype(np.int64), minlength=512) & 1
+                bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+            if not row:
+                continue
+            times = [len(r) for r in row]
+            at = pa.array(np.concatenate(row))
+            marks = np.repeat(np.array(bits), times, axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("id").take(at), part.column("class_id").take(at), pa.array(np.concatenate(keys).view(np.int64)),
+                    pa.array(np.repeat(np.array(sizes, dtype=np.int64), times)), *[pa.array(np.ascontiguousarray(marks[:, k])) for k in range(8)],
+                ],
+                names=["id", "class_id", "key", "n", *MARKS],
+            )
+
+
+def exact_pairs(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """All pairs of ``id, class_id, text`` of different classes that can reach the threshold, and few others.
+
+    Such texts share one of their rarest shingles in any order that is the same
+    for all texts, have similar lengths, and their parities differ in no more bits
+    than they have shingles that the other lacks.  None of this loses a pair.  The
+    order comes from counts in a fixed number of slots.  A shingle of many texts
+    is dealt to parts, so no task holds all of its pairs.
+    """
+    slots = texts.select("text").mapInArrow(partial(slot_batches, shingle=shingle), "slot long, texts long")
+    counts = slots.groupBy("slot").agg(F.sum("texts").alias("texts")).where("texts > 1")
+    counts = counts.select(F.col("slot").cast("int").alias("slot"), F.least(F.lit(255), F.floor(8 * F.log2("texts"))).cast("short").alias("rank")).toArrow()
+    usual = np.zeros(SLOTS, dtype=np.uint8)
+    usual[counts.column("slot").to_numpy()] = counts.column("rank").to_numpy()
+    make = partial(prefix_batches, shingle=shingle, threshold=threshold, usual=usual.tobytes())
+    schema = "id long, class_id long, key long, n long, " + ", ".join(f"{m} long" for m in MARKS)
+    rows = written(texts.select("id", "class_id", "text").mapInArrow(make, schema), "prefixes")
+    keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+    rows = rows.join(keys.where("low < high").select("key", F.ceil(F.col("size") / PART).alias("parts")), "key")
+    x = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").alias("x")
+    y = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts").alias("y")
+    total = F.col("x.n") + F.col("y.n")
+    need = F.ceil(threshold * total / (1 + threshold) - 1e-9)
+    differ = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in MARKS), F.lit(0))
+    near = (F.col("x.id") < F.col("y.id")) & (F.col("x.class_id") != F.col("y.class_id")) & (need <= F.least("x.n", "y.n")) & (differ <= total - 2 * need)
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & near)
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def joined(classes: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with those that ``links`` between texts of ``known`` connect made one."""
+    of = known.select("id", "class_id").distinct()
+    ends = links.join(of.select(F.col("id").alias("a"), F.col("class_id").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("class_id").alias("y")), "b")
+    merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("was"), F.col("class_id").alias("now"))
+    more = ends.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    every = classes.unionAll(more.join(classes, "node", "left_anti").select("node", F.col("node").alias("class_id")))
+    return written(every.join(merged, every.class_id == merged.was, "left").select("node", F.coalesce("now", "class_id").alias("class_id")), "classes")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -209,8 +311,9 @@ def near_duplicates(
     texts are alone, and so are rows of a null id (their class is null).  Rows of
     one id count as one document.  An empty table gives no rows.  In a bucket of
     more than ``SMALL`` texts each is compared with the smallest and the largest
-    id; if that leaves more than one class, its texts are put to buckets of three
-    shared entries and compared there in the same way.
+    id; if that leaves more than one class, with the text that shares most with
+    others, and if that does too, every pair of its texts that are of different
+    classes and can reach the threshold is compared.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     make = partial(sketch_batches, shingle=shingle, entries=entries, picks=picks)
@@ -228,12 +331,16 @@ def near_duplicates(
     several = copies.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("id", "a")
     links = links.unionAll(copies.join(several, "id").where("a <> rep").select("a", F.col("rep").alias("b")))
     classes = components(links)
-    # where not all were compared with all: again in buckets of three entries
-    again = reps.join(unresolved(members, classes), "id").select("id", F.explode(finer(entries)).alias("entry"))
-    pairs = written(bucket_pairs(again), "pairs")
-    if not pairs.isEmpty():
-        links = links.unionAll(written(linked(pairs, texts, shingle, threshold), "links").select("a", "b"))
-        classes = components(links)
+    # where not all were compared with all: the most usual text of a bucket first, then every pair that can be near
+    for exact in (False, True):
+        rows = written(unresolved(with_classes(members, classes)), "unresolved")
+        if rows.isEmpty():
+            break
+        pairs = typical_pairs(rows)
+        if exact:
+            pairs = exact_pairs(written(texts.join(rows.select("id", "class_id").distinct(), "id"), "unresolved-texts"), shingle, threshold)
+        more = written(linked(written(pairs, "pairs"), texts, shingle, threshold), "links").select("a", "b")
+        classes = joined(classes, rows, more)
     found = (
         copies.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
         .groupBy("id")

@@ -120,3 +120,56 @@ def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (None, 4), (30, 31), (31, 32), (32, 33), (33, 1)], "a long, b long")
     assert {r.node: r.class_id for r in components(links).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 30: 1, 31: 1, 32: 1, 33: 1}
     assert components(links.limit(0)).count() == 0
+
+
+def large_groups(edits, seed):
+    """Edited copies around a base of middle id, linked through it alone, and texts of a template with near pairs among them."""
+    rng = random.Random(seed)
+    base = sentence(rng, 204)
+    rows = [(k if k < edits // 2 else k + 1, edited(rng, base, 4)) for k in range(edits)] + [(edits // 2, base)]
+    template = sentence(rng, 130)
+    for k in range(60):
+        text = f"{template} {sentence(rng, 70)}"
+        rows += [(1000 + k, text), (2000 + (k * 37) % 60, edited(rng, text, 2))] if k % 3 == 0 else [(1000 + k, text)]
+    return rows
+
+
+def near_pairs(rows, linked=lambda i, j: False, threshold=0.8):
+    """Pairs at the threshold that are not linked yet; only those whose shingles allow it are aligned, the most similar first."""
+    texts, grams, may = dict(rows), {}, []
+    for i, t in rows:
+        w = words(t)
+        grams[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for k, (i, _) in enumerate(rows):
+        for j, _ in rows[:k]:
+            common = len(grams[i] & grams[j])
+            share = common / (len(grams[i]) + len(grams[j]) - common)
+            if share >= threshold:
+                may.append((-share, min(i, j), max(i, j)))
+    for _, i, j in sorted(may):
+        if not linked(i, j) and plain_similarity(texts[i], texts[j]) >= threshold:
+            yield i, j
+
+
+def linked_classes(rows):
+    of = {i: i for i, _ in rows}
+    for i, j in near_pairs(rows, lambda i, j: of[i] == of[j]):
+        low, high = sorted((of[i], of[j]))
+        of = {k: low if c == high else c for k, c in of.items()}
+    return of
+
+
+def test_edits_around_a_middle_base_and_template_texts_are_those_of_brute_force(spark):
+    few, many = large_groups(100, 1), [(10_000 + i, t) for i, t in large_groups(500, 2)]
+    got = {r.id: r.class_id for r in o.near_duplicates(odd_documents(spark, few + many)).collect()}
+    assert got == linked_classes(few) | linked_classes(many)
+
+
+@pytest.mark.parametrize("part", [7, 512])
+def test_exact_pairs_hold_every_near_pair(spark, monkeypatch, part):
+    monkeypatch.setattr(o, "PART", part)
+    rows = large_groups(40, 3)
+    table = spark.createDataFrame([(i, i, t) for i, t in rows], "id long, class_id long, text string")
+    got = {(r.a, r.b) for r in o.exact_pairs(table, 5, 0.8).collect()}
+    near = set(near_pairs(rows))
+    assert near and near <= got
