@@ -54,7 +54,8 @@ def lemmatized(plain: DataFrame, lemmas: DataFrame, key: str = "doc_id", column:
     """A column of blank-joined tokens with the table's lemmas; the suffix rule for tokens it does not name.
 
     A table within the bounds of ``small_rows`` is looked up inside the row, a
-    larger one by a join of the exploded tokens.
+    larger one by a join of the exploded tokens, put together again by the key and
+    a hash of the text, so a key may be in many rows.
     """
     table = written(lemmas.where("token IS NOT NULL AND lemma IS NOT NULL").groupBy("token").agg(F.min("lemma").alias("lemma")), "lemmas")
     rows = small_rows(table)
@@ -62,11 +63,13 @@ def lemmatized(plain: DataFrame, lemmas: DataFrame, key: str = "doc_id", column:
     if rows is not None:
         return plain.withColumn(column, mapped_tokens(F.col(column), {r["token"]: r["lemma"] for r in rows}, by_rule))
     pairs = F.arrays_zip(F.split(column, " ").alias("t"), F.split(by_rule, " ").alias("r"))
-    tokens = plain.select(key, F.posexplode(pairs).alias("pos", "p")).select(key, "pos", F.lower("p.t").alias("token"), "p.r")
-    named = tokens.join(table, "token", "left").groupBy(key).agg(
+    own = plain.select(F.col(key).alias("_key"), F.xxhash64(column).alias("_text"), column).dropDuplicates(["_key", "_text"])
+    tokens = own.select("_key", "_text", F.posexplode(pairs).alias("pos", "p")).select("_key", "_text", "pos", F.lower("p.t").alias("token"), "p.r")
+    named = tokens.join(table, "token", "left").groupBy("_key", "_text").agg(
         F.sort_array(F.collect_list(F.struct("pos", F.coalesce("lemma", "r").alias("t")))).alias("_t")
     )
-    return plain.drop(column).join(named, key, "left").select(*[c for c in plain.columns if c != column], F.array_join("_t.t", " ").alias(column))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(column) == F.col("_text"))
+    return plain.join(named, same, "left").select(*[c for c in plain.columns if c != column], F.array_join("_t.t", " ").alias(column))
 
 
 def annotated_features(sents: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -192,6 +192,23 @@ def test_lemma_table_in_cleaning_and_lookups(spark, monkeypatch):
     assert FT.cleaned(docs, lemmas=lemmas).where("doc_id = 1").first()["clean"] == one[1]
 
 
+def test_lemma_join_gives_the_features_of_the_look_up(spark, monkeypatch):
+    from inkgauge.plans import feature_table as FT
+
+    docs = spark.createDataFrame([(1, "Mice ran. The glass was thin, cats!"), (2, "Dogs ran."), (2, "The mice."), (None, "Cats was mice."), (3, None), (4, "")], "doc_id int, text string")
+    lemmas = spark.createDataFrame([("mice", "mouse"), ("ran", "run"), ("was", "be")], "token string, lemma string")
+    lex = spark.createDataFrame([("a", "mice"), ("a", "cats"), ("a", "mice"), ("b", "glass"), ("b", "ran"), ("b", None)], "category string, token string")
+    familiar = spark.createDataFrame([("the",), ("mice",), ("cats",), ("was",)], "token string")
+
+    def rows(df):
+        return sorted(map(repr, df.collect()))
+
+    clean, table = rows(FT.cleaned(docs, lemmas=lemmas)), rows(FT.feature_table(docs, lex, familiar, ["a", "b"], lemmas=lemmas))
+    monkeypatch.setattr(FT, "small_rows", lambda table: None)
+    assert rows(FT.cleaned(docs, lemmas=lemmas)) == clean
+    assert rows(FT.feature_table(docs, lex, familiar, ["a", "b"], lemmas=lemmas)) == table
+
+
 def test_sentence_vectors_and_missing_annotations(spark):
     from inkgauge.operators import annotate as A
     from inkgauge.plans.feature_table import feature_table as table
