@@ -24,6 +24,8 @@ from . import base
 SILENT = frozenset("script style template noscript svg math iframe object canvas select textarea button head title".split())
 #: Elements that are read up to their own end tag, whatever stands in them.
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
+#: Elements that can stand in a head; any other, and text, ends an open one.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block.
 BLOCKS = frozenset(
@@ -102,7 +104,9 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
     blocks, block, at, n = [], None, 0, len(page)
 
     def text(raw: str) -> None:
-        nonlocal block
+        nonlocal block, here
+        if here.tag == "head" and not raw.isspace():
+            here = out_of_head(here)
         if here.silent or not raw:
             return
         if block is None:
@@ -154,6 +158,8 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
             if tag in BLOCKS:
                 block = None
             continue
+        if tag not in IN_HEAD:
+            here = out_of_head(here)
         if tag in BLOCKS:
             block = None
         if tag == "br" and block is not None and not here.silent:
@@ -178,6 +184,13 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
     return [(b, t) for b, t in found if t]
 
 
+def out_of_head(here: Element) -> Element:
+    """The place after an open head, whose end tag may be left out."""
+    while here.tag == "head" and here.parent is not None:
+        here = here.parent
+    return here
+
+
 def closed(here: Element, tags: tuple[str, ...]) -> Element:
     """The place after the nearest open element of these tags has ended, if one is near."""
     top = here

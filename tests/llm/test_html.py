@@ -58,3 +58,15 @@ def test_frame_with_nulls_and_clashes(spark):
     got = o.extract_html(df).collect()
     assert [len(r.blocks) for r in sorted(got, key=lambda r: r.page_id)] == [0, 0, 6, 6]
     assert o.extract_html(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("end", ["", "</head>"])
+@pytest.mark.parametrize("begin", ["<body>", "<BODY class=x>", ""])
+def test_a_head_may_have_no_end_tag(begin, end):
+    page = f"<!doctype html><html><head><meta charset=utf-8><title>t</title><style>p{{}}</style>\n{end}{begin}<main><p>The first paragraph of a story, it is long enough.<p>And here is one more of it.</main>"
+    assert o.extract_blocks(page) == ["The first paragraph of a story, it is long enough.", "And here is one more of it."]
+
+
+def test_text_ends_a_head():
+    assert [t for _, t in o.blocks_of("<head><title>t</title> \n<script>1</script>Plain words.")] == ["Plain words."]
+    assert [t for _, t in o.blocks_of("<head><title>t</title><br>Plain words.<p>More.")] == ["Plain words.", "More."]
