@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as c
 
 from .helpers import odd_documents, sentence, words
-from .test_order_minhash import classes_of, edited
+from .test_order_minhash import classes_of, edited, large_groups, linked_classes
 from .test_repeats import brute
 
 
@@ -46,6 +46,13 @@ def test_near_duplicate_stage(spark, docs):
     assert c.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_duplicate_stage_keeps_one_of_many_edits_around_a_middle_base(spark):
+    rows = large_groups(120, 7)
+    got = c.near_duplicates(spark, odd_documents(spark, rows), "")
+    of = linked_classes(rows)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i in of if of[i] == i)
+
+
 def test_passage_stage(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     left = sorted([(i, t.split(" ") if t else []) for i, n, m, t in brute(rows, 50) if m < n or not m], key=str)
