@@ -229,14 +229,15 @@ def prefix_batches(batches: Iterator[pa.RecordBatch], shingle: int, threshold: f
     rank = np.frombuffer(usual, dtype=np.uint8)
     for batch in batches:
         for part in slices(batch, "text", 1_000_000):
-            row, keys, sizes, bits = [], [], [], []
+            row, keys, before, places, sizes, bits = [], [], [], [], [], []
             for i, found in enumerate(labelled(part, shingle)):
                 n = len(found)
                 if not n:
                     continue
                 order = np.lexsort((found, rank[(found % U(SLOTS)).astype(np.int64)]))
                 take = n - math.ceil(threshold * n - 1e-9) + 1
-                row.append(np.full(take, i)), keys.append(found[order[:take]]), sizes.append(n)
+                rare = found[order[:take]]
+                row.append(np.full(take, i)), keys.append(rare), before.append(np.append(rare[:1], rare[:-1])), places.append(np.arange(take)), sizes.append(n)
                 parity = np.bincount((mix(found) >> U(55)).astype(np.int64), minlength=512) & 1
                 bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
             if not row:
@@ -247,20 +248,48 @@ def prefix_batches(batches: Iterator[pa.RecordBatch], shingle: int, threshold: f
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id").take(at), part.column("class_id").take(at), pa.array(np.concatenate(keys).view(np.int64)),
-                    pa.array(np.repeat(np.array(sizes, dtype=np.int64), times)), *[pa.array(np.ascontiguousarray(marks[:, k])) for k in range(8)],
+                    pa.array(np.concatenate(before).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.repeat(np.array(sizes, dtype=np.int64), times)),
+                    *[pa.array(np.ascontiguousarray(marks[:, k])) for k in range(8)],
                 ],
-                names=["id", "class_id", "key", "n", *MARKS],
+                names=["id", "class_id", "key", "before", "place", "n", *MARKS],
             )
 
 
-def exact_pairs(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """All pairs of ``id, class_id, text`` of different classes that can reach the threshold, and few others.
+def shared_needed(n, m, threshold: float):
+    """Shingles that texts of ``n`` and ``m`` of them share at the threshold."""
+    return F.ceil(threshold * (n + m) / (1 + threshold) - 1e-9)
 
-    Such texts share one of their rarest shingles in any order that is the same
-    for all texts, have similar lengths, and their parities differ in no more bits
-    than they have shingles that the other lacks.  None of this loses a pair.  The
-    order comes from counts in a fixed number of slots.  A shingle of many texts
-    is dealt to parts, so no task holds all of its pairs.
+
+def meetings(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a < b`` of different classes, once for each key where they can meet first.
+
+    All that two texts share comes at or after the first shingle they share, in the
+    order of all texts.  At that one, with ``place`` shingles before it, a text of n
+    has n - place left, which must be as many as the threshold needs; the shingles
+    before it are in one text alone, and so are those that their parities differ
+    by.  So the copies around a base do not meet in the base's shingles, where
+    their own edits come before; they meet in edits they share.  Where both have the
+    same shingle before this one, they have met there.
+    """
+    keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.min("n").alias("least"))
+    rows = rows.join(keys.where("low < high").select("key", "least", F.ceil(F.col("size") / PART).alias("parts")), "key")
+    rows = rows.where(F.col("n") - F.col("place") >= shared_needed(F.col("n"), F.col("least"), threshold)).drop("least")
+    x = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").alias("x")
+    y = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts").alias("y")
+    need = shared_needed(F.col("x.n"), F.col("y.n"), threshold)
+    apart = F.col("x.n") + F.col("y.n") - 2 * need
+    differ = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in MARKS), F.lit(0))
+    first = (F.col("x.n") - F.col("x.place") >= need) & (F.col("y.n") - F.col("y.place") >= need) & (F.col("x.place") + F.col("y.place") <= apart)
+    first = first & ((F.col("x.before") != F.col("y.before")) | (F.least("x.place", "y.place") == 0))
+    near = (F.col("x.id") < F.col("y.id")) & (F.col("x.class_id") != F.col("y.class_id")) & first & (differ <= apart)
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & near)
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def rarest(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Rows ``id, class_id, key, before, place, n`` and parities: the rarest shingles of ``id, class_id, text``.
+
+    The order comes from counts in a fixed number of slots, ties by the shingle.
     """
     slots = texts.select("text").mapInArrow(partial(slot_batches, shingle=shingle), "slot long, texts long")
     counts = slots.groupBy("slot").agg(F.sum("texts").alias("texts")).where("texts > 1")
@@ -268,18 +297,19 @@ def exact_pairs(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     usual = np.zeros(SLOTS, dtype=np.uint8)
     usual[counts.column("slot").to_numpy()] = counts.column("rank").to_numpy()
     make = partial(prefix_batches, shingle=shingle, threshold=threshold, usual=usual.tobytes())
-    schema = "id long, class_id long, key long, n long, " + ", ".join(f"{m} long" for m in MARKS)
-    rows = written(texts.select("id", "class_id", "text").mapInArrow(make, schema), "prefixes")
-    keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-    rows = rows.join(keys.where("low < high").select("key", F.ceil(F.col("size") / PART).alias("parts")), "key")
-    x = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").alias("x")
-    y = rows.withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts").alias("y")
-    total = F.col("x.n") + F.col("y.n")
-    need = F.ceil(threshold * total / (1 + threshold) - 1e-9)
-    differ = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in MARKS), F.lit(0))
-    near = (F.col("x.id") < F.col("y.id")) & (F.col("x.class_id") != F.col("y.class_id")) & (need <= F.least("x.n", "y.n")) & (differ <= total - 2 * need)
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & near)
-    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    schema = "id long, class_id long, key long, before long, place long, n long, " + ", ".join(f"{m} long" for m in MARKS)
+    return texts.select("id", "class_id", "text").mapInArrow(make, schema)
+
+
+def exact_pairs(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """All pairs of ``id, class_id, text`` of different classes that can reach the threshold, and few others.
+
+    Such texts share one of their rarest shingles in any order that is the same
+    for all texts, have similar lengths, and meet as ``meetings`` says.  None of
+    this loses a pair.  A shingle of many texts is dealt to parts, so no task holds
+    all of its pairs.
+    """
+    return meetings(written(rarest(texts, shingle, threshold), "prefixes"), threshold).distinct()
 
 
 def joined(classes: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:

@@ -173,3 +173,17 @@ def test_exact_pairs_hold_every_near_pair(spark, monkeypatch, part):
     got = {(r.a, r.b) for r in o.exact_pairs(table, 5, 0.8).collect()}
     near = set(near_pairs(rows))
     assert near and near <= got
+
+
+def test_copies_that_differ_do_not_meet_in_what_all_share(spark):
+    rng = random.Random(8)
+    base = sentence(rng, 250)
+    rows = [(k, edited(rng, base, 4 + k % 6)) for k in range(2000)]
+    close = [(5000 + k, edited(rng, rows[k][1], 1)) for k in range(0, 2000, 50)]
+    table = spark.createDataFrame([(i, i, t) for i, t in rows + close], "id long, class_id long, text string")
+    prefixes = o.written(o.rarest(table, 5, 0.8), "prefixes")
+    got = [(r.a, r.b) for r in o.meetings(prefixes, 0.8).collect()]
+    hot = prefixes.groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert hot > 1500  # a shingle of the base that most copies hold
+    assert {(i - 5000, i) for i, _ in close} <= set(got)
+    assert len(got) < 20 * len(rows)  # of two million pairs
