@@ -32,6 +32,8 @@ ONE_IN, LEAST_LENGTH, LEAST_COUNT = 199, 6, 5
 TIMES = 5
 #: Numbers of symbols to choose from: the fewest for which few words share a reduced word.
 SYMBOLS, SHARED = (4, 8, 16, 32, 64), 2.0
+#: Words whose neighbourhoods a task generates, about.
+PART_WORDS = 8_000
 #: Different words a task counts before it passes them on, and characters of a text whose runs are held at once.
 HELD_WORDS, HELD_CHARS = 200_000, 1_000_000
 
@@ -133,7 +135,9 @@ def near_words(words: DataFrame, letters: str, symbols: int) -> DataFrame:
     The edit is checked inside the join, so it puts out near words alone.
     """
     own = reduced(F.col("word"), letters, symbols)
-    probes = words.select("word", "n", own.alias("own")).select("word", "n", F.explode(neighbourhood(F.col("own"), symbols)).alias("key"))
+    # a neighbourhood is far larger than its word, so the words are dealt to many tasks
+    spread = words.repartition(base.parts_for(words.count(), PART_WORDS), "word")
+    probes = spread.select("word", "n", own.alias("own")).select("word", "n", F.explode(neighbourhood(F.col("own"), symbols)).alias("key"))
     known = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"), own.alias("near_key"))
     one_edit = (F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)
     return probes.join(known, (F.col("key") == F.col("near_key")) & one_edit).select("word", "n", "near", "near_n")
