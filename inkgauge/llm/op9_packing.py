@@ -41,12 +41,19 @@ def byte_of_character() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """Text to ids for a vocabulary file of ``tokenizers``.
+    """Text to ids for a vocabulary file, as ``tokenizers`` gives them by its defaults.
 
     A plain byte-level vocabulary in rank order is run by ``tiktoken``, which
-    gives the same ids in a third of the time; any other by ``tokenizers``.
-    Strings of special tokens in a text are ordinary text.
+    gives the same ids in a third of the time; any other by ``tokenizers``, and so
+    are texts that hold the string of an added token, which is one id.
     """
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+
+    def encode(text: str) -> np.ndarray:
+        return np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -63,13 +70,9 @@ def encoder(path: str):
         ranks = {bytes(byte[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
         # contractions, letters, digits, marks and white space, each with one space before it
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: own.encode_to_numpy(text, disallowed_special=())
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: encode(text) if any(s in text for s in special) else fast.encode_to_numpy(text, disallowed_special=())
+    return encode
 
 
 def piece_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -97,7 +100,8 @@ def token_pieces(
 ) -> DataFrame:
     """``id, piece, start, length, ids`` of every row; ``ids`` are little-endian unsigned 32-bit numbers.
 
-    Each text's ids are followed by ``end_id``; null is an empty text.  A text
+    Each text's ids are followed by ``end_id``; null is an empty text.  The string
+    of an added token in a text is that token, as ``tokenizers`` has it.  A text
     longer than ``capacity`` is cut into pieces of ``capacity``, the first of
     which may be shorter.
     """

@@ -78,8 +78,9 @@ def test_pieces_are_those_of_the_tokenizer(spark):
     rng = random.Random(5)
     rows = [(1, sentence(rng, 3000)), (2, None), (3, ""), (4, "<|endoftext|> x <|endoftext|>"), (4, "a"), (None, " \n\n  b\t"), (5, "é漢字 🙂'll 12345 ###  x" * 40), (6, "ab " * 2047)]
     rows += [(7, "x" * 20_000), (8, "\r\n" * 3000), (9, "a" + "́" * 50)]
+    rows += [(10, "x <|endoftext|> y"), (11, "<|endoftext|>" * 2100), (12, "<|endoftext|")]
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
+    assert own.encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
     want = sorted([(i, own.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in rows], key=str)
     got = {}
     pieces = o.token_pieces(odd_documents(spark, rows).withColumn("nr", F.monotonically_increasing_id()), PATH).collect()
