@@ -6,7 +6,8 @@
 Stages take and give the columns of ``documents``; the last gives the packed
 pieces.  Documents without a language go, one document of each near-duplicate
 class stays, passages that an earlier document has are cut, small sources are
-repeated, and what is left is packed into sequences.
+repeated and all dealt to blocks, and what is left is packed into sequences.  An
+empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -66,17 +67,30 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each use of a document: all at least once, those of small sources up to twice."""
-    uses = op3_mixing.mix_sources(docs).groupBy("id").agg(F.count("*").alias("uses"), F.count(F.when(F.col("epoch") == 0, 1)).alias("rows"))
-    uses = uses.select(F.col("id").alias("of"), F.ceil(F.col("uses") / F.col("rows")).alias("times")).where("times > 1")
-    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
-    more = rows.join(uses, rows.id == uses.of, "left")
-    times = F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1)))
-    return more.select("row", F.explode(times).alias("use")).select("row.*")
+    """A row for each use of a document, in the blocks of the mix: all at least once, those of small sources up to twice.
+
+    Rows are written block by block and in a block's order.  Equal rows are one
+    row with the uses of all of them; null ids, sources and texts are values.  An
+    empty table gives no rows.
+    """
+    own = max(docs.columns, key=len)  # names made from it are longer than any there is
+    key, row = own + "_key", own + "_row"
+    values = [v for c in docs.columns for v in (F.col(f"`{c}`"), F.isnull(F.col(f"`{c}`")))]
+    same = F.concat_ws(":", F.xxhash64(F.lit(1), *values).cast("string"), F.xxhash64(F.lit(2), *values).cast("string"))
+    rows = docs.withColumn(key, same)
+    uses = op3_mixing.mix_sources(rows, id_col=key).select(F.col("id").alias("of"), "block", "place", "epoch")
+    rows = rows.groupBy(key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+    placed = rows.join(uses, rows[key] == uses.of).select(row, "block", "place", "epoch")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(parts, "block", "place").sortWithinPartitions("block", "place", "epoch").select(f"{row}.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
+
+    Rows count each, also those of one id or a null one; a null text is an empty
+    one, and an empty table gives no rows.
+    """
     import public_tokenizers
 
     pieces = op9_packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
