@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -70,6 +71,44 @@ def test_mixing_stage(spark, docs):
     assert c.mixing(spark, docs.limit(0), "").count() == 0
 
 
+def test_mixing_stage_writes_the_blocks_of_the_mix(spark, docs, monkeypatch):
+    from inkgauge.llm import op3_mixing
+
+    rows = docs.withColumn("source", F.when(F.col("doc_id") % 5 == 0, "few").otherwise(F.col("source"))).unionAll(docs.where("doc_id is null"))
+    monkeypatch.setattr(op3_mixing, "mix_sources", partial(op3_mixing.mix_sources, block_tokens=600))
+    sums = {}
+    for r in op3_mixing.mix_sources(rows).collect():
+        sums[r.source] = sums.get(r.source, 0) + r.n_tokens
+    got = c.mixing(spark, rows, "").collect()
+    tokens = [(r.source, len(words(r.text))) for r in got]
+    most = max(n for _, n in tokens)
+    assert {s for s, _ in tokens} == set(sums) and all(abs(sum(n for x, n in tokens if x == s) - total) <= most for s, total in sums.items())
+    # every stretch of the output has its sources in their shares, not one after another
+    half = len(tokens) // 2
+    for s, total in sums.items():
+        first = sum(n for x, n in tokens[:half] if x == s)
+        assert abs(2 * first - total) <= 0.4 * total + 2 * most
+
+
+def test_packing_stage(spark, docs):
+    from .test_packing import check
+
+    assert c.packing(spark, docs.limit(0), "").count() == 0
+    got = c.packing(spark, docs, "").collect()
+    check(got, 2048)
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for r in docs.collect():
+        ids = own.encode(r.text or "", add_special_tokens=False).ids + [0]
+        want.append((r.doc_id, 0, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted([tuple(r)[:5] for r in got], key=str) == sorted(want, key=str)
+
+
+def test_run_on_an_empty_table(spark, docs, tmp_path):
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert c.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = c.run(spark, str(tmp_path)).collect()
