@@ -103,17 +103,20 @@ def in_row_hits(
 
     ``tokens`` is a text of tokens joined by single blanks.  A lexicon within the
     bounds of ``small_rows`` is counted inside each row; a larger one by a join
-    of the exploded tokens, with the same result.
+    of the exploded tokens, with the same result: rows are numbered for it, so
+    repeated and null keys keep their own counts.
     """
     index = {c: i for i, c in enumerate(categories)}
-    table = written(lexicon.where(F.col("category").isin(*categories)).select("token", "category").distinct(), "lexicon")
+    known = F.col("category").isin(*categories) & (F.col("token") != "")
+    table = written(lexicon.where(known).select("token", "category").distinct(), "lexicon")
     rows = small_rows(table)
     if rows is None:
-        exploded = df.select(key, F.explode(F.split(tokens, " ")).alias("token"))
-        counts = lexicon_counts(exploded, table, categories, key)
-        counts = counts.select(F.col(key).alias("_key"), F.array(*[F.col(c) for c in categories]).alias("_found"))
+        numbered = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        exploded = numbered.select("_row", F.explode(F.split(tokens, " ")).alias("token"))
+        counts = lexicon_counts(exploded, table, categories, "_row")
+        counts = counts.select("_row", F.array(*[F.col(c) for c in categories]).alias("_found"))
         none = F.array_repeat(F.lit(0).cast("bigint"), len(categories))
-        return df.join(counts, F.col(key) == F.col("_key"), "left").withColumn("_hits", F.coalesce("_found", none)).drop("_key", "_found")
+        return numbered.join(counts, "_row", "left").withColumn("_hits", F.coalesce("_found", none)).select(*df.columns, "_hits")
     named: dict[str, list[int]] = {}
     for r in rows:
         named.setdefault(r["token"], []).append(index[r["category"]])
@@ -180,22 +183,29 @@ def encode_tokens(
     Ids of the special tokens are those of ``build_vocab``: pad 0, unknown 1,
     start 2, end 3.  A text is cut to ``max_length - 2`` tokens; ``truncated``
     says whether it had more.  A vocabulary within the bounds of ``small_rows`` is
-    looked up inside the row, a larger one by a join.
+    looked up inside the row, a larger one by a join of numbered rows, with the same
+    result for repeated and null keys.  Of a token listed twice the smaller id counts.
     """
     room = max_length - 2
     toks = df.select(key, X.tokenize(F.lower(F.col(text))).alias("_all")).select(
         key, F.slice("_all", 1, room).alias("toks"), (F.size("_all") > room).alias("truncated")
     )
-    table = written(vocab.select("token", "token_id"), "vocab")
+    table = written(vocab.where("token is not null").groupBy("token").agg(F.min("token_id").alias("token_id")), "vocab")
     rows = small_rows(table)
     if rows is not None:
         number = token_numbers(F.array_join("toks", " "), {r["token"]: r["token_id"] for r in rows}, 1)
         ids = toks.select(key, "truncated", number.alias("body"))
     else:
-        exploded = toks.select(key, "truncated", F.posexplode_outer("toks").alias("pos", "token"))
+        numbered = written(toks.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        exploded = numbered.select("_row", key, "truncated", F.posexplode_outer("toks").alias("pos", "token"))
         pair = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(1)).cast("int").alias("id")))
-        ids = exploded.join(table, "token", "left").groupBy(key, "truncated").agg(F.sort_array(F.collect_list(pair)).alias("p"))
+        ids = exploded.join(table, "token", "left").groupBy("_row", key, "truncated").agg(F.sort_array(F.collect_list(pair)).alias("p"))
         ids = ids.select(key, "truncated", F.col("p.id").alias("body"))
+    return framed_ids(ids, max_length, key)
+
+
+def framed_ids(ids: DataFrame, max_length: int, key: str) -> DataFrame:
+    """Ids of ``body`` between start and end, padded to ``max_length``, with the mask of what is not padding."""
     body = F.concat(F.array(F.lit(2)), "body", F.array(F.lit(3)))
     pad = F.lit(max_length) - F.size("body") - 2
     return ids.select(

@@ -8,7 +8,7 @@ from inkgauge.fixed import EXTRA_TREE_FEATURES, FEATURES, LEXICON_CATEGORIES, RE
 from inkgauge.functions import readability as R
 from inkgauge.functions import text as X
 from inkgauge.operators import annotate as A
-from inkgauge.operators import flow, tokens as K
+from inkgauge.operators import flow, subwords as SW, tokens as K
 from inkgauge.plans.feature_table import (
     FEATURE_GROUPS, cleaned, feature_breakdown, feature_projection, feature_table,
 )
@@ -541,3 +541,54 @@ def v1(spark, sf):
         F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
         F.array_join(F.col("attention_mask").cast("array<string>"), " ").alias("attention_mask"),
     )
+
+
+# Pair merges one after another over the distinct words; a symbol stands between chr(2) and chr(3).
+MERGES = 24
+
+
+def _merge_steps() -> str:
+    steps = []
+    for k in range(1, MERGES + 1):
+        steps.append(f"""best{k} AS MATERIALIZED (SELECT l, r, l || CASE WHEN starts_with(r, '##') THEN substr(r, 3) ELSE r END AS token FROM (
+    SELECT unnest(s[:-2]) AS l, unnest(s[2:]) AS r, n FROM (SELECT string_split(substr(w, 2, length(w) - 2), chr(3) || chr(2)) AS s, n FROM words{k - 1}) WHERE len(s) > 1)
+  GROUP BY l, r HAVING sum(n) >= 2 ORDER BY sum(n) DESC, l, r LIMIT 1),
+words{k} AS MATERIALIZED (SELECT coalesce(replace(w, chr(2) || l || chr(3) || chr(2) || r || chr(3), chr(2) || token || chr(3)), w) AS w, n FROM words{k - 1} LEFT JOIN best{k} ON true)""")
+    return ", ".join(steps)
+
+
+SUBWORDS = f"""freq AS (SELECT token, count(*) AS n FROM (SELECT unnest({S.tokens('lower(text)')}) AS token FROM documents) GROUP BY token),
+words0 AS MATERIALIZED (SELECT chr(2) || array_to_string(list_transform(string_split(token, ''), lambda c, i: CASE WHEN i = 1 THEN c ELSE '##' || c END), chr(3) || chr(2)) || chr(3) AS w, n
+  FROM freq WHERE length(token) <= 100),
+letters AS (SELECT DISTINCT unnest(string_split(substr(w, 2, length(w) - 2), chr(3) || chr(2))) AS token FROM words0),
+{_merge_steps()},
+listed AS (SELECT token, min(k) AS k FROM (
+  SELECT token, row_number() OVER (ORDER BY token) AS k FROM letters
+  {" ".join(f"UNION ALL SELECT token, {1_000_000 + k} FROM best{k}" for k in range(1, MERGES + 1))}) GROUP BY token),
+vocab AS (SELECT token, (row_number() OVER (ORDER BY k) + 3)::INT AS token_id FROM listed
+  UNION ALL SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)))"""
+
+
+@query("v2b_subword_vocab", f"WITH {SUBWORDS} SELECT * FROM vocab")
+def v2b(spark, sf):
+    return SW.train_subwords(docs(spark, sf), merges=MERGES)
+
+
+@query(
+    "v1b_encode_subwords",
+    f"""WITH RECURSIVE {SUBWORDS},
+known AS (SELECT map_from_entries(list((token, token_id))) AS m, max(length(token)) AS most FROM vocab WHERE token_id > 3),
+pieces AS (SELECT token AS word, token AS rest, '' AS head, '' AS ids FROM freq WHERE length(token) <= 100
+  UNION ALL SELECT word, substr(rest, size + 1), '##', ids || ' ' || m[head || left(rest, size)] FROM (
+    SELECT p.*, m, list_filter(range(least(most, length(rest)), 0, -1), lambda k: len(map_extract(m, head || left(rest, k))) > 0)[1] AS size FROM pieces p, known WHERE rest <> '')
+  WHERE size IS NOT NULL),
+numbers AS (SELECT f.token, coalesce(trim(p.ids), '1') AS ids FROM freq f LEFT JOIN pieces p ON p.word = f.token AND p.rest = ''),
+cut AS (SELECT doc_id, unnest(list_slice({S.tokens('lower(text)')}, 1, 127)) AS token, generate_subscripts(list_slice({S.tokens('lower(text)')}, 1, 127), 1) AS pos FROM documents),
+ids AS (SELECT doc_id, string_split(string_agg(ids, ' ' ORDER BY pos), ' ') AS every FROM cut JOIN numbers USING (token) GROUP BY doc_id),
+framed AS (SELECT doc_id, coalesce(list_slice(every, 1, 126), []) AS body, coalesce(len(every), 0) > 126 AS truncated FROM documents LEFT JOIN ids USING (doc_id))
+SELECT doc_id, '2 ' || coalesce(array_to_string(body, ' ') || ' ', '') || '3' || repeat(' 0', 126 - len(body)) AS input_ids, len(body) + 2 AS n_ids, truncated FROM framed""",
+)
+def v1b(spark, sf):
+    enc = SW.encode_subwords(docs(spark, sf), SW.train_subwords(docs(spark, sf), merges=MERGES))
+    ids = F.array_join(F.col("input_ids").cast("array<string>"), " ")
+    return enc.select("doc_id", ids.alias("input_ids"), big(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x), "n_ids"), "truncated")

@@ -144,6 +144,36 @@ def test_encoding_by_join_and_truncation_flag(spark, monkeypatch):
     assert {r["doc_id"]: r["truncated"] for r in one} == {1: False, 2: True, 3: False, 4: False}
 
 
+def test_joins_keep_repeated_and_null_keys_apart(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(1, "help the money"), (1, "money money"), (None, "help"), (None, "help"), (2, None), (2, "a b c d e f g"), (3, "")], "doc_id int, text string"
+    )
+    lex = spark.createDataFrame([("h", "help"), ("m", "money"), ("m", ""), ("h", None)], "category string, token string")
+    vocab = spark.createDataFrame([("help", 4), ("money", 5), ("money", 9), ("the", 6), (None, 7)], "token string, token_id int")
+
+    def rows(df):
+        return sorted(map(repr, df.collect()))
+
+    hits, ids = rows(tokens.lexicon_scores(docs, lex, ["h", "m"])), rows(tokens.encode_tokens(docs, vocab, 6))
+    assert len(hits) == len(ids) == 7 and any("input_ids=[2, 5, 5, 3, 0, 0]" in r for r in ids)
+    monkeypatch.setattr(tokens, "small_rows", lambda table: None)
+    assert rows(tokens.lexicon_scores(docs, lex, ["h", "m"])) == hits
+    assert rows(tokens.encode_tokens(docs, vocab, 6)) == ids
+
+
+@pytest.mark.parametrize("name", ["t11_lexicon_scores", "v1_encode_tokens", "t22_feature_table", "plan_score_reply"])
+def test_queries_hold_their_sql_where_lookups_are_joined(spark, monkeypatch, name):
+    from inkgauge.plans import feature_table as FT
+    from suite.all import ORACLES, QUERIES
+    from suite.check import compare, connect
+
+    monkeypatch.setattr(tokens, "small_rows", lambda table: None)
+    monkeypatch.setattr(FT, "small_rows", lambda table: None)
+    sf = "/root/testdata/sf0.001"
+    state, detail = compare(QUERIES[name](spark, sf), connect(sf), ORACLES[name])
+    assert state != "FAIL", detail
+
+
 def test_small_rows_are_bounded_in_rows_and_bytes(spark):
     from inkgauge.session import lookup_table, small_rows, written
 
