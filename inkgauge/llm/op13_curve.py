@@ -9,6 +9,7 @@ padding either.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -30,21 +31,36 @@ ENTRIES, DIMENSIONS, BITS = 1 << 12, 4, 15
 SPAN = 4.0
 #: Documents of a sorted range, about.
 RANGE_ROWS = 100_000
-#: Chunks of text whose ids a task remembers, and characters of the longest one it does.
-HELD_CHUNKS, HELD_LENGTH = 200_000, 64
-
-#: Between chunks; a vocabulary that drops white space never joins characters across them.
-SPACE = re.compile("[ \t\n\r]+")
+#: A longer word is merged by ``tokenizers``, whose time grows less with its length.
+LONG_WORD = 256
+
+#: How the vocabulary files that are run word by word prepare a text.
+END = "</w>"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Characters outside Latin letters (to U+017F) and general punctuation, and those whose case or kind engines see differently.
+OTHER = re.compile("[\0\x1c-\x1fİ\u0180-\u1fff\u2070-\U0010ffff]")
+#: The same pieces for the other characters: letters, one number, or marks.
+LETTERS, NUMBERS = "a-zA-ZªµºÀ-ÖØ-öø-\u017f", "0-9²³¹¼-¾"
+PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 
 
 # -- tokens and vectors ------------------------------------------------------------
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of a text, as ``tokenizers`` gives them without special tokens.
+    """Ids of texts as ``tokenizers`` gives them without special tokens.
 
-    Where the vocabulary drops white space, the ids of a text are those of its
-    chunks one after another, and those of a chunk are remembered.
+    A vocabulary of lower-cased words, each merged by itself up to an end mark, is
+    run word by word: different words are merged once a batch by ``tiktoken``, the
+    mark as a zero byte behind the word.  That covers texts of Latin letters and
+    general punctuation; others, and other vocabularies, are run by ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -52,26 +68,66 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.apart = self.plain("a b") == self.plain("a") + self.plain("b") and not self.plain(" \t\n\r")
-        self.known: dict[str, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if not self.apart:
-            return self.plain(text)
-        known, chunks = self.known, SPACE.split(text)
-        if len(known) > HELD_CHUNKS:
-            known.clear()
-        new = set(chunks).difference(known)
-        for chunk in new:
-            known[chunk] = self.plain(chunk)
-        out = b"".join([known[c] for c in chunks])
-        for chunk in new:
-            if len(chunk) > HELD_LENGTH:
-                del known[chunk]
-        return out
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.fast = None
+        if spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and spec["model"].get("end_of_word_suffix") == END:
+            import tiktoken
+
+            byte = byte_of_character()
+            plain = {w: i for w, i in spec["model"]["vocab"].items() if w not in self.special}
+            ranks = {bytes(byte[c] for c in w.removesuffix(END)) + b"\0" * w.endswith(END): i for w, i in plain.items()}
+            self.fast = tiktoken.Encoding("own", pat_str="[^\0]*\0", mergeable_ranks=ranks, special_tokens={})
+            self.ends = np.zeros(max(plain.values()) + 1, dtype=bool)
+            self.ends[[i for w, i in plain.items() if w.endswith(END)]] = True
+
+    def alone(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and where each word's end."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        short = words if not long else [w for w in words if len(w) <= LONG_WORD]
+        ids = self.fast.encode_to_numpy("\0".join(short) + "\0", disallowed_special=()) if short else np.empty(0, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if not long:
+            return ids, ends
+        parts = iter(np.split(ids, ends[:-1]) if len(ends) else [])
+        found = [self.alone(w) if len(w) > LONG_WORD else next(parts) for w in words]
+        return np.concatenate(found), np.cumsum([len(f) for f in found])
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        whole: dict[int, np.ndarray] = {}
+        words: list[str] = []
+        counts = np.zeros(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts):
+            if self.fast is None or OTHER.search(text) or any(s in text for s in self.special):
+                whole[i] = self.alone(text)
+            else:
+                found = PIECE.findall(text.lower())
+                counts[i] = len(found)
+                words += found
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids, ends = self.word_ids(coded.dictionary.to_pylist()) if len(words) else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        sizes = np.diff(ends, prepend=0)[at]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        ids = ids[np.repeat((ends - np.diff(ends, prepend=0))[at] - before[:-1], sizes) + np.arange(before[-1])].astype("<u4")
+        bounds = before[np.concatenate([[0], np.cumsum(counts)])]
+        lengths = np.diff(bounds)
+        if whole:
+            lengths[list(whole)] = [len(x) for x in whole.values()]
+            ids = np.concatenate([whole.get(i, ids[bounds[i] : bounds[i + 1]]) for i in range(len(texts))])
+        return ids, lengths
+
+
+def byte_of_character() -> dict[str, int]:
+    """The printable stand-ins that byte-level vocabularies write bytes as."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
 @lru_cache(maxsize=2)
@@ -99,14 +155,17 @@ def places(tokens: np.ndarray, lengths: np.ndarray, entries: int, dimensions: in
 
 
 def token_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, entries: int, dimensions: int) -> Iterator[pa.RecordBatch]:
-    encode, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+    encode = encoder(path)
     for batch in batches:
         for part in slices(batch, "text"):
-            ids = [encode(text or "") + end for text in part.column("text").to_pylist()]
-            n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            found = places(np.frombuffer(b"".join(ids), dtype="<u4"), n, entries, dimensions)
+            tokens, n = encode([text or "" for text in part.column("text").to_pylist()])
+            stop = np.cumsum(n)
+            tokens, n = np.insert(tokens, stop, end_id), n + 1
+            found = places(tokens, n, entries, dimensions)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32))
+            ids = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets.buffers()[1], pa.py_buffer(tokens.astype("<u4").tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(n), pa.array(ids, pa.binary()), *[pa.array(found[:, k]) for k in range(dimensions)]],
+                [part.column("id"), pa.array(n), ids, *[pa.array(found[:, k]) for k in range(dimensions)]],
                 names=["id", "n", "ids", *[f"y{k}" for k in range(dimensions)]],
             )
 

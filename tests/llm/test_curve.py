@@ -47,14 +47,26 @@ def test_cuts_fill_sequences(total):
 def test_ids_are_those_of_the_tokenizer():
     rng = random.Random(2)
     own, encode = Tokenizer.from_file(PATH), o.Encoder(PATH)
-    odd = list("aB'sé ß̸́ \t\n\r\x0b\x0c\x1c\x85\xa0 　ΣΑςİǅ漢ﬁ🙂‍12٣#<|>-") + ["<|endoftext|>", "<|startoftext|>", "'ll", "Don't", "é", "\r\n"]
-    for _ in range(1500):
-        text = "".join(rng.choice(odd) for _ in range(rng.randint(0, 30)))
-        assert np.frombuffer(encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
-    assert encode.apart and not o.Encoder(public_tokenizers.path("byte_bpe_50k.json")).apart
-    text = "x" * 5000 + " y"
-    assert np.frombuffer(encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
-    assert max(map(len, encode.known)) <= o.HELD_LENGTH
+    assert encode.fast is not None and o.Encoder(public_tokenizers.path("byte_bpe_50k.json")).fast is None
+    odd = list("aB'sé ß̸́ \t\n\r\x0b\x0c\x1c\x85\xa0 　ΣΑςİǅ漢ﬁ🙂‍12٣#<|>-’“–\0") + ["<|endoftext|>", "<|startoftext|>", "'ll", "Don't", "é", "\r\n", "hello", "World "]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    # every character that is run word by word, between letters, numbers, marks and spaces
+    plain = [chr(c) for c in [*range(0x180), *range(0x2000, 0x2070)] if not o.OTHER.match(chr(c))]
+    texts += [f"a{c}b 1{c}{c}2 '{c} {c}'s {c}" for c in plain] + ["".join(rng.choice(plain) for _ in range(60)) for _ in range(500)]
+    texts += ["", "x" * 5000 + " y " + "#" * 300, "z", "ab" * 200 + "'s", "\0"]
+    assert sum(not o.OTHER.search(t) for t in texts) > 1000
+    for data in (texts, [], [""], texts[-5:]):
+        ids, lengths = encode(data)
+        assert lengths.sum() == len(ids) and len(lengths) == len(data)
+        for text, got in zip(data, np.split(ids, np.cumsum(lengths)[:-1]) if data else []):
+            assert got.tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_vocabularies_are_run_by_tokenizers(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = Tokenizer.from_file(path).encode("Some words, 12 of them").ids + [0]
+    rows = o.curve_sequences(odd_documents(spark, [(1, "Some words, 12 of them")]), path, end_id=0).collect()
+    assert np.frombuffer(b"".join(r.ids for r in sorted(rows, key=lambda r: r.start)), "<u4").tolist() == ids
 
 
 def whole(rows):
