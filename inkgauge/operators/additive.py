@@ -3,9 +3,9 @@
 ``g(E[y]) = intercept + sum of f_i(bin of x_i) + sum of f_ij(bins of x_i, x_j)``
 
 The binned table is written once.  A round is one scan that sums gradients and
-hessians per term and bin; the model itself is a small table on the driver that
-goes back as literals.  No score column is carried from round to round, so the
-plan does not grow and nothing has to be checkpointed.
+hessians per term and bin (``boosting``), for one model or for all points and
+folds of a search; the models are small tables on the driver.  No score column is
+carried from round to round, so the plan does not grow.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import boosting as BO
 from ..functions.base import draw
 from ..session import written
-from .evaluation import roc_auc
 from .frame import best_trial
 from .models import sample_grid
 
@@ -100,80 +102,189 @@ def _raw_score(model: AdditiveModel) -> Column:
 
 def fit_additive_boosting(
     df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 16, rounds: int = 20, lr: float = 0.3,
-    pairs: Sequence[tuple[str, str]] = (), cyclic: bool = False, min_hessian: float = 1e-6,
-) -> AdditiveModel:
+    pairs: Sequence[tuple[str, str]] = (), cyclic: bool = False, min_hessian: float = 1e-6, max_leaves: int | None = None,
+    min_samples_leaf: int = 1, interactions: int = 0, patience: int | None = None, tolerance: float = 1e-4,
+    validation: float = 0.15, key: str = "doc_id", seed: int = 42,
+) -> AdditiveModel:
     """Logistic additive boosting.
 
     By default a round updates all terms from one scan, each with ``lr`` shared
     among them; ``cyclic`` updates one term per scan in turn, with the full
-    ``lr``.
+    ``lr``.  With ``max_leaves`` a step is a tree on the bins of a term, cut best
+    first, and otherwise every bin is a leaf; a leaf has at least
+    ``min_samples_leaf`` rows.  ``interactions`` adds so many pairs, chosen by what
+    the single terms leave, in as many rounds again.  With ``patience`` a seeded draw
+    of ``key`` holds out the share ``validation``, and boosting ends when the loss on it has
+    not fallen by ``tolerance`` for so many rounds.
     """
     features = list(features)
+    fold = F.when(draw(key, seed) < validation, 1).otherwise(0) if patience is not None else F.lit(0)
+    table = binned_table(df, features, label, bins, fold.cast("int"))
+    options = {
+        "rounds": rounds, "lr": lr, "cyclic": cyclic, "min_hessian": min_hessian, "max_leaves": max_leaves,
+        "min_samples_leaf": min_samples_leaf, "patience": patience, "tolerance": tolerance, "hold": 1 if patience is not None else None,
+    }
+    fit = table.fit([(features.index(a), features.index(b)) for a, b in pairs], **options)
+    BO.advance(table.rows, [fit], len(features))
+    if interactions:
+        found = BO.strongest_pairs(table.rows, fit, len(features), interactions)
+        more = [p for p in found if p not in fit.terms]
+        if more:
+            fit = table.with_pairs(fit, more, **options)
+            BO.advance(table.rows, [fit], len(features))
+    return table.model(fit)
+
+
+@dataclass
+class Binned:
+    """A written table ``y, fold, b0, b1, ...`` with the bounds of its bins and its counts by fold."""
+
+    rows: DataFrame
+    features: list[str]
+    bounds: dict[str, list[float]]
+    counts: dict[int, tuple[float, int]]
+
+    def fit(self, pairs: Sequence[tuple[int, int]] = (), hold: int | None = None, **options: Any) -> BO.Fit:
+        """A model to be trained on all rows but those of the fold ``hold``."""
+        known = [v for k, v in self.counts.items() if k != hold]
+        p, n = sum(v[0] for v in known), sum(v[1] for v in known)
+        if not n or p in (0.0, float(n)):
+            raise ValueError("both classes are needed")
+        terms = [*[(i,) for i in range(len(self.features))], *pairs]
+        sizes = [len(self.bounds[f]) + 2 for f in self.features]
+        return BO.Fit(terms, sizes, math.log(p / (n - p)), hold=hold, **options)
+
+    def with_pairs(self, fit: BO.Fit, pairs: Sequence[tuple[int, int]], hold: int | None = None, **options: Any) -> BO.Fit:
+        """A model that goes on from another one's scores with more pairs."""
+        out = self.fit([*fit.terms[len(self.features) :], *pairs], hold=hold, **options)
+        out.scores[: len(fit.scores)] = fit.scores
+        return out
+
+    def model(self, fit: BO.Fit) -> AdditiveModel:
+        pairs = [(self.features[a], self.features[b]) for a, b in fit.terms[len(self.features) :]]
+        model = AdditiveModel(self.features, self.bounds, fit.intercept, pairs)
+        model.scores = {t: [float(x) for x in s] for t, s in zip(model.terms(), fit.scores)}
+        return model
+
+
+def binned_table(df: DataFrame, features: list[str], label: str, bins: int, fold: Column) -> Binned:
     bounds = quantile_bounds(df, features, bins)
-    p, n = df.agg(F.sum(F.col(label).cast("double")), F.count(label)).first()
-    if not n or p in (0.0, float(n)):
-        raise ValueError("both classes are needed")
-    model = AdditiveModel(features, bounds, math.log(p / (n - p)), list(pairs))
-    model.scores = {t: [0.0] * model.bin_count(t) for t in model.terms()}
-    cols = [f"b_{t}" for t in model.terms()]
-    binned = written(
-        _binned(df, model).select(F.col(label).cast("double").alias("_y"), *[F.col(f"`{c}`") for c in cols]), "bins"
-    )
-    for _ in range(rounds):
-        groups = [[t] for t in model.terms()] if cyclic else [model.terms()]
-        for group in groups:
-            _update(binned, model, group, lr if cyclic else lr / max(1, len(group)) ** 0.5, min_hessian)
-    return model
-
-
-def _update(binned: DataFrame, model: AdditiveModel, group: list[str], lr: float, min_hessian: float) -> None:
-    """One Newton step for the terms of ``group`` from one scan."""
-    prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-_raw_score(model)))
-    cells = F.array(*[F.struct(F.lit(i).alias("t"), F.col(f"`b_{t}`").alias("b")) for i, t in enumerate(group)])
-    sums = (
-        binned.withColumn("_p", prob)
-        .select((F.col("_y") - F.col("_p")).alias("g"), (F.col("_p") * (1 - F.col("_p"))).alias("h"), F.explode(cells).alias("c"))
-        .groupBy("c.t", "c.b")
-        .agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    )
-    # terms x bins rows
-    for r in sums.collect():
-        if r["h"] > min_hessian:
-            model.scores[group[r["t"]]][r["b"]] += lr * r["g"] / r["h"]
+    columns = [bin_of(F.col(f"`{f}`").cast("double"), bounds[f]).cast("int").alias(f"b{i}") for i, f in enumerate(features)]
+    known = df.where(F.col(label).isNotNull())
+    rows = written(known.select(F.col(label).cast("double").alias("y"), fold.alias("fold"), *columns), "bins")
+    counts = {r["fold"]: (r["p"], r["n"]) for r in rows.groupBy("fold").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()}
+    return Binned(rows, features, bounds, counts)
+
+
+#: Names of the parameters of other libraries of such models.
+OTHER_NAMES = {"learning_rate": "lr", "max_rounds": "rounds", "max_bins": "bins", "early_stopping_rounds": "patience", "early_stopping_tolerance": "tolerance"}
+SEARCHED = {"bins", "rounds", "lr", "pairs", "cyclic", "min_hessian", "max_leaves", "min_samples_leaf", "interactions", "patience", "tolerance"}
 
 
 def _grid_point(point: Mapping[str, Any]) -> dict[str, Any]:
     """Keyword arguments of ``fit_additive_boosting``, checked by name."""
-    known = {"bins", "rounds", "lr", "pairs", "cyclic", "min_hessian"}
-    if set(point) - known:
-        raise ValueError(f"unknown parameters {sorted(set(point) - known)}")
-    return dict(point)
+    own = {OTHER_NAMES.get(k, k): v for k, v in point.items()}
+    if set(own) - SEARCHED:
+        raise ValueError(f"unknown parameters {sorted(set(own) - SEARCHED)}")
+    return own
 
 
 def search_additive(
     df: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence[Any]], n_iter: int = 10, folds: int = 3,
-    seed: int = 314, label: str = "label", key: str = "doc_id",
+    seed: int = 314, label: str = "label", key: str = "doc_id", halving: int = 0,
 ) -> tuple[AdditiveModel, DataFrame]:
     """Random search by cross-validated AUC; the best point is refitted on all rows.
 
     Folds follow a seeded draw of the key, so a row keeps its fold in every task
-    and run.  Returns the refitted model and ``trial, params, auc``.
+    and run.  All points of one number of bins advance together through all folds:
+    jobs grow with the rounds, not with the points.  With ``halving`` the weaker half
+    of the points still running, by their loss on the folds held out, ends after each of
+    so many equal shares of the rounds; they are reported as they then are.  Returns the
+    refitted model and ``trial, params, auc, rounds``; ``auc`` is the mean over folds.
     """
-    spark = df.sparkSession
+    spark, features = df.sparkSession, list(features)
     fold = F.floor(draw(key, seed) * folds).cast("int")
-    rows = written(df.select(key, F.col(label).cast("int").alias("label"), *features).withColumn("_fold", fold), "folds")
     points = [_grid_point(p) for p in sample_grid(grid, n_iter, seed)]
-    results = []
-    for trial, point in enumerate(points):
-        aucs = []
-        for k in range(folds):
-            model = fit_additive_boosting(rows.where(F.col("_fold") != k), features, "label", **point)
-            held = predict_additive(rows.where(F.col("_fold") == k), model)
-            aucs.append(roc_auc(held.select("label", "score")).first()["auc"])
-        results.append((trial, str(sorted(point.items())), float(sum(aucs) / len(aucs))))
-    trials = spark.createDataFrame(results, "trial int, params string, auc double")
+    results: dict[int, tuple[float, int]] = {}
+    for bins in sorted({p.get("bins", 16) for p in points}):
+        table = binned_table(df, features, label, bins, fold)
+        mine = [i for i, p in enumerate(points) if p.get("bins", 16) == bins]
+        fits = {(i, k): _point_fit(table, points[i], k) for i in mine for k in range(folds)}
+        _run_points(table, fits, halving)
+        paired = {}
+        for (i, k), fit in fits.items():
+            if points[i].get("interactions") and fit.running:
+                more = [p for p in BO.strongest_pairs(table.rows, fit, len(features), points[i]["interactions"]) if p not in fit.terms]
+                if more:
+                    paired[i, k] = table.with_pairs(fit, more, hold=k, **_fit_options(points[i]))
+        if paired:
+            _run_points(table, paired, 0)
+            fits.update(paired)
+        aucs = held_out_auc(table.rows, fits, len(features))
+        for i in mine:
+            results[i] = (sum(aucs[i, k] for k in range(folds)) / folds, max(fits[i, k].done for k in range(folds)))
+    rows = [(i, str(sorted(p.items())), *results[i]) for i, p in enumerate(points)]
+    trials = spark.createDataFrame(rows, "trial int, params string, auc double, rounds int")
     best = points[best_trial(trials).first()["trial"]]
-    return fit_additive_boosting(rows, features, "label", **best), trials
+    return fit_additive_boosting(df, features, label, key=key, **best), trials
+
+
+def _fit_options(point: Mapping[str, Any]) -> dict[str, Any]:
+    return {k: v for k, v in point.items() if k not in ("bins", "pairs", "interactions")}
+
+
+def _point_fit(table: Binned, point: Mapping[str, Any], hold: int) -> BO.Fit:
+    pairs = [(table.features.index(a), table.features.index(b)) for a, b in point.get("pairs", ())]
+    return table.fit(pairs, hold=hold, **_fit_options(point))
+
+
+def _run_points(table: Binned, fits: dict[tuple[int, int], BO.Fit], halving: int) -> None:
+    every = list(fits.values())
+    longest = max(fit.scans() for fit in every)
+    for share in range(1, halving + 1):
+        BO.advance(table.rows, every, len(table.features), max(1, longest * share // (halving + 1)))
+        alive = sorted({i for (i, _), fit in fits.items() if fit.running})
+        loss = {i: sum(fit.losses[-1] for (j, _), fit in fits.items() if j == i and fit.losses) for i in alive}
+        for i in sorted(alive, key=lambda i: (loss[i], i))[(len(alive) + 1) // 2 :]:
+            for (j, _), fit in fits.items():
+                fit.running = fit.running and j != i
+    BO.advance(table.rows, every, len(table.features))
+
+
+#: Equal steps of the score in which negatives are first counted.
+SCORE_STEPS = 4096
+
+
+def held_out_auc(rows: DataFrame, fits: dict[tuple[int, int], BO.Fit], features: int) -> dict[tuple[int, int], float]:
+    """The exact AUC of every model on the rows of its fold, all from one scan.
+
+    Equal scores are counted together; a pair of them counts half.
+    """
+    named = list(fits)
+
+    def score_batches(batches):
+        for batch in batches:
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            columns = BO.columns_of(batch, features)
+            for number, name in enumerate(named):
+                out = fold == name[1]
+                if out.any():
+                    raw = fits[name].raw([c[out] for c in columns], int(out.sum()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), number, np.int32)), pa.array(np.round(raw, 12)), pa.array(y[out])], names=["fit", "raw", "y"])
+
+    scored = rows.mapInArrow(score_batches, "fit int, raw double, y double")
+    counts = scored.groupBy("fit", "raw").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    step = F.floor(SCORE_STEPS / (1 + F.exp(-F.col("raw"))))
+    counts = written(counts.withColumn("step", step), "scores")
+    steps = counts.groupBy("fit", "step").agg(F.sum("neg").alias("neg"))
+    before = Window.partitionBy("fit").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select("fit", "step", F.coalesce(F.sum("neg").over(before), F.lit(0.0)).alias("below"))
+    within = Window.partitionBy("fit", "step").orderBy("raw").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("under", F.coalesce(F.sum("neg").over(within), F.lit(0.0))).join(steps, ["fit", "step"])
+    won = F.sum(F.col("pos") * (F.col("below") + F.col("under") + F.col("neg") / 2))
+    found = ranked.groupBy("fit").agg(won.alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
+    return {named[r["fit"]]: r["won"] / (r["pos"] * r["neg"]) if r["pos"] and r["neg"] else float("nan") for r in found}
 
 
 def predict_additive(df: DataFrame, model: AdditiveModel) -> DataFrame:

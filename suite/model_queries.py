@@ -198,6 +198,43 @@ def v10d(spark, sf):
     return model.to_table(spark).select("term", "bin", (F.round("score", 5) + 0.0).alias("score"))
 
 
+@query(
+    "v10e_additive_leaf_limit",
+    """WITH x AS (SELECT l.quality AS y, dense_rank() OVER (ORDER BY least(9, d.n_chars // 400)) - 1 AS bin FROM documents d JOIN labels l USING (doc_id)),
+p AS (SELECT avg(y) AS p, max(bin) AS top FROM x),
+cells AS (SELECT bin, sum(y - p) AS g, sum(p * (1 - p)) AS h, count(*) AS n FROM x, p GROUP BY bin),
+one AS (SELECT c.bin AS cut FROM cells c JOIN cells d ON true GROUP BY c.bin
+  HAVING sum(d.n) FILTER (WHERE d.bin <= c.bin) >= 5 AND sum(d.n) FILTER (WHERE d.bin > c.bin) >= 5
+  ORDER BY round(sum(d.g) FILTER (WHERE d.bin <= c.bin) ** 2 / sum(d.h) FILTER (WHERE d.bin <= c.bin)
+    + sum(d.g) FILTER (WHERE d.bin > c.bin) ** 2 / sum(d.h) FILTER (WHERE d.bin > c.bin), 9) DESC, c.bin LIMIT 1),
+two AS (SELECT c.bin AS cut FROM cells c, one JOIN cells d ON (d.bin <= one.cut) = (c.bin <= one.cut) GROUP BY c.bin
+  HAVING sum(d.n) FILTER (WHERE d.bin <= c.bin) >= 5 AND sum(d.n) FILTER (WHERE d.bin > c.bin) >= 5
+  ORDER BY round(sum(d.g) FILTER (WHERE d.bin <= c.bin) ** 2 / sum(d.h) FILTER (WHERE d.bin <= c.bin)
+    + sum(d.g) FILTER (WHERE d.bin > c.bin) ** 2 / sum(d.h) FILTER (WHERE d.bin > c.bin) - sum(d.g) ** 2 / sum(d.h), 9) DESC, c.bin LIMIT 1),
+leaves AS (SELECT c.*, (SELECT count(*) FROM (SELECT cut FROM one UNION ALL SELECT cut FROM two) WHERE cut < c.bin) AS leaf FROM cells c)
+SELECT 'big' AS term, bin::INT AS bin, round(sum(g) OVER (PARTITION BY leaf) / sum(h) OVER (PARTITION BY leaf), 6) AS score FROM leaves
+UNION ALL SELECT 'big', top::INT + 1, 0.0 FROM p
+UNION ALL SELECT 'intercept', 0, round(ln(p / (1 - p)), 6) FROM p""",
+)
+def v10e(spark, sf):
+    """One round whose tree has three leaves of at least five rows."""
+    docs = table(spark, sf, "documents", "doc_id", "n_chars")
+    labels = table(spark, sf, "labels", "doc_id", F.col("quality").alias("label"))
+    df = docs.join(labels, "doc_id").select("label", F.least(F.lit(9), F.floor(F.col("n_chars") / 400)).alias("big"))
+    model = AD.fit_additive_boosting(df, ["big"], bins=400, rounds=1, lr=1.0, max_leaves=3, min_samples_leaf=5)
+    return model.to_table(spark).select("term", "bin", r6("score"))
+
+
+@query("v10f_additive_interactions")
+def v10f(spark, sf):
+    """Boosting until the held-out loss stays, then the strongest pair: importance of every term."""
+    df = written(small_features(spark, sf), "v10f")
+    model = AD.fit_additive_boosting(
+        df, FEATURES, bins=16, rounds=100, lr=0.2, max_leaves=3, min_samples_leaf=2, interactions=1, patience=5, tolerance=1e-4
+    )
+    return AD.term_importance(AD.explain_additive(df, model, "doc_id")).select("term", r6("importance"))
+
+
 MODEL = AD.AdditiveModel(
     ["n_chars", "n_marks"], {"n_chars": [500.0, 2000.0], "n_marks": [10.0]}, -0.5, [("n_chars", "n_marks")],
     # the last bin of each feature is for missing values
@@ -229,18 +266,44 @@ def v11b(spark, sf):
 def v12(spark, sf):
     df = vecs(spark, sf).select("features", "label")
     grid = {"regParam": [0.0, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5], "maxIter": [5, 10]}
-    found = MD.random_search(df, LogisticRegression(), grid, n_iter=3, folds=3)
+    found = MD.random_search(df, LogisticRegression(), grid, n_iter=10, folds=3)
     return P.best_trial(MD.search_results(found, spark)).select("trial", "params", r6("auc"))
 
 
+GRID = {"learning_rate": [0.05, 0.1, 0.3, 0.5], "max_rounds": [5, 10, 15, 20], "min_samples_leaf": [2, 3, 5], "max_leaves": [3, 5, 10]}
+
+
 @query("v12b_search_additive")
 def v12b(spark, sf):
     """Random search over the additive model, best point first."""
-    grid = {"lr": [0.1, 0.3, 0.5], "rounds": [3, 6], "bins": [4, 8]}
-    _model, trials = AD.search_additive(small_features(spark, sf), FEATURES, grid, n_iter=2, folds=2)
+    _model, trials = AD.search_additive(small_features(spark, sf), FEATURES, GRID, n_iter=10, folds=3)
     return P.best_trial(trials).select("trial", "params", r6("auc"))
 
 
+# With one yes-or-no feature every point ranks a fold's rows by the rate of their value in the other folds.
+ONE_ROUND = {**GRID, "max_rounds": [1]}
+_POINTS = ", ".join(f"({i}, '{str(sorted(AD._grid_point(p).items())).replace(chr(39), chr(39) * 2)}')" for i, p in enumerate(MD.sample_grid(ONE_ROUND, 10, 314)))
+
+
+@query(
+    "v12c_search_trials",
+    f"""WITH x AS (SELECT l.quality AS y, (d.n_chars > 1000)::INT AS v, floor({draw_sql('d.doc_id', 314)} * 3) AS fold FROM documents d JOIN labels l USING (doc_id)),
+cells AS (SELECT fold, v, sum(y) AS pos, sum(1 - y) AS neg FROM x GROUP BY fold, v),
+whole AS (SELECT v, sum(y) AS pos, sum(1 - y) AS neg FROM x GROUP BY v),
+folds AS (SELECT c.fold, c.v, c.pos, c.neg, (w.pos - c.pos) / (w.pos - c.pos + w.neg - c.neg) AS rate FROM cells c JOIN whole w USING (v)),
+aucs AS (SELECT a.fold, sum(a.pos * b.neg * CASE WHEN a.rate > b.rate THEN 1 WHEN a.rate = b.rate THEN 0.5 ELSE 0 END) / (max(p) * max(n)) AS auc
+  FROM folds a JOIN folds b USING (fold) JOIN (SELECT fold, sum(pos) AS p, sum(neg) AS n FROM folds GROUP BY fold) USING (fold) GROUP BY a.fold)
+SELECT trial, params, round(avg(auc), 6) AS auc, 1 AS rounds FROM aucs, (VALUES {_POINTS}) AS t(trial, params) GROUP BY trial, params""",
+)
+def v12c(spark, sf):
+    """Every trial of a search of ten points over three folds."""
+    docs = table(spark, sf, "documents", "doc_id", "n_chars")
+    labels = table(spark, sf, "labels", "doc_id", F.col("quality").alias("label"))
+    df = docs.join(labels, "doc_id").select("doc_id", "label", (F.col("n_chars") > 1000).cast("double").alias("v"))
+    _model, trials = AD.search_additive(df, ["v"], ONE_ROUND, n_iter=10, folds=3)
+    return trials.select("trial", "params", r6("auc"), "rounds")
+
+
 @query("v13_assemble_features", "SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS f0, round(l_discount, 6) AS f1 FROM lineitem")
 def v13(spark, sf):
     df = MD.assemble_features(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"])
