@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from inkgauge.fixed import EXTRA_TREE_FEATURES, FEATURES, LEXICON_CATEGORIES, READABILITY_FEATURES, TREE_FEATURES
 from inkgauge.functions import readability as R
 from inkgauge.functions import text as X
 from inkgauge.operators import annotate as A
-from inkgauge.operators import flow, subwords as SW, tokens as K
+from inkgauge.operators import flow, parsing as PA, subwords as SW, tokens as K
 from inkgauge.plans.feature_table import (
     FEATURE_GROUPS, cleaned, feature_breakdown, feature_projection, feature_table,
 )
-from inkgauge.session import spread
+from inkgauge.session import spread, written
 
 from . import textsql as S
 from .base import big, query, r6, table
@@ -421,6 +422,57 @@ def t21(spark, sf):
     return A.annotate(clean_docs(spark, sf))
 
 
+# The rule annotation is the annotated table here; counts of pairs are raised by 0.1, those of a word by 0.1 shared out.
+TAGGER = """known AS MATERIALIZED (SELECT doc_id, sent_id, pos, lower(token) AS word, tag FROM annot),
+tags AS MATERIALIZED (SELECT DISTINCT tag FROM known),
+pairs AS (SELECT coalesce(p.tag, '<s>') AS a, k.tag AS b, count(*) AS n FROM known k LEFT JOIN known p ON p.doc_id = k.doc_id AND p.sent_id = k.sent_id AND p.pos = k.pos - 1 GROUP BY ALL),
+smooth AS (SELECT a.tag AS a, b.tag AS b, 0.1::DOUBLE + coalesce(n, 0) AS n FROM (SELECT tag FROM tags UNION ALL SELECT '<s>') a JOIN tags b ON true LEFT JOIN pairs p ON p.a = a.tag AND p.b = b.tag),
+step AS MATERIALIZED (SELECT a, b, ln(n / sum(n) OVER (PARTITION BY a)) AS p FROM smooth),
+share AS MATERIALIZED (SELECT b AS tag, sum(n) AS n FROM smooth GROUP BY b),
+top AS (SELECT word, count(*) AS n FROM known GROUP BY word ORDER BY n DESC, word LIMIT 50000),
+ends AS (SELECT right(word, 3) AS word, count(*) AS n FROM known GROUP BY ALL ORDER BY n DESC, word LIMIT 50000),
+by_word AS (SELECT word, tag, count(*) AS n FROM known GROUP BY ALL),
+by_end AS (SELECT right(word, 3) AS word, tag, count(*) AS n FROM known GROUP BY ALL),
+emit AS MATERIALIZED (SELECT w.word, s.tag, CASE WHEN t.word IS NOT NULL THEN ln((0.1::DOUBLE * s.n / total + coalesce(bw.n, 0)) / s.n)
+    WHEN e.word IS NOT NULL THEN ln((0.1::DOUBLE * s.n / total + coalesce(be.n, 0)) / s.n) ELSE ln(s.n / total) END AS p
+  FROM (SELECT DISTINCT word FROM known) w JOIN (SELECT *, sum(n) OVER () AS total FROM share) s ON true LEFT JOIN top t ON t.word = w.word LEFT JOIN ends e ON e.word = right(w.word, 3)
+  LEFT JOIN by_word bw ON bw.word = w.word AND bw.tag = s.tag LEFT JOIN by_end be ON be.word = right(w.word, 3) AND be.tag = s.tag),
+search AS (
+  SELECT doc_id, sent_id, 1::BIGINT AS pos, e.tag, s.p + e.p AS score, NULL::VARCHAR AS came FROM known k JOIN emit e USING (word) JOIN step s ON s.a = '<s>' AND s.b = e.tag WHERE pos = 1
+  UNION ALL
+  SELECT v.doc_id, v.sent_id, v.pos + 1, s.b, max(v.score + s.p) + any_value(e.p), arg_max(v.tag, v.score + s.p)
+  FROM search v JOIN known k ON k.doc_id = v.doc_id AND k.sent_id = v.sent_id AND k.pos = v.pos + 1 JOIN step s ON s.a = v.tag JOIN emit e ON e.word = k.word AND e.tag = s.b
+  GROUP BY v.doc_id, v.sent_id, v.pos, s.b),
+last AS (SELECT doc_id, sent_id, max(pos) AS pos FROM known GROUP BY ALL),
+back AS (
+  SELECT l.doc_id, l.sent_id, l.pos, arg_max(s.tag, s.score) AS tag, arg_max(coalesce(s.came, ''), s.score) AS came FROM last l JOIN search s USING (doc_id, sent_id, pos) GROUP BY ALL
+  UNION ALL SELECT b.doc_id, b.sent_id, s.pos, s.tag, coalesce(s.came, '') FROM back b JOIN search s ON s.doc_id = b.doc_id AND s.sent_id = b.sent_id AND s.pos = b.pos - 1 AND s.tag = b.came)"""
+
+
+def fitted_parses(spark, sf):
+    """Tags and heads decoded by models that are fitted to the rule annotation."""
+    clean = written(clean_docs(spark, sf), "clean")
+    rules = A.annotate(clean)
+    return PA.parse_sentences(clean, PA.fit_tagger(rules), PA.fit_arcs(rules))
+
+
+@query("t21b_decoded_tags", f"WITH RECURSIVE {BASE}, {TAGGER} SELECT doc_id, sent_id, pos, tag FROM back")
+def t21b(spark, sf):
+    clean = written(clean_docs(spark, sf), "clean")
+    tagger = PA.fit_tagger(A.annotate(clean))
+    none = PA.Arcs(tagger.tags, np.zeros((len(tagger.tags), len(tagger.tags), 2)), np.zeros(len(tagger.tags)))
+    return A.explode_annotations(PA.parse_sentences(clean, tagger, none)).select("doc_id", "sent_id", big("pos"), "tag")
+
+
+@query("t21c_parsed_trees")
+def t21c(spark, sf):
+    """Tree and token measures of decoded parses; every tree depends on its sentence's tags."""
+    sents = written(fitted_parses(spark, sf), "parses")
+    trees = A.tree_stats(sents).select("doc_id", "max_depth", r6("avg_branching_factor"), "total_nodes", r6("mean_tree_height"))
+    chunks = A.noun_chunk_stats(A.explode_annotations(sents)).select("doc_id", "num_noun_chunks")
+    return trees.join(chunks, "doc_id")
+
+
 # -- flagship ---------------------------------------------------------------
 
 INTS = {
