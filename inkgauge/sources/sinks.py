@@ -2,48 +2,44 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import commit, commit_numbered, read_entries
+
 MANIFEST_SCHEMA = "name string, version int, path string, description string, tags array<string>, created timestamp"
 REGISTRY_SCHEMA = "model_id string, name string, path string, tags array<string>, updated timestamp"
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat()
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    return _read_or_empty(spark, f"{root}/manifest", MANIFEST_SCHEMA)
+    """The committed versions of all datasets under ``root``."""
+    return read_entries(spark, f"{root}/manifest", MANIFEST_SCHEMA)
 
 
 def write_dataset_version(
     df: DataFrame, root: str, name: str, description: str = "", tags: Sequence[str] = ()
 ) -> int:
-    """Write an immutable version ``root/name/v=N`` and record it in the manifest.
+    """Write an immutable version of a dataset and commit it to the manifest.
 
-    The data is in place before its manifest row, so a listed version is whole.
+    The data is whole in a folder of its own before a number is taken for it, so a
+    lost write lists nothing.  A number is one log entry that only one writer can
+    put; another writer goes on to the next.
     """
     spark = df.sparkSession
-    last = read_manifest(spark, root).where(F.col("name") == name).agg(F.max("version")).first()[0]
-    version = (last or 0) + 1
-    path = f"{root}/{name}/v={version}"
+    path = f"{root}/{name}/data-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    row = spark.range(1).select(
-        F.lit(name).alias("name"),
-        F.lit(version).alias("version"),
-        F.lit(path).alias("path"),
-        F.lit(description).alias("description"),
-        F.array(*[F.lit(t) for t in tags]).cast("array<string>").alias("tags"),
-        F.current_timestamp().alias("created"),
-    )
-    row.write.mode("append").parquet(f"{root}/manifest")
-    return version
+    last = read_manifest(spark, root).where(F.col("name") == name).agg(F.max("version")).first()[0]
+    entry = {"name": name, "path": path, "description": description, "tags": list(tags), "created": _now()}
+    return commit_numbered(spark, f"{root}/manifest", name, last or 0, entry)
 
 
 def read_dataset_version(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
@@ -63,23 +59,16 @@ def write_submission(df: DataFrame, path: str) -> None:
 
 
 def save_model(model: PipelineModel, root: str, model_id: str, name: str, tags: Sequence[str] = ()) -> str:
-    """Persist a fitted pipeline and append its registry row."""
+    """Persist a fitted pipeline in a folder of its own, then commit its registry row."""
     spark = SparkSession.active()
-    path = f"{root}/models/{model_id}"
-    model.write().overwrite().save(path)
-    row = spark.range(1).select(
-        F.lit(model_id).alias("model_id"),
-        F.lit(name).alias("name"),
-        F.lit(path).alias("path"),
-        F.array(*[F.lit(t) for t in tags]).cast("array<string>").alias("tags"),
-        F.current_timestamp().alias("updated"),
-    )
-    row.write.mode("append").parquet(f"{root}/registry")
+    path = f"{root}/models/{model_id}-{uuid.uuid4().hex}"
+    model.write().save(path)
+    commit(spark, f"{root}/registry", {"model_id": model_id, "name": name, "path": path, "tags": list(tags), "updated": _now()})
     return path
 
 
 def read_registry(spark: SparkSession, root: str) -> DataFrame:
-    return _read_or_empty(spark, f"{root}/registry", REGISTRY_SCHEMA)
+    return read_entries(spark, f"{root}/registry", REGISTRY_SCHEMA)
 
 
 def load_model(spark: SparkSession, root: str, model_id: str) -> PipelineModel:

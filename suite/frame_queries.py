@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from inkgauge.fixed import DETAILED_PROMPT, REWRITE_PROMPT, STANDARD_PROMPT
@@ -58,6 +60,17 @@ def s3(spark, sf):
     return sinks.read_dataset_version(spark, root, "essays", version).select("doc_id", "text", "source", "label")
 
 
+@query("s3b_concurrent_versions", f"SELECT doc_id, label, 2 AS versions, 2 AS paths FROM {ESSAYS_SQL}")
+def s3b(spark, sf):
+    """Two writers at once: both versions are listed, and together they hold all rows."""
+    root, rows = fresh_path(spark, "datasets"), essays(spark, sf)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: sinks.write_dataset_version(rows.where(F.col("label") == k), root, "essays"), (0, 1)))
+    listed = sinks.read_manifest(spark, root).agg(F.max("version").alias("versions"), F.count_distinct("path").cast("int").alias("paths")).first()
+    both = sinks.read_dataset_version(spark, root, "essays", 1).unionByName(sinks.read_dataset_version(spark, root, "essays", 2))
+    return both.select("doc_id", "label", F.lit(listed["versions"]).alias("versions"), F.lit(listed["paths"]).alias("paths"))
+
+
 @query("s4_write_submission", f"SELECT doc_id AS id, score AS generated FROM {PREDICTIONS_SQL}")
 def s4(spark, sf):
     path = fresh_path(spark, "submission")

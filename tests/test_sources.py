@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkgauge.operators import frame as P
 from inkgauge.session import fresh_path
@@ -64,3 +65,27 @@ def test_serving_types():
 def test_best_trial_first_wins_ties(spark):
     df = spark.createDataFrame([(0, 0.5), (1, 0.9), (2, 0.9)], "trial int, auc double")
     assert P.best_trial(df).first()["trial"] == 1
+
+
+def test_writers_at_once_take_different_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path)
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda n: sinks.write_dataset_version(spark.range(n), root, "d/x"), range(1, 7)))
+    assert sorted(got) == [1, 2, 3, 4, 5, 6] and sinks.read_manifest(spark, root).count() == 6
+    assert sorted(sinks.read_dataset_version(spark, root, "d/x", v).count() for v in got) == [1, 2, 3, 4, 5, 6]
+    assert [sinks.read_dataset_version(spark, root, "d/x", v).count() for v in got] == [1, 2, 3, 4, 5, 6]
+
+
+def test_a_lost_write_lists_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    assert sinks.write_dataset_version(spark.range(3), root, "d") == 1
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_dataset_version(spark.range(9).select(F.raise_error(F.lit("lost")).alias("x")), root, "d")
+    # a log entry that was begun and never ended
+    (tmp_path / "manifest" / "d-2.json").write_text('{"name": "d", "ver')
+    assert [r["version"] for r in sinks.read_manifest(spark, root).collect()] == [1]
+    assert sinks.read_dataset_version(spark, root, "d").count() == 3
+    assert sinks.write_dataset_version(spark.range(4), root, "d") == 3
+    assert sinks.read_dataset_version(spark, root, "d").count() == 4
