@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import METRIC_TYPES, RESERVED_METRICS
+from ..functions.prefixes import first_match
 from ..functions.urls import config_fingerprint
-from ..session import lookup_table
+from ..session import lookup_table, small_rows
 
 TENSOR_FIELDS = ("input_type", "input_size", "input_name", "output_type", "output_size", "output_name")
 
@@ -125,28 +126,33 @@ def match_prefix_config(endpoints: DataFrame, cfg: DataFrame, url: str = "url")
     """The configuration of each endpoint: exact name first, else the first wildcard.
 
     ``cfg(name, ord, ...)``: a name ending in ``*`` matches every url that starts
-    with the rest (the documented meaning).  Urls are expanded into their
-    prefixes, so this is a hash join on the prefix and never compares every url
-    with every name.  Urls without a match drop out.
+    with the rest (the documented meaning); of rows that match alike the smallest by
+    ``ord`` and the other columns counts.  Names within the bounds of ``small_rows``
+    are one tree of characters that each url walks down once, more of them a hash
+    join on the prefixes of the lengths that occur.  Urls without a match drop out.
     """
     rest = [c for c in cfg.columns if c not in ("name", "ord")]
     wild = F.col("name").endswith("*")
-    keyed = cfg.select(
-        F.when(wild, 1).otherwise(0).alias("_kind"),
-        F.when(wild, F.expr("left(name, length(name) - 1)")).otherwise(F.col("name")).alias("_key"),
-        F.struct("ord", "name", *rest).alias("_cfg"),
-    )
+    key = F.when(wild, F.expr("left(name, length(name) - 1)")).otherwise(F.col("name"))
+    best = cfg.where("name is not null").groupBy(wild.cast("int").alias("_kind"), key.alias("_key")).agg(F.min(F.struct("ord", "name", *rest)).alias("_cfg"))
+    table = lookup_table(best)
+    names = lookup_table(table.select("_kind", "_key", "_cfg.ord"))
+    rows = small_rows(names)
+    urls = endpoints.select(url).where(F.col(url).isNotNull()).distinct()
+    if rows is not None:
+        number = {(r["_kind"], r["_key"]): i for i, r in enumerate(sorted(rows, key=lambda r: (r["ord"] is not None, r["ord"], r["_key"])))}
+        exact, prefixes = ({k: i for (kind, k), i in number.items() if kind == wanted} for wanted in (0, 1))
+        found = urls.withColumn("_nr", first_match(F.col(url), exact, prefixes)).where("_nr is not null")
+        numbered = endpoints.sparkSession.createDataFrame([(*k, i) for k, i in number.items()], "_kind int, _key string, _nr bigint")
+        hits = found.join(table.join(numbered, ["_kind", "_key"]), "_nr")
+        return hits.select(url, *[F.col(f"_cfg.{f}").alias(f) for f in ("name", *rest)])
+    lengths = sorted(r[0] for r in names.where("_kind = 1").select(F.length("_key")).distinct().collect())
     u = F.col(url)
-    prefixes = F.transform(
-        F.sequence(F.lit(0), F.length(u)), lambda i: F.struct(F.lit(1).alias("k"), F.substr(u, F.lit(1), i).alias("p"))
-    )
-    own = F.array(F.struct(F.lit(0).alias("k"), u.alias("p")))
-    options = endpoints.select(url).distinct().select(url, F.explode(F.concat(own, prefixes)).alias("o"))
-    hits = options.select(url, F.col("o.k").alias("_kind"), F.col("o.p").alias("_key")).join(
-        lookup_table(keyed), ["_kind", "_key"]
-    )
-    best = hits.groupBy(url).agg(F.min_by("_cfg", F.struct("_kind", "_cfg.ord")).alias("c"))
-    return best.select(url, *[F.col(f"c.{f}").alias(f) for f in ("name", *rest)])
+    cut = [F.when(F.length(u) >= n, F.struct(F.lit(1).alias("_kind"), F.left(u, F.lit(n)).alias("_key"))) for n in lengths]
+    options = urls.select(url, F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("_kind"), u.alias("_key")), *cut))).alias("o"))
+    hits = options.select(url, "o.*").join(table, ["_kind", "_key"])
+    first = hits.groupBy(url).agg(F.min_by("_cfg", F.struct("_kind", "_cfg.ord", "_key")).alias("c"))
+    return first.select(url, *[F.col(f"c.{f}").alias(f) for f in ("name", *rest)])
 
 
 def resolve_endpoint(requests: DataFrame, static: DataFrame, monitored: DataFrame, url: str = "url") -> DataFrame:

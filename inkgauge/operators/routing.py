@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import draw
-from ..session import lookup_table
+from ..functions.prefixes import matched_prefixes
+from ..session import lookup_table, small_rows
 from .frame import version_sort_key
 
 
@@ -24,16 +25,19 @@ def existing_targets(canary: DataFrame, endpoints: DataFrame) -> DataFrame:
 def rank_prefix_targets(canary: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Newest endpoints under a prefix, one per configured weight.
 
-    ``canary(endpoint, prefix, weights)``.  Endpoint urls expand into their
-    prefixes for a hash join.  Versions sort as numbers (10 after 9), newest
-    first; weights are renormalised over the targets found.
+    ``canary(endpoint, prefix, weights)``.  Each url walks down one tree of the
+    prefixes and joins only those it begins with; more prefixes than ``small_rows``
+    allows are joined by the lengths that occur.  Versions sort as numbers (10 after
+    9), newest first; weights are renormalised over the targets found.
     """
-    cfg = lookup_table(canary.select("endpoint", F.col("prefix").alias("_p"), "weights"))
-    u = F.col("url")
-    options = endpoints.select("url").distinct().select(
-        "url",
-        F.explode(F.transform(F.sequence(F.lit(0), F.length(u)), lambda i: F.substr(u, F.lit(1), i))).alias("_p"),
-    )
+    cfg = lookup_table(canary.where("prefix is not null").select("endpoint", F.col("prefix").alias("_p"), "weights"))
+    known = small_rows(lookup_table(cfg.select("_p").distinct()))
+    if known is not None:
+        begins = matched_prefixes(F.col("url"), [r["_p"] for r in known])
+    else:
+        lengths = sorted(r[0] for r in cfg.select(F.length("_p")).distinct().collect())
+        begins = F.array_compact(F.array(*[F.when(F.length("url") >= n, F.left("url", F.lit(n))) for n in lengths]))
+    options = endpoints.select("url").where("url is not null").distinct().select("url", F.explode(begins).alias("_p"))
     hits = options.join(cfg, "_p").withColumn("_key", version_sort_key(F.col("url")))
     top = F.row_number().over(Window.partitionBy("endpoint").orderBy(F.desc("_key"), F.desc("url")))
     # the rank filter is pushed below the shuffle as a per-partition limit

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.fixed import LATENCY_BOUNDS
@@ -123,6 +126,29 @@ def f5(spark, sf):
     return out
 
 
+@query(
+    "f5b_metric_values",
+    """WITH e AS (SELECT event_type AS url, value / 100 AS latency, value, json_extract_string(props, '$.k') AS k, ts, event_id FROM events)
+SELECT 'scalar' AS kind, url, b.cell, count(*) FILTER (WHERE latency > b.lo AND latency <= b.hi)::DOUBLE AS n
+  FROM e JOIN (VALUES ('1.0', '-Infinity'::DOUBLE, 1.0::DOUBLE), ('2.0', 1.0, 2.0), ('Infinity', 2.0, 'Infinity'::DOUBLE)) b(cell, lo, hi) ON true WHERE latency IS NOT NULL GROUP BY url, b.cell
+UNION ALL SELECT 'enum', url, v.cell, count(*) FILTER (WHERE k = v.cell) FROM e JOIN (VALUES ('1'), ('2')) v(cell) ON true WHERE k IS NOT NULL GROUP BY url, v.cell
+UNION ALL SELECT 'value', url, '', arg_max(value, {'ts': ts, 'id': event_id}) FROM e GROUP BY url
+UNION ALL SELECT 'counter', url, '', round(sum(value), 4) FROM e GROUP BY url""",
+)
+def f5b(spark, sf):
+    """What every metric class makes of its values."""
+    reqs = requests(spark, sf).withColumn("k", F.get_json_object("props", "$.k"))
+    none = F.lit("")
+    parts = [
+        ("scalar", H.aggregate_metric("scalar", reqs, bounds=[1.0, 2.0], value="latency"), F.col("le").cast("string"), F.col("n")),
+        ("enum", H.aggregate_metric("enum", reqs, enum=["1", "2"], value="k"), F.col("enum"), F.col("n")),
+        ("value", H.aggregate_metric("value", reqs), none, F.col("value")),
+        ("counter", H.aggregate_metric("counter", reqs, amount="value"), none, F.round("total", 4)),
+    ]
+    out = [df.select(F.lit(kind).alias("kind"), "url", cell.alias("cell"), n.cast("double").alias("n")) for kind, df, cell, n in parts]
+    return reduce(DataFrame.unionAll, out)
+
+
 # -- requests ---------------------------------------------------------------
 
 FREQ_SQL = "CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.0 WHEN 'error' THEN 2.0 ELSE 0.1 END"
@@ -282,6 +308,27 @@ def m8(spark, sf):
     return V.version_sync(spark.readStream.schema(snapshot.schema).parquet(path), 100, "m8")
 
 
+def _newest(rows: str, n: int) -> str:
+    return f"""(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY base_url ORDER BY updated DESC, model_id DESC) AS rn FROM {rows}) WHERE rn <= {n})"""
+
+
+@query(
+    "m8b_removal_and_rollback",
+    f"""WITH one AS (WITH cur AS {NO_VERSIONS}, wanted AS {_newest(ORDERS_SQL, 20)}, {ASSIGN}),
+two AS (WITH cur AS (SELECT * FROM one), wanted AS {_newest(f"(SELECT * FROM {ORDERS_SQL} WHERE model_id % 3 <> 0)", 20)}, {ASSIGN}),
+three AS (WITH cur AS (SELECT * FROM two), wanted AS {_newest(ORDERS_SQL, 20)}, {ASSIGN})
+SELECT base_url, model_id, version FROM three""",
+)
+def m8b(spark, sf):
+    """Three snapshots: all models, without a third of them (older ones come back), and all again."""
+    path = fresh_path(spark, "snapshots")
+    every = models(spark, sf).select("base_url", "model_id", "updated")
+    for rows in (every, every.where("model_id % 3 <> 0"), every):
+        rows.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return V.version_sync(stream, 20, "m8b")
+
+
 RATES = f"""SELECT date_trunc('minute', ts) AS w, event_type AS url, {first_bound_sql('value / 100', LATENCY_BOUNDS)} AS bucket, count(*) AS n FROM events GROUP BY ALL"""
 
 

@@ -89,3 +89,42 @@ def test_a_lost_write_lists_nothing(spark, tmp_path):
     assert sinks.read_dataset_version(spark, root, "d").count() == 3
     assert sinks.write_dataset_version(spark.range(4), root, "d") == 3
     assert sinks.read_dataset_version(spark, root, "d").count() == 4
+
+
+def test_prefix_configuration_by_tree_and_by_join(spark, monkeypatch):
+    import random
+
+    from inkgauge.operators import config as C
+    from inkgauge.operators import routing as R
+
+    rng = random.Random(3)
+
+    def word():
+        return "".join(rng.choice("abé/") for _ in range(rng.randint(0, 5)))
+
+    cfg = [(word() + rng.choice(["*", ""]), rng.randint(1, 40), str(i)) for i in range(120)] + [("*", 99, "all"), ("a*", 1, "x"), ("a*", 1, "w")]
+    urls = [(word(),) for _ in range(300)] + [(None,)]
+    want = {}
+    for (u,) in urls:
+        if u is None:
+            continue
+        hits = [(0, o, n, x) for n, o, x in cfg if n == u and not n.endswith("*")] + [(1, o, n, x) for n, o, x in cfg if n.endswith("*") and u.startswith(n[:-1])]
+        # of one order the shorter prefix sorts first
+        want[u] = min(hits, key=lambda h: (h[0], h[1], h[2].removesuffix("*"), h[3]))[2:]
+    frames = spark.createDataFrame(urls, "url string"), spark.createDataFrame(cfg + [(None, 0, "n")], "name string, ord int, more string")
+    rows = C.match_prefix_config(*frames)
+    assert {r.url: (r.name, r.more) for r in rows.collect()} == want
+    assert "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    canary = spark.createDataFrame([("x", "a", [1.0, 2.0]), ("y", "", [1.0]), ("z", "zz", [1.0]), ("n", None, [1.0])], "endpoint string, prefix string, weights array<double>")
+    targets = sorted(map(repr, R.rank_prefix_targets(canary, frames[0]).collect()))
+    monkeypatch.setattr(C, "small_rows", lambda table: None)
+    monkeypatch.setattr(R, "small_rows", lambda table: None)
+    assert {r.url: (r.name, r.more) for r in C.match_prefix_config(*frames).collect()} == want
+    assert sorted(map(repr, R.rank_prefix_targets(canary, frames[0]).collect())) == targets and len(targets) == 3
+
+
+def test_many_prefixes_are_one_tree():
+    from inkgauge.functions.prefixes import prefix_tree, prefixes_of
+
+    tree = prefix_tree([f"model{i}/" for i in range(100_000)] + ["", "model1"])
+    assert list(prefixes_of("model12345/7", tree)) == ["", "model1", "model12345/"] and list(prefixes_of("x", tree)) == [""]
