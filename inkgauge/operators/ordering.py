@@ -16,19 +16,20 @@ from pyspark.sql import functions as F
 from ..functions.base import draw_hex, let
 from ..session import lookup_table
 
-# Ranges of a distributed order; each is sorted by its own task.
-MIN_RANGES, MAX_RANGES = 64, 1024
+# Ranges of a distributed order at least; each is sorted by its own task.
+MIN_RANGES = 64
 SAMPLE_PER_RANGE = 40
-# Bounds in one compiled tree; with more, each tree leaf searches a block of bounds.
+# Bounds in one compiled tree; with more, each tree leaf searches a block of at least so many bounds.
 TREE_BOUNDS, BLOCK = 128, 8
-# Leading hex digits of a draw that name its bucket: 16**3 = 4096 buckets.
-DRAW_DIGITS = 3
+# Hex digits of a draw that name its bucket, and those of an md5.
+DRAW_DIGITS, HEX_DIGITS = 3, 32
+# Rows of a bucket that one task orders, about; a larger bucket is divided by further digits.
+BUCKET_ROWS = 200_000
 
 
 def default_ranges(df: DataFrame) -> int:
-    """As many ranges as shuffle partitions, within limits."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_RANGES, min(MAX_RANGES, wanted))
+    """As many ranges as shuffle partitions, which grow with the data, but not too few."""
+    return max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def range_bounds(df: DataFrame, order: Sequence[str], ranges: int) -> list[tuple]:
@@ -64,7 +65,8 @@ def with_range(df: DataFrame, order: Sequence[str], ranges: int | None = None, o
     fields = df.select(*order).schema.fields
     types = [f.dataType for f in fields]
     every = range_bounds(df, order, ranges or default_ranges(df))
-    values = every if len(every) <= TREE_BOUNDS else every[BLOCK - 1 :: BLOCK]
+    block_size = max(BLOCK, -(-len(every) // TREE_BOUNDS))
+    values = every if len(every) <= TREE_BOUNDS else every[block_size - 1 :: block_size]
     first = F.col(order[0])
 
     def before(i: int) -> Column:
@@ -83,8 +85,8 @@ def with_range(df: DataFrame, order: Sequence[str], ranges: int | None = None, o
         table = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in every])
 
         def within(block: Column) -> Column:
-            near = F.slice(table, block * BLOCK + 1, BLOCK)
-            return block * BLOCK + let(F.struct(*order), lambda key: F.size(F.filter(near, lambda b: b <= key)))
+            near = F.slice(table, block * block_size + 1, block_size)
+            return block * block_size + let(F.struct(*order), lambda key: F.size(F.filter(near, lambda b: b <= key)))
 
         found = let(found, within)
     return df.withColumn(out, F.when(first.isNull(), F.lit(0)).otherwise(found))
@@ -123,7 +125,7 @@ def running_sums(
     totals = rows.groupBy("_rng").agg(*[F.sum(v).alias(v) for v in dict.fromkeys(sums.values())])
     offsets = _offsets(totals, [], list(dict.fromkeys(sums.values())))
     w = Window.partitionBy("_rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # at most MAX_RANGES rows
+    # a row a range
     joined = rows.join(F.broadcast(offsets), "_rng")
     for out, v in sums.items():
         joined = joined.withColumn(out, F.col(f"_off_{v}") + F.sum(v).over(w))
@@ -133,63 +135,93 @@ def running_sums(
 # -- seeded random order ----------------------------------------------------
 
 def with_draw(df: DataFrame, key: str, seed: int | str) -> DataFrame:
-    """Adds ``_h`` (the draw) and ``_b`` (its bucket); both repeat exactly."""
-    return df.withColumn("_h", draw_hex(key, seed)).withColumn("_b", F.substring("_h", 1, DRAW_DIGITS))
+    """Adds ``_h``, the draw, which repeats exactly."""
+    return df.withColumn("_h", draw_hex(key, seed))
 
 
-def draw_histogram(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Rows per bucket with the rows of the buckets before it (per group, at most 4096)."""
-    hist = df.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return hist.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+def bucket_of(digits: int) -> Column:
+    return F.substring("_h", 1, digits)
+
+
+def draw_histogram(rows: DataFrame, group: Sequence[str], digits: int) -> DataFrame:
+    """``group, _b, _n, _before``: rows per bucket, and those of the group's buckets before it.
+
+    Sums run over the buckets that share all but their last digits, then over those
+    groups of buckets, so a window never holds more than 4096 rows.
+    """
+    hist = rows.withColumn("_b", bucket_of(digits)).groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(_earlier(group, "_b")), F.lit(0))
+    if digits <= DRAW_DIGITS:
+        return hist.withColumn("_before", before)
+    parent = F.substring("_b", 1, digits - DRAW_DIGITS).alias("_up")
+    sums = hist.groupBy(*group, parent).agg(F.sum("_n").alias("_n"))
+    above = sums.withColumn("_above", F.coalesce(F.sum("_n").over(_earlier(group, "_up")), F.lit(0))).drop("_n")
+    inner = hist.withColumn("_up", parent)
+    inner = inner.withColumn("_in", F.coalesce(F.sum("_n").over(_earlier([*group, "_up"], "_b")), F.lit(0)))
+    return inner.join(above, [*group, "_up"]).withColumn("_before", F.col("_above") + F.col("_in")).drop("_up", "_above", "_in")
+
+
+def _earlier(group: Sequence[str], order: str):
+    return Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def draw_ranked(df: DataFrame, key: str, seed: int | str, group: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """Position of every row in the seeded random order of its group."""
-    rows = with_draw(df, key, seed)
-    hist = lookup_table(draw_histogram(rows, group).drop("_n"))
+    rows, digits = with_draw(df, key, seed), DRAW_DIGITS
+    hist = lookup_table(draw_histogram(rows, group, digits))
+    if (hist.agg(F.max("_n")).first()[0] or 0) > BUCKET_ROWS:
+        digits = 2 * DRAW_DIGITS
+        hist = lookup_table(draw_histogram(rows, group, digits))
+    rows = rows.withColumn("_b", bucket_of(digits))
     w = Window.partitionBy(*group, "_b").orderBy("_h", key)
     return (
-        rows.join(hist, [*group, "_b"])
+        rows.join(hist.drop("_n"), [*group, "_b"])
         .withColumn(out, F.col("_before") + F.row_number().over(w))
         .drop("_h", "_b", "_before")
     )
 
 
+def buckets_of_positions(hist: DataFrame, asks: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``group, cut, _b, _nth, _n``: the bucket of every asked position, and the position in it.
+
+    Positions and buckets meet in equal steps of the group's rows, a few buckets a
+    step; positions beyond the end of a group are its last one.
+    """
+    sizes = hist.groupBy(*group).agg(F.sum("_n").alias("_total")).withColumn("_step", F.ceil(F.col("_total") / 16**DRAW_DIGITS))
+    first, last = F.floor(F.col("_before") / F.col("_step")), F.floor((F.col("_before") + F.col("_n") - 1) / F.col("_step"))
+    spans = hist.join(sizes, [*group]).select(*group, "_b", "_n", "_before", F.explode(F.sequence(first, last)).alias("_at_step"))
+    asked = asks.join(sizes, [*group]).withColumn("_at", F.least("_at", "_total"))
+    asked = asked.select(*group, "cut", "_at", F.floor((F.col("_at") - 1) / F.col("_step")).alias("_at_step"))
+    inside = (F.col("_at") > F.col("_before")) & (F.col("_at") <= F.col("_before") + F.col("_n"))
+    return asked.join(spans, [*group, "_at_step"]).where(inside).select(*group, "cut", "_b", (F.col("_at") - F.col("_before")).alias("_nth"), "_n")
+
+
 def draw_cuts(
     df: DataFrame, key: str, seed: int | str, wanted: DataFrame, group: Sequence[str] = ()
 ) -> DataFrame:
     """The row at each wanted position of the seeded order: ``group, cut, _h, key``.
 
-    ``wanted(group, cut, _at)`` names positions.  Two narrow scans: bucket sizes
-    first, then only the rows of the buckets that hold a wanted position are
-    ranked.  Positions beyond the group's end give its last row.
+    ``wanted(group, cut, _at)`` names positions.  Narrow scans: bucket sizes first,
+    then, as long as a bucket that holds a position has more than ``BUCKET_ROWS``
+    rows, the sizes of its parts by further digits; only the rows of the last
+    buckets are ranked.  Positions beyond the group's end give its last row.
     """
     if not group:
         whole = df.select(key).withColumn("_all", F.lit(0))
         return draw_cuts(whole, key, seed, wanted.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     group = list(group)
     rows = with_draw(df.select(key, *group), key, seed)
-    hist = draw_histogram(rows, group)
-    sizes = hist.groupBy(*group).agg(F.sum("_n").alias("_total"))
-    asked = wanted.join(sizes, group).withColumn("_at", F.least("_at", "_total"))
-    # the bucket of a position is the last one that starts before it
-    marks = hist.select(*group, F.col("_before").alias("_pos"), F.lit(0).alias("_k"), "_b", "_before", F.lit(None).alias("cut"))
-    asks = asked.select(
-        *group, (F.col("_at") - 1).alias("_pos"), F.lit(1).alias("_k"),
-        F.lit(None).cast("string").alias("_b"), F.lit(None).cast("bigint").alias("_before"), "cut",
-    )
-    w = Window.partitionBy(*group).orderBy("_pos", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        marks.unionByName(asks)
-        .withColumn("_hit", F.last("_b", ignorenulls=True).over(w))
-        .withColumn("_start", F.last("_before", ignorenulls=True).over(w))
-        .where("_k = 1")
-        .select(*group, "cut", F.col("_hit").alias("_b"), (F.col("_pos") - F.col("_start") + 1).alias("_nth"))
-    )
-    targets = lookup_table(found)
-    inner = Window.partitionBy(*group, "_b").orderBy("_h", key)
-    ranks = rows.join(
-        targets.select(*group, "_b").distinct(), [*group, "_b"], "left_semi"
-    ).withColumn("_nth", F.row_number().over(inner))
+    digits, inside = DRAW_DIGITS, group
+    targets = lookup_table(buckets_of_positions(draw_histogram(rows, group, digits), wanted, group))
+    while digits + DRAW_DIGITS <= HEX_DIGITS and (targets.agg(F.max("_n")).first()[0] or 0) > BUCKET_ROWS:
+        inside = [*group, "_up"]
+        held = targets.select(*group, F.col("_b").alias("_up")).distinct()
+        scope = rows.withColumn("_up", bucket_of(digits)).join(held, inside, "left_semi")
+        digits += DRAW_DIGITS
+        hist = scope.withColumn("_b", bucket_of(digits)).groupBy(*inside, "_b").agg(F.count("*").alias("_n"))
+        hist = hist.withColumn("_before", F.coalesce(F.sum("_n").over(_earlier(inside, "_b")), F.lit(0)))
+        asks = targets.select(*group, F.col("_b").alias("_up"), "cut", F.col("_nth").alias("_at"))
+        targets = lookup_table(buckets_of_positions(hist, asks, inside).drop("_up"))
+    ranks = rows.withColumn("_b", bucket_of(digits)).join(targets.select(*group, "_b").distinct(), [*group, "_b"], "left_semi")
+    ranks = ranks.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", key)))
     return ranks.join(targets, [*group, "_b", "_nth"]).select(*group, "cut", "_h", key)

@@ -91,3 +91,37 @@ def test_ranks_split_a_hot_value_by_the_further_keys(spark):
         assert {r["id"]: r["r"] for r in out.collect()} == want
     spread = ordering.with_range(df, ["v", "id"]).where("v = 7").groupBy("_rng").count().collect()
     assert len(spread) > 20 and max(r["count"] for r in spread) < 1000
+
+
+@pytest.mark.parametrize("rows_of_a_bucket", [3, 40])
+def test_large_buckets_are_divided_by_further_digits(spark, monkeypatch, rows_of_a_bucket):
+    from inkgauge.functions.base import draw_hex
+
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", rows_of_a_bucket)
+    monkeypatch.setattr(ordering, "DRAW_DIGITS", 1)
+    df = spark.range(1500).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("label"))
+    order = {}
+    for r in df.select("doc_id", "label", draw_hex("doc_id", 5).alias("h")).collect():
+        order.setdefault(r.label, []).append((r.h, r.doc_id))
+    order = {k: sorted(v) for k, v in order.items()}
+    asked = [(k, c, at) for k in (0, 1) for c, at in enumerate([1, 2, 17, 100, 214, 215, 700, 1285, 5000])]
+    wanted = spark.createDataFrame(asked, "label int, cut int, _at bigint")
+    got = {(r.label, r.cut): r.doc_id for r in ordering.draw_cuts(df, "doc_id", 5, wanted, ["label"]).collect()}
+    assert got == {(k, c): order[k][min(at, len(order[k])) - 1][1] for k, c, at in asked}
+    ranks = {r.doc_id: r["rank"] for r in ordering.draw_ranked(df, "doc_id", 5, ["label"]).collect()}
+    assert ranks == {i: n + 1 for v in order.values() for n, (_, i) in enumerate(v)}
+
+
+def test_ranges_follow_the_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3000")
+    try:
+        df = spark.range(40_000).select("id", (F.col("id") * 7919 % 40_009).alias("v"))
+        assert ordering.default_ranges(df) == 3000
+        ranged = ordering.with_range(df, ["v"])
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        sizes = ranged.groupBy("_rng").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z")).orderBy("_rng").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(sizes) > 900 and max(r.n for r in sizes) < 400
+    assert all(x.z < y.a for x, y in zip(sizes, sizes[1:]))
