@@ -13,12 +13,13 @@ SCALER_SCHEMA = "col string, min double, max double, mean double, std double"
 def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Minimum, maximum, mean and population std of each column, in one pass.
 
-    Nulls and NaN do not count; a column without any other value has nulls.
+    Null, NaN and infinite values do not count; a column without any other value has nulls.
     """
     columns = list(columns)
 
     def known(c: str) -> Column:
-        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        value = F.col(c).cast("double")
+        return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
 
     one = df.agg(
         *[
@@ -46,27 +47,32 @@ def _apply(df: DataFrame, scaled: Mapping[str, Column]) -> DataFrame:
     return df.select(*keep, *[c.alias(f"{n}_scaled") for n, c in scaled.items()])
 
 
+def _flat(value: Column) -> Column:
+    """0 for every finite value; others stay what they are."""
+    return F.when(F.abs(value) == F.lit(float("inf")), value).otherwise(value * 0.0)
+
+
 def minmax_transform(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Min-max scaling; a constant column becomes 0, NaN and null stay what they are."""
+    """Min-max scaling; a constant column becomes 0, NaN, null and infinite values stay what they are."""
     stats = _stats(scaler)
 
     def scale(c: str) -> Column:
         lo, hi = stats[c]["min"], stats[c]["max"]
         if lo is None or hi == lo:
-            return F.col(c).cast("double") * 0.0
+            return _flat(F.col(c).cast("double"))
         return (F.col(c).cast("double") - F.lit(lo)) / F.lit(hi - lo)
 
     return _apply(df, {c: scale(c) for c in columns})
 
 
 def standard_transform(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Zero mean, unit population std; a constant column becomes 0, NaN and null stay what they are."""
+    """Zero mean, unit population std; a constant column becomes 0, NaN, null and infinite values stay what they are."""
     stats = _stats(scaler)
 
     def scale(c: str) -> Column:
         mean, std = stats[c]["mean"], stats[c]["std"]
         if not std:
-            return F.col(c).cast("double") * 0.0
+            return _flat(F.col(c).cast("double"))
         return (F.col(c).cast("double") - F.lit(mean)) / F.lit(std)
 
     return _apply(df, {c: scale(c) for c in columns})

@@ -16,7 +16,7 @@ from ..operators.frame import interpret_score
 from ..operators.routing import route_canary
 from ..operators.scaling import minmax_transform
 from ..operators.tokens import encode_tokens
-from ..session import fresh_path
+from ..session import fresh_path, written
 from ..sources.stats import pack_batches
 from ..streaming.metrics import DRAIN, start_batches
 from ..streaming.requests import request_stats, sample_stream
@@ -41,25 +41,43 @@ def score_requests(
     return scored.withColumn("verdict", interpret_score("score"))
 
 
+def _numbered(requests: DataFrame) -> DataFrame:
+    """The requests, read once, with a number ``_row`` for each: keys may repeat or be null."""
+    return written(requests.withColumn("_row", F.monotonically_increasing_id()), "requests")
+
+
+def _features(rows: DataFrame, lexicon: DataFrame, familiar: DataFrame, key: str, order: str, tables: Mapping[str, DataFrame | None]) -> DataFrame:
+    """The feature table of numbered requests by ``_row``; tables by ``key`` are brought to it."""
+    known = {k: t for k, t in tables.items() if t is not None}
+    for name in ("annotations", "vectors"):
+        if name in known:
+            of = rows.select(F.col(key).alias("_of"), "_row")
+            known[name] = known[name].join(of, F.col(key).eqNullSafe(F.col("_of"))).drop(key, "_of")
+    return feature_table(rows.select("_row", "text"), lexicon, familiar, key="_row", order=order, **known)
+
+
 def score_features(
     requests: DataFrame, lexicon: DataFrame, familiar: DataFrame, predict: Callable[[DataFrame], DataFrame],
-    key: str = "request_id",
+    key: str = "request_id", **tables: DataFrame | None,
 ) -> DataFrame:
     """Score texts by their features: adds ``score``, ``verdict`` and a ``features`` map.
 
     ``predict`` takes the feature table and adds ``score``: an expression, a
-    fitted pipeline's transform or an additive model.
+    fitted pipeline's transform or an additive model.  ``annotations, lemmas, tags``
+    and ``vectors`` are those of ``feature_table``, so that scored features are those a
+    model was trained on.  Every request has a row, whether its key repeats or is null.
     """
-    scored = predict(feature_table(requests.select(key, "text"), lexicon, familiar, key=key))
+    rows = _numbered(requests)
+    scored = predict(_features(rows, lexicon, familiar, key, "batch", tables))
     names = [f for f in FEATURES if f in scored.columns]
     values = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names]))
-    reply = scored.select(key, "score", values.alias("features"))
-    return requests.drop("text").join(reply, key).withColumn("verdict", interpret_score("score"))
+    reply = scored.select("_row", "score", values.alias("features"))
+    return rows.drop("text").join(reply, "_row").drop("_row").withColumn("verdict", interpret_score("score"))
 
 
 def score_reply(
     requests: DataFrame, vocab: DataFrame, logits: Callable[[DataFrame], DataFrame], lexicon: DataFrame, familiar: DataFrame,
-    scaler: DataFrame | None = None, key: str = "request_id", max_length: int = 128,
+    scaler: DataFrame | None = None, key: str = "request_id", max_length: int = 128, **tables: DataFrame | None,
 ) -> DataFrame:
     """One reply per request: ``key, label, probability, features``.
 
@@ -67,11 +85,14 @@ def score_reply(
     (an expression, an engine or a fitted model over the ids) adds a column of
     that name: its largest gives the label, ``positive_score`` the probability.  The
     features of the same text come as a map; those a saved ``scaler`` names are
-    min-max scaled by it.  Serves a table as well as each batch of a stream.
+    min-max scaled by it.  ``annotations, lemmas, tags`` and ``vectors`` are those of
+    ``feature_table``.  Serves a table as well as each batch of a stream; every request
+    has a reply, whether its key repeats or is null.
     """
-    ids = encode_tokens(cleaned(requests, key, "text", "serving"), vocab, max_length, key, "clean")
-    scored = logits(ids).select(key, argmax("logits").alias("label"), positive_score("logits").alias("probability"))
-    table = feature_table(requests.select(key, "text"), lexicon, familiar, key=key, order="serving")
+    rows = _numbered(requests.select(key, "text"))
+    ids = encode_tokens(cleaned(rows, "_row", "text", "serving"), vocab, max_length, "_row", "clean")
+    scored = logits(ids).select("_row", argmax("logits").alias("label"), positive_score("logits").alias("probability"))
+    table = _features(rows, lexicon, familiar, key, "serving", tables)
     names = [f for f in FEATURES if f in table.columns]
     known = {r["col"] for r in scaler.select("col").collect()} if scaler is not None else set()
     scaled = [f for f in names if f in known]
@@ -79,7 +100,8 @@ def score_reply(
         table = minmax_transform(table, scaler, scaled)
     values = [F.col(f"{f}_scaled" if f in known else f).cast("double") for f in names]
     features = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*values))
-    return scored.join(table.select(key, features.alias("features")), key)
+    replies = scored.join(table.select("_row", features.alias("features")), "_row")
+    return rows.select("_row", key).join(replies, "_row").drop("_row")
 
 
 def start_reply_stream(

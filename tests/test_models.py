@@ -263,3 +263,40 @@ def test_neighbours_by_text_keys(spark):
         near = sorted((math.dist(v, w), t) for t, w, _ in rows)[:4]
         want += [(q, t, r) for r, (_, t) in enumerate(near, 1)]
     assert sorted((r["name"], r["neighbour"], r["rank"]) for r in got) == sorted(want)
+
+
+def test_infinite_values_do_not_count_in_scalers(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 2.0), (inf, -inf), (-inf, 2.0), (None, float("nan"))], "a double, b double")
+    fitted = scaling.fit_scaler(df, ["a", "b"])
+    assert {r["col"]: (r["min"], r["max"], r["mean"]) for r in fitted.collect()} == {"a": (1.0, 3.0, 2.0), "b": (2.0, 2.0, 2.0)}
+    got = [tuple(r) for r in scaling.minmax_transform(df, fitted, ["a", "b"]).collect()]
+    assert got[:4] == [(0.0, 0.0), (1.0, 0.0), (inf, -inf), (-inf, 0.0)] and got[4][0] is None and math.isnan(got[4][1])
+    assert [r["b_scaled"] for r in scaling.standard_transform(df, fitted, ["b"]).collect()][:4] == [0.0, 0.0, -inf, 0.0]
+
+
+def test_every_request_has_a_reply(spark):
+    from inkgauge.plans import scoring
+
+    rows = [(1, "Help the money."), (1, "Money money. Run!"), (None, "Help."), (None, "Help."), (2, None), (3, "")]
+    asked = spark.createDataFrame(rows, "request_id int, text string")
+    lex = spark.createDataFrame([("a", "help"), ("a", "money")], "category string, token string")
+    known = spark.createDataFrame([("the",), ("help",)], "token string")
+    vocab = spark.createDataFrame([("help", 4), ("money", 5)], "token string, token_id int")
+
+    def logits(ids):
+        return ids.withColumn("logits", F.array(F.lit(1.0), F.size("input_ids").cast("double")))
+
+    replies = scoring.score_reply(asked, vocab, logits, lex, known).collect()
+    assert sorted(str(r.request_id) for r in replies) == sorted(str(i) for i, _ in rows)
+    scored = scoring.score_features(asked, lex, known, lambda t: t.withColumn("score", F.lit(0.5))).collect()
+    assert sorted(str(r.request_id) for r in scored) == sorted(str(i) for i, _ in rows)
+    tokens_of = sorted(r.features["num_tokens"] for r in scored if r.request_id == 1)
+    assert tokens_of == [4.0, 5.0]
+    # the tables of the feature table count here too
+    lemmas = spark.createDataFrame([("money", "help")], "token string, lemma string")
+    tags = spark.createDataFrame([("help", "NN")], "token string, tag string")
+    with_tables = scoring.score_features(asked, lex, known, lambda t: t.withColumn("score", F.lit(0.5)), lemmas=lemmas, tags=tags)
+    own = feature_table(asked.where("text like 'Money%'").withColumn("doc_id", F.lit(9)), lex, known, lemmas=lemmas, tags=tags).first()
+    one = next(r for r in with_tables.collect() if r.features["num_tokens"] == 5.0)
+    assert one.features["semantic_density"] == own["semantic_density"] and one.features["num_unique_lemmas"] == own["num_unique_lemmas"]
