@@ -67,22 +67,25 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each use of a document, in the blocks of the mix: all at least once, those of small sources up to twice.
+    """A row for each use of a document, block by block of the mix: all at least once, those of small sources up to twice.
 
-    Rows are written block by block and in a block's order.  Equal rows are one
-    row with the uses of all of them; null ids, sources and texts are values.  An
-    empty table gives no rows.
+    A block's rows lie together in its order.  Equal rows are one row with the uses
+    of all of them; null ids, sources and texts are values.  An empty table gives no
+    rows.
     """
     own = max(docs.columns, key=len)  # names made from it are longer than any there is
-    key, row = own + "_key", own + "_row"
+    key, of, block, place, epoch = (f"{own}_{c}" for c in ("key", "of", "block", "place", "epoch"))
     values = [v for c in docs.columns for v in (F.col(f"`{c}`"), F.isnull(F.col(f"`{c}`")))]
     same = F.concat_ws(":", F.xxhash64(F.lit(1), *values).cast("string"), F.xxhash64(F.lit(2), *values).cast("string"))
     rows = docs.withColumn(key, same)
-    uses = op3_mixing.mix_sources(rows, id_col=key).select(F.col("id").alias("of"), "block", "place", "epoch")
-    rows = rows.groupBy(key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
-    placed = rows.join(uses, rows[key] == uses.of).select(row, "block", "place", "epoch")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(parts, "block", "place").sortWithinPartitions("block", "place", "epoch").select(f"{row}.*")
+    uses = op3_mixing.mix_sources(rows, id_col=key)
+    uses = uses.select(F.col("id").alias(of), F.col("block").alias(block), F.col("place").alias(place), F.col("epoch").alias(epoch))
+    repeated = written(rows.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key), "corpus-repeated")
+    if not repeated.isEmpty():
+        first = rows.join(repeated, key, "left_semi").groupBy(key).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("row"))
+        rows = rows.join(repeated, key, "left_anti").select(*rows.columns).unionAll(first.select("row.*"))
+    placed = rows.join(uses, rows[key] == uses[of])
+    return placed.repartition(block).sortWithinPartitions(block, place, epoch).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
