@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions.base import safe_div
 from ..functions.inrow import token_hits, token_numbers
 from ..session import lookup_table, small_rows, written
+from .lemmas import with_ending_lemmas
 
 
 def sentence_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,9 +29,12 @@ def token_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
-def lemmatize_tokens(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """Adds ``lemma`` from a ``(token, lemma)`` table, suffix rule elsewhere."""
+def lemmatize_tokens(tokens: DataFrame, lemmas: DataFrame, endings: DataFrame | None = None) -> DataFrame:
+    """Adds ``lemma`` from a ``(token, lemma)`` table; elsewhere by ``endings`` learned from one, or the suffix rule."""
     known = lookup_table(lemmas.select(F.col("token"), F.col("lemma").alias("_lemma")).dropDuplicates(["token"]))
+    if endings is not None:
+        found = with_ending_lemmas(tokens, endings).join(known, "token", "left")
+        return found.withColumn("lemma", F.coalesce("_lemma", "lemma")).select(*tokens.columns, "lemma")
     return (
         tokens.join(known, "token", "left")
         .withColumn("lemma", F.coalesce("_lemma", X.lemma(F.col("token"))))

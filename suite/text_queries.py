@@ -9,14 +9,16 @@ from inkgauge.fixed import EXTRA_TREE_FEATURES, FEATURES, LEXICON_CATEGORIES, RE
 from inkgauge.functions import readability as R
 from inkgauge.functions import text as X
 from inkgauge.operators import annotate as A
-from inkgauge.operators import flow, parsing as PA, subwords as SW, tokens as K
+from inkgauge.operators import flow, lemmas as LE, parsing as PA, subwords as SW, tokens as K
 from inkgauge.plans.feature_table import (
     FEATURE_GROUPS, cleaned, feature_breakdown, feature_projection, feature_table,
 )
 from inkgauge.session import spread, written
 
 from . import textsql as S
-from .base import big, query, r6, table
+from inkgauge.functions.base import draw
+
+from .base import big, draw_sql, query, r6, table
 
 
 def docs(spark, sf):
@@ -473,6 +475,46 @@ def t21c(spark, sf):
     return trees.join(chunks, "doc_id")
 
 
+# Pairs of token and lemma: the noun-suffix rule, and "ing" and "ed" off longer words.  A fifth of the tokens is held out.
+PAIRS = f"""pairs AS (SELECT token AS t, CASE WHEN length(token) > 5 AND token LIKE '%ing' THEN left(token, length(token) - 3)
+    WHEN length(token) > 4 AND token LIKE '%ed' THEN left(token, length(token) - 2) || 'e'
+    WHEN length(token) > 3 AND right(token, 1) = 's' THEN left(token, length(token) - 1) ELSE token END AS l,
+    {draw_sql('token', 3)} < 0.2 AS held
+  FROM (SELECT DISTINCT unnest({S.tokens('lower(text)')}) AS token FROM documents) WHERE regexp_matches(token, '^[a-z]+$'))"""
+ENDINGS_SQL = """kept AS (SELECT t, l, coalesce(list_position(list_transform(range(1, least(length(t), length(l)) + 1), lambda i: t[i] = l[i]), false) - 1, least(length(t), length(l))) AS k FROM pairs WHERE NOT held),
+rules AS (SELECT t, (length(t) - k)::INT AS cut, substr(l, k + 1) AS put FROM kept WHERE length(t) - k <= 6),
+votes AS (SELECT right(t, n) AS ending, cut, put, count(*) AS votes FROM (SELECT *, unnest(range(cut, least(6, length(t)) + 1)) AS n FROM rules) GROUP BY ALL),
+endings AS (SELECT ending, cut, put, votes FROM (SELECT *, row_number() OVER (PARTITION BY ending ORDER BY votes DESC, cut, put) AS rn, sum(votes) OVER (PARTITION BY ending) AS every FROM votes) WHERE rn = 1 AND every >= 2)"""
+
+
+def lemma_pairs(spark, sf):
+    t = F.col("token")
+    tokens = docs(spark, sf).select(F.explode(X.tokenize(F.lower("text"))).alias("token")).distinct().where(t.rlike("^[a-z]+$"))
+    lemma = F.when((F.length(t) > 5) & t.endswith("ing"), F.left(t, F.length(t) - 3)).when((F.length(t) > 4) & t.endswith("ed"), F.concat(F.left(t, F.length(t) - 2), F.lit("e")))
+    return tokens.select("token", F.coalesce(lemma, X.lemma(t)).alias("lemma"), (draw("token", 3) < 0.2).alias("held"))
+
+
+@query("x10b_learned_endings", f"WITH {PAIRS}, {ENDINGS_SQL} SELECT * FROM endings")
+def x10b(spark, sf):
+    return LE.learn_endings(lemma_pairs(spark, sf).where("not held"))
+
+
+@query(
+    "x10c_held_out_lemmas",
+    f"""WITH {PAIRS}, {ENDINGS_SQL},
+best AS (SELECT p.t, arg_max({{'cut': e.cut, 'put': e.put}}, length(e.ending)) AS r FROM pairs p JOIN endings e ON length(e.ending) <= length(p.t) AND right(p.t, length(e.ending)) = e.ending
+  WHERE held AND e.cut <= length(p.t) GROUP BY p.t)
+SELECT p.t AS token, coalesce(left(p.t, length(p.t) - r.cut) || r.put, CASE WHEN length(p.t) > 3 AND right(p.t, 1) = 's' THEN left(p.t, length(p.t) - 1) ELSE p.t END) AS lemma,
+  p.l AS expected FROM pairs p LEFT JOIN best USING (t) WHERE held""",
+)
+def x10c(spark, sf):
+    """Lemmas of held-out tokens by endings learned from the others."""
+    pairs = written(lemma_pairs(spark, sf), "pairs")
+    endings = LE.learn_endings(pairs.where("not held"))
+    found = LE.with_ending_lemmas(pairs.where("held").select("token", F.col("lemma").alias("expected")), endings)
+    return found.select("token", "lemma", "expected")
+
+
 # -- flagship ---------------------------------------------------------------
 
 INTS = {
