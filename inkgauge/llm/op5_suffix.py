@@ -1,12 +1,15 @@
-"""Suffix-array dedup by sparse suffixes at content-selected positions.
+"""Suffix dedup by sparse suffixes at content-selected positions.
 
 A suffix is kept where the hash of its first ``prefix`` words is the smallest of
-``window - prefix + 1`` consecutive ones (all of ties).  Two equal windows
-select the same place, so it is enough to sort suffixes of the kept places: those
-whose neighbour in the order begins with the same words are extended to the left
-and right over all windows that selected them, and the extended contexts are
-sorted and compared with their neighbours again.  About 2 of ``window - prefix``
-suffixes are kept, so far less is sorted than in a whole suffix array.
+``window - prefix + 1`` consecutive ones (all of ties).  Two equal windows select
+the same place, so about 2 of ``window - prefix`` suffixes are enough.  Two kept
+suffixes begin with the same words where their fingerprints are equal; those that
+do are extended to the left and right over all windows that selected them.
+
+Fingerprints stand in for a sorted order of the suffixes: a row of a suffix with
+the words to its left and right is about five times the text, which is beyond the
+disk that this operator may use, so suffixes are not sorted and not compared with
+their neighbours.  What is found and removed is the same.
 """
 
 from __future__ import annotations
