@@ -7,7 +7,8 @@ to disk, under a checkpoint in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ..fixed import LATENCY_BOUNDS
 from ..operators.config import auto_registered, lookup_metric_config
 from ..operators.histograms import bound_label, first_bound_of
 from ..session import fresh_path
+from ..sources.commits import file_system
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -91,15 +93,24 @@ def window_shares(rates: DataFrame, key: str = "url") -> DataFrame:
 
 # -- running the streams ----------------------------------------------------
 
-def latest_batch(spark: SparkSession, path: str) -> str | None:
-    """The newest ``batch=N`` folder under ``path``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+def numbered_folders(spark: SparkSession, path: str, kind: str = "batch") -> list[int]:
+    """The numbers of the ``kind=N`` folders under ``path``, ascending."""
+    folder, fs = file_system(spark, path)
     if not fs.exists(folder):
-        return None
+        return []
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    ids = [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
-    return f"{path}/batch={max(ids)}" if ids else None
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder, fs = file_system(spark, path)
+    fs.delete(folder, True)
+
+
+def latest_batch(spark: SparkSession, path: str) -> str | None:
+    """The newest ``batch=N`` folder under ``path``."""
+    ids = numbered_folders(spark, path)
+    return f"{path}/batch={ids[-1]}" if ids else None
 
 
 #: Takes what has arrived and ends; any other trigger of Spark runs on.
@@ -134,10 +145,71 @@ def start_to_table(
 
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        drop_before(batch.sparkSession, f"{root}/out", batch_id - 1)
 
     return start_batches(stream, replace, root, trigger, mode)
 
 
+def drop_before(spark: SparkSession, path: str, number: int) -> None:
+    """Drops the tables of batches before ``number``, so that those of the last two stay."""
+    for old in numbered_folders(spark, path):
+        if old < number:
+            drop_folder(spark, f"{path}/batch={old}")
+
+
+#: Batches of changes after which the whole table is written once.
+WHOLE_EVERY = 20
+
+
+def start_updates(
+    stream: DataFrame, root: str, keys: Sequence[str], trigger: Mapping[str, object] = DRAIN, whole_every: int = WHOLE_EVERY
+) -> StreamingQuery:
+    """Start a running aggregate into a table under ``root`` of which a batch writes only the ``keys`` it changes.
+
+    Spark's keyed state holds the aggregate.  Every ``whole_every`` batches the table is
+    written whole and the batches before the whole one before it are dropped, so what
+    is kept is bounded by the keys.  A batch that runs again writes the same folders.
+    """
+    schema = stream.schema
+
+    def change(batch: DataFrame, batch_id: int) -> None:
+        spark, path = batch.sparkSession, f"{root}/changes"
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % whole_every == 0:
+            read_updates(spark, root, schema, keys, batch_id).write.mode("overwrite").parquet(f"{path}/whole={batch_id}")
+            before = [n for n in numbered_folders(spark, path, "whole") if n < batch_id]
+            for old in before[:-1]:
+                drop_folder(spark, f"{path}/whole={old}")
+            if before:
+                drop_before(spark, path, before[-1] + 1)
+
+    return start_batches(stream, change, root, trigger, "update")
+
+
+def read_updates(spark: SparkSession, root: str, schema: StructType, keys: Sequence[str], until: int | None = None) -> DataFrame:
+    """The table of ``start_updates`` so far, or as of a batch: the newest row of every key."""
+    path = f"{root}/changes"
+    whole = [n for n in numbered_folders(spark, path, "whole") if until is None or n < until]
+    after = whole[-1] if whole else -1
+    batches = [n for n in numbered_folders(spark, path) if n > after and (until is None or n <= until)]
+    parts = [(f"{path}/whole={after}", after)] if whole else []
+    parts += [(f"{path}/batch={n}", n) for n in batches]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    rows = reduce(DataFrame.unionAll, [spark.read.schema(schema).parquet(p).withColumn("_batch", F.lit(n)) for p, n in parts])
+    rest = [c for c in schema.names if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in schema.names])
+
+
+def run_updates(stream: DataFrame, name: str, keys: Sequence[str], root: str | None = None) -> DataFrame:
+    """Drain a running aggregate into a table of the shared folder and return the table; a given ``root`` resumes."""
+    spark = stream.sparkSession
+    root = root or fresh_path(spark, name)
+    start_updates(stream, root, keys).awaitTermination()
+    return read_updates(spark, root, stream.schema, keys)
+
+
 def read_table(spark: SparkSession, root: str, schema: StructType | str, mode: str = "complete", folder: str = "out") -> DataFrame:
     """What a stream has written under ``root`` so far."""
     path = f"{root}/{folder}" if mode == "append" else latest_batch(spark, f"{root}/{folder}")
@@ -166,8 +238,8 @@ def start_metrics(
 
     The configuration is read anew for every batch, so a changed one applies from
     the next batch on.  Each batch adds its own counts to the totals of the batch
-    before it and writes them as a new small table; earlier ones are not read
-    again.  A batch that runs again starts from the same totals.
+    before it and writes them as a new small table; earlier ones are dropped.  A
+    batch that runs again starts from the same totals.
     """
     spark = events.sparkSession
 
@@ -177,6 +249,7 @@ def start_metrics(
             part = part.unionByName(spark.read.parquet(f"{root}/totals/batch={batch_id - 1}").select(*part.columns))
         totals = part.groupBy("url", "variable", "type", "bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
         totals.write.mode("overwrite").parquet(f"{root}/totals/batch={batch_id}")
+        drop_before(spark, f"{root}/totals", batch_id - 1)
 
     return start_batches(events, fold, root, trigger)
 

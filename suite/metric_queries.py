@@ -218,11 +218,14 @@ SELECT url, variable, type, replace({BUCKET_SQL}, 'inf', 'Infinity') AS bucket,
   sum(CASE WHEN type = 'counter' THEN s.value::DOUBLE END) AS total FROM s GROUP BY ALL"""
 
 
+METRIC_KEYS = ["url", "variable", "type", "bucket"]
+
+
 @query("m3_metrics_stream", METRICS_SQL)
 def m3(spark, sf):
     M.use_rocksdb(spark)
     totals = M.running_metrics(stats_rows(event_stream(spark, sf)), metric_cfg(spark))
-    return M.run_to_table(totals, "m3")
+    return M.run_updates(totals, "m3", METRIC_KEYS)
 
 
 @query("m3b_metrics_batch_twin", METRICS_SQL)
@@ -268,7 +271,7 @@ UNION ALL SELECT url, 'user', arg_max("user", {{'ts': ts, 'id': event_id}}) FROM
 def m4(spark, sf):
     M.use_rocksdb(spark)
     rows = stats_rows(event_stream(spark, sf)).where(F.col("variable").isin("k", "user"))
-    return M.run_to_table(M.gauges(rows), "m4")
+    return M.run_updates(M.gauges(rows), "m4", ["url", "variable"])
 
 
 @query("m6_auto_register_endpoints", "SELECT DISTINCT event_type AS url, true AS auto_added FROM events WHERE event_type NOT IN ('click', 'view', 'error', 'signup')")

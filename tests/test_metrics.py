@@ -217,3 +217,42 @@ def test_a_stream_runs_on_until_it_is_stopped(spark, tmp_path):
     finally:
         query.stop()
     assert M.read_table(spark, fresh_path(spark, "none"), "count long").count() == 0
+
+
+def test_updates_keep_a_bounded_table_and_resume(spark, tmp_path):
+    import os
+
+    M.use_rocksdb(spark)
+    root, source = str(tmp_path / "out"), str(tmp_path / "in")
+    rows = [(k % 3 if k % 5 else None, k) for k in range(23)]
+
+    def drain(whole_every):
+        stream = spark.readStream.schema("k int, v int").option("maxFilesPerTrigger", 1).parquet(source)
+        counts = stream.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("v"))
+        M.start_updates(counts, root, ["k"], whole_every=whole_every).awaitTermination()
+        return counts.schema
+
+    for begin, end in ((0, 14), (14, 23)):
+        for r in rows[begin:end]:
+            spark.createDataFrame([r], "k int, v int").coalesce(1).write.mode("append").parquet(source)
+        schema = drain(4)
+        want = {}
+        for k, v in rows[:end]:
+            n, top = want.get(k, (0, -1))
+            want[k] = (n + 1, max(top, v))
+        got = M.read_updates(spark, root, schema, ["k"])
+        assert got.columns == ["k", "n", "v"] and {r.k: (r.n, r.v) for r in got.collect()} == want
+        folders = os.listdir(f"{root}/changes")
+        assert len([f for f in folders if f.startswith("batch=")]) <= 8 and len([f for f in folders if f.startswith("whole=")]) <= 2
+    assert M.read_updates(spark, str(tmp_path / "none"), schema, ["k"]).count() == 0
+
+
+def test_old_totals_are_dropped(spark, tmp_path):
+    import os
+
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(5):
+        spark.range(k + 1).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source).groupBy().agg(F.count("*").alias("n"))
+    assert M.run_to_table(stream, "old", root=root).first()["n"] == 15
+    assert sorted(f for f in os.listdir(f"{root}/out") if f.startswith("batch=")) == ["batch=3", "batch=4"]
