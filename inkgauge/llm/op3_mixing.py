@@ -111,7 +111,8 @@ def mix_sources(
     permutation if it ends within the quota.  A null source is a source.  Texts
     without words (null, empty, blank) are used once in each whole permutation,
     and once if their source has no tokens.  Rows of the same id and text are
-    different rows, in any order; null ids are ordered by their words.  Columns
+    different rows, in any order; null ids are ordered by their words.  A text of any
+    length is one document: a very long one is used whole or not at all.  Columns
     of ``docs`` other than the three named are not looked at.  An empty table
     gives no rows.
     """

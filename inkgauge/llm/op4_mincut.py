@@ -13,6 +13,7 @@ import html as entities
 import math
 import re
 from collections import deque
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,11 +66,13 @@ SENTENCE_END = (".", "!", "?", "…", '"', "”", "»", "。", ":")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "odds", "link", "silent", "in_article")
+    __slots__ = ("tag", "parent", "depth", "odds", "link", "silent", "in_article", "holder")
 
     def __init__(self, tag: str, parent: Element | None, odds: float, link: bool, silent: bool, in_article: bool):
         self.tag, self.parent, self.odds, self.link, self.silent, self.in_article = tag, parent, odds, link, silent, in_article
         self.depth = parent.depth + 1 if parent else 0
+        # the nearest element that text is a block of
+        self.holder = self if tag in BLOCKS or parent is None else parent.holder
 
 
 class Block:
@@ -102,20 +105,26 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
     """The text blocks of a page in order, with white space already made single."""
     here = Element("#page", None, 0.0, False, False, False)
     blocks, block, at, n = [], None, 0, len(page)
+    # the open elements of every name, the innermost last: no end tag walks to the root for nothing
+    names: dict[str, list[Element]] = {}
+
+    def leave(to: Element) -> None:
+        """Ends the open elements inside ``to``."""
+        nonlocal here
+        while here is not to:
+            names[here.tag].pop()
+            here = here.parent
 
     def text(raw: str) -> None:
-        nonlocal block, here
+        nonlocal block
         if here.tag == "head" and not raw.isspace():
-            here = out_of_head(here)
+            leave(out_of_head(here))
         if here.silent or not raw:
             return
         if block is None:
             if raw.isspace():
                 return
-            holder = here
-            while holder.tag not in BLOCKS and holder.parent is not None:
-                holder = holder.parent
-            block = Block(holder)
+            block = Block(here.holder)
             blocks.append(block)
         plain = entities.unescape(raw) if "&" in raw else raw
         block.parts.append(plain)
@@ -150,16 +159,13 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
         at = m.end()
         closing, tag, attributes = (m[1], m[2].lower(), m[3]) if m[2] else (m[4], m[5].lower(), m[6])
         if closing:
-            top = here
-            while top is not None and top.tag != tag:
-                top = top.parent
-            if top is not None and top.parent is not None:
-                here = top.parent
+            if names.get(tag):
+                leave(names[tag][-1].parent)
             if tag in BLOCKS:
                 block = None
             continue
         if tag not in IN_HEAD:
-            here = out_of_head(here)
+            leave(out_of_head(here))
         if tag in BLOCKS:
             block = None
         if tag == "br" and block is not None and not here.silent:
@@ -167,13 +173,14 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
         if tag in VOID or (attributes or "").endswith("/") and tag not in BLOCKS and tag not in RAW and tag != "a":
             continue
         if tag in ENDS_P:
-            here = closed(here, ("p",))
+            leave(closed(here, names, ("p",)))
         if tag in SAME:
-            here = closed(here, SAME[tag])
+            leave(closed(here, names, SAME[tag]))
         here = Element(
             tag, here, here.odds + element_odds(tag, attributes, here), here.link or tag == "a", here.silent or tag in SILENT,
             here.in_article or tag in ("article", "main"),
         )
+        names.setdefault(tag, []).append(here)
         if tag in RAW:
             end = re.compile(f"</{tag}", re.IGNORECASE).search(page, at)
             if end is None:
@@ -191,14 +198,12 @@ def out_of_head(here: Element) -> Element:
     return here
 
 
-def closed(here: Element, tags: tuple[str, ...]) -> Element:
-    """The place after the nearest open element of these tags has ended, if one is near."""
-    top = here
-    while top is not None and top.tag not in tags:
-        if top.tag in FENCE:
-            return here
-        top = top.parent
-    return top.parent if top is not None and top.parent is not None else here
+def closed(here: Element, names: dict[str, list[Element]], tags: Iterable[str]) -> Element:
+    """The place after the nearest open element of these tags has ended, if no fence is nearer."""
+    top = max((names[t][-1] for t in tags if names.get(t)), key=lambda e: e.depth, default=None)
+    if top is None or any(names.get(t) and names[t][-1].depth > top.depth for t in FENCE):
+        return here
+    return top.parent
 
 
 def block_odds(block: Block, text: str) -> float:
@@ -323,7 +328,8 @@ def extract_html(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Null, empty and blank pages and pages without content have no blocks.  Broken
     markup never fails: open elements end with the page, unknown tags are inline.
     Pages are judged alone, so equal rows get equal results; an empty table gives
-    no rows; a column named ``blocks`` is replaced.
+    no rows; a column named ``blocks`` is replaced.  Pages of any length and depth are
+    read whole, in time that grows with their length.
     """
 
     def call(column: pa.Array) -> pa.Array:

@@ -241,7 +241,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
     """``docs`` with a struct ``out`` of ``lang_pred`` and ``score``, replacing a column of that name.
 
     A null text and one without a letter are ``und`` with score 0.  Whole texts
-    are read.  An empty table gives no rows.
+    are read, of any length.  Texts are judged alone, so repeated rows get equal
+    results.  An empty table gives no rows.
     """
     return docs.withColumn(out, model.column(F.col(f"`{text_col}`")))
 

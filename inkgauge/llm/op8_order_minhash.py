@@ -339,7 +339,9 @@ def near_duplicates(
     Texts of the same words are one text and in one class.  Texts of fewer words
     than a shingle are only in a class with equal ones.  Null, empty and blank
     texts are alone, and so are rows of a null id (their class is null).  Rows of
-    one id count as one document.  An empty table gives no rows.  In a bucket of
+    one id count as one document.  Texts of any length are compared whole.  Only the
+    two named columns are read, so others may have any name.  An empty table gives no
+    rows.  In a bucket of
     more than ``SMALL`` texts each is compared with the smallest and the largest
     id; if that leaves more than one class, with the text that shares most with
     others, and if that does too, every pair of its texts that are of different

@@ -70,3 +70,23 @@ def test_a_head_may_have_no_end_tag(begin, end):
 def test_text_ends_a_head():
     assert [t for _, t in o.blocks_of("<head><title>t</title> \n<script>1</script>Plain words.")] == ["Plain words."]
     assert [t for _, t in o.blocks_of("<head><title>t</title><br>Plain words.<p>More.")] == ["Plain words.", "More."]
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        pages = ["<b>" * n + "x</p>" * n, "<div>" * n + "</i>word" * n, "<ul>" + "<span>" * n + "<li>a" * n, "<p>long text. " * n]
+        start = time.process_time()
+        found = [" ".join(o.extract_blocks(p)) for p in pages]
+        assert found[3].count("long text.") == n
+        return time.process_time() - start
+
+    seconds(200)
+    small, large = seconds(2000), seconds(16_000)
+    assert large < 30 * small + 1.0
+
+
+def test_an_end_tag_ends_the_innermost_open_element_of_its_name():
+    page = "<main><p>One <b>two <i>three</b> four.</p></i></em><p>Five.</main>"
+    assert " ".join(o.extract_blocks(page)) == "One two three four. Five."

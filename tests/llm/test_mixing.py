@@ -59,3 +59,10 @@ def test_empty_and_wordless(spark):
 def test_no_python_in_the_plan(spark):
     plan = o.mix_sources(docs_of(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_very_long_text_is_one_document(spark):
+    rows = [(1, "word " * 200_000), (2, "a b c"), (4, "d e"), (5, None)]
+    got = o.mix_sources(odd_documents(spark, rows), block_tokens=100).collect()
+    tokens = {r.id: r.n_tokens for r in got}
+    assert tokens == {1: 200_000, 2: 3, 4: 2, 5: 0}

@@ -187,3 +187,11 @@ def test_copies_that_differ_do_not_meet_in_what_all_share(spark):
     assert hot > 1500  # a shingle of the base that most copies hold
     assert {(i - 5000, i) for i, _ in close} <= set(got)
     assert len(got) < 20 * len(rows)  # of two million pairs
+
+
+def test_very_long_texts_are_compared_whole(spark):
+    rng = random.Random(12)
+    long = sentence(rng, 12_000)
+    rows = [(1, long), (2, edited(rng, long, 20)), (3, long + " " + sentence(rng, 9000)), (4, " ".join(words(long)[:6000]))]
+    got = {r.id: (r.class_id, r.n_words) for r in o.near_duplicates(odd_documents(spark, rows)).collect()}
+    assert got == {1: (1, 12_000), 2: (1, 12_000), 3: (3, 21_000), 4: (4, 6000)}
