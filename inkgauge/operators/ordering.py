@@ -8,9 +8,9 @@ that is run again after an executor loss assigns the same ranges.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import draw_hex, let
@@ -225,3 +225,41 @@ def draw_cuts(
     ranks = rows.withColumn("_b", bucket_of(digits)).join(targets.select(*group, "_b").distinct(), [*group, "_b"], "left_semi")
     ranks = ranks.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", key)))
     return ranks.join(targets, [*group, "_b", "_nth"]).select(*group, "cut", "_h", key)
+
+
+def draw_cuts_of_whole(df: DataFrame, key: str, seed: int | str, wanted: Callable[[int], Sequence[int]]) -> list[Row]:
+    """The rows ``_h, key`` at the positions that ``wanted`` names for the number of all rows.
+
+    The same search for a few positions of one order: the driver holds 4096 counts a
+    position, and two scans are enough unless a bucket has more than ``BUCKET_ROWS`` rows.
+    Positions beyond the end give the last row; without rows there is none.
+    """
+    rows, digits = with_draw(df.select(key), key, seed), DRAW_DIGITS
+
+    def counts(inside: Sequence[str]) -> list[tuple[str, int]]:
+        some = rows.where(bucket_of(digits - DRAW_DIGITS).isin(*inside)) if inside else rows
+        return sorted((r["_b"], r["_n"]) for r in some.groupBy(bucket_of(digits).alias("_b")).agg(F.count("*").alias("_n")).collect())
+
+    hist = counts([])
+    total = sum(n for _, n in hist)
+    if not total:
+        return []
+    asked = [(i, "", min(at, total)) for i, at in enumerate(wanted(total))]
+    while True:
+        sizes, found = dict(hist), []
+        for i, up, at in asked:
+            for bucket, n in hist:
+                if bucket.startswith(up):
+                    if at <= n:
+                        found.append((i, bucket, at))
+                        break
+                    at -= n
+        if digits + DRAW_DIGITS > HEX_DIGITS or all(sizes[b] <= BUCKET_ROWS for _, b, _ in found):
+            break
+        digits += DRAW_DIGITS
+        asked, hist = found, counts(sorted({b for _, b, _ in found}))
+    near = rows.withColumn("_b", bucket_of(digits)).where(F.col("_b").isin(*sorted({b for _, b, _ in found})))
+    near = near.withColumn("_nth", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
+    places = F.array(*[F.struct(F.lit(b).alias("_b"), F.lit(at).alias("_nth")) for _, b, at in found])
+    kept = {(r["_b"], r["_nth"]): r for r in near.where(F.array_contains(places, F.struct("_b", "_nth"))).select("_b", "_nth", "_h", key).collect()}
+    return [kept[b, at] for _, b, at in found]

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.base import draw, draw_hex
 from ..session import lookup_table
-from .ordering import draw_cuts, draw_ranked
+from .ordering import draw_cuts, draw_cuts_of_whole, draw_ranked
 
 # Draws with replacement that one row stands for.
 DRAW_BLOCK = 10_000
@@ -32,8 +32,14 @@ def sample_per_label(df: DataFrame, n: int, seed: int, label: str = "label", key
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str = "doc_id") -> DataFrame:
     """Exactly ``n`` rows of the whole table."""
-    one = df.withColumn("_all", F.lit(0))
-    return sample_per_label(one, n, seed, "_all", key).drop("_all")
+    cut = draw_cuts_of_whole(df, key, seed, lambda total: [n]) if n > 0 else []
+    return df.where(_until(df, cut[0], key, seed)) if cut else df.where(F.lit(False))
+
+
+def _until(df: DataFrame, cut: Row, key: str, seed: int) -> Column:
+    """Whether a row is at or before the cut in the seeded order."""
+    here = F.struct(draw_hex(key, seed).alias("_h"), F.col(key))
+    return here <= F.struct(F.lit(cut["_h"]).alias("_h"), F.lit(cut[key]).cast(df.schema[key].dataType).alias(key))
 
 
 def sample_per_label_replace(
@@ -76,22 +82,21 @@ def split(
     if abs(sum(fractions) - 1.0) > 1e-9:
         raise ValueError("fractions must sum to 1")
     names = list(names or [f"part{i}" for i in range(len(fractions))])
-    total = df.count()
-    ends, acc = [], 0.0
+    shares, acc = [], 0.0
     for f in fractions[:-1]:
         acc += f
-        ends.append(int(acc * total + 0.5))
-    wanted = df.sparkSession.createDataFrame(
-        [(i, e) for i, e in enumerate(ends) if e > 0], "cut int, _at bigint"
-    )
-    cuts = {r["cut"]: r for r in draw_cuts(df, key, seed, wanted).collect()}
-    here = F.struct(draw_hex(key, seed).alias("_h"), F.col(key))
+        shares.append(acc)
+    ends: list[int] = []
+
+    def wanted(total: int) -> list[int]:
+        ends.extend(int(share * total + 0.5) for share in shares)
+        return [e for e in ends if e > 0]
+
+    cuts = iter(draw_cuts_of_whole(df, key, seed, wanted))
+    bounds = [(name, next(cuts)) for name, e in zip(names, ends) if e > 0]
     part = F.lit(names[-1])
-    for i in reversed(range(len(ends))):
-        if i in cuts:
-            kind = df.schema[key].dataType
-            bound = F.struct(F.lit(cuts[i]["_h"]).alias("_h"), F.lit(cuts[i][key]).cast(kind).alias(key))
-            part = F.when(here <= bound, F.lit(names[i])).otherwise(part)
+    for name, cut in reversed(bounds):
+        part = F.when(_until(df, cut, key, seed), F.lit(name)).otherwise(part)
     return df.withColumn("part", part)
 
 

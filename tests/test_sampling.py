@@ -108,6 +108,11 @@ def test_large_buckets_are_divided_by_further_digits(spark, monkeypatch, rows_of
     wanted = spark.createDataFrame(asked, "label int, cut int, _at bigint")
     got = {(r.label, r.cut): r.doc_id for r in ordering.draw_cuts(df, "doc_id", 5, wanted, ["label"]).collect()}
     assert got == {(k, c): order[k][min(at, len(order[k])) - 1][1] for k, c, at in asked}
+    every = sorted(x for v in order.values() for x in v)
+    whole = ordering.draw_cuts_of_whole(df, "doc_id", 5, lambda total: [1, 2, total // 2, total, total + 9])
+    assert [r.doc_id for r in whole] == [every[at - 1][1] for at in (1, 2, 750, 1500, 1500)]
+    assert ordering.draw_cuts_of_whole(df.limit(0), "doc_id", 5, lambda total: [1]) == []
+    assert sampling.sample_rows(df, 0, 5).count() == 0 and sampling.sample_rows(df, 9999, 5).count() == 1500
     ranks = {r.doc_id: r["rank"] for r in ordering.draw_ranked(df, "doc_id", 5, ["label"]).collect()}
     assert ranks == {i: n + 1 for v in order.values() for n, (_, i) in enumerate(v)}
 
