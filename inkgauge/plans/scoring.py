@@ -16,7 +16,7 @@ from ..operators.frame import interpret_score
 from ..operators.routing import route_canary
 from ..operators.scaling import minmax_transform
 from ..operators.tokens import encode_tokens
-from ..session import fresh_path, written
+from ..session import fresh_path, spread, written
 from ..sources.stats import pack_batches
 from ..streaming.metrics import DRAIN, start_batches
 from ..streaming.requests import request_stats, sample_stream
@@ -90,7 +90,7 @@ def score_reply(
     has a reply, whether its key repeats or is null.
     """
     rows = _numbered(requests.select(key, "text"))
-    ids = encode_tokens(cleaned(rows, "_row", "text", "serving"), vocab, max_length, "_row", "clean")
+    ids = encode_tokens(cleaned(spread(rows.select("_row", "text"), "_row"), "_row", "text", "serving"), vocab, max_length, "_row", "clean")
     scored = logits(ids).select("_row", argmax("logits").alias("label"), positive_score("logits").alias("probability"))
     table = _features(rows, lexicon, familiar, key, "serving", tables)
     names = [f for f in FEATURES if f in table.columns]

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from inkgauge import session
 from inkgauge.functions import text as X
 from inkgauge.operators import annotate as A
 from inkgauge.operators import config as C
@@ -12,6 +13,7 @@ from inkgauge.operators import evaluation as E
 from inkgauge.operators import frame as P
 from inkgauge.operators import routing, sampling, tokens, versions
 from inkgauge.plans.feature_table import cleaned, feature_table, row_features
+from inkgauge.session import spread
 
 
 def plan(df):
@@ -118,3 +120,33 @@ def test_a_very_long_text_is_measured_whole(spark):
     row = df.select(X.text_counts("text").alias("c"), A.syntax_struct(F.col("text")).alias("s")).first()
     assert row["c"]["n_words"] == 30600 and row["s"]["num_tokens"] == 31200
     assert row["s"]["num_sentences"] == 601
+
+
+def test_a_text_in_many_splits_is_dealt_by_its_key_and_its_tokens_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "many")
+    rows = [(i, f"The Old cat sat. It ran {i} times! " * 40) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # so the files fill the cores with splits
+    try:
+        dealt = spread(spark.read.parquet(path), "doc_id")
+        token_rows = A.annotate(dealt)
+        for df in (
+            A.token_stats(token_rows), A.entity_stats(token_rows), A.noun_chunk_stats(token_rows), A.pos_distribution(token_rows),
+            tokens.token_bigrams(token_rows), A.rule_stats(A.annotate_sentences(dealt)),
+            A.token_stats(A.explode_annotations(A.collect_annotations(token_rows))),
+        ):
+            assert shuffles(df) == plan(df).count("REPARTITION_BY_NUM") == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_dealt_partitions_grow_in_number_with_the_input(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "grown")
+    spark.range(2000).selectExpr("id AS doc_id", "md5(string(id)) AS text").write.parquet(path)
+    df = spark.read.parquet(path)
+    few = spread(df, "doc_id").rdd.getNumPartitions()
+    monkeypatch.setattr(session, "SPREAD_MOST", 1000)
+    assert few < 20 < spread(df, "doc_id").rdd.getNumPartitions()
+    assert spread(df, "doc_id").rdd.getNumPartitions() <= session.SPREAD_TASKS * spark.sparkContext.defaultParallelism
+    unknown = spark.createDataFrame(df.rdd, df.schema)
+    assert spread(unknown, "doc_id") is unknown
