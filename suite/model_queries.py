@@ -23,7 +23,7 @@ from inkgauge.sources import sinks, stats
 
 from . import textsql as S
 from .base import ESSAYS_SQL, big, draw_hex_sql, draw_sql, essays, query, r6, table
-from .text_queries import INTS, VOCAB, familiar, feature_sql, lexicon
+from .text_queries import INTS, VOCAB, docs, familiar, feature_sql, lexicon
 
 # Weights of the linear model by rule.
 WEIGHTS = [((i * 7) % 11 - 5) / 10 for i in range(64)]
@@ -528,7 +528,7 @@ def _reply(spark, sf):
     scaler = spark.createDataFrame(
         [("num_tokens", 10.0, 500.0, 0.0, 1.0), ("textual_entropy", 0.0, 8.0, 0.0, 1.0)], "col string, min double, max double, mean double, std double"
     )
-    vocab = build_vocab(table(spark, sf, "documents", "doc_id", "text"), 2000)
+    vocab = build_vocab(docs(spark, sf), 2000)
     lex, known = lexicon(spark, sf), familiar(spark, sf)
 
     def counted(ids):

@@ -13,6 +13,7 @@ from inkgauge.operators import evaluation as E
 from inkgauge.operators import frame as P
 from inkgauge.operators import routing, sampling, tokens, versions
 from inkgauge.plans.feature_table import cleaned, feature_table, row_features
+from inkgauge.plans import scoring
 from inkgauge.session import spread
 
 
@@ -150,3 +151,21 @@ def test_dealt_partitions_grow_in_number_with_the_input(spark, tmp_path, monkeyp
     assert spread(df, "doc_id").rdd.getNumPartitions() <= session.SPREAD_TASKS * spark.sparkContext.defaultParallelism
     unknown = spark.createDataFrame(df.rdd, df.schema)
     assert spread(unknown, "doc_id") is unknown
+
+
+def test_replies_are_scored_from_dealt_texts_without_further_shuffles(spark, docs, monkeypatch):
+    asked = []
+    monkeypatch.setattr(scoring, "spread", lambda df, key: asked.append(key) or spread(df, key))
+    lex = spark.createDataFrame([("c", "cat"), ("d", "old")], "category string, token string")
+    vocab = spark.createDataFrame([("cat", 4), ("old", 5)], "token string, token_id int")
+    logits = lambda ids: ids.withColumn("logits", F.array(F.lit(0.0), F.size("input_ids").cast("double")))
+    out = scoring.score_reply(docs, vocab, logits, lex, lex.select("token"), key="doc_id")
+    assert asked == ["_row"] and out.count() == docs.count()
+
+
+def test_tree_measures_of_written_trees_are_those_of_the_sentences(spark, docs):
+    sents = A.annotate_sentences(docs)
+    trees = A.written_trees(sents)
+    assert "FileScan" in plan(A.tree_stats(trees)) and "regexp_extract_all" not in plan(A.tree_stats(trees))
+    for measure in (A.tree_stats, A.rule_stats, A.phrase_lengths, lambda s: A.label_counts(s, "The")):
+        assert sorted(map(str, measure(trees).collect())) == sorted(map(str, measure(sents).collect()))
