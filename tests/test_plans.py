@@ -153,7 +153,7 @@ def test_dealt_partitions_grow_in_number_with_the_input(spark, tmp_path, monkeyp
     assert spread(unknown, "doc_id") is unknown
 
 
-def test_replies_are_scored_from_dealt_texts_without_further_shuffles(spark, docs, monkeypatch):
+def test_replies_are_scored_from_dealt_texts(spark, docs, monkeypatch):
     asked = []
     monkeypatch.setattr(scoring, "spread", lambda df, key: asked.append(key) or spread(df, key))
     lex = spark.createDataFrame([("c", "cat"), ("d", "old")], "category string, token string")
