@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from . import base
@@ -22,6 +22,8 @@ from ..session import written
 RANGE_ROWS = 500
 BLOCK_TOKENS = 1_000_000
 STEPS = 40
+#: Steps of the bisection that one pass over the sources serves.
+LEVELS = 5
 #: Hexadecimal digits of a draw: 60 bits.
 DIGITS = 15
 MAX_REPEATS = 2.0
@@ -37,41 +39,57 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(base.WORD)), F.lit(0)).cast("long")
 
 
-def spread_of(sources: DataFrame, exponent: float) -> tuple[float, float, float]:
-    """Entropy of the weights, the largest repetition with every document used, and the sum of powers.
+def spreads_of(sources: DataFrame, exponents: list[float]) -> dict[float, Row]:
+    """By exponent, in one pass: the ``total`` of the powers and of the powers times ``logs``, the ``most`` and ``least`` of power to share.
 
-    Repetitions are over that of the source with the fewest, which is used once.
+    ``most / least`` is the largest repetition with every document used, over that
+    of the source with the fewest, which is used once.  ``top`` is ``most`` as a budget counts it.
     """
-    power = F.pow(F.col("share"), F.lit(exponent))
-    row = sources.agg(
-        F.sum(power), F.sum(power * F.log("share")), F.max(power / F.col("share")), F.min(power / F.col("share"))
-    ).first()
-    total = row[0]
-    return math.log(total) - exponent * row[1] / total, row[2] / row[3], total
+    exponent = F.col("exponent")
+    power = F.pow(F.col("share"), exponent)
+    rows = sources.select("share", F.explode(F.array(*[F.lit(e) for e in exponents])).alias("exponent")).groupBy("exponent").agg(
+        F.sum(power).alias("total"), F.sum(power * F.log("share")).alias("logs"), F.max(power / F.col("share")).alias("most"),
+        F.min(power / F.col("share")).alias("least"), F.max(F.pow(F.col("share"), exponent - 1.0)).alias("top"),
+    )
+    return {r.exponent: r for r in rows.collect()}
+
+
+def middles(low: float, high: float, levels: int) -> list[float]:
+    """Every exponent that so many steps of bisection may try."""
+    if not levels:
+        return []
+    middle = (low + high) / 2
+    return [middle, *middles(low, middle, levels - 1), *middles(middle, high, levels - 1)]
 
 
 def bisect_exponent(sources: DataFrame, entropy: float | None, repeats: float | None, budget: int | None, tokens: int) -> float:
-    """The smallest exponent in 0 to 1 that meets the limits; 1 where none does."""
+    """The smallest exponent in 0 to 1 that meets the limits; 1 where none does.
+
+    A pass over the sources serves ``LEVELS`` steps, as it weighs all exponents
+    they may come to.
+    """
 
-    def meets(exponent: float) -> bool:
-        h, ratio, total = spread_of(sources, exponent)
-        if entropy is not None and h > entropy + 1e-12:
+    def meets(r: Row) -> bool:
+        if entropy is not None and math.log(r.total) - r.exponent * r.logs / r.total > entropy + 1e-12:
             return False
         if repeats is None:
             return True
         if budget is not None:
-            top = sources.agg(F.max(F.pow(F.col("share"), F.lit(exponent - 1.0)))).first()[0]
-            return budget * top / total / tokens <= repeats + 1e-12
-        return ratio <= repeats + 1e-12
+            return budget * r.top / r.total / tokens <= repeats + 1e-12
+        return r.most / r.least <= repeats + 1e-12
 
     low, high = 0.0, 1.0
-    if meets(low):
+    ends = spreads_of(sources, [low, high])
+    if meets(ends[low]):
         return low
-    if not meets(high):
+    if not meets(ends[high]):
         return high
-    for _ in range(STEPS):
-        middle = (low + high) / 2
-        low, high = (low, middle) if meets(middle) else (middle, high)
+    for done in range(0, STEPS, LEVELS):
+        levels = min(LEVELS, STEPS - done)
+        known = spreads_of(sources, middles(low, high, levels))
+        for _ in range(levels):
+            middle = (low + high) / 2
+            low, high = (low, middle) if meets(known[middle]) else (middle, high)
     return high
 
 

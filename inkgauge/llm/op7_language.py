@@ -222,13 +222,20 @@ def fit_languages(
         partial(sample_batches, dimensions=dimensions, longest=longest), "lang string, draw double, dims array<int>, counts array<int>"
     ).toArrow()
     number = {name: i for i, name in enumerate(languages)}
+    # one array for all rows, which is given back as a whole; a row is a part of it
+    dims, values = (np.concatenate([np.empty(0, dtype=np.int32), *[c.flatten().to_numpy() for c in found.column(n).chunks]]) for n in ("dims", "counts"))
+    ends = np.cumsum(pc.list_value_length(found.column("dims")).to_numpy())
+    drawn = [found.column(c).to_pylist() for c in ("lang", "draw")]
+    del found
+    pa.default_memory_pool().release_unused()
+    values = values * idf[dims]
     data = []
-    for lang, at, dims, counts in zip(*(found.column(c) for c in ("lang", "draw", "dims", "counts"))):
-        dims = dims.values.to_numpy(zero_copy_only=False)
-        x = counts.values.to_numpy(zero_copy_only=False) * idf[dims]
+    for lang, at, start, end in zip(*drawn, np.append(0, ends[:-1]), ends):
+        x = values[start:end]
         norm = np.sqrt((x * x).sum())
         if norm:
-            data.append((at.as_py() * sizes[lang.as_py()], dims, x / norm, number[lang.as_py()]))
+            x /= norm
+            data.append((at * sizes[lang], dims[start:end], x, number[lang]))
     data.sort(key=lambda r: (r[0], r[3]))
     every = max(2, round(1 / CALIBRATION))
     train, kept = [r[1:] for i, r in enumerate(data) if i % every], [r[1:] for r in data[::every]]

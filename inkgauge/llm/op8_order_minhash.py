@@ -351,15 +351,15 @@ def near_duplicates(
     make = partial(sketch_batches, shingle=shingle, entries=entries, picks=picks)
     table = written(texts.mapInArrow(make, "id long, sig long, sig2 long, n_words long, entries array<long>"), "sketches")
     known = table.where("id is not null and n_words > 0")
-    groups = known.groupBy("sig", "sig2").agg(F.min("id").alias("rep"))
-    reps = written(
-        known.select("id", "sig", "sig2", "n_words", "entries").join(groups.withColumnRenamed("rep", "id"), ["id", "sig", "sig2"]).dropDuplicates(["id", "sig", "sig2"]),
-        "distinct-texts",
-    ).where(F.size("entries") > 0)
+    # the first of the texts of each sequence of words, found in one pass; each row's is looked up once
+    first = known.groupBy("sig", "sig2").agg(F.min(F.struct("id", "entries")).alias("first"))
+    firsts = written(first.select("sig", "sig2", "first.*"), "distinct-texts")
+    reps = firsts.where(F.size("entries") > 0)
+    copies = known.select("id", "sig", "sig2").join(firsts.select("sig", "sig2", F.col("id").alias("rep")), ["sig", "sig2"])
+    copies = written(copies.select("id", "rep"), "copies")
     members = reps.select("id", F.explode("entries").alias("entry"))
     links = written(linked(written(bucket_pairs(members), "pairs"), texts, shingle, threshold), "links").select("a", "b")
     # rows of one id are one document
-    copies = known.select("id", "sig", "sig2").join(groups, ["sig", "sig2"])
     several = copies.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("id", "a")
     links = links.unionAll(copies.join(several, "id").where("a <> rep").select("a", F.col("rep").alias("b")))
     classes = components(links)

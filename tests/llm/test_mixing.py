@@ -66,3 +66,28 @@ def test_a_very_long_text_is_one_document(spark):
     got = o.mix_sources(odd_documents(spark, rows), block_tokens=100).collect()
     tokens = {r.id: r.n_tokens for r in got}
     assert tokens == {1: 200_000, 2: 3, 4: 2, 5: 0}
+
+
+def test_a_pass_serves_several_steps_of_the_bisection(spark):
+    shares = [0.61, 0.25, 0.1, 0.04]
+    sources = spark.createDataFrame([(s,) for s in shares], "share double").coalesce(1)
+
+    def plain(meets):
+        low, high = 0.0, 1.0
+        for _ in range(o.STEPS):
+            middle = (low + high) / 2
+            low, high = (low, middle) if meets([s**middle for s in shares]) else (middle, high)
+        return high
+
+    sc = spark.sparkContext
+    sc.setJobGroup("bisection", "bisection")
+    got = o.bisect_exponent(sources, None, 2.0, None, 100)
+    jobs = sc.statusTracker().getJobIdsForGroup("bisection")
+    sc.setJobGroup("tests", "tests")
+    assert len(jobs) <= 2 * (1 + -(-o.STEPS // o.LEVELS))
+    assert got == pytest.approx(plain(lambda p: max(x / s for x, s in zip(p, shares)) / min(x / s for x, s in zip(p, shares)) <= 2.0 + 1e-12), abs=1e-10)
+    got = o.bisect_exponent(sources, None, 1.5, 130, 100)
+    assert got == pytest.approx(plain(lambda p: 130 * max(x / s for x, s in zip(p, shares)) / sum(p) / 100 <= 1.5 + 1e-12), abs=1e-10)
+    got = o.bisect_exponent(sources, 0.9, None, None, 100)
+    assert got == pytest.approx(plain(lambda p: -sum(x / sum(p) * math.log(x / sum(p)) for x in p) <= 0.9 + 1e-12), abs=1e-9)
+    assert o.bisect_exponent(sources, None, 100.0, None, 100) == 0.0 and o.bisect_exponent(sources, 0.01, None, None, 100) == 1.0

@@ -195,3 +195,13 @@ def test_very_long_texts_are_compared_whole(spark):
     rows = [(1, long), (2, edited(rng, long, 20)), (3, long + " " + sentence(rng, 9000)), (4, " ".join(words(long)[:6000]))]
     got = {r.id: (r.class_id, r.n_words) for r in o.near_duplicates(odd_documents(spark, rows)).collect()}
     assert got == {1: (1, 12_000), 2: (1, 12_000), 3: (3, 21_000), 4: (4, 6000)}
+
+
+def test_the_first_text_of_each_row_is_looked_up_once(spark):
+    rng = random.Random(4)
+    base = sentence(rng, 40)
+    rows = [(7, base), (3, base), (3, sentence(rng, 30)), (5, sentence(rng, 20)), (9, base), (None, base), (8, None), (3, base)]
+    out = o.near_duplicates(odd_documents(spark, rows))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # not a third: the table of copies is there, not made again
+    assert {(r.id, r.class_id) for r in out.collect()} == {(7, 3), (3, 3), (5, 5), (9, 3), (None, None), (8, 8)}
