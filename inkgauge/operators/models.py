@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from ..session import work_dir
 
 VECTOR = "features"
+# Training rows whose least distance bounds the k-th one of a query.
+GROUP = 64
+# Queries whose distances to a block are held at once.
+SLICE = 32
 
 
 def assemble_features(df: DataFrame, columns: Sequence[str], out: str = VECTOR) -> DataFrame:
@@ -77,6 +81,55 @@ def rmse(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataF
 
 # -- exact nearest neighbours -----------------------------------------------
 
+def block_search(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Finds the ``k`` nearest rows ``t, v, y`` of each query ``q, v``; tasks need no other function of this package."""
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if left.empty or right.empty:
+            return pd.DataFrame({"q": left["q"][:0], "neighbour": right["t"][:0], "label": right["y"][:0], "distance": right["y"][:0]})
+        right = right.sort_values("t", ignore_index=True)
+        tv = np.stack(right["v"].to_numpy()).astype("float64")
+        # one product gives the squared distances: -2 * v * q, and the two squared lengths
+        sides = np.concatenate([-2.0 * tv, (tv**2).sum(1)[:, None], np.ones((len(tv), 1))], axis=1).T.copy()
+        take, groups = min(k, len(tv)), len(tv) // GROUP
+        asked, found, far = [], [], []
+        # a slice of queries at a time keeps the distance matrix within the cache
+        for at in range(0, len(left), SLICE):
+            some = left.iloc[at : at + SLICE]
+            qv = np.stack(some["v"].to_numpy()).astype("float64")
+            length = (qv**2).sum(1)
+            near = np.concatenate([qv, np.ones((len(qv), 1)), length[:, None]], axis=1) @ sides
+            if groups > 4 * take:
+                # the k-th of the least of groups of columns is no less than the k-th of all
+                least = np.fmin.reduce(near[:, : groups * GROUP].reshape(len(qv), GROUP, groups), axis=1)
+                kth = np.partition(least, take - 1, axis=1)[:, take - 1]
+                few = np.isnan(kth)
+                if few.any():
+                    kth[few] = np.partition(near[few], take - 1, axis=1)[:, take - 1]
+            else:
+                kth = np.partition(near, take - 1, axis=1)[:, take - 1]
+            # candidates within rounding of it, then exact distances
+            within = near <= (kth + 1e-9 * (1.0 + np.abs(kth)) + 1e-12 * length)[:, None]
+            i, cand = np.divmod(np.flatnonzero(within), len(tv))
+            exact = np.sqrt(((tv[cand] - qv[i]) ** 2).sum(1))
+            # rows are sorted by their key, so equal distances keep the lower one
+            order = np.lexsort((cand, exact, i))
+            i, cand, exact = i[order], cand[order], exact[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            kept = place < take
+            asked.append(some["q"].to_numpy()[i[kept]])
+            found.append(cand[kept])
+            far.append(exact[kept])
+        found = np.concatenate(found)
+        return pd.DataFrame(
+            {"q": np.concatenate(asked), "neighbour": right["t"].to_numpy()[found], "label": right["y"].to_numpy()[found], "distance": np.concatenate(far)}
+        )
+
+    return best
+
+
 def nearest_neighbours(
     queries: DataFrame, train: DataFrame, k: int = 5, key: str = "vec_id", vec: str = "embedding", label: str = "label",
     block_rows: int = 20_000, train_blocks: int | None = None, query_blocks: int | None = None,
@@ -109,39 +162,8 @@ def nearest_neighbours(
         F.col(key).alias("t"), F.col(vec).alias("v"), F.col(label).cast("double").alias("y"), block(train_blocks).alias("tb")
     ).select("t", "v", "y", "tb", all_blocks(query_blocks).alias("qb"))
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        if left.empty or right.empty:
-            return pd.DataFrame({"q": left["q"][:0], "neighbour": right["t"][:0], "label": right["y"][:0], "distance": right["y"][:0]})
-        right = right.sort_values("t", ignore_index=True)
-        tv = np.stack(right["v"].to_numpy()).astype("float64")
-        asked, found, far = [], [], []
-        # a slice of queries at a time keeps the distance matrix small
-        for at in range(0, len(left), 256):
-            some = left.iloc[at : at + 256]
-            qv = np.stack(some["v"].to_numpy()).astype("float64")
-            near = (qv**2).sum(1)[:, None] + (tv**2).sum(1)[None, :] - 2.0 * (qv @ tv.T)
-            take = min(k, near.shape[1])
-            # candidates within rounding of the k-th distance, then exact distances
-            kth = np.partition(near, take - 1, axis=1)[:, take - 1]
-            i, cand = np.nonzero(near <= (kth + 1e-9 * (1.0 + np.abs(kth)))[:, None])
-            exact = np.sqrt(((tv[cand] - qv[i]) ** 2).sum(1))
-            # rows are sorted by their key, so equal distances keep the lower one
-            order = np.lexsort((cand, exact, i))
-            i, cand, exact = i[order], cand[order], exact[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            kept = place < take
-            asked.append(some["q"].to_numpy()[i[kept]])
-            found.append(cand[kept])
-            far.append(exact[kept])
-        found = np.concatenate(found)
-        return pd.DataFrame(
-            {"q": np.concatenate(asked), "neighbour": right["t"].to_numpy()[found], "label": right["y"].to_numpy()[found], "distance": np.concatenate(far)}
-        )
-
     partial = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(
-        best, f"q {dict(queries.dtypes)[key]}, neighbour {dict(train.dtypes)[key]}, label double, distance double"
+        block_search(k), f"q {dict(queries.dtypes)[key]}, neighbour {dict(train.dtypes)[key]}, label double, distance double"
     )
     w = Window.partitionBy("q").orderBy("distance", "neighbour")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("q", key)

@@ -64,6 +64,33 @@ def test_nearest_neighbours_against_brute_force(spark):
         assert [n for _rank, n in sorted(got[i])] == [w[0] for w in want]
 
 
+def test_the_kth_distance_is_not_sought_among_all_rows(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    inf = float("inf")
+    far = [i for i in range(2500) if i % 97 == 0]
+    rng = np.random.default_rng(3)
+    rows = [(i, [1000.0 + x for x in rng.integers(-9, 10, 3).tolist()]) for i in range(2500)]
+    rows += [(5000 + i, [float("nan"), 1.0, 2.0]) for i in range(30)] + [(6000, [inf, 0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id bigint, embedding array<double>, label int")
+    got = {}
+    for r in MD.nearest_neighbours(df, df, 7, train_blocks=1, query_blocks=1).collect():
+        got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour"]))
+    for i in far:
+        want = sorted((math.dist(rows[i][1], v), t) for t, v in rows[:2500])[:7]
+        assert [n for _, n in sorted(got[i])] == [t for _, t in want]
+    assert set(got) == set(range(2500))
+
+    seen = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *r, **o: seen.append(a.shape[1]) or partition(a, *r, **o))
+    left = pd.DataFrame({"q": range(5), "v": [np.array(v) for _, v in rows[:5]], "qb": 0, "tb": 0})
+    right = pd.DataFrame({"t": range(2500), "v": [np.array(v) for _, v in rows[:2500]], "y": 0.0, "tb": 0, "qb": 0})
+    found = MD.block_search(7)(left, right)
+    assert len(found) == 35 and seen and max(seen) <= 2500 // MD.GROUP
+
+
 def test_additive_model_separates_and_explains(spark):
     rng = random.Random(2)
     rows = [(i, rng.random(), rng.random()) for i in range(1500)]
