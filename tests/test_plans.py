@@ -169,3 +169,20 @@ def test_tree_measures_of_written_trees_are_those_of_the_sentences(spark, docs):
     assert "FileScan" in plan(A.tree_stats(trees)) and "regexp_extract_all" not in plan(A.tree_stats(trees))
     for measure in (A.tree_stats, A.rule_stats, A.phrase_lengths, lambda s: A.label_counts(s, "The")):
         assert sorted(map(str, measure(trees).collect())) == sorted(map(str, measure(sents).collect()))
+
+
+def test_annotations_are_read_once_for_all_measures(spark):
+    from inkgauge.operators import annotate as A
+    from inkgauge.plans.feature_table import annotated_features
+
+    docs = spark.createDataFrame([(1, "The old Dog barks. It runs"), (2, "x"), (2, "Two Cats and two Dogs."), (None, "Null key here.")], "doc_id int, text string")
+    sents, read = A.annotate_sentences(docs), spark.sparkContext.accumulator(0)
+
+    def seen(tokens):
+        read.add(1)
+        return tokens
+
+    marked = sents.withColumn("token", F.udf(seen, "array<string>").asNondeterministic()("token"))
+    rows = {r.doc_id: r for r in annotated_features(marked).collect()}
+    assert read.value == sents.count() and len(rows) == 3
+    assert (rows[1].num_sentences, rows[1].num_tokens, rows[1].num_entities, rows[1].max_depth) == (2, 7, 1, 2)
