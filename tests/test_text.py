@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -77,3 +78,10 @@ def test_counts(one):
 def test_density_of_empty(one):
     assert one(X.density_of(X.tokenize(F.lit("")))) == 0.0
     assert one(X.density_of(X.tokenize(F.lit("the house, 12")))) == pytest.approx(1 / 3)
+
+
+def test_a_final_s_goes_from_words_however_long(spark):
+    texts = ["ssss sss", "cats. bus dress", "s" * 9000, "sa" * 9000 + "s", "a_1s\U0001d49cs", "\U0001d49c\U0001d49c\U0001d49cs", "éééss-s", "", None]
+    want = [t if t is None else re.sub(r"(\w{3,})s(?!\w)", r"\1", t) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.x for r in df.select("i", X.lemmatize_text("t").alias("x")).orderBy("i").collect()] == want
