@@ -46,14 +46,14 @@ def _numbered(requests: DataFrame) -> DataFrame:
     return written(requests.withColumn("_row", F.monotonically_increasing_id()), "requests")
 
 
-def _features(rows: DataFrame, lexicon: DataFrame, familiar: DataFrame, key: str, order: str, tables: Mapping[str, DataFrame | None]) -> DataFrame:
+def _features(rows: DataFrame, lexicon: DataFrame, familiar: DataFrame, key: str, order: str, tables: Mapping[str, DataFrame | None], clean: DataFrame | None = None) -> DataFrame:
     """The feature table of numbered requests by ``_row``; tables by ``key`` are brought to it."""
     known = {k: t for k, t in tables.items() if t is not None}
     for name in ("annotations", "vectors"):
         if name in known:
             of = rows.select(F.col(key).alias("_of"), "_row")
             known[name] = known[name].join(of, F.col(key).eqNullSafe(F.col("_of"))).drop(key, "_of")
-    return feature_table(rows.select("_row", "text"), lexicon, familiar, key="_row", order=order, **known)
+    return feature_table(rows.select("_row", "text"), lexicon, familiar, key="_row", order=order, clean=clean, **known)
 
 
 def score_features(
@@ -90,9 +90,11 @@ def score_reply(
     has a reply, whether its key repeats or is null.
     """
     rows = _numbered(requests.select(key, "text"))
-    ids = encode_tokens(cleaned(spread(rows.select("_row", "text"), "_row"), "_row", "text", "serving"), vocab, max_length, "_row", "clean")
+    clean = written(cleaned(spread(rows.select("_row", "text"), "_row"), "_row", "text", "serving"), "clean")
+    ids = encode_tokens(spread(clean, "_row"), vocab, max_length, "_row", "clean")
     scored = logits(ids).select("_row", argmax("logits").alias("label"), positive_score("logits").alias("probability"))
-    table = _features(rows, lexicon, familiar, key, "serving", tables)
+    # the ids take the suffix rule; only a lemma table asks for another cleaning
+    table = _features(rows, lexicon, familiar, key, "serving", tables, clean if tables.get("lemmas") is None else None)
     names = [f for f in FEATURES if f in table.columns]
     known = {r["col"] for r in scaler.select("col").collect()} if scaler is not None else set()
     scaled = [f for f in names if f in known]
