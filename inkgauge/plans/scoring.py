@@ -91,7 +91,7 @@ def score_reply(
     """
     rows = _numbered(requests.select(key, "text"))
     clean = written(cleaned(spread(rows.select("_row", "text"), "_row"), "_row", "text", "serving"), "clean")
-    ids = encode_tokens(spread(clean, "_row"), vocab, max_length, "_row", "clean")
+    ids = encode_tokens(clean, vocab, max_length, "_row", "clean")
     scored = logits(ids).select("_row", argmax("logits").alias("label"), positive_score("logits").alias("probability"))
     # the ids take the suffix rule; only a lemma table asks for another cleaning
     table = _features(rows, lexicon, familiar, key, "serving", tables, clean if tables.get("lemmas") is None else None)
